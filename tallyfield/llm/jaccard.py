@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .shared import cut, small, stash
+from .shared import cut, emptied, filled, small, stash
 from .shingles import Hashes, mixed, shingle_set
 
 #: Shingles of a block in which repeats are looked for; entries of the table of frequent shingles; cells of a set's outline.
@@ -74,7 +74,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 x = shingle_set(text, k, cache)
                 size = len(x)
                 if not size:
-                    out.append((doc_id, 0, None, None, None))
+                    out.append((doc_id, 0, 0, None, None))
                     continue
                 signed = x.view(np.int64)
                 at = np.searchsorted(known, signed)
@@ -83,9 +83,10 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 prefix = signed[np.argsort(held, kind="stable")[: size - -(-size * percent // 100) + 1]]  # ties: by hash
                 cells = np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=CELLS)
                 out.append((doc_id, size, _node(x), prefix, cells))
-            yield pd.DataFrame(out, columns=["doc_id", "size", "node", "prefix", "outline"]).astype({"doc_id": "Int64", "node": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "size", "node", "prefix", "outline"])
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, size int, node long, prefix array<long>, outline array<int>")
+    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, size int, node long, prefix array<long>, outline array<int>")
+    return rows.withColumn("doc_id", emptied("doc_id"))
 
 
 def _node(x: np.ndarray) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,30 +68,32 @@ def memberships(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     return rows.select("doc_id", "n_tokens", F.greatest(F.lit(0.0), F.round(F.lit(1.0) - sum(rest[1:], rest[0]), 2)).alias(f"p_{domains[0]}"), *(r.alias(f"p_{d}") for r, d in zip(rest, domains[1:], strict=True)))
 
 
-def fitted_rate(member: DataFrame, targets: dict[str, float], steps: int = 60, close: float = 1e-6) -> Column:
+def fitted_rate(member: DataFrame, targets: dict[str, float], steps: int = 40, close: float = 1e-6) -> Column:
     """The rate of a document as an expression over its posteriors, such that the domains' expected token totals match.
 
-    Projected gradient on sum over domains of (total / target - 1)^2 * target, over rates >= 0, from
-    rate 1, with each document's gradient taken per token. A rate then depends on the posteriors
-    alone, so the steps run over the distinct posteriors' token sums, not over documents; each step
-    is one distributed aggregation that gives one number a domain.
+    Projected gradient, over rates >= 0 and from rate 1, on half the squared distance of the domains'
+    totals from their targets, measured in the metric of the inverse second moments of the
+    posteriors: a unit step is then the longest safe one. A document's gradient is taken per token,
+    so a rate depends on the posteriors alone and the steps run over the distinct posteriors' token
+    sums, not over documents. Each step is one aggregation that gives one number a domain.
     """
     p = [F.col(f"p_{d}") for d in targets]
     cells = stash(member.groupBy(*p).agg(F.sum("n_tokens").alias("n")), "cells")
-    row = cells.agg(F.sum("n"), *(F.sum(F.col("n") * x) for x in p)).first()
+    k = len(p)
+    row = cells.agg(F.sum("n"), *(F.sum(F.col("n") * x * y) for x in p for y in p)).first()
     whole = float(row[0] or 0)
-    share = sum(targets.values())
-    want = [whole * t / share for t in targets.values()]
+    want = np.array(list(targets.values()), float) / sum(targets.values())
     rate = F.lit(1.0)
-    if not whole or min(want) <= 0:
+    if not whole:
         return rate
-    pull = 1 / max(float(x) / t for x, t in zip(row[1:], want, strict=True))
+    moments = np.linalg.pinv(np.array(row[1:], float).reshape(k, k) / whole, rcond=1e-9)
     for _ in range(steps):
         got = cells.select(*(F.sum(F.col("n") * x * rate) for x in p)).first()
-        off = [float(g or 0) / t - 1 for g, t in zip(got, want, strict=True)]
-        if max(map(abs, off)) < close:
+        off = np.array([float(g or 0) for g in got]) / whole - want
+        pull = moments @ off
+        if np.abs(pull).max() < close:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(pull * o) for x, o in zip(p, off, strict=True)), F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0), rate - sum((x * F.lit(float(q)) for x, q in zip(p, pull, strict=True)), F.lit(0.0)))
     return rate
 
 

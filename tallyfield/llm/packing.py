@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import emptied, filled, stash
 
 #: Bytes that a worker may keep of words' ids; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
 CACHE_WORDS, GROUP, GIVEN, MERGED = 400_000, 20_000, 3_000, 8
@@ -46,9 +46,9 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) ->
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(filled("doc_id"), "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, most: int) -> int:
@@ -143,7 +143,7 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
 
         return work
 
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).alias("home"))
+    dealt = pieces.select(filled("doc_id"), *columns[1:], F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).alias("home"))
     done, level = [], 0
     while True:
         packed = stash(dealt.groupBy("home").applyInPandas(packer(groups == 1), schema), "packed")
@@ -156,7 +156,7 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.withColumn("doc_id", emptied("doc_id"))
 
 
 def packed_documents(docs: DataFrame, path: str, end: int = 1, most: int = 4096) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked
-from .shared import cut, small, stash
+from .shared import cut, emptied, filled, small, stash
 from .shingles import Hashes, mixed, shingles, words
 
 #: A paragraph ends at a line break or behind a sentence's end; what is shorter than MIN_WORDS is not looked at.
@@ -61,12 +61,13 @@ def paragraph_table(docs: DataFrame, least: int = MIN_WORDS, bands: int = BANDS,
                         key = mixed(key * np.uint64(31) + np.minimum.reduceat((x ^ seed) * np.uint64(0xD6E8FEB86659FD93) ^ (x >> np.uint64(32)), first))
                     keys.append(key.view(np.int64))
                 out = pd.DataFrame(meta, columns=["doc_id", "number", "start", "length", "n_words"])
-                out["doc_id"] = pd.array(ids[i : i + 500], dtype="Int64")[out["doc_id"].to_numpy()]
+                out["doc_id"] = ids[i : i + 500][out["doc_id"].to_numpy()]
                 out["node"] = np.array(digests, np.uint64).view(np.int64)
                 out["bands"] = list(np.stack(keys, axis=1))
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, number int, start int, length int, n_words int, node long, bands array<long>")
+    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, number int, start int, length int, n_words int, node long, bands array<long>")
+    return rows.withColumn("doc_id", emptied("doc_id"))
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, least: int) -> DataFrame:

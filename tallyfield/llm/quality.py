@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,10 @@ def chunks_of(text: str | None) -> np.ndarray:
 class ByteNet:
     """embedding -> filters over every place of a chunk -> max over places -> max and mean over chunks -> one probability."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, params: dict[str, np.ndarray] | None = None):
+        if params is not None:
+            self.p = params
+            return
         r = np.random.default_rng(seed)
         self.p = {
             "emb": r.normal(0, 0.5, (257, EMBED)).astype(np.float32), "k": r.normal(0, 0.25, (WIDTH * EMBED, FILTERS)).astype(np.float32),
@@ -60,6 +63,10 @@ class ByteNet:
         doc = np.hstack([np.maximum.reduceat(h, first, axis=0), np.add.reduceat(h, first, axis=0) / n])
         return 1 / (1 + np.exp(-np.clip((doc @ self.p["v"] + self.p["c"]).astype(np.float64), -30, 30)))
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """score() of a column, some texts at a time."""
+        return np.concatenate([np.zeros(0), *(self.score(texts[i : i + 64].to_pylist()) for i in range(0, len(texts), 64))])
+
     def fit(self, texts: list[str], labels: np.ndarray, steps: int = 700, batch: int = 32, rate: float = 0.01, seed: int = 11) -> ByteNet:
         """Adam on the log loss, both labels drawn equally often."""
         r = np.random.default_rng(seed)
@@ -128,15 +135,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     """
     net = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample).p)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = ByteNet()
-        own.p = net.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ByteNet(params=net.value)
         for b in batches:
-            texts = b["text"].tolist()
-            s = np.concatenate([own.score(texts[i : i + 64]) for i in range(0, len(texts), 64)]) if texts else np.zeros(0)
-            yield b[["doc_id", "held_out"]].assign(score=s)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(own.scores(b["text"]))], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select("doc_id", "text", held_out().alias("held_out")).mapInPandas(score, "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -144,12 +148,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """docs without those that the classifier rejects; repeated rows get the same verdict."""
     net = docs.sparkSession.sparkContext.broadcast(trained(docs, labels).p)
 
-    def good(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = ByteNet()
-        own.p = net.value
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ByteNet(params=net.value)
         for b in batches:
-            texts = b["text"].tolist()
-            s = np.concatenate([own.score(texts[i : i + 64]) for i in range(0, len(texts), 64)]) if texts else np.zeros(0)
-            yield b[s >= threshold]
+            yield b.filter(pa.array(own.scores(b["text"]) >= threshold))
 
-    return docs.mapInPandas(good, docs.schema)
+    return docs.mapInArrow(good, docs.schema)

@@ -45,3 +45,15 @@ def ascii_lower(text):
     text = F.coalesce(text, F.lit(""))
     plain = F.lower(text)  # the same for pure ASCII, and much faster
     return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+#: Stands for a null id inside Python workers, where pandas would turn a nullable integer into a float.
+NO_ID = -(2**63)
+
+
+def filled(name: str):
+    return F.coalesce(name, F.lit(NO_ID)).alias(name)
+
+
+def emptied(name: str):
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)

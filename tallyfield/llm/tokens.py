@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +68,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, table: int = TAB
     counted = dict(zip(words, map(len, sp.encode(words)), strict=True)) if words else {}
     sent = docs.sparkSession.sparkContext.broadcast((whole, counted))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path)
         whole, table = sent.value
         # a word that follows a line break has no space mark: "\n" + word costs the mark and the break besides
@@ -86,17 +85,16 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, table: int = TAB
                 n += look(" " * (len(spaces) - 1) + word) if word or len(spaces) > 1 else 1
             return n
 
-        def tokens(text: str) -> int:
+        def tokens(text: str | None) -> int:
             if whole or not text:
                 return len(own.encode(text)) if text else 0
             first, *lines = text.replace("▁", " ").split("\n")
             return led(" " + first) + len(lines) + sum(map(led, lines))
 
         for b in batches:
-            texts = b["text"].fillna("").tolist()
-            n = np.fromiter(map(tokens, texts), np.int64, len(texts))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n})
+            n = pa.array([tokens(t.as_py()) for t in b["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], n], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

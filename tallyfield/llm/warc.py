@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact import representatives
-from .shared import cut, shared_folder, small, stash
+from .shared import NO_ID, cut, emptied, filled, shared_folder, small, stash
 
 #: Fixed values of the formats: the magic number of the dictionary's skippable frame and of a Zstandard frame.
 DICT_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -81,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2
             if packer is None:
                 words = dictionary(held)
                 packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-                out = store.open_output_stream(name)
+                out = store.open_output_stream(name, compression=None)
                 if words:
                     out.write(struct.pack("<II", DICT_FRAME, len(words)) + words)
             for r in held:
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2
 
         for b in batches:
             for page_id, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
-                page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
+                page_id, refers = (None if x == NO_ID else int(x) for x in (page_id, refers))
                 held.append(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date))
                 size, count = size + len(held[-1]), count + 1
                 if packer is not None or size >= TRAINED_ON:
@@ -100,8 +100,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2
             out.close()
             yield pd.DataFrame({"path": [name], "records": [count], "bytes": [store.get_file_info(name).size]})
 
-    columns = [F.col("page_id").cast("decimal(20,0)").alias("page_id"), "url", "html", F.col("refers_to").cast("decimal(20,0)").alias("refers_to")]
-    return cut(pages.select(*columns).mapInPandas(write, "path string, records long, bytes long"))
+    return cut(pages.select(filled("page_id"), "url", "html", filled("refers_to")).mapInPandas(write, "path string, records long, bytes long"))
 
 
 def frames(stream) -> Iterator[bytes]:
@@ -136,7 +135,7 @@ def frames(stream) -> Iterator[bytes]:
 
 
 def parsed(raw: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record, whose payload must fit its digest."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record (NO_ID where there is none), whose payload must fit its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -147,7 +146,7 @@ def parsed(raw: bytes) -> tuple:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
     refers = fields.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
-    return int(page) if page else None, fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"], int(refers) if refers else None
+    return int(page) if page else NO_ID, fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"], int(refers) if refers else NO_ID
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -158,16 +157,17 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
         store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b["path"]:
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     out = []
                     for raw in frames(stream):
                         out.append(parsed(raw))
                         if len(out) == 10_000:
-                            yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(out, columns=columns)
                             out = []
-                    yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    yield pd.DataFrame(out, columns=columns)
 
-    return files.select("path").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = files.select("path").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return rows.withColumn("page_id", emptied("page_id")).withColumn("refers_to", emptied("refers_to"))
 
 
 def archived(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
