@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stash
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -44,22 +44,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def linked(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
     """(a, b) links that connect all that any pair sharing a key would connect.
 
-    postings: (key, node, size, pos); verified: keeps the pairs (a, b) that do link; fits: a
+    postings: (key, node, size, pos, sketch); verified: keeps the pairs (a, b) that do link; fits: a
     condition on the two postings (struct columns) that every linking pair meets at one of its
-    keys. First every node of a key is tried against the key's most central node (smallest pos).
-    Only keys whose nodes then still lie in several components give further pairs, and of those
+    keys. Postings are dealt by key once; a node may come several times. First every node of a key
+    is tried against the key's most central node (smallest pos, then the most postings). Only keys whose nodes then still lie in several components give further pairs, and of those
     only the pairs across components: every other pair could not change a component.
     """
-    me = F.struct("pos", "node", "size").alias("me")
-    hub = postings.groupBy("key").agg(F.min(F.struct("pos", "node", "size")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "hub")
-    shared = cut(postings.join(hub, "key").select("key", me, "hub"))
+    key = Window.partitionBy("key")
+    me = F.struct("pos", "node", "size", "sketch").alias("me")
+    held = postings.repartition("key").groupBy("key", me).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct("me.pos", (-F.col("n")).alias("rare"), "me")).over(key)
+    shared = held.withColumn("hub", best["me"]).withColumn("low", F.min("me.node").over(key)).withColumn("high", F.max("me.node").over(key))
+    shared = stash(shared.where("low < high").select("key", "me", "hub"), "shared")
     pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
     tried = cut(shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).select(*pair("me", "hub")).distinct())
     links = cut(verified(tried))
     label = components(links)
     part = shared.select("key", "me", F.col("me.node").alias("node")).join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
     open_keys = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    part = cut(part.join(open_keys, "key", "left_semi"))
+    part = stash(part.join(open_keys, "key", "left_semi"), "open")
     x, y = part.alias("x"), part.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
     rest = x.join(y, across).select(*pair("x.me", "y.me")).distinct()

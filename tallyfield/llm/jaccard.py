@@ -59,6 +59,8 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> pd.DataF
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, size, node, prefix, outline): per document its set's size and hash, its rarest shingles and its outline.
 
+    Of equal sets in a task only the first has a prefix and an outline.
+
     A set of s shingles that overlaps another by the wanted share holds one of the other's prefix
     among its own s - ceil(s * percent / 100) + 1 rarest. outline: shingles per cell of the hash space.
     """
@@ -66,7 +68,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Hashes()
+        cache, seen = Hashes(), set()
         known, n = sent.value
         for b in batches:
             out = []
@@ -76,13 +78,18 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if not size:
                     out.append((doc_id, 0, 0, None, None))
                     continue
+                node = _node(x)
+                if node in seen:  # a copy adds nothing to the join
+                    out.append((doc_id, size, node, None, None))
+                    continue
+                seen.add(node)
                 signed = x.view(np.int64)
                 at = np.searchsorted(known, signed)
                 at[at == len(known)] = 0
                 held = np.where(known[at] == signed, n[at], 0) if len(known) else np.zeros(size, np.int64)
                 prefix = signed[np.argsort(held, kind="stable")[: size - -(-size * percent // 100) + 1]]  # ties: by hash
                 cells = np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=CELLS)
-                out.append((doc_id, size, _node(x), prefix, cells))
+                out.append((doc_id, size, node, prefix, cells))
             yield pd.DataFrame(out, columns=["doc_id", "size", "node", "prefix", "outline"])
 
     rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, size int, node long, prefix array<long>, outline array<int>")
@@ -126,7 +133,7 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     node = sets.where("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("doc_id"), F.max("outline").alias("outline"))
     node = stash(node.select(F.xxhash64("node", "size").alias("node"), "size", "doc_id", "outline"), "nodes")
     keys = sets.where("size > 0").select(F.xxhash64("node", "size").alias("node"), "size", F.posexplode("prefix").alias("pos", "key"))
-    keys = keys.select("key", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos")).distinct()
+    keys = keys.select("key", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), F.lit(None).cast("long").alias("sketch"))
 
     def least_overlap(x, y):
         """Smallest intersection of linking sets: i >= p / 100 * (x + y - i)."""

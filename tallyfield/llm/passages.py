@@ -16,7 +16,7 @@ from .shared import cut, emptied, filled, small, stash
 from .shingles import Hashes, mixed, shingles, words
 
 #: A paragraph ends at a line break or behind a sentence's end; what is shorter than MIN_WORDS is not looked at.
-_PARAGRAPH = re.compile(r"\S(?:[^\n]*?[.!?](?=\s)|[^\n]*)")
+_PARAGRAPH = re.compile(r"\S[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*[.!?]?")
 MIN_WORDS, SHINGLE, BANDS, ROWS = 10, 5, 5, 2
 
 
@@ -31,22 +31,33 @@ def paragraphs(text: str | None, least: int = MIN_WORDS) -> list[tuple[int, int,
 
 
 def _hashed(texts: list[str | None], cache: Hashes, least: int) -> tuple[list, np.ndarray, np.ndarray, list]:
-    """Of all paragraphs of the texts: (row, number, start, length, words), their shingles in a row, where each begins, and digests."""
-    meta, parts, digests = [], [], []
+    """Of all paragraphs of the texts: (row, number, start, length, n_words), their shingles in a row, where each begins, and digests.
+
+    All words of the texts are hashed and shingled at once; shingles across a paragraph's end are left out.
+    """
+    meta, digests, all_words = [], [], []
     for row, text in enumerate(texts):
         for number, (start, length, w) in enumerate(paragraphs(text, least)):
             meta.append((row, number, start, length, len(w)))
-            parts.append(shingles(np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)), SHINGLE))
             digests.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-    first = np.cumsum([0, *map(len, parts)])[:-1]
-    return meta, np.concatenate(parts) if parts else np.zeros(0, np.uint64), first, digests
+            all_words += w
+    if not meta:
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    n = np.array([m[4] for m in meta])
+    x = shingles(np.fromiter(map(cache.__getitem__, all_words), np.uint64, len(all_words)), SHINGLE)
+    inside = np.arange(len(x)) + SHINGLE <= np.repeat(np.cumsum(n), n)[: len(x)]
+    return meta, x[inside], np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]], digests
 
 
 def paragraph_table(docs: DataFrame, least: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, number, start, length, n_words, node, bands): node is a hash of the words, bands the MinHash band keys."""
+    """(doc_id, number, start, length, n_words, node, sketch, n_shingles, bands).
+
+    node is a hash of the words, sketch the bits that its shingles hash to, and bands the MinHash
+    band keys (for the first of equal nodes of a task).
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Hashes()
+        cache, seen = Hashes(), set()
         seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
             ids = b["doc_id"].to_numpy()
@@ -63,10 +74,14 @@ def paragraph_table(docs: DataFrame, least: int = MIN_WORDS, bands: int = BANDS,
                 out = pd.DataFrame(meta, columns=["doc_id", "number", "start", "length", "n_words"])
                 out["doc_id"] = ids[i : i + 500][out["doc_id"].to_numpy()]
                 out["node"] = np.array(digests, np.uint64).view(np.int64)
-                out["bands"] = list(np.stack(keys, axis=1))
+                fresh = ~out["node"].duplicated() & np.array([n not in seen for n in digests])
+                seen.update(x for x, new in zip(digests, fresh, strict=True) if new)
+                out["sketch"] = np.bitwise_or.reduceat(np.uint64(1) << (x & np.uint64(63)), first).view(np.int64)
+                out["n_shingles"] = np.diff(np.append(first, len(x)))
+                out["bands"] = pd.Series(list(np.stack(keys, axis=1)), index=out.index).where(fresh, None)
                 yield out
 
-    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, number int, start int, length int, n_words int, node long, bands array<long>")
+    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, number int, start int, length int, n_words int, node long, sketch long, n_shingles int, bands array<long>")
     return rows.withColumn("doc_id", emptied("doc_id"))
 
 
@@ -96,11 +111,11 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
     paragraph (smallest doc_id, then place) and the rest is marked removed. Only components with
     two paragraphs or more are returned, so a document without repeats has no row.
 
-    start and length count characters. Null and empty texts have no paragraphs; a null doc_id counts
+    `least` is at least five. start and length count characters. Null and empty texts have no paragraphs; a null doc_id counts
     as the largest; rows that repeat count as repeats; an empty table gives an empty result.
     """
     table = stash(paragraph_table(docs, least), "paragraphs")
-    keys = table.select("node", F.explode("bands").alias("key")).distinct().select("key", "node", F.lit(0).alias("size"), F.lit(0).alias("pos"))
+    keys = table.select("node", F.col("n_shingles").alias("size"), F.lit(0).alias("pos"), "sketch", F.explode("bands").alias("key"))
     holder = table.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -120,7 +135,12 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
         x, y = (sets.select(F.col("node").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
 
-    label = stash(components(linked(keys, verified, lambda x, y: F.lit(True))), "labels")
+    def fits(x, y):
+        """Bits that only one sketch has are at most as many as shingles that only one set has, of which linking sets have few."""
+        apart = F.bit_count(x.getField("sketch").bitwiseXOR(y.getField("sketch")))
+        return apart * (100 + percent) <= (x.getField("size") + y.getField("size")) * (100 - percent)
+
+    label = stash(components(linked(keys, verified, fits)), "labels")
     node = table.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "start")).alias("first"))
     node = node.join(label.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     node = stash(node, "nodes")

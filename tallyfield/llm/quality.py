@@ -46,10 +46,11 @@ class ByteNet:
         """Per chunk and filter the largest response, and its place if asked for; a few chunks at a time."""
         top, at = [], []
         for i in range(0, len(ids), 32):
-            z = np.ascontiguousarray(self.places(ids[i : i + 32])) @ self.p["k"]
+            part = np.ascontiguousarray(self.places(ids[i : i + 32]))
+            z = (self.p["k"].T @ part.reshape(-1, WIDTH * EMBED).T).reshape(FILTERS, len(part), -1)  # places last: the maximum runs over neighbours
             if where:
-                at.append(z.argmax(axis=1))
-            top.append(z.max(axis=1))
+                at.append(z.argmax(axis=2).T)
+            top.append(z.max(axis=2).T)
         top = np.concatenate(top) + self.p["b"]
         return (top, np.concatenate(at)) if where else top
 
