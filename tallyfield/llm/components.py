@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, stash
+from .shared import cut, small, stash
+
+#: Edges that one task may hold; larger link tables are shuffled in every round.
+ONE_TASK = 200_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,6 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
+    if mark[0] <= ONE_TASK:  # the rounds then need no exchange
+        edges = edges.coalesce(1)
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -47,7 +52,8 @@ def linked(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], fits
     postings: (key, node, size, pos, sketch); verified: keeps the pairs (a, b) that do link; fits: a
     condition on the two postings (struct columns) that every linking pair meets at one of its
     keys. Postings are dealt by key once; a node may come several times. First every node of a key
-    is tried against the key's most central node (smallest pos, then the most postings). Only keys whose nodes then still lie in several components give further pairs, and of those
+    looks at the key's most central node (smallest pos, then the most postings) and is tried against
+    the one that it meets on the most keys. Only keys whose nodes then still lie in several components give further pairs, and of those
     only the pairs across components: every other pair could not change a component.
     """
     key = Window.partitionBy("key")
@@ -57,12 +63,14 @@ def linked(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], fits
     shared = held.withColumn("hub", best["me"]).withColumn("low", F.min("me.node").over(key)).withColumn("high", F.max("me.node").over(key))
     shared = stash(shared.where("low < high").select("key", "me", "hub"), "shared")
     pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
-    tried = cut(shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).select(*pair("me", "hub")).distinct())
+    near = shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).groupBy("me.node", F.col("hub.node").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    best = near.groupBy("node").agg(F.max(F.struct("n", "to")).alias("best"))
+    tried = cut(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct())
     links = cut(verified(tried))
-    label = components(links)
-    part = shared.select("key", "me", F.col("me.node").alias("node")).join(label.withColumnRenamed("id", "node"), "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
-    open_keys = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    part = stash(part.join(open_keys, "key", "left_semi"), "open")
+    label = small(cut(components(links)).withColumnRenamed("id", "node"))
+    part = shared.select("key", "me", F.col("me.node").alias("node")).join(label, "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
+    part = part.withColumn("low", F.min("part").over(key)).withColumn("high", F.max("part").over(key)).where("low < high").select("key", "me", "part")
+    part = stash(part, "open")
     x, y = part.alias("x"), part.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
     rest = x.join(y, across).select(*pair("x.me", "y.me")).distinct()

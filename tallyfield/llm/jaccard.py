@@ -39,8 +39,8 @@ def _repeats(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInPandas(work, "shingle long, n long")
 
 
-def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> pd.DataFrame:
-    """The shingles held most often, at most `most`, with their counts, sorted by shingle.
+def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles held most often, at most `most`, sorted, and their counts.
 
     Counts cover all documents but miss what is alone in its block of a task, so they rank, they
     don't measure. Any order that is the same for all documents gives right joins.
@@ -53,7 +53,10 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> pd.DataF
         if rows > most:
             break
         least = bits
-    return counts.where(F.floor(F.log2("n") * 4) >= least).toPandas().sort_values("shingle", ignore_index=True)
+    table = counts.where(F.floor(F.log2("n") * 4) >= least).toArrow()
+    shingle, n = table["shingle"].to_numpy(), table["n"].to_numpy().astype(np.int32)
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -64,8 +67,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     A set of s shingles that overlaps another by the wanted share holds one of the other's prefix
     among its own s - ceil(s * percent / 100) + 1 rarest. outline: shingles per cell of the hash space.
     """
-    frequent = frequent_shingles(docs, k)
-    sent = docs.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seen = Hashes(), set()
@@ -102,7 +104,7 @@ def _node(x: np.ndarray) -> int:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read from the documents in ids."""
+    """(node, shingles) of the wanted nodes, read from the documents in ids; rows that repeat a doc_id may repeat a node."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
@@ -111,7 +113,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, k: int) -> DataF
             yield pd.DataFrame({"set": [_node(x) if len(x) else 0 for x in sets], "size": [len(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
     rows = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInPandas(work, "set long, size int, shingles binary")
-    return rows.select(F.xxhash64("set", "size").alias("node"), "shingles").join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    return rows.select(F.xxhash64("set", "size").alias("node"), "shingles").join(small(nodes), "node", "left_semi")
 
 
 def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

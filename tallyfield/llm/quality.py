@@ -121,7 +121,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 2000, seed: int =
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 0").orderBy(*order).limit(sample).unionByName(known.where("quality = 1").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     net = ByteNet(seed)
     return net.fit(rows["text"].tolist(), rows["quality"].to_numpy()) if rows["quality"].nunique() == 2 else net
