@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,10 +14,76 @@ from pyspark.sql import functions as F
 
 from .shared import emptied, filled, stash
 
-#: Bytes that a worker may keep of words' ids; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
+#: Words whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
 CACHE_WORDS, GROUP, GIVEN, MERGED = 400_000, 20_000, 3_000, 8
 
 
+#: Words of printable ASCII and Latin-1 letters, which normalisation only lowers, and how the tokenizer cuts them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordIds:
+    """Ids of white-space separated words, as bytes; kept by the worker from task to task, up to a bound.
+
+    Plain words take a short way to the same ids: lowered, cut by the tokenizer's pattern and handed to its
+    model part by part. All others, and what may hold a special token, go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def part(self, p: str) -> bytes:
+        ids = self.parts.get(p)
+        if ids is None:
+            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            self.parts[p] = ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+        return ids
+
+    def learn(self, words: list[bytes]) -> None:
+        hard = []
+        for w in words:
+            text = w.decode("utf-8", "surrogatepass")
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                self.known[w] = b"".join(map(self.part, _PARTS.findall(text.lower())))
+            else:
+                hard.append(w)
+        if hard:
+            coded = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in hard], add_special_tokens=False)
+            self.known.update(zip(hard, (np.array(e.ids, dtype="<u4").tobytes() for e in coded), strict=True))
+
+    def of(self, words: list[bytes]) -> bytes:
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                self.parts.clear()
+                new = set(words)
+            self.learn(list(new))
+        return b"".join(map(self.known.__getitem__, words))
+
+
+_WORKER: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
+
+
 def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text: its ids and then `end`, cut into pieces of `most` where longer.
 
@@ -26,23 +93,12 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) ->
     """
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        ids_of = _word_ids(path)
         last = np.array([end], dtype="<u4").tobytes()
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                words = text.encode("utf-8", "surrogatepass").split() if text else []
-                if new := list(set(words).difference(known)):
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = list(set(words))
-                    coded = tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-                    known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in coded), strict=True))
-                ids = b"".join(map(known.__getitem__, words)) + last
+                ids = ids_of.of(text.encode("utf-8", "surrogatepass").split() if text else []) + last
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
