@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,29 +16,86 @@ from .components import components, linked
 from .shared import cut, emptied, filled, small, stash
 from .shingles import Hashes, mixed, shingles, words
 
-#: A paragraph ends at a line break or behind a sentence's end; what is shorter than MIN_WORDS is not looked at.
+#: A paragraph ends at a line break or behind a sentence's end; neighbours of fewer than MIN_WORDS words make up one paragraph.
 _PARAGRAPH = re.compile(r"\S[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*[.!?]?")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIN_WORDS, SHINGLE, BANDS, ROWS = 10, 5, 5, 2
+#: A paragraph of more words is also cut by content: at word triples whose hash is least among REACH neighbours on either side.
+LONG, REACH = 30, 5
 
 
-def paragraphs(text: str | None, least: int = MIN_WORDS) -> list[tuple[int, int, list[bytes]]]:
-    """(start, length, words) of a text's paragraphs with at least so many words, in characters of the text."""
-    out = []
-    for m in _PARAGRAPH.finditer(text or ""):
-        w = words(m[0])
-        if len(w) >= least:
-            out.append((m.start(), m.end() - m.start(), w))
-    return out
+def _cuts(w: list[bytes], cache: Hashes) -> list[int]:
+    """Places in w at which the words themselves say to cut, the same whatever stands around them; loops of few words have none."""
+    x = shingles(np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)), 3)
+    beside = np.full(len(x) - 2 * REACH, 2**64 - 1, np.uint64)
+    for j in range(2 * REACH + 1):
+        if j != REACH:
+            np.minimum(beside, x[j : j + len(beside)], out=beside)
+    return (np.flatnonzero(x[REACH:-REACH] < beside) + REACH).tolist()
+
+
+def paragraphs(text: str | None, least: int = MIN_WORDS, cache: Hashes | None = None) -> list[tuple[int, int, list[bytes]]]:
+    """(start, length, words) of a text's units in order of place, in characters of the text.
+
+    A unit is a paragraph with at least so many words, where short ones in a row count as one. What
+    is still shorter gives two units of `least` words, one that begins with it and one that ends
+    with it. A paragraph of more than LONG words gives also the pieces between its cuts. So every
+    word of a text of `least` words or more is in a unit.
+    """
+    found = [(m.start(), m.end(), words(m[0])) for m in _PARAGRAPH.finditer(text or "")]
+    first = np.cumsum([0, *(len(w) for _, _, w in found)]).tolist()
+    total, all_words, places, units = first[-1], None, {}, {}
+
+    def place(i: int) -> tuple[int, int]:
+        """Where in the text its word i begins and ends."""
+        at = bisect_right(first, i) - 1
+        if at not in places:
+            start, end, _ = found[at]
+            places[at] = [m.span() for m in _WORD.finditer(text, start, end)]
+        return places[at][i - first[at]]
+
+    def add(low: int, high: int) -> None:
+        nonlocal all_words
+        low, high = max(0, min(low, total - least)), min(total, max(high, least))
+        if (low, high) not in units:
+            all_words = all_words or [x for _, _, w in found for x in w]
+            start = place(low)[0]
+            units[low, high] = (start, place(high - 1)[1] - start, all_words[low:high])
+
+    i = 0
+    while i < len(found):
+        j = i + 1
+        if len(found[i][2]) < least:
+            while j < len(found) and len(found[j][2]) < least:
+                j += 1
+        low, high = first[i], first[j]
+        if high - low >= least:
+            if j == i + 1:
+                start, end, w = found[i]
+                units[low, high] = (start, end - start, w)
+            else:
+                add(low, high)
+            if high - low > LONG:
+                cache = Hashes() if cache is None else cache
+                at = [low, *(low + c for c in _cuts(units[low, high][2], cache)), high]
+                for x, y in zip(at, at[1:], strict=False):
+                    if 4 * (y - x) <= 3 * (high - low):  # else the whole is near enough
+                        add(min(x, high - least), min(max(y, x + least), high))
+        elif high > low and total >= least:
+            add(low, low + least)
+            add(high - least, high)
+        i = j
+    return [units[k] for k in sorted(units)]
 
 
 def _hashed(texts: list[str | None], cache: Hashes, least: int) -> tuple[list, np.ndarray, np.ndarray, list]:
-    """Of all paragraphs of the texts: (row, number, start, length, n_words), their shingles in a row, where each begins, and digests.
+    """Of all units of the texts: (row, number, start, length, n_words), their shingles in a row, where each begins, and digests.
 
-    All words of the texts are hashed and shingled at once; shingles across a paragraph's end are left out.
+    All words of the texts are hashed and shingled at once; shingles across a unit's end are left out.
     """
     meta, digests, all_words = [], [], []
     for row, text in enumerate(texts):
-        for number, (start, length, w) in enumerate(paragraphs(text, least)):
+        for number, (start, length, w) in enumerate(paragraphs(text, least, cache)):
             meta.append((row, number, start, length, len(w)))
             digests.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
             all_words += w
@@ -101,17 +159,20 @@ def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, least: int) -> D
 
 
 def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS) -> DataFrame:
-    """One row per paragraph that repeats: doc_id, number, start, length, n_words, component_id, copies, keep_doc_id, removed.
+    """One row per unit that repeats: doc_id, number, start, length, n_words, component_id, copies, keep_doc_id, removed.
 
-    Texts are cut into paragraphs at line breaks and sentence ends; those of fewer than `least`
-    words are left alone. Paragraphs with the same words (A-Z lowered) are one node; nodes whose
+    Texts are cut into units as paragraphs() says, which may overlap: whole paragraphs, short ones
+    joined with their neighbours, and pieces of long ones, so that a passage is found wherever it
+    begins. Of a run of shared words only what lies in units that are wholly within it is sure to be
+    found: the parts of a paragraph of LONG words or fewer at its ends may be left. Units with the same words (A-Z lowered) are one node; nodes whose
     MinHash signatures agree on a whole band are verified by the exact Jaccard of their distinct
     five-word shingles (100 * intersection >= percent * union) and linked. BANDS x ROWS finds a pair
     at the threshold with a chance over 0.994, and surer above it. A component keeps its first
-    paragraph (smallest doc_id, then place) and the rest is marked removed. Only components with
-    two paragraphs or more are returned, so a document without repeats has no row.
+    unit (smallest doc_id, then place), with what overlaps it there, and the rest is marked removed.
+    Units of one text that only overlap are no repeat. Only components with
+    two units or more are returned, so a document without repeats has no row.
 
-    `least` is at least five. start and length count characters. Null and empty texts have no paragraphs; a null doc_id counts
+    `least` is at least five. start and length count characters. Null, empty and shorter texts have no units; a null doc_id counts
     as the largest; rows that repeat count as repeats; an empty table gives an empty result.
     """
     table = stash(paragraph_table(docs, least), "paragraphs")
@@ -141,11 +202,13 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
         return apart * (100 + percent) <= (x.getField("size") + y.getField("size")) * (100 - percent)
 
     label = stash(components(linked(keys, verified, fits)), "labels")
-    node = table.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "start")).alias("first"))
+    at, end = F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("start") + F.col("length")
+    node = table.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(at.alias("d"), "start", "length")).alias("first"), F.max(at).alias("last"), F.min(end).alias("end"), F.max("start").alias("start"), (F.min("number") < F.max("number")).alias("several"))
     node = node.join(label.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
     node = stash(node, "nodes")
-    group = node.groupBy("component").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.min("node").alias("component_id"))
-    named = stash(node.select("node", "component").join(group, "component").where("copies > 1").select("node", "component_id", "copies", "first"), "named")
+    group = node.groupBy("component").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.min("node").alias("component_id"), F.max("last").alias("last"), F.min("end").alias("end"), F.max("start").alias("start"), F.bool_or((F.col("copies") > 1) & ~F.col("several")).alias("again"))
+    apart = (F.col("first.d") < F.col("last")) | (F.col("start") >= F.col("end")) | F.col("again")  # else units of one text that only overlap
+    named = stash(node.select("node", "component").join(group, "component").where((F.col("copies") > 1) & apart).select("node", "component_id", "copies", "first"), "named")
     out = table.select("doc_id", "number", "start", "length", "n_words", "node").join(named, "node")
-    kept = (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("first.d")) & (F.col("start") == F.col("first.start"))
+    kept = (at == F.col("first.d")) & (F.col("start") < F.col("first.start") + F.col("first.length")) & (end > F.col("first.start"))
     return out.select("doc_id", "number", "start", "length", "n_words", "component_id", "copies", F.when(F.col("first.d") < 2**63 - 1, F.col("first.d")).alias("keep_doc_id"), (~kept).alias("removed"))

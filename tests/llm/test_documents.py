@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -178,6 +179,51 @@ def test_passages_recall_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def shared_words(docs, rows, run=50):
+    """Of (doc_id, text): how many words lie in runs that another document shares, and how many of them the rows cover."""
+    places = {i: [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for i, t in docs}
+    holders = defaultdict(set)
+    for i, w in places.items():
+        for k in range(len(w) - run + 1):
+            holders[tuple(x.encode().lower() for _, x in w[k : k + run])].add(i)
+    want = {(i, at) for i, w in places.items() for k in range(len(w) - run + 1) if len(holders[tuple(x.encode().lower() for _, x in w[k : k + run])]) > 1 for at, _ in w[k : k + run]}
+    got = {(x["doc_id"], at) for x in rows for at in range(x["start"], x["start"] + x["length"])}
+    return len(want), len(want & got)
+
+
+def test_passages_of_short_lines_at_any_offset(spark):
+    r = random.Random(6)
+    lines = lambda n: "\n".join(" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 6))) for _ in range(n))
+    shared, one, two = lines(60), lines(40), prose(r, 80)
+    inside = prose(r, 45) + " " + prose(r, 70)
+    texts = [one + "\n" + shared + "\n" + two, two[:200] + ". " + shared, prose(r, 90) + " " + inside + " " + prose(r, 90), prose(r, 33) + " " + inside + " " + prose(r, 120), "a b. c d. e f. g h", lines(30)]
+    rows = passages.repeated_passages(docs_of(spark, texts)).collect()
+    n, covered = shared_words(list(enumerate(texts)), rows)
+    assert n > 500 and covered >= 0.85 * n
+    assert {x["doc_id"] for x in rows} == {0, 1, 2, 3}
+    alone = " ".join(f"v{k}" for k in range(24)) + " of" * 300
+    assert not passages.repeated_passages(docs_of(spark, [alone, lines(40)]), 30).count()
+    for x in rows:  # what is kept is whole: nothing of it is removed in its own component
+        same = [y for y in rows if (y["component_id"], y["doc_id"]) == (x["component_id"], x["doc_id"]) and y["start"] < x["start"] + x["length"] and x["start"] < y["start"] + y["length"]]
+        assert len({y["removed"] for y in same}) == 1
+
+
+def test_every_word_is_in_a_unit():
+    r = random.Random(7)
+    for _ in range(200):
+        text = "".join(f"w{r.randrange(50)}" + r.choice([" ", " ", ". ", "\n", "! ", "  ", ".\n\n"]) for _ in range(r.randrange(120)))
+        units = passages.paragraphs(text)
+        assert all(len(w) >= 10 and words(text[at : at + n]) == w for at, n, w in units) and len({u[:2] for u in units}) == len(units)
+        seen = {i for at, n, _ in units for i in range(at, at + n)}
+        assert len(words(text)) < 10 or all(m.start() in seen for m in re.finditer(r"\S+", text))
+
+
+def test_passages_recall_against_shared_runs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    n, covered = shared_words([(x["doc_id"], x["text"]) for x in docs.collect()], passages.repeated_passages(docs).collect())
+    assert n > 10_000 and covered >= 0.9 * n
+
+
 def test_token_counts(spark, odd_texts):
     import sentencepiece
 
