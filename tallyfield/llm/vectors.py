@@ -15,6 +15,8 @@ from .shared import cut, stash
 
 #: Random hyperplanes whose signs make up a sort key; rows of a sorted partition; vectors of a block when links are counted.
 BITS, ROWS, BLOCK = 48, 100_000, 1024
+#: Enough for millions of vectors: a pass meets an isolated pair the less often the more vectors there are.
+PASSES, WINDOW = 64, 64
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -94,8 +96,8 @@ def near_links(classes: DataFrame, least: float, passes: int, window: int, seed:
         return run
 
     kind = classes.schema["v"].dataType.simpleString()
-    rows = stash(classes.mapInPandas(keyed, f"turn int, key long, id long, v {kind}"), "keyed")
-    parts = max(1, -(-rows.count() // ROWS))
+    rows = classes.mapInPandas(keyed, f"turn int, key long, id long, v {kind}")
+    parts = max(1, -(-classes.count() * passes // ROWS))
     ordered = rows.repartitionByRange(parts, "turn", "key", "id").sortWithinPartitions("turn", "key", "id")
     found = stash(ordered.mapInPandas(whole(scan), f"edge long, place long, turn long, id long, v {kind}, a long, b long"), "scanned")
 
@@ -139,7 +141,7 @@ def _link_counts(members: DataFrame, least: float) -> DataFrame:
     return alone.select(columns).unionByName(cross.select(columns)).groupBy("task").applyInPandas(count, schema).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(embeddings: DataFrame, least: float = 0.9, passes: int = 16, window: int = 32) -> DataFrame:
+def near_vectors(embeddings: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept.
 
     Vectors link at a cosine (double precision) of `least` or more; no link is below it. Sorted
@@ -148,7 +150,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, passes: int = 16, wi
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths or rows without a vec_id. Equal vectors are one class and linked;
     of rows that repeat a vec_id the smallest vector stands for all. An empty table gives no rows.
-    The chance that a pair is met grows with the passes and the window (see the tests for recall).
+    The chance that a pair is met grows with the passes and the window and falls as
+    the table grows: README.md has the recall by table size.
     """
     good = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = embeddings.select("vec_id", F.col("embedding").alias("v"))

@@ -150,3 +150,18 @@ def test_near_vectors(spark):
     for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007, None):
         assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
     assert vectors.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_near_vectors_finds_isolated_pairs_among_many_alike(spark):
+    """Vectors around one direction fill a key's neighbourhood as a table of hundreds of thousands of unrelated ones does."""
+    r = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(unit(r.normal(size=64)) * 0.87 + 0.5 * unit(r.normal(size=(3000, 64))))
+    away = r.normal(size=(300, 64))
+    away = unit(away - (away * v[:300]).sum(axis=1)[:, None] * v[:300])
+    v = np.concatenate([v, 0.905 * v[:300] + np.sqrt(1 - 0.905**2) * away])
+    rows = spark.createDataFrame([(i, [float(y) for y in x], 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: x for x in vectors.near_vectors(rows).collect()}
+    n, label = brute_vectors(v)
+    paired = n[:300] > 0
+    assert paired.all() and np.mean([got[i]["n_links"] > 0 and got[i]["component_id"] == label[i] for i in range(300)]) > 0.98
