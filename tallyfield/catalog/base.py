@@ -63,7 +63,7 @@ class Tables:
 
     @cached_property
     def capped(self) -> DataFrame:
-        return clean.cap_rows(self.cleaned, ["country", "month"], CAP, params.CAP_SEED, "obs_key")
+        return clean.cap_rows(self.cleaned, ["country", "month"], params.ROW_CAP, params.CAP_SEED, "obs_key")
 
     @property
     def weights(self):

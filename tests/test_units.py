@@ -173,3 +173,14 @@ def test_index_one_sided_sector(spark):
     df = spark.createDataFrame([("X", "r", "formal", dt.date(2020, 1, 1), 2.0), ("X", "r", "formal", dt.date(2020, 2, 1), 3.0), ("X", "s", "informal", dt.date(2020, 2, 1), 5.0)], "country string, restaurant_name string, sector string, month date, price_usd double")
     got = rows(index.restaurant_median_index(df, F.lit(0.4)), "month", "formal_index", "informal_index", "combined_index")
     assert got == [(dt.date(2020, 1, 1), 100.0, None, 100.0), (dt.date(2020, 2, 1), pytest.approx(150.0), 100.0, pytest.approx(130.0))]
+
+
+def test_the_index_queries_keep_three_hundred_rows_a_country_and_month(spark):
+    from tallyfield.catalog.base import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    n = t.cleaned.groupBy("country", "month").count()
+    want = n.agg(F.sum(F.least("count", F.lit(300)))).first()[0]
+    assert n.where("count > 20").count() and t.capped.count() == want
+    few = spark.createDataFrame([(f"k{i}", "A" if i < 50 else "B") for i in range(60)], "k string, g string")
+    assert {r["g"]: r["count"] for r in clean.cap_rows(few, ["g"], 20, "42", "k").groupBy("g").count().collect()} == {"A": 20, "B": 10}
