@@ -37,23 +37,32 @@ def exact_dedup(docs: DataFrame, text: Column | None = None, runs: int = 64) ->
     either are never merged. A null doc_id takes part but never stays beside another; of rows that
     repeat a doc_id all of the largest are kept. An empty table gives an empty result.
     """
-    norm = ascii_lower(F.col("text") if text is None else text)
-    rows = docs.select("doc_id", norm.alias("norm")).select(
-        "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), F.unhex(F.sha2("norm", 256)).alias("digest"),
-        F.xxhash64("norm").alias("check"), F.octet_length("norm").cast("long").alias("n_bytes"),
-    )
+    rows = _decided(docs, F.col("text") if text is None else text, runs)
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "n_bytes")
+
+
+def _key(text: Column) -> list[Column]:
+    """What equal texts share: digest, check, n_bytes."""
+    norm = ascii_lower(text)
+    return [F.unhex(F.sha2(norm, 256)).alias("digest"), F.xxhash64(norm).alias("check"), F.octet_length(norm).cast("long").alias("n_bytes")]
+
+
+def _decided(docs: DataFrame, text: Column, runs: int = 64) -> DataFrame:
+    rows = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), *_key(text))
     rows = stash(rows, "digests")
     key = ["digest", "check", "n_bytes"]
     best = representatives(rows.withColumn("back", -F.coalesce("doc_id", F.lit(-(2**62)))), key, "back", runs)
     out = rows.join(best, ["run", *key])
     keep = F.when(F.col("best") < 2**62, -F.col("best"))
     return out.select(
-        "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"), "n_bytes",
+        "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), *key,
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; of rows that repeat a kept doc_id all stay."""
-    dropped = stash(exact_dedup(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that exact_dedup() drops, told by doc_id and text; of rows that repeat a kept doc_id with its text all stay."""
+    key = ["doc_id", "digest", "check", "n_bytes"]
+    dropped = stash(_decided(docs, F.col("text")).where("not kept").select(key).distinct(), "dropped").alias("x")
+    rows = docs.select("*", *_key(F.col("text"))).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) if c == "doc_id" else F.col(f"d.{c}") == F.col(f"x.{c}") for c in key]
+    return rows.join(dropped, same, "left_anti").select(docs.columns)

@@ -90,6 +90,11 @@ def grouped(ids, linked):
     return {i: root(i) for i in ids}
 
 
+def test_keep_one_drops_rows_not_ids(spark):
+    docs = docs_of(spark, ["one text", "ONE text", "other text", "one text", None, ""], [None, 5, 5, 9, None, 3])
+    assert sorted((x["doc_id"], x["text"]) for x in exact.keep_one(docs).collect()) == [(3, ""), (5, "other text"), (9, "one text")]
+
+
 def brute_join(texts, k, percent):
     sets = sets_of(texts, k)
     links = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
