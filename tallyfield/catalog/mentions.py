@@ -85,7 +85,7 @@ def _(t: Tables) -> DataFrame:
 @query("union_first", "select doc_id, min(p) as pass from (select doc_id, 0 as p from documents where doc_id % 2 = 0 union all select doc_id, 1 from documents where doc_id % 3 = 0) group by doc_id")
 def _(t: Tables) -> DataFrame:
     d = t.read("documents").select("doc_id", "lang")
-    return mentions.union_first([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")], "doc_id").select("doc_id", F.lit(None).cast("int").alias("x")).drop("x").join(d.withColumn("pass", F.when(F.col("doc_id") % 2 == 0, 0).otherwise(1)).select("doc_id", "pass"), "doc_id")
+    return mentions.union_first([d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")], "doc_id").select("doc_id", "pass")
 
 
 _CITED = ", cited as (select p.page_id * 4 as run_id, 1 + p.page_id % 5 as place, url from pages p)"

@@ -184,3 +184,11 @@ def test_the_index_queries_keep_three_hundred_rows_a_country_and_month(spark):
     assert n.where("count > 20").count() and t.capped.count() == want
     few = spark.createDataFrame([(f"k{i}", "A" if i < 50 else "B") for i in range(60)], "k string, g string")
     assert {r["g"]: r["count"] for r in clean.cap_rows(few, ["g"], 20, "42", "k").groupBy("g").count().collect()} == {"A": 20, "B": 10}
+
+
+def test_the_union_query_gives_the_operators_own_pass(spark, monkeypatch):
+    from tallyfield import catalog
+
+    real = mentions.union_first
+    monkeypatch.setattr(mentions, "union_first", lambda dfs, key: real(dfs, key).withColumn("pass", F.col("pass") + 10))
+    assert {r["pass"] for r in catalog.queries()["union_first"](spark, "/root/testdata/sf0.001").collect()} == {10, 11}
