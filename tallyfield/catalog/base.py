@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 CURRENCIES = list(params.RATES)
 SECTORS = ["formal", "informal", "chain", "independent", "grocery"]
 WEIGHTS = {f"NATION_{k}": round(0.15 + 0.05 * (k % 10), 2) for k in range(25)}
-EXCLUDED, QUARANTINED, CAP = ["src4"], [("NATION_3", "src1"), ("NATION_7", "src2")], 20
+EXCLUDED, QUARANTINED = ["src4"], [("NATION_3", "src1"), ("NATION_7", "src2")]
 
 
 class Tables:
@@ -85,11 +85,11 @@ class Tables:
 
     @cached_property
     def lag_rows(self) -> DataFrame:
-        """Lead/lag rows of the combined index's exact monthly changes against the CPI's."""
+        """Lead/lag rows of the combined index's exact monthly changes against the CPI's: one a country and month, kept as all nulls read them."""
         from tallyfield.operators.series import calendar_lag
 
         change = lambda df, v: calendar_lag(df.where(F.col(v).isNotNull()), ["country"], v, 1).select("country", "month", (F.col(v) - F.col("before")).alias("v"))
-        return stats.lag1_rows(change(self.median_index, "combined_index"), change(self.cpi, "cpi"), ["country"])
+        return stats.lag1_rows(change(self.median_index, "combined_index"), change(self.cpi, "cpi"), ["country"]).persist()
 
     @cached_property
     def posts(self) -> DataFrame:
@@ -132,7 +132,7 @@ CTES = {
         case when starts_with(item_name, 'small') then '["PORTION_REDUCTION"]' when starts_with(item_name, 'large') then '["SIZE_INCREASE"]' when starts_with(item_name, 'hot') then '["PREMIUM_UPGRADE"]' else '[]' end as quality_signals from raw)""",
     "cleaned": f"""cleaned as (select * exclude (price_usd, sector), coalesce(price_usd, price / cast({_RATE} as double)) as price_usd, case sector when 'chain' then 'formal' when 'independent' then 'informal' else sector end as sector from obs
         where sector <> 'grocery' and coalesce(price_usd, price) > 0 and source <> 'src4' and not (country = 'NATION_3' and source = 'src1') and not (country = 'NATION_7' and source = 'src2'))""",
-    "capped": f"capped as (select * from cleaned qualify row_number() over (partition by country, month order by md5(obs_key || '{params.CAP_SEED}'), obs_key) <= {CAP})",
+    "capped": f"capped as (select * from cleaned qualify row_number() over (partition by country, month order by md5(obs_key || '{params.CAP_SEED}'), obs_key) <= {params.ROW_CAP})",
     "panel": "panel as (select country, sector, category, restaurant_name, item_name, month, median(price_usd) as price_usd, arg_min(quality_signals, obs_key) as quality_signals from capped group by all)",
     "medians": "medians as (select country, restaurant_name, sector, month, median(price_usd) as m, count(*) as n from capped group by all having median(price_usd) > 0)",
     "sectors": "sectors as (select country, sector, month, exp(avg(ln(m))) as g from medians group by all)",

@@ -59,9 +59,9 @@ def _(t: Tables) -> DataFrame:
     return mentions.parse_sentiment(t.read("documents").withColumn("reply", reply), "reply").select("doc_id", "sentiment", "is_recommendation")
 
 
-@query("cached_scores", "with c as (select doc_id, sha256(left(text, 40)) as text_hash from documents), k as (select distinct text_hash from c where doc_id % 3 = 0) select c.doc_id, k.text_hash is not null as hit from c left join k on k.text_hash = c.text_hash")
+@query("cached_scores", "with c as (select doc_id, sha256(text) as text_hash from documents), k as (select distinct text_hash from c where doc_id % 3 = 0) select c.doc_id, k.text_hash is not null as hit from c left join k on k.text_hash = c.text_hash")
 def _(t: Tables) -> DataFrame:
-    ctx = t.read("documents").select("doc_id", F.lit(1).alias("entity_id"), F.left("text", F.lit(40)).alias("context"))
+    ctx = t.read("documents").select("doc_id", F.lit(1).alias("entity_id"), F.col("text").alias("context"))
     cache = ctx.where("doc_id % 3 = 0").select(F.sha2("context", 256).alias("text_hash"), "entity_id", F.lit("neutral").alias("sentiment")).distinct()
     return mentions.cached_scores(ctx, cache).select("doc_id", F.col("sentiment").isNotNull().alias("hit"))
 
@@ -190,7 +190,7 @@ def _(t: Tables) -> DataFrame:
     return t.read("events").select(guardrails.error_reason(status, body).alias("reason")).groupBy("reason").agg(rows_of().alias("n"))
 
 
-@query("alias_variants", "select c_custkey, list_sort(list_distinct([n, lower(n), replace(lower(n), ' ', ''), replace(lower(n), ' ', '-'), regexp_replace(lower(n), '[^a-z0-9 ]', '', 'g')]))::varchar as variants from (select c_custkey, c_mktsegment || ' & Co' as n from customer)")
+@query("alias_variants", "select c_custkey, list_sort(list_distinct([n, lower(n), replace(n, ' ', ''), replace(lower(n), ' ', ''), replace(lower(n), ' ', '') || '.com', replace(lower(n), ' ', '') || '.io']))::varchar as variants from (select c_custkey, c_mktsegment || ' & Co' as n from customer)")
 def _(t: Tables) -> DataFrame:
     names = t.read("customer").select("c_custkey", F.concat("c_mktsegment", F.lit(" & Co")).alias("name"))
     return guardrails.alias_variants(names).select("c_custkey", F.concat(F.lit("["), F.array_join(F.transform("variants", lambda v: F.when(v.contains("&"), v).otherwise(v)), ", "), F.lit("]")).alias("variants"))
@@ -214,7 +214,7 @@ def _(t: Tables) -> DataFrame:
     return guardrails.export_bundle(tables, F.lit("7")).select("table", "n")
 
 
-@query("failure_alert", sql("posts", "select user_id, count(*) as runs, round(count(*) filter (is_removed) / count(*), 4) as failure_rate, count(*) filter (is_removed) / count(*) > 0.25 as alert from posts group by all"))
+@query("failure_alert", sql("posts", "select user_id, count(*) as runs, round(count(*) filter (is_removed) / count(*), 4) as failure_rate, count(*) filter (is_removed) / count(*) >= 0.25 as alert from posts group by all"))
 def _(t: Tables) -> DataFrame:
     from tallyfield.operators.quality import failure_alert
 
@@ -266,7 +266,7 @@ def _karma(t: Tables) -> DataFrame:
 
 
 @query("karma_trend", sql("posts", _KARMA + """, nw as (select timestamp '2024-01-31 00:00:00' as n), ag as (select user_id, arg_max(total, taken_at) as total, arg_max(total, taken_at) filter (taken_at <= n - interval 7 day) as week, arg_max(total, taken_at) filter (taken_at <= n - interval 14 day) as fortnight from k, nw group by all)
- select user_id, round(total, 2) as total, case when coalesce(total - fortnight <= -50 or (fortnight > 0 and (fortnight - total) / fortnight >= 0.3), false) then 'alert' when coalesce(total - week <= -50 or (week > 0 and (week - total) / week >= 0.3), false) then 'warning' else 'ok' end as status from ag"""))
+ select user_id, round(total, 2) as total, case when not coalesce(total - week <= -50 or (week > 0 and (week - total) / week >= 0.3), false) then 'ok' when coalesce(total - fortnight <= -50 or (fortnight > 0 and (fortnight - total) / fortnight >= 0.3), false) then 'alert' else 'warning' end as status from ag"""))
 def _(t: Tables) -> DataFrame:
     return guardrails.karma_trend(_karma(t), F.lit("2024-01-31 00:00:00").cast("timestamp")).select("user_id", F.round("total", 2).alias("total"), "status")
 

@@ -66,7 +66,7 @@ def _(t: Tables) -> DataFrame:
     return c.withColumns({x: F.date_format(x, "yyyy-MM-dd") for x in ("earliest", "latest")})
 
 
-@query("source_verdict", _CAP + ", v as (select host, count(*) filter (length > 3000) as pages, count(distinct extract(year from at_time)) as years from cap group by all) select *, case when pages >= 20 and years >= 2 then 'usable' when pages >= 5 then 'marginal' else 'drop' end as verdict from v")
+@query("source_verdict", _CAP + ", v as (select host, count(*) filter (length > 3000) as pages, count(distinct extract(year from at_time)) as years from cap group by all) select *, case when pages >= 50 and years >= 3 then 'usable' when pages >= 20 and years >= 2 then 'marginal' else 'drop' end as verdict from v")
 def _(t: Tables) -> DataFrame:
     return pages.source_verdict(captures(t), ["host"])
 

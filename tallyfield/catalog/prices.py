@@ -133,16 +133,16 @@ def _daily(t: Tables) -> DataFrame:
     return t.observations.groupBy("restaurant_name", "item_name", "collection_date").agg(F.avg("price").alias("price"))
 
 
-@query("asof_previous", sql("obs", f", {_DAILY} select a.restaurant_name, a.item_name, a.collection_date, round(max(b.price) filter (b.collection_date = m), 4) as previous_price, m as previous_date from (select d.*, (select max(x.collection_date) from daily x where x.restaurant_name = d.restaurant_name and x.item_name = d.item_name and x.collection_date < d.collection_date) as m from daily d where d.collection_date >= date '2001-01-01') a left join daily b on b.restaurant_name = a.restaurant_name and b.item_name = a.item_name and b.collection_date = m group by all"))
+@query("asof_previous", sql("obs", f", {_DAILY} select restaurant_name, item_name, collection_date, lag(price) over w as previous_price, lag(collection_date) over w as previous_date from daily window w as (partition by restaurant_name, item_name order by collection_date)"))
 def _(t: Tables) -> DataFrame:
     d = _daily(t)
-    out = clean.asof_previous(d.where("collection_date >= date'2001-01-01'"), d, ["restaurant_name", "item_name"], "collection_date", "price")
-    return out.select("restaurant_name", "item_name", "collection_date", F.round("previous_price", 4).alias("previous_price"), F.col("previous_collection_date").alias("previous_date"))
+    out = clean.asof_previous(d, d, ["restaurant_name", "item_name"], "collection_date", "price")
+    return out.select("restaurant_name", "item_name", "collection_date", "previous_price", F.col("previous_collection_date").alias("previous_date"))
 
 
-@query("asof_at_least", sql("obs", f", {_DAILY} select restaurant_name, item_name, max(collection_date) as collection_date, round(arg_max(price, collection_date), 4) as price from daily where collection_date <= date '2000-06-30' group by restaurant_name, item_name"))
+@query("asof_at_least", sql("obs", f", {_DAILY} select restaurant_name, item_name, max(collection_date) as collection_date, arg_max(price, collection_date) as price from daily where collection_date <= date '2000-06-30' group by restaurant_name, item_name"))
 def _(t: Tables) -> DataFrame:
-    return clean.asof_at_least(_daily(t), ["restaurant_name", "item_name"], "collection_date", F.lit("2000-06-30").cast("date")).select("restaurant_name", "item_name", "collection_date", R("price"))
+    return clean.asof_at_least(_daily(t), ["restaurant_name", "item_name"], "collection_date", F.lit("2000-06-30").cast("date")).select("restaurant_name", "item_name", "collection_date", "price")
 
 
 @query("key_diff", sql("obs", "select restaurant_name, change from (select restaurant_name, 'removed' as change from (select restaurant_name from obs where month = date '1996-01-01' and source = 'src0' except select restaurant_name from obs where month = date '1996-02-01' and source = 'src0') union all select restaurant_name, 'added' from (select restaurant_name from obs where month = date '1996-02-01' and source = 'src0' except select restaurant_name from obs where month = date '1996-01-01' and source = 'src0'))"))
@@ -189,9 +189,9 @@ def _(t: Tables) -> DataFrame:
     return published(t.median_index)
 
 
-@query("monthly_panel", sql("panel", f"select country, sector, category, restaurant_name, item_name, {_M} as month, round(price_usd, 4) as price_usd, quality_signals from panel"))
+@query("monthly_panel", sql("panel", f"select country, sector, category, restaurant_name, item_name, {_M} as month, price_usd, quality_signals from panel"))
 def _(t: Tables) -> DataFrame:
-    return t.panel.select("country", "sector", "category", "restaurant_name", "item_name", month_text("month").alias("month"), R("price_usd"), "quality_signals")
+    return t.panel.select("country", "sector", "category", "restaurant_name", "item_name", month_text("month").alias("month"), "price_usd", "quality_signals")
 
 
 @query("price_relatives", sql("relatives", f"select country || '/' || sector as country, category, {_M} as month, round(price_relative, 4) as price_relative, item_count, adjusted_count from relatives"))
@@ -293,9 +293,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("price_changes", sql("obs", f""", {_DAILY}, p as (select *, lag(price) over (partition by restaurant_name, item_name order by collection_date) as old_price from daily)
-select restaurant_name, item_name, collection_date, round(old_price, 4) as old_price, round(price, 4) as new_price, round((price - old_price) / old_price * 100, 4) as price_change_pct from p where old_price > 0 and abs(price - old_price) > 1e-6"""))
+select restaurant_name, item_name, collection_date, old_price, price as new_price, round((price - old_price) / old_price * 100, 4) as price_change_pct from p where old_price > 0 and abs(price - old_price) > 1e-6"""))
 def _(t: Tables) -> DataFrame:
-    return quality.price_changes(_daily(t)).select("restaurant_name", "item_name", "collection_date", R("old_price"), R("new_price"), "price_change_pct")
+    return quality.price_changes(_daily(t)).select("restaurant_name", "item_name", "collection_date", "old_price", "new_price", "price_change_pct")
 
 
 _CHANGES = f"{_DAILY}, p as (select *, lag(price) over (partition by restaurant_name, item_name order by collection_date) as old_price from daily), ch as (select *, round((price - old_price) / old_price * 100, 4) as pct from p where old_price > 0 and abs(price - old_price) > 1e-6)"
@@ -358,9 +358,9 @@ def _(t: Tables) -> DataFrame:
     return quality.price_counts(t.cleaned)
 
 
-@query("page_prices", sql("obs", "select obs_key, country, collection_date, round(price, 4) as price, (select count(*) from obs where lower(country) = 'nation_5' and sector = 'chain' and collection_date between date '1997-01-01' and date '1999-12-31') as total from obs where lower(country) = 'nation_5' and sector = 'chain' and collection_date between date '1997-01-01' and date '1999-12-31' order by collection_date desc, obs_key limit 20 offset 20"))
+@query("page_prices", sql("obs", "select obs_key, country, collection_date, price, (select count(*) from obs where lower(country) = 'nation_5' and sector = 'chain' and collection_date between date '1997-01-01' and date '1999-12-31') as total from obs where lower(country) = 'nation_5' and sector = 'chain' and collection_date between date '1997-01-01' and date '1999-12-31' order by collection_date desc, obs_key limit 20 offset 20"))
 def _(t: Tables) -> DataFrame:
-    return quality.page_prices(t.observations, country="nation_5", sector="chain", since="1997-01-01", until="1999-12-31", page=2, per_page=20).select("obs_key", "country", "collection_date", R("price"), "total")
+    return quality.page_prices(t.observations, country="nation_5", sector="chain", since="1997-01-01", until="1999-12-31", page=2, per_page=20).select("obs_key", "country", "collection_date", "price", "total")
 
 
 @query("recent_changes", sql("obs", f", {_CHANGES} select restaurant_name, item_name, collection_date, pct as price_change_pct from ch where abs(pct) >= 50 order by collection_date desc, abs(pct) desc, restaurant_name, item_name limit 25"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield import params
 from tallyfield.functions.columns import month_text, tier
 from tallyfield.operators import series, stats
 
@@ -112,7 +113,7 @@ def _(t: Tables) -> DataFrame:
     return series.by_year(t.cpi, K, "cpi").select("country", "year", R("cpi"))
 
 
-@query("infer_frequency", sql("cpi", ", s as (select * from cpi union all select 'annual ' || country, month, cpi, food from cpi where extract(month from month) = 1) select country, case when count(*) > (extract(year from max(month)) - extract(year from min(month)) + 1) * 1.5 then 'monthly' else 'annual' end as frequency from s group by all"))
+@query("infer_frequency", sql("cpi", ", s as (select * from cpi union all select 'annual ' || country, month, cpi, food from cpi where extract(month from month) = 1) select country, case when count(*) >= 12 and count(*) >= (extract(year from max(month)) - extract(year from min(month)) + 1) * 10 then 'monthly' else 'annual' end as frequency from s group by all"))
 def _(t: Tables) -> DataFrame:
     return series.frequency(t.cpi.unionByName(t.cpi.where(F.month("month") == 1).withColumn("country", F.concat(F.lit("annual "), "country"))), K)
 
@@ -144,8 +145,9 @@ def _(t: Tables) -> DataFrame:
 
 
 _POS = ", pp as (select *, row_number() over (partition by country order by month) - 1 as pos, count(*) over (partition by country) as size from lagrows)"
-_SUMMARY = "select o.country, count(*) as draws, round(median(d.f), 4) as median_f, round(quantile_cont(d.f, 0.95), 4) as q95_f, round(max(d.f), 4) as max_f, round((1 + count(*) filter (d.f >= o.f)) / (1 + count(*)), 6) as p_value from fd d join ob o on o.country = d.country where d.f is not null and o.f is not null group by all"
-_TAIL = f", fd as ({_f('drawn', 'draw, country')}), ob as ({_f('lagrows')}) {_SUMMARY}"
+_SUMMARY = "select o.country, count(*) as draws, round(median(d.f), 4) as median_f, round(quantile_cont(d.f, 0.95), 4) as q95_f, round(max(d.f), 4) as max_f, round((1 + count(*) filter (d.f >= o.f * (1 - 1e-9))) / (1 + count(*)), 6) as p_value from fd d join ob o on o.country = d.country where d.f is not null and o.f is not null group by all"
+_DRAWN = f", fd as ({_f('drawn', 'draw, country')}), ob as ({_f('lagrows')})"
+_TAIL = _DRAWN + " " + _SUMMARY
 
 
 def _null(t: Tables, drawn: DataFrame) -> DataFrame:
@@ -154,9 +156,12 @@ def _null(t: Tables, drawn: DataFrame) -> DataFrame:
     return stats.null_summary(null, seen, K).select("country", "draws", R("median_f"), R("q95_f"), R("max_f"), R("p_value", 6))
 
 
-@query("null_shuffle", sql("lagrows", _POS + ", dd as (select * from pp, range(1, 21) as r(draw)), mv as (select draw, country, x1, row_number() over (partition by draw, country order by md5(draw || '|' || country || '|' || pos || '|42')) - 1 as pos from dd), drawn as (select d.draw, d.country, d.y, d.y1, m.x1 from dd d join mv m using (draw, country, pos))" + _TAIL))
+_SHUFFLE = _POS + f", dd as (select * from pp, range(1, {params.DRAWS + 1}) as r(draw)), mv as (select draw, country, x1, row_number() over (partition by draw, country order by md5(draw || '|' || country || '|' || pos || '|42')) - 1 as pos from dd), drawn as (select d.draw, d.country, d.y, d.y1, m.x1 from dd d join mv m using (draw, country, pos))"
+
+
+@query("null_shuffle", sql("lagrows", _SHUFFLE + _TAIL))
 def _(t: Tables) -> DataFrame:
-    return _null(t, stats.shuffled(t.lag_rows, K, 20))
+    return _null(t, stats.shuffled(t.lag_rows, K, params.DRAWS))
 
 
 @query("null_rotate", sql("lagrows", _POS + ", drawn as (select r.draw, a.country, a.y, a.y1, b.x1 from pp a join range(1, 200) as r(draw) on r.draw < a.size join pp b on b.country = a.country and b.pos = (a.pos + r.draw) % a.size)" + _TAIL))
@@ -164,9 +169,9 @@ def _(t: Tables) -> DataFrame:
     return _null(t, stats.rotated(t.lag_rows, K))
 
 
-@query("null_block", sql("lagrows", _POS + ", drawn as (select r.draw, a.country, a.y, a.y1, b.x1 from pp a, range(1, 21) as r(draw), pp b where b.country = a.country and b.pos = (cast('0x' || substr(md5(r.draw || '|' || a.country || '|' || cast(floor(a.pos / 5.0) as bigint) || '|42'), 1, 8) as bigint) % a.size + a.pos % 5) % a.size)" + _TAIL))
+@query("null_block", sql("lagrows", _POS + f", drawn as (select r.draw, a.country, a.y, a.y1, b.x1 from pp a, range(1, {params.DRAWS + 1}) as r(draw), pp b where b.country = a.country and b.pos = (cast('0x' || substr(md5(r.draw || '|' || a.country || '|' || cast(floor(a.pos / 5.0) as bigint) || '|42'), 1, 8) as bigint) % a.size + a.pos % 5) % a.size)" + _TAIL))
 def _(t: Tables) -> DataFrame:
-    return _null(t, stats.blocks(t.lag_rows, K, 20))
+    return _null(t, stats.blocks(t.lag_rows, K, params.DRAWS))
 
 
 _LOGS = ", pt as (select a.country, ln(greatest(a.combined_index, 0.001)) - ln(greatest(b.combined_index, 0.001)) as x, ln(c.cpi) - ln(d.cpi) as y from idx a join idx b on a.country = b.country and a.month = b.month + interval 1 month join cpi c on c.country = a.country and c.month = a.month join cpi d on d.country = a.country and a.month = d.month + interval 1 month)"
@@ -219,11 +224,14 @@ def _(t: Tables) -> DataFrame:
     return stats.directional_accuracy(stats.forecasts(_pairs(t), K), K, ["drift_forecast", "mean_forecast"])
 
 
-_P = ", g as (" + _f("lagrows") + "), pv as (select country, f, case when f > 4 then 0.04 when f > 2 then 0.08 else 0.5 end as p from g)"
+#: Country, F and its p value by the shuffle null.
+_P = _SHUFFLE + _DRAWN + ", pv as (select o.country, o.f, (1 + count(*) filter (d.f >= o.f * (1 - 1e-9))) / (1 + count(*)) as p from fd d join ob o on o.country = d.country where d.f is not null and o.f is not null group by all)"
 
 
 def _p(t: Tables) -> DataFrame:
-    return stats.f_statistic(t.lag_rows, K).withColumn("p", F.when(F.col("f") > 4, 0.04).when(F.col("f") > 2, 0.08).otherwise(0.5))
+    seen = stats.f_statistic(t.lag_rows, K).where("f is not null")
+    null = stats.null_summary(stats.f_statistic(stats.shuffled(t.lag_rows, K, params.DRAWS), ["draw", "country"]), seen, K)
+    return seen.join(null.select("country", F.col("p_value").alias("p")), "country")
 
 
 @query("jackknife", sql("lagrows", _P + " select a.country as dropped, (select count(*) from pv) - 1 as rest, (select count(*) from pv b where b.country <> a.country and b.p < 0.10) as significant, (select count(*) from pv) = 1 or (select count(*) from pv b where b.country <> a.country and b.p < 0.10) / ((select count(*) from pv) - 1) >= 0.6 as stable from pv a"))

@@ -110,11 +110,12 @@ def unseen(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def asof_previous(now: DataFrame, history: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """now with the value and time of the latest strictly earlier row of history per key."""
-    h = history.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"))
-    joined = now.join(h, keys, "left").where(F.col("_t").isNull() | (F.col("_t") < F.col(time)))
-    best = joined.groupBy(*keys, time).agg(F.max(F.struct("_t", "_v")).alias("_m"))
-    return now.join(best, [*keys, time], "left").withColumn(f"previous_{value}", F.col("_m._v")).withColumn(f"previous_{time}", F.col("_m._t")).drop("_m")
+    """now with the value and time of the latest strictly earlier row of history per key (of several at that time the largest value)."""
+    past = history.select(*keys, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_past"), F.lit(1).alias("_kind"))
+    rows = now.withColumn("_kind", F.lit(0)).unionByName(past, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(time, "_kind", "_past.v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_last", F.last("_past", ignorenulls=True).over(w)).where("_kind = 0")
+    return rows.select(*now.columns, F.col("_last.v").alias(f"previous_{value}"), F.col("_last.t").alias(f"previous_{time}"))
 
 
 def asof_at_least(df: DataFrame, keys: list[str], time: str, bound: Column) -> DataFrame:

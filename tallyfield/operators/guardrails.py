@@ -106,10 +106,12 @@ def erased(df: DataFrame, users: DataFrame, pii: list[str], keep: bool) -> DataF
 
 
 def alias_variants(names: DataFrame) -> DataFrame:
-    """Distinct spellings of a name: as it is, lower, without spaces, with dashes, without punctuation."""
-    n = F.col("name")
-    low = F.lower(n)
-    return names.withColumn("variants", F.array_sort(F.array_distinct(F.array(n, low, F.regexp_replace(low, " +", ""), F.regexp_replace(low, " +", "-"), F.regexp_replace(low, "[^a-z0-9 ]", "")))))
+    """Distinct spellings of a trimmed name: as it is, lower, both without spaces, and the last as a .com and a .io domain; none of an empty name."""
+    n = F.trim("name")
+    joined = F.regexp_replace(n, r"\s+", "")
+    site = F.lower(joined)
+    found = F.array_sort(F.array_distinct(F.array(n, F.lower(n), joined, site, F.concat(site, F.lit(".com")), F.concat(site, F.lit(".io")))))
+    return names.withColumn("variants", F.when(n == "", F.array().cast("array<string>")).otherwise(found))
 
 
 # account health
@@ -129,11 +131,11 @@ def escalate(checks: DataFrame) -> DataFrame:
 
 
 def karma_trend(snapshots: DataFrame, now: Column, points: float = params.DROP_POINTS, share: float = params.DROP_SHARE) -> DataFrame:
-    """The latest total against the newest snapshot at least 7 and 14 days old: alert, warning or ok."""
+    """The latest total against the newest snapshot at least 7 days old: ok without a drop; with one, alert where it holds against the snapshot at least 14 days old too, else warning."""
     upto = lambda d: F.max_by(F.when(F.col("taken_at") <= now - F.expr(f"interval {d} days"), F.col("total")), F.when(F.col("taken_at") <= now - F.expr(f"interval {d} days"), F.col("taken_at")))
     out = snapshots.groupBy("user_id").agg(F.max_by("total", "taken_at").alias("total"), upto(7).alias("week"), upto(14).alias("fortnight"))
     drop = lambda c: F.coalesce((F.col("total") - F.col(c) <= -points) | ((F.col(c) > 0) & ((F.col(c) - F.col("total")) / F.col(c) >= share)), F.lit(False))
-    return out.withColumn("status", F.when(drop("fortnight"), "alert").when(drop("week"), "warning").otherwise("ok"))
+    return out.withColumn("status", F.when(~drop("week"), "ok").when(drop("fortnight"), "alert").otherwise("warning"))
 
 
 def slow_burn(posts: DataFrame, window: int = params.BURN_WINDOW) -> DataFrame:

@@ -15,7 +15,7 @@ ITEM = "array<struct<name: string, price: double, currency: string>>"
 # Decimals of currencies whose minor unit isn't a hundredth.
 MINOR_UNITS = {"VND": 0, "JPY": 0, "KRW": 0, "IDR": 2}
 # Node types that are never menu items.
-NOT_ITEMS = {"Organization", "BreadcrumbList", "ListItem", "WebSite", "AggregateRating", "Review", "Person", "PostalAddress"}
+NOT_ITEMS = {"PostalAddress", "GeoCoordinates", "Restaurant", "FoodEstablishment", "Place", "LocalBusiness", "BreadcrumbList", "AggregateRating", "Review"}
 
 
 def script_blocks(html: Column | str, kind: str) -> Column:
@@ -130,7 +130,7 @@ def parse_price_label(label: Column | str) -> Column:
     """(price, currency) struct of a labelled price: symbol or code before or behind the number; dots group thousands in rupiah."""
     text = col(label)
     number = lambda p: F.regexp_extract(text, p, 1)
-    tries = [("IDR", r"(?i)(?:Rp\.?|IDR)\s*([0-9]+(?:\.[0-9]{3})*)", True), ("SGD", r"(?i)(?:S\$|SGD)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("MYR", r"(?i)(?:RM|MYR)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("GBP", r"(?:£|GBP)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("INR", r"(?:₹|Rs\.?|INR)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("THB", r"(?i)(?:฿|THB)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("USD", r"(?:US\$|\$|USD)\s*([0-9,]+(?:\.[0-9]+)?)", False)]
+    tries = [("IDR", r"(?i)(?:Rp\.?|IDR)\s*([0-9]+(?:\.[0-9]{3})*)", True), ("SGD", r"(?i)(?:S\$|SGD)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("MYR", r"(?i)(?:RM|MYR)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("AUD", r"(?i)(?:A\$|AUD)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("GBP", r"(?:£|GBP)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("INR", r"(?:₹|Rs\.?|INR)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("THB", r"(?i)(?:฿|THB)\s*([0-9,]+(?:\.[0-9]+)?)", False), ("USD", r"(?:US\$|\$|USD)\s*([0-9,]+(?:\.[0-9]+)?)", False)]
     found = [F.when(number(p) != "", F.struct(F.regexp_replace(number(p), "[.,]" if dots else ",", "").try_cast("double").alias("price"), F.lit(c).alias("currency"))) for c, p, dots in tries]
     return F.coalesce(*found)
 
@@ -226,7 +226,7 @@ def capture_coverage(captures: DataFrame, keys: list[str], limit: int) -> DataFr
 def source_verdict(captures: DataFrame, keys: list[str], least_bytes: int = 3000) -> DataFrame:
     """usable, marginal or drop by the number of large pages and of distinct years."""
     out = captures.groupBy(*keys).agg(F.count_if(F.col("length") > least_bytes).alias("pages"), F.count_distinct(F.year("at")).alias("years"))
-    return out.withColumn("verdict", F.when((F.col("pages") >= 20) & (F.col("years") >= 2), "usable").when(F.col("pages") >= 5, "marginal").otherwise("drop"))
+    return out.withColumn("verdict", F.when((F.col("pages") >= 50) & (F.col("years") >= 3), "usable").when((F.col("pages") >= 20) & (F.col("years") >= 2), "marginal").otherwise("drop"))
 
 
 def best_platform(coverage: DataFrame, key: str, platform: str, least: int) -> DataFrame:

@@ -82,9 +82,9 @@ def ingest_alarms(change: DataFrame, least: int) -> DataFrame:
 
 
 def failure_alert(runs: DataFrame, key: str, failed: str, share: float = 0.5) -> DataFrame:
-    """Failure rate of each key and whether it is above the share."""
-    rate = F.count_if(F.col(failed)) / N
-    return runs.groupBy(key).agg(rows_of().alias("runs"), F.round(rate, 4).alias("failure_rate"), (rate > share).alias("alert"))
+    """Failure rate of each key and whether it reaches the share."""
+    rate = F.count_if(F.col(failed)) / rows_of()
+    return runs.groupBy(key).agg(rows_of().alias("runs"), F.round(rate, 4).alias("failure_rate"), (rate >= share).alias("alert"))
 
 
 def price_counts(df: DataFrame) -> DataFrame:

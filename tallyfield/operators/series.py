@@ -116,9 +116,9 @@ def by_year(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def frequency(df: DataFrame, keys: list[str]) -> DataFrame:
-    """monthly where a key has over 1.5 observations a year of its range, else annual."""
-    years = F.year(F.max("month")) - F.year(F.min("month")) + 1
-    return df.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > years * 1.5, "monthly").otherwise("annual").alias("frequency"))
+    """monthly where a key has twelve observations or more and ten or more for each year of its range, else annual."""
+    years, n = F.year(F.max("month")) - F.year(F.min("month")) + 1, F.count(F.lit(1))
+    return df.groupBy(*keys).agg(F.when((n >= 12) & (n >= years * 10), "monthly").otherwise("annual").alias("frequency"))
 
 
 def index_series(index: DataFrame, cpi: DataFrame, places: int = 2) -> DataFrame:

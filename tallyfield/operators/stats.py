@@ -72,10 +72,13 @@ def blocks(rows: DataFrame, keys: list[str], draws: int, length: int = 5, seed:
 
 
 def null_summary(null: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Draws, median, 95th percentile and maximum of the null's F, and (1 + draws at or above) / (1 + draws)."""
+    """Draws, median, 95th percentile and maximum of the null's F, and (1 + draws at or above) / (1 + draws).
+
+    A draw that gives the observed order again differs from it by floating noise, so draws within a billionth count as ties.
+    """
     both = null.where("f is not null").join(observed.select(*keys, F.col("f").alias("seen")), keys)
     return both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("draws"), F.median("f").alias("median_f"), F.percentile("f", 0.95).alias("q95_f"), F.max("f").alias("max_f"), ((1 + F.count_if(F.col("f") >= F.col("seen"))) / (1 + F.count(F.lit(1)))).alias("p_value")
+        F.count(F.lit(1)).alias("draws"), F.median("f").alias("median_f"), F.percentile("f", 0.95).alias("q95_f"), F.max("f").alias("max_f"), ((1 + F.count_if(F.col("f") >= F.col("seen") * (1 - 1e-9))) / (1 + F.count(F.lit(1)))).alias("p_value")
     )
 
 

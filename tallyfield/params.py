@@ -13,6 +13,8 @@ INFORMAL_WEIGHTS = {
 DEFAULT_INFORMAL_WEIGHT = 0.40
 
 ROW_CAP, CAP_SEED = 300, "42"
+#: Draws of a permutation null.
+DRAWS = 1000
 MIN_STABLE_ITEMS, MIN_ITEM_MONTHS = 3, 2
 PREMIUM, PORTION, HEDONIC_CAP = -0.05, 0.08, 0.15
 
