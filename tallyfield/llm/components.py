@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, small, stash
 
-#: Edges that one task may hold; larger link tables are shuffled in every round.
-ONE_TASK = 200_000
+#: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
+HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -27,8 +27,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
-    if mark[0] <= ONE_TASK:  # the rounds then need no exchange
-        edges = edges.coalesce(1)
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -46,33 +44,61 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def linked(postings: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b) links that connect all that any pair sharing a key would connect.
+def hot_keys(postings: DataFrame, most: int = HOT_KEYS, sketch: int = SKETCH) -> list[int]:
+    """The keys that about HOT postings or more have, of the `most` most frequent ones, by mergeable bounded sketches.
 
-    postings: (key, node, size, pos, sketch); verified: keeps the pairs (a, b) that do link; fits: a
-    condition on the two postings (struct columns) that every linking pair meets at one of its
-    keys. Postings are dealt by key once; a node may come several times. First every node of a key
-    looks at the key's most central node (smallest pos, then the most postings) and is tried against
-    the one that it meets on the most keys. Only keys whose nodes then still lie in several components give further pairs, and of those
-    only the pairs across components: every other pair could not change a component.
+    What the sketch gets wrong costs speed alone: a key that is missed is gathered like any other.
+    """
+    got = postings.agg(F.expr(f"approx_top_k(key, {most}, {sketch})").alias("top")).first()
+    return [x["item"] for x in got["top"] or [] if x["count"] >= HOT]
+
+
+def shared_keys(postings: DataFrame, alone: bool = False) -> DataFrame:
+    """(key, me, hub, n): the distinct postings of every key that several nodes have, its most central one, and how often each came.
+
+    postings: (key, node, size, pos, sketch), cheap to read twice; me and hub are structs of the last
+    four. The hub of a key has the smallest pos, then the most postings. With `alone` also postings
+    that came several times stay, whatever else their key has. Postings are dealt by key once; those
+    of hot keys are dealt by key and node instead, and meet their hub by a broadcast of at most
+    HOT_KEYS rows.
     """
-    key = Window.partitionBy("key")
     me = F.struct("pos", "node", "size", "sketch").alias("me")
-    held = postings.repartition("key").groupBy("key", me).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct("me.pos", (-F.col("n")).alias("rare"), "me")).over(key)
-    shared = held.withColumn("hub", best["me"]).withColumn("low", F.min("me.node").over(key)).withColumn("high", F.max("me.node").over(key))
-    shared = stash(shared.where("low < high").select("key", "me", "hub"), "shared")
-    pair = lambda x, y: (F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"))
+    central = F.struct("me.pos", (-F.col("n")).alias("rare"), "me")
+    columns = ["key", "me", "hub", "n"]
+    hot = hot_keys(postings)
+    key = Window.partitionBy("key")
+    cold = postings.where(~F.col("key").isin(hot)) if hot else postings
+    cold = cold.repartition("key").groupBy("key", me).agg(F.count(F.lit(1)).alias("n"))
+    cold = cold.withColumn("hub", F.min(central).over(key)["me"]).withColumn("low", F.min("me.node").over(key)).withColumn("high", F.max("me.node").over(key))
+    several = (F.col("low") < F.col("high")) | (F.col("n") > 1) if alone else F.col("low") < F.col("high")
+    out = cold.where(several).select(columns)
+    if hot:
+        held = cut(postings.where(F.col("key").isin(hot)).groupBy("key", me).agg(F.count(F.lit(1)).alias("n")))
+        hubs = held.groupBy("key").agg(F.min(central)["me"].alias("hub"), F.min("me.node").alias("low"), F.max("me.node").alias("high"))
+        out = out.unionByName(held.join(F.broadcast(hubs), "key").where(several).select(columns))
+    return stash(out, "shared")
+
+
+def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b) links that connect all that any pair sharing a key would connect.
+
+    shared: see shared_keys(); verified: keeps the pairs (a, b) that do link; fits: a condition on
+    the two postings (struct columns) that every linking pair meets at one of its keys. First every
+    node is tried against the hub that it meets on the most keys. Only keys whose nodes then still
+    lie in several components give further pairs, and of those only the pairs across components:
+    every other pair could not change a component. A hot key's joins are plain shuffled joins, whose
+    skewed partitions Spark splits.
+    """
     near = shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).groupBy("me.node", F.col("hub.node").alias("to")).agg(F.count(F.lit(1)).alias("n"))
     best = near.groupBy("node").agg(F.max(F.struct("n", "to")).alias("best"))
     tried = cut(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct())
     links = cut(verified(tried))
     label = small(cut(components(links)).withColumnRenamed("id", "node"))
     part = shared.select("key", "me", F.col("me.node").alias("node")).join(label, "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
-    part = part.withColumn("low", F.min("part").over(key)).withColumn("high", F.max("part").over(key)).where("low < high").select("key", "me", "part")
-    part = stash(part, "open")
+    parts = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    part = stash(part.join(parts, "key"), "open")
     x, y = part.alias("x"), part.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
-    rest = x.join(y, across).select(*pair("x.me", "y.me")).distinct()
+    rest = x.join(y, across).select(F.least("x.me.node", "y.me.node").alias("a"), F.greatest("x.me.node", "y.me.node").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(cut(verified(rest)))

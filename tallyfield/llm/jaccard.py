@@ -9,12 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, linked
-from .shared import cut, emptied, filled, small, stash
+from .components import components, linked, shared_keys
+from .shared import cut, filled, stash
 from .shingles import Hashes, mixed, shingle_set
+from .verify import verified_pairs
 
-#: Shingles of a block in which repeats are looked for; entries of the table of frequent shingles; cells of a set's outline.
-BLOCK, FREQUENT, CELLS = 4_000_000, 1_000_000, 32
+#: Shingles of a block in which repeats are looked for; entries of the table of frequent shingles.
+BLOCK, FREQUENT = 4_000_000, 1_000_000
 
 
 def _repeats(docs: DataFrame, k: int) -> DataFrame:
@@ -59,13 +60,29 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np
     return shingle[order], n[order]
 
 
+def _outline(x: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of 2**j equal parts of the hash space, one part for eight hashes or fewer; empty if a count is over a byte."""
+    bits = max(0, (len(x) - 1) // 8).bit_length()
+    n = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(x), np.int64), minlength=1 << bits)
+    return b"" if n.max() > 255 else n.astype(np.uint8).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At least so many hashes are in only one of the two sets: the sum over parts of the hash space of the differences of their counts."""
+    if not x or not y:
+        return 0
+    x, y = (np.frombuffer(o, np.uint8).astype(np.int32) for o in (x, y))
+    n = min(len(x), len(y))
+    return int(np.abs(x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)).sum())
+
+
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, size, node, prefix, outline): per document its set's size and hash, its rarest shingles and its outline.
 
     Of equal sets in a task only the first has a prefix and an outline.
 
     A set of s shingles that overlaps another by the wanted share holds one of the other's prefix
-    among its own s - ceil(s * percent / 100) + 1 rarest. outline: shingles per cell of the hash space.
+    among its own s - ceil(s * percent / 100) + 1 rarest. outline: see _outline().
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
@@ -74,15 +91,15 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         known, n = sent.value
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for text in b["text"]:
                 x = shingle_set(text, k, cache)
                 size = len(x)
                 if not size:
-                    out.append((doc_id, 0, 0, None, None))
+                    out.append((0, 0, None, None))
                     continue
                 node = _node(x)
                 if node in seen:  # a copy adds nothing to the join
-                    out.append((doc_id, size, node, None, None))
+                    out.append((size, node, None, None))
                     continue
                 seen.add(node)
                 signed = x.view(np.int64)
@@ -90,30 +107,17 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 at[at == len(known)] = 0
                 held = np.where(known[at] == signed, n[at], 0) if len(known) else np.zeros(size, np.int64)
                 prefix = signed[np.argsort(held, kind="stable")[: size - -(-size * percent // 100) + 1]]  # ties: by hash
-                cells = np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=CELLS)
-                out.append((doc_id, size, node, prefix, cells))
-            yield pd.DataFrame(out, columns=["doc_id", "size", "node", "prefix", "outline"])
+                out.append((size, node, prefix, _outline(x)))
+            sets = pd.DataFrame(out, columns=["size", "node", "prefix", "outline"], index=b.index)
+            yield pd.concat([b[["doc_id", "unknown"]], sets], axis=1)
 
-    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, size int, node long, prefix array<long>, outline array<int>")
-    return rows.withColumn("doc_id", emptied("doc_id"))
+    rows = docs.select(filled("doc_id"), F.col("doc_id").isNull().alias("unknown"), "text").mapInPandas(work, "doc_id long, unknown boolean, size int, node long, prefix array<long>, outline binary")
+    return rows.withColumn("doc_id", F.when(~F.col("unknown"), F.col("doc_id"))).drop("unknown")
 
 
 def _node(x: np.ndarray) -> int:
-    """A hash of a set of hashes."""
-    return int((np.bitwise_xor.reduce(mixed(x * np.uint64(0x9E3779B97F4A7C15))) ^ np.uint64(len(x))).view(np.int64))
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read from the documents in ids; rows that repeat a doc_id may repeat a node."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Hashes()
-        for b in batches:
-            sets = [shingle_set(t, k, cache) for t in b["text"]]
-            yield pd.DataFrame({"set": [_node(x) if len(x) else 0 for x in sets], "size": [len(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
-
-    rows = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInPandas(work, "set long, size int, shingles binary")
-    return rows.select(F.xxhash64("set", "size").alias("node"), "shingles").join(small(nodes), "node", "left_semi")
+    """A hash of a set of hashes and of its size."""
+    return int((np.bitwise_xor.reduce(mixed(x * np.uint64(0x9E3779B97F4A7C15))) ^ mixed(np.array([len(x)], np.uint64))[0]).view(np.int64))
 
 
 def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -125,17 +129,21 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     smallest doc_id reachable by links, itself included.
 
     Equal sets are one node. Nodes meet on the rarest shingles of their sets, frequent ones last;
-    pairs pass the length filter and the positional filter at the join, the suffix filter (a lower
-    bound of the sets' difference from their outlines) before the sets are fetched, and are verified
-    once. Nodes that an earlier verified link already connects are not paired again. Shingles and
-    nodes are 64-bit hashes, a node's together with its set's size. Null text has no words; a null
-    doc_id is its own row with a null component unless it links; repeated rows come back as they are.
+    pairs pass the length filter and the positional filter at the join. The suffix filter then runs
+    over the whole sets instead of what follows the match alone: both are partitioned alike, in
+    parts of about eight shingles, and the differences of the parts' counts add up to a lower bound
+    of the sets' difference. What is left is verified once by the sets themselves, read again from
+    the documents. Nodes that an earlier verified link already connects are not paired again.
+    Shingles and nodes are 64-bit hashes. Null text has no words; documents with a null doc_id link
+    like others, and a component's smallest doc_id is that of its known ones (null if it has none);
+    repeated rows come back as they are. Long texts cost memory in proportion. Other columns are not
+    read. An empty table gives no rows.
     """
     sets = stash(shingle_sets(docs, k, percent), "sets")
-    node = sets.where("size > 0").groupBy("node", "size").agg(F.min("doc_id").alias("doc_id"), F.max("outline").alias("outline"))
-    node = stash(node.select(F.xxhash64("node", "size").alias("node"), "size", "doc_id", "outline"), "nodes")
-    keys = sets.where("size > 0").select(F.xxhash64("node", "size").alias("node"), "size", F.posexplode("prefix").alias("pos", "key"))
-    keys = keys.select("key", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"), F.lit(None).cast("long").alias("sketch"))
+    node = sets.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("outline").alias("outline"))
+    node = stash(node, "nodes")
+    keys = sets.where("size > 0").select("node", F.col("size").cast("long").alias("size"), F.posexplode("prefix").alias("pos", "key"))
+    keys = keys.select("key", "node", "size", F.col("pos").cast("long").alias("pos"), F.lit(None).cast("int").alias("sketch"))
 
     def least_overlap(x, y):
         """Smallest intersection of linking sets: i >= p / 100 * (x + y - i)."""
@@ -146,34 +154,28 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
         after = F.least(xs - x.getField("pos"), ys - y.getField("pos"))  # this shingle and those behind it
         return (xs * 100 >= ys * percent) & (ys * 100 >= xs * percent) & (after >= least_overlap(x, y))
 
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            apart = np.array([_apart(x, y) for x, y in zip(d["x"], d["y"], strict=True)], np.int64)
+            keep = apart * (100 + percent) <= (d["size_a"] + d["size_b"]).to_numpy() * (100 - percent)
+            yield d.loc[keep, ["a", "b", "doc_a", "doc_b"]]
+
+    def own_set(text: str) -> dict[int, np.ndarray]:
+        x = shingle_set(text, k, Hashes())
+        return {_node(x): x} if len(x) else {}
+
     def verified(pairs: DataFrame) -> DataFrame:
-        info = node.select("node", "size", "doc_id", "outline")
-        a, b = (info.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "doc_id", "outline"))) for s in "ab")
-        both = pairs.join(a, "a").join(b, "b")
-        apart = F.aggregate(F.zip_with("outline_a", "outline_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        total = F.col("size_a") + F.col("size_b")
-        both = cut(both.where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b", "doc_id_a", "doc_id_b"))
-        held = cut(both.select(F.col("a").alias("node"), F.col("doc_id_a").alias("doc_id")).union(both.select("b", "doc_id_b")).distinct())
-        rows = stash(_sets_of(docs, cut(held.select("doc_id").distinct()), held.select("node"), k), "shingles")
-
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for d in batches:
-                keep = np.zeros(len(d), bool)
-                for i, (x, y) in enumerate(zip(d["x"], d["y"], strict=True)):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield d.loc[keep, ["a", "b"]]
-
-        x, y = (rows.select(F.col("node").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-        return both.select("a", "b").join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
-
-    label = components(linked(keys, verified, fits))
+        info = node.select("node", "size", filled("doc_id"), "outline")
+        a, b = (info.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("doc_id").alias(f"doc_{s}"), F.col("outline").alias(o)) for s, o in (("a", "x"), ("b", "y")))
+        both = pairs.join(a, "a").join(b, "b").mapInPandas(alike, "a long, b long, doc_a long, doc_b long")
+        return verified_pairs(cut(both), docs, own_set, percent)
+
+    label = components(linked(shared_keys(keys), verified, fits))
     label = label.join(node.select(F.col("node").alias("id"), "doc_id"), "id")
     least = label.groupBy("component").agg(F.min("doc_id").alias("least"))
     named = label.join(least, "component").select(F.col("id").alias("node"), "least")
     named = stash(node.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id")).where("component_id is not null"), "named")
-    out = sets.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.xxhash64("node", "size")).alias("node"))
+    out = sets.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("node")).alias("node"))
     return out.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -143,6 +143,34 @@ def test_similar_documents_odd_rows(spark):
     assert sorted(r["doc_id"] for r in stay.collect()) == [0, 2]
 
 
+def test_similar_documents_hot_keys_and_split_groups(spark, monkeypatch, odd_texts):
+    """Keys of three postings already count as hot, and a set is compared with two partners in a group."""
+    from tallyfield.llm import components, verify
+
+    monkeypatch.setattr(components, "HOT", 3)
+    monkeypatch.setattr(verify, "SPREAD", 2)
+    _, label = brute_join(odd_texts, 4, 85)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs_of(spark, odd_texts)).collect()} == label
+
+
+def test_similar_documents_null_ids_link(spark):
+    w = [f"w{i}" for i in range(80)]
+    near = [" ".join(w), " ".join([*w[:40], "new", *w[41:]])]
+    far = [" ".join(f"v{i}" for i in range(50)), " ".join(f"v{i}" for i in range(51))]
+    rows = jaccard.similar_documents(docs_of(spark, [*near, *far], [None, 5, None, None])).collect()
+    assert sorted((r["n_shingles"], r["doc_id"] or 0, r["component_id"] or 0) for r in rows) == [(47, 0, 0), (48, 0, 0), (77, 0, 5), (77, 5, 5)]
+    least = jaccard.similar_documents(docs_of(spark, near, [-(2**63), 5])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in least} == {(-(2**63), -(2**63)), (5, -(2**63))}
+
+
+def test_outlines_bound_the_difference_of_sets():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        base = r.integers(0, 2**64, r.integers(1, 400), dtype=np.uint64)
+        x, y = (np.unique(np.r_[base[: r.integers(0, len(base) + 1)], r.integers(0, 2**64, r.integers(1, 60), dtype=np.uint64)]) for _ in range(2))
+        assert jaccard._apart(jaccard._outline(x), jaccard._outline(y)) <= len(np.setxor1d(x, y))
+
+
 def test_passages(spark):
     r = random.Random(4)
     sentence = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(500)) for _ in range(n)) + "."
