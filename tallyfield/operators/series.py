@@ -69,6 +69,22 @@ def interpolate_annual(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return interpolated(tagged.where("annual"), keys, value).unionByName(rest)
 
 
+def align_with_fallback(a: DataFrame, b: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """(keys, month, a, b): series a with series b interpolated to months, on common months; keys with fewer than `least` of them give common years' means instead, in January."""
+    monthly = a.select(*keys, "month", F.col("a")).join(interpolated(b.select(*keys, "month", "b"), keys, "b"), [*keys, "month"])
+    enough = monthly.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*keys)
+    yearly = lambda df, v: df.groupBy(*keys, F.trunc("month", "YYYY").alias("month")).agg(F.avg(v).alias(v))
+    years = yearly(a, "a").join(yearly(b, "b"), [*keys, "month"])
+    return monthly.join(enough, keys, "left_semi").select(*keys, "month", "a", "b").unionByName(years.join(enough, keys, "left_anti").select(*keys, "month", "a", "b"))
+
+
+def cpi_class(df: DataFrame, country: str, classes: dict[str, str]) -> DataFrame:
+    """df with how the country's official CPI is published; null where that is not known."""
+    from tallyfield.functions.columns import lookup
+
+    return df.withColumn("cpi_class", lookup(country, classes))
+
+
 def interpolate_quarterly(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, quarter like 2015-Q1 or 2015Q1, value) to months, each third of the way to the next quarter; the last stays flat."""
     year, q = F.regexp_extract("quarter", "^(\\d{4})-?Q([1-4])$", 1), F.regexp_extract("quarter", "^(\\d{4})-?Q([1-4])$", 2)

@@ -90,6 +90,93 @@ def pass_through(rows: DataFrame, keys: list[str]) -> DataFrame:
 # models that need matrices: one series a call
 
 
+def t_quantile(p: float, d: int) -> float:
+    """The t with P(|T| > t) = p at d degrees of freedom, by bisection of the tail."""
+    low, high = 0.0, 1.0
+    while f_tail(high * high, 1, d) > p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f_tail(mid * mid, 1, d) > p else (low, mid)
+    return (low + high) / 2
+
+
+def pass_through_models(pairs: DataFrame, keys: list[str], aic_lag: int = 2, least: int = 5, floor: float = 0.001) -> DataFrame:
+    """Per key of pairs(keys, month, x, y): the regression of y's log change on x's, with standard error, p, 95 % interval and R2.
+
+    Under 20 changes without lags; else with up to two lags of both (aic_lag at most) and month
+    dummies. Three degrees of freedom must be left; what can't be fitted gives a reason.
+    """
+
+    def work(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("month")
+        head = [d[k].iloc[0] for k in keys]
+        dy, dx = (np.diff(np.log(np.maximum(d[c].to_numpy(float), floor))) for c in ("y", "x"))
+        months = pd.to_datetime(d["month"]).dt.month.to_numpy()[1:]
+        n = len(dy)
+        none = lambda why: pd.DataFrame([[*head, n, None, None, None, None, None, None, None, False, why]])
+        if n < least:
+            return none(f"only {n} changes")
+        lags = 0 if n < 20 else min(aic_lag, 2)
+        columns, y = [np.ones(n - lags), dx[lags:]], dy[lags:]
+        for k in range(1, lags + 1):
+            columns += [dy[lags - k : n - k], dx[lags - k : n - k]]
+        if lags:
+            columns += [(months[lags:] == m).astype(float) for m in sorted(set(months.tolist()))[1:]]
+        x = np.column_stack(columns)
+        rest = len(y) - x.shape[1]
+        if len(y) < least or rest < 3:
+            return none(f"no degrees of freedom: {len(y)} rows, {x.shape[1]} terms")
+        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+        rss, tss = float(((y - x @ beta) ** 2).sum()), float(((y - y.mean()) ** 2).sum())
+        se = math.sqrt(rss / rest * np.linalg.pinv(x.T @ x)[1, 1])
+        if se <= 0 or tss <= 0:
+            return none("no variance")
+        p, t = f_tail((beta[1] / se) ** 2, 1, rest), t_quantile(0.05, rest)
+        return pd.DataFrame([[*head, n, lags, float(beta[1]), se, p, float(beta[1] - t * se), float(beta[1] + t * se), 1 - rss / tss, p < 0.05, None]])
+
+    schema = f"{', '.join(f'{k} string' for k in keys)}, n long, lags int, beta double, se double, p double, ci_low double, ci_high double, r2 double, significant boolean, reason string"
+    return pairs.where("x is not null and y is not null").select(*keys, "month", "x", "y").groupBy(*keys).applyInPandas(work, schema)
+
+
+def granger_robust(pairs: DataFrame, keys: list[str], most_lags: int = 3, level: float = 0.10, least: int = 8) -> DataFrame:
+    """The robustness profile: x leading y in first differences, whatever the unit roots, with every lag up to min(most_lags, n // 3)."""
+
+    def work(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("month")
+        head, n = [d[k].iloc[0] for k in keys], len(d)
+        x, y = (np.diff(d[c].to_numpy(float)) for c in ("x", "y"))
+        none = lambda why: pd.DataFrame([[*head, n, None, None, False, why]])
+        if n < least:
+            return none(f"only {n} observations")
+        if len(x) < least:
+            return none(f"only {len(x)} differences")
+        best = None
+        for k in range(1, min(most_lags, len(x) // 3) + 1):
+            m = len(x) - k
+            own = np.column_stack([np.ones(m), _lags(y, k, m)])
+            full = np.column_stack([own, _lags(x, k, m)])
+            rest = m - full.shape[1]
+            if rest <= 0:
+                break
+            a, b = _rss(y[k:], own), _rss(y[k:], full)
+            p = f_tail((a - b) / k / (b / rest), k, rest) if b > 0 else 1.0
+            if best is None or p < best[1]:
+                best = (k, p)
+        return none("no degrees of freedom") if best is None else pd.DataFrame([[*head, n, best[0], best[1], best[1] < level, None]])
+
+    schema = f"{', '.join(f'{k} string' for k in keys)}, n long, lead_months int, p double, significant boolean, reason string"
+    return pairs.where("x is not null and y is not null").select(*keys, "month", "x", "y").groupBy(*keys).applyInPandas(work, schema)
+
+
+def sector_split(results: DataFrame, sector: str = "sector", p: str = "p") -> DataFrame:
+    """Mean p of the formal and of the informal results (1.0 without any), how many are significant, and which sector is the stronger (ties: formal)."""
+    mean = lambda s: F.coalesce(F.avg(F.when(F.col(sector) == s, F.col(p))), F.lit(1.0)).alias(f"{s}_mean_p")
+    count = lambda s: F.count_if((F.col(sector) == s) & (F.col(p) < 0.10)).alias(f"{s}_significant")
+    out = results.agg(mean("formal"), mean("informal"), count("formal"), count("informal"))
+    return out.withColumn("stronger", F.when(F.col("informal_mean_p") < F.col("formal_mean_p"), "informal").otherwise("formal"))
+
+
 def f_tail(f: float, d1: int, d2: int) -> float:
     """P(F > f) with (d1, d2) degrees of freedom, by the incomplete beta's continued fraction."""
     if not (f > 0) or d2 <= 0:

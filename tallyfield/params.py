@@ -58,3 +58,57 @@ PROMO_CAP, PROMO_DAYS, REMOVAL_WINDOW, REMOVAL_RATE = 3, 7, 10, 0.2
 GAP_ANOMALY, DROP_POINTS, DROP_SHARE, BURN_WINDOW, BURN_RATE, BURN_DAYS = 0.3, 50, 0.30, 30, 0.1, 7
 #: Gap tasks: days looked back, citations looked at, share that makes a competitor dominant.
 GAP_DAYS, GAP_TOP, DOMINANT = 14, 3, 0.8
+
+# Phrases of which a post that mentions the product needs one; [brand] stands for a brand's name.
+DISCLOSURE_PHRASES = [
+    "disclosure:", "disclaimer:", "full disclosure", "i work on", "i work at", "i work for", "i'm one of the makers", "i'm one of the founders", "i'm a founder",
+    "i'm a co-founder", "i'm the founder", "i help build", "i help make", "i built", "i made", "i co-founded", "[brand] employee", "[brand] team",
+]
+
+# Bounds of the latency histogram in seconds; days before an erasure; first id of opportunities that stand for tasks.
+LATENCY_BUCKETS, ERASE_GRACE_DAYS, TASK_ID_OFFSET = (60, 300, 900, 3600, 14400, 86400), 30, 1_000_000_000
+#: Legal steps of a draft: from (None: its first event) to.
+DRAFT_STEPS = {None: ["draft"], "draft": ["edited", "published", "discarded"], "edited": ["published", "discarded"]}
+
+# How a country's official CPI is published.
+CPI_CLASS = {
+    "United States": "real-monthly", "United Kingdom": "real-monthly", "India": "real-monthly", "Malaysia": "real-monthly", "Australia": "quarterly-interp",
+    "Singapore": "annual-interp", "Thailand": "annual-interp", "Indonesia": "annual-interp", "Vietnam": "annual-step", "United Arab Emirates": "annual-step",
+}
+
+#: Categories that a structured reply may name.
+CATEGORIES = [*dict.fromkeys(c for c, _ in CATEGORY_RULES), "OTHER"]
+
+# The merge-time category guess.
+GUESS_RULES = [
+    ("RICE_DISH", ["rice", "nasi", "khao", "biryani", "fried rice", "nasi goreng"]),
+    ("NOODLE_DISH", ["noodle", "mee", "mie", "pasta", "pad thai", "laksa", "pho", "ramen", "kuay teow", "kway teow"]),
+    ("SOUP_STEW", ["soup", "stew", "curry", "laksa", "tom yum", "soto", "bak kut", "congee", "porridge"]),
+    ("BREAD_PASTRY", ["bread", "roti", "prata", "toast", "bun", "cake", "pastry"]),
+    ("MEAT_DISH", ["chicken", "beef", "pork", "mutton", "lamb", "duck", "satay", "ayam", "daging"]),
+    ("SEAFOOD", ["fish", "prawn", "shrimp", "crab", "squid", "seafood", "ikan", "udang"]),
+    ("VEGETABLE", ["vegetable", "veg", "tofu", "tempeh", "kangkung"]),
+    ("BEVERAGE", ["coffee", "tea", "juice", "drink", "kopi", "teh", "water", "milk", "sugar cane"]),
+    ("SNACK", ["snack", "fritter", "popiah", "dumpling", "dim sum", "goreng"]),
+]
+
+# Keywords of the reference labels, in order.
+LABEL_RULES = [
+    ("OTHER", ["new!", "tripadvisor:", "happy baking", "fast vegetarian"]),
+    ("BEVERAGE", [
+        "shake", "lemonade", "iced tea", "iced-t", "soda", "sprite", "fanta", "7 up", "7-up", "pepsi", "coca cola", "limoncello", "barley", "milk", "espresso",
+        "cappuccino", "americano", "mocha", "latte", "smoothie", "juice", "tea", "coffee", "beer", "wine", "sake", "cocktail", "water",
+    ]),
+    ("NOODLE_DISH", ["noodle", "la mian", "lamian", "ramen", "udon", "soba", "chasoba", "kuey teow", "kway teow", "kuay teow", "mee ", "mee sup", "pho", "hor fun", "bee hoon", "mihun", "hokkien mee"]),
+    ("DIM_SUM_DUMPLING", ["dumpling", "shao-mai", "shao mai", "shumai", "siu mai", "har gow", "har gao", "wonton", "wanton", "wantan", "xiao long bao", "xlb", "potsticker", "gyoza", "baozi", "char siu bao"]),
+    ("SEAFOOD_DISH", ["sushi", "sashimi", "hamachi", "tako", "hotate", "kanikama", "negitoro", "maguro", "uni ", "salmon", "scallop", "shrimp", "prawn", "ebi", "fish & chips", "fish and chips", "fish ball", "seafood platter", "halibut", "tuna"]),
+    ("BREAD_PASTRY", ["dosa", "thosai", "naan", "roti", "shio pan", "croissant", "muffin", "doughnut", "donut", "bagel", "scone", "toast", "baguette", "bun bakar", "bao "]),
+    ("DESSERT", ["cake", "ice cream", "gelato", "pudding", "mochi", "cheesecake", "tiramisu", "mango sticky", "creme brulee", "layered cake"]),
+    ("RICE_DISH", ["fried rice", "rice", "donburi", "don ", "khao pad", "khao kha", "khao man", "biryani", "nasi lemak", "nasi goreng"]),
+    ("SOUP_STEW", ["soup", "tom yum", "tom yam", "tom kha", "miso soup", "broth", "stew", "braised"]),
+    ("GRILLED_PROTEIN", ["yakiniku", "yakitori", "satay", "kebab", "bbq", "grilled", "roast ", "roasted ", "char siu", "tandoori", "teriyaki", "karaage", "katsu"]),
+    ("FAST_FOOD", ["burger", "cheeseburger", "fries", "hot dog", "pizza", "margherita", "sandwich"]),
+    ("SALAD_VEGETABLE", ["salad", "vegetable", "veggie", "kailan", "long beans", "kale", "spinach"]),
+    ("SNACK_SIDE", ["spring roll", "egg roll", "fried bait", "intestines", "chuka ", "edamame", "potato wedges"]),
+    ("SET_MEAL", ["set ", "platter", "gozen"]),
+]
