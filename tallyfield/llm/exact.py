@@ -51,16 +51,21 @@ def _decided(docs: DataFrame, text: Column, runs: int = 64) -> DataFrame:
     rows = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int").alias("run"), *_key(text))
     rows = stash(rows, "digests")
     key = ["digest", "check", "n_bytes"]
-    best = representatives(rows.withColumn("back", -F.coalesce("doc_id", F.lit(-(2**62)))), key, "back", runs)
+    back = F.struct(F.col("doc_id").isNull().alias("unknown"), F.bitwise_not("doc_id").alias("id"))  # known ids first, the largest first of all
+    best = representatives(rows.withColumn("back", back), key, "back", runs)
     out = rows.join(best, ["run", *key])
-    keep = F.when(F.col("best") < 2**62, -F.col("best"))
+    keep = F.bitwise_not("best.id")
     return out.select(
         "doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), *key,
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops, told by doc_id and text; of rows that repeat a kept doc_id with its text all stay."""
+    """docs without the rows that exact_dedup() drops, told by doc_id and text, with all their columns.
+
+    Of rows that repeat a kept doc_id with its text all stay. Null texts equal empty ones; a null
+    doc_id never stays beside another; long texts are hashed whole; an empty table stays empty.
+    """
     key = ["doc_id", "digest", "check", "n_bytes"]
     dropped = stash(_decided(docs, F.col("text")).where("not kept").select(key).distinct(), "dropped").alias("x")
     rows = docs.select("*", *_key(F.col("text"))).alias("d")
