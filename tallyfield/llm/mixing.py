@@ -105,7 +105,9 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     (rate x tokens x posterior) are in proportion to `targets` at the same overall total. copies is
     the rate rounded down or up by a hash of doc_id, so that rates hold on average. A domain without
     labelled documents or tokens keeps what can be reached. Null text counts as empty (no tokens,
-    prior posteriors); a null doc_id is hashed like any other value; repeated rows get equal rates.
+    prior posteriors); a null doc_id is hashed like any other value; repeated rows get equal rates;
+    long texts are counted whole; columns of docs other than doc_id and text are not read, whatever
+    their names; an empty table gives no rows. n_tokens counts white-space words.
     """
     member = stash(memberships(docs, labelled, list(targets), sample), "members")
     rate = F.round(fitted_rate(member, targets), 6)
@@ -116,9 +118,12 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """docs(doc_id, text, lang, source, n_chars) with every row as often as mixed_rates() says, some not at all.
 
-    Rows that repeat a doc_id come as often as the largest of their rates says; a null doc_id comes once.
+    Rows that repeat a doc_id come as often as the largest of their rates says; a null doc_id comes
+    once. Null and empty texts have no tokens and the rate of the prior; other columns, whatever
+    their names, come along; an empty table stays empty.
     """
-    copies = mixed_rates(docs, labelled, targets).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = stash(copies.where("copies <> 1"), "copies")
-    rows = docs.join(small(copies), "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
-    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    times = next(n for n in ("times", *(f"times{i}" for i in range(len(docs.columns)))) if n.lower() not in map(str.lower, docs.columns))
+    copies = mixed_rates(docs, labelled, targets).groupBy("doc_id").agg(F.max("copies").alias(times))
+    copies = stash(copies.where(F.col(times) != 1), "copies")
+    rows = docs.join(small(copies), "doc_id", "left").withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)
+    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
