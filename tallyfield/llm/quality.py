@@ -133,6 +133,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     score is the network's probability of label 1, from the text's bytes alone; predicted is 1 from
     `threshold` on. Null and empty texts get the score of an all-padding chunk. Without two labels
     to learn from the network stays as it began. Long texts are scored whole, some chunks at a time.
+    Equal texts get equal scores, so repeated rows and ties come back alike; of repeated labels the
+    largest counts; columns other than doc_id and text are not read; an empty table gives no rows.
     """
     net = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, sample).p)
 
@@ -141,12 +143,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(own.scores(b["text"]))], names=["doc_id", "held_out", "score"])
 
-    rows = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without those that the classifier rejects; repeated rows get the same verdict."""
+    """docs without those that the classifier rejects, with all their columns.
+
+    Null and empty texts are judged like any other by the score of an all-padding chunk; long texts
+    are scored whole; repeated rows get the same verdict; an empty table stays empty.
+    """
     net = docs.sparkSession.sparkContext.broadcast(trained(docs, labels).p)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
