@@ -21,8 +21,8 @@ from .shared import NO_ID, cut, emptied, filled, shared_folder, small, stash
 
 #: Fixed values of the formats: the magic number of the dictionary's skippable frame and of a Zstandard frame.
 DICT_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
-#: Bytes of records that a file's dictionary is trained on, and of the dictionary.
-TRAINED_ON, DICT_BYTES = 2_000_000, 64 * 1024
+#: Records that the dictionary is trained on, characters of each, and bytes of the dictionary.
+SAMPLES, SAMPLE_CHARS, DICT_BYTES = 1000, 4096, 64 * 1024
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,53 +50,45 @@ def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> by
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A Zstandard dictionary trained on the samples; empty where they are too few or too small for one."""
+    """A Zstandard dictionary trained on the samples; where they are too few or too alike to train on, their bytes themselves are its content."""
     total = sum(map(len, samples))
-    if len(samples) < 16 or total < 16 * 1024:
-        return b""
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, total // 8), samples, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-DICT_BYTES:]
+
+
+def job_dictionary(pages: DataFrame, date: str, most: int = SAMPLES, size: int = SAMPLE_CHARS) -> bytes:
+    """The dictionary of all archives of a job, trained on the first `size` characters of at most `most` records, which a hash of their page_id and url chooses."""
+    rows = pages.select("page_id", "url", F.left("html", F.lit(size)).alias("html")).orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(most).collect()
+    return dictionary([record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), None, date) for r in rows])
 
 
 def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
     """Writes a .warc.zst file for each partition of pages(page_id, url, html, refers_to); (path, records, bytes) of each.
 
-    A file starts with a skippable frame that holds a dictionary trained on its own first records,
-    and every record is a frame of its own. A task attempt writes to a name of its own and only the
-    attempts that Spark accepts are listed, so a retried or lost task leaves no half file in use.
+    A file starts with a skippable frame that holds the job's dictionary, trained on records of all
+    partitions, so every file can be read alone; every record is a frame of its own. A task attempt
+    writes to a name of its own and only the attempts that Spark accepts are listed, so a retried or
+    lost task leaves no half file in use.
     """
+    words = job_dictionary(pages, date)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
-        held: list[bytes] = []
-        size = count = 0
-        packer, out = None, None
-
-        def flush():
-            nonlocal packer, out, held
-            if packer is None:
-                words = dictionary(held)
-                packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-                out = store.open_output_stream(name, compression=None)
-                if words:
-                    out.write(struct.pack("<II", DICT_FRAME, len(words)) + words)
-            for r in held:
-                out.write(packer.compress(r))
-            held = []
-
+        count, out = 0, None
+        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words))
         for b in batches:
             for page_id, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
                 page_id, refers = (None if x == NO_ID else int(x) for x in (page_id, refers))
-                held.append(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date))
-                size, count = size + len(held[-1]), count + 1
-                if packer is not None or size >= TRAINED_ON:
-                    flush()
+                if out is None:
+                    out = store.open_output_stream(name, compression=None)
+                    out.write(struct.pack("<II", DICT_FRAME, len(words)) + words)
+                out.write(packer.compress(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers, date)))
+                count += 1
         if count:
-            flush()
             out.close()
             yield pd.DataFrame({"path": [name], "records": [count], "bytes": [store.get_file_info(name).size]})
 
