@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ PASSES, WINDOW = 64, 64
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     x = np.array(vectors.tolist(), dtype=np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]  # else squares of very small or large components vanish or overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -112,21 +114,43 @@ def near_links(classes: DataFrame, least: float, passes: int, window: int, seed:
 def _link_counts(members: DataFrame, least: float) -> DataFrame:
     """(id, n): for members(id, v, w, component, size) the total w of the other members at cosine >= least.
 
-    A component is cut into blocks and every pair of blocks is one small task, so links are counted
-    without being written; small components share a task.
+    Angles obey the triangle inequality: two members whose angles to the component's first vector
+    are each at most half the linking angle link for sure, so such core members are counted, not
+    compared with each other. All pairs with another member are compared: a component over BLOCK is
+    cut into blocks of core and of other members, and each pair of blocks is one small task; small
+    components share a task and are compared whole.
     """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    half = (math.acos(least) - 1e-6) / 2
+    first = members.where("id = component").select("component", F.col("v").alias("first"))
+    kind = members.schema["v"].dataType.simpleString()
+
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                near = np.einsum("ij,ij->i", _unit(d["v"]), _unit(d["first"])) >= math.cos(half)
+                yield d.drop(columns="first").assign(core=near)
+
+    large = members.where(F.col("size") > BLOCK).join(first, "component").select("id", "v", "w", "component", "first")
+    large = cut(large.mapInPandas(halves, f"id long, v {kind}, w long, component long, core boolean"))
+    parts = large.groupBy("component").agg(F.count_if("core").alias("cores"), F.count_if(~F.col("core")).alias("others"), F.sum(F.when(F.col("core"), F.col("w"))).alias("core_w"))
+    counted = large.where("core").join(parts, "component").select("id", (F.col("core_w") - F.col("w")).alias("n"))
+
+    rows = large.join(parts, "component").withColumn("core_blocks", F.ceil(F.col("cores") / BLOCK)).withColumn("blocks", F.ceil(F.col("others") / BLOCK)).where("blocks > 0")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("core_blocks")).otherwise(F.col("blocks"))))
+    number = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    with_cores = F.transform(number(F.col("core_blocks")), lambda b: F.concat_ws("-", F.lit("c"), "component", "block", b))
+    with_others = F.transform(number(F.col("blocks")), lambda b: F.concat_ws("-", F.lit("o"), "component", F.least("block", b), F.greatest("block", b)))
+    of_core = F.transform(number(F.col("blocks")), lambda b: F.concat_ws("-", F.lit("c"), "component", b, "block"))
+    cross = rows.withColumn("task", F.explode(F.when(F.col("core"), of_core).otherwise(F.concat(with_cores, with_others))))
+    cross = cross.withColumn("side", F.when(F.col("core"), -1).otherwise(F.col("block")))
     share = max(1, -(-members.count() // BLOCK))
-    alone = rows.where(blocks == 1).withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(share))))
-    cross = rows.where(blocks > 1).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cross = cross.withColumn("task", F.concat_ws("-", "component", F.least("block", "other"), F.greatest("block", "other"))).drop("other")
+    alone = members.where(F.col("size") <= BLOCK).withColumn("side", F.lit(0).cast("long")).withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(share))))
 
     def count(d: pd.DataFrame) -> pd.DataFrame:
-        x, c, w, block = _unit(d["v"]), d["component"].to_numpy(), d["w"].to_numpy(), d["block"].to_numpy()
-        one = block == block.min()
+        x, c, w, side = _unit(d["v"]), d["component"].to_numpy(), d["w"].to_numpy(), d["side"].to_numpy()
+        one = side == side.min()
         if one.all():
-            sides = [(np.arange(len(d)), np.arange(len(d)))]
+            sides = [] if side[0] < 0 else [(np.arange(len(d)), np.arange(len(d)))]
         else:
             sides = [(np.flatnonzero(one), np.flatnonzero(~one)), (np.flatnonzero(~one), np.flatnonzero(one))]
         n = np.zeros(len(d), np.int64)
@@ -136,9 +160,9 @@ def _link_counts(members: DataFrame, least: float) -> DataFrame:
             n[i] += near @ w[j]
         return pd.DataFrame({"id": d["id"], "n": n})
 
-    schema = "id long, n long"
-    columns = ["id", "v", "w", "component", "block", "task"]
-    return alone.select(columns).unionByName(cross.select(columns)).groupBy("task").applyInPandas(count, schema).groupBy("id").agg(F.sum("n").alias("n"))
+    columns = ["id", "v", "w", "component", "side", "task"]
+    compared = alone.select(columns).unionByName(cross.select(columns)).groupBy("task").applyInPandas(count, "id long, n long")
+    return compared.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
@@ -149,7 +173,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.9, passes: int = PASSES
     component's links are counted exactly, so that a window does not cap a large group's counts.
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths or rows without a vec_id. Equal vectors are one class and linked;
-    of rows that repeat a vec_id the smallest vector stands for all. An empty table gives no rows.
+    of rows that repeat a vec_id the smallest vector stands for all. Other columns, whatever their
+    names, are not read. An empty table gives no rows.
     The chance that a pair is met grows with the passes and the window and falls as
     the table grows: README.md has the recall by table size.
     """
