@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, small, stash
+from .shared import cut, discard, small, stash
 
 #: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
 HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
@@ -67,11 +67,11 @@ def shared_keys(postings: DataFrame, alone: bool = False) -> DataFrame:
     columns = ["key", "me", "hub", "n"]
     hot = hot_keys(postings)
     key = Window.partitionBy("key")
-    cold = postings.where(~F.col("key").isin(hot)) if hot else postings
-    cold = cold.repartition("key").groupBy("key", me).agg(F.count(F.lit(1)).alias("n"))
-    cold = cold.withColumn("hub", F.min(central).over(key)["me"]).withColumn("low", F.min("me.node").over(key)).withColumn("high", F.max("me.node").over(key))
     several = (F.col("low") < F.col("high")) | (F.col("n") > 1) if alone else F.col("low") < F.col("high")
-    out = cold.where(several).select(columns)
+    cold = postings.where(~F.col("key").isin(hot)) if hot else postings
+    cold = cold.repartition("key").withColumn("low", F.min("node").over(key)).withColumn("high", F.max("node").over(key)).withColumn("n", F.count(F.lit(1)).over(key))
+    cold = cold.where(several).groupBy("key", "low", "high", me).agg(F.count(F.lit(1)).alias("n"))  # most keys are gone by now
+    out = cold.withColumn("hub", F.min(central).over(key)["me"]).where(several).select(columns)
     if hot:
         held = cut(postings.where(F.col("key").isin(hot)).groupBy("key", me).agg(F.count(F.lit(1)).alias("n")))
         hubs = held.groupBy("key").agg(F.min(central)["me"].alias("hub"), F.min("me.node").alias("low"), F.max("me.node").alias("high"))
@@ -101,4 +101,5 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
     rest = x.join(y, across).select(F.least("x.me.node", "y.me.node").alias("a"), F.greatest("x.me.node", "y.me.node").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    discard(part)
     return links.unionByName(cut(verified(rest)))

@@ -158,17 +158,22 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
         for d in batches:
             apart = np.array([_apart(x, y) for x, y in zip(d["x"], d["y"], strict=True)], np.int64)
             keep = apart * (100 + percent) <= (d["size_a"] + d["size_b"]).to_numpy() * (100 - percent)
-            yield d.loc[keep, ["a", "b", "doc_a", "doc_b"]]
+            yield d.loc[keep, ["a", "b", "doc_a", "doc_b", "place_a", "place_b"]]
 
-    def own_set(text: str) -> dict[int, np.ndarray]:
-        x = shingle_set(text, k, Hashes())
-        return {_node(x): x} if len(x) else {}
+    def own_sets():
+        cache = Hashes()
+
+        def find(text: str, wanted: dict[int, int]) -> dict[int, np.ndarray]:
+            x = shingle_set(text, k, cache)
+            return {_node(x): x} if len(x) else {}
+
+        return find
 
     def verified(pairs: DataFrame) -> DataFrame:
         info = node.select("node", "size", filled("doc_id"), "outline")
-        a, b = (info.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("doc_id").alias(f"doc_{s}"), F.col("outline").alias(o)) for s, o in (("a", "x"), ("b", "y")))
-        both = pairs.join(a, "a").join(b, "b").mapInPandas(alike, "a long, b long, doc_a long, doc_b long")
-        return verified_pairs(cut(both), docs, own_set, percent)
+        a, b = (info.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("doc_id").alias(f"doc_{s}"), F.lit(0).cast("long").alias(f"place_{s}"), F.col("outline").alias(o)) for s, o in (("a", "x"), ("b", "y")))
+        both = pairs.join(a, "a").join(b, "b").mapInPandas(alike, "a long, b long, doc_a long, doc_b long, place_a long, place_b long")
+        return verified_pairs(cut(both), docs, own_sets, percent)
 
     label = components(linked(shared_keys(keys), verified, fits))
     label = label.join(node.select(F.col("node").alias("id"), "doc_id"), "id")
@@ -180,6 +185,10 @@ def similar_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
 
 
 def one_of_each_group(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; of rows that repeat a doc_id that stays all stay."""
+    """docs without those whose component has a smaller doc_id, with all their columns.
+
+    Of rows that repeat a doc_id that stays all stay, and so do rows with a null doc_id, as no id
+    tells which of them to drop. Texts without words stay; an empty table stays empty. See similar_documents() for the rest.
+    """
     drop = stash(similar_documents(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "similar")
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)

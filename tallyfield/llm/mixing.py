@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, small, stash
+from .shared import ascii_lower, fresh, small, stash
 
 #: Token shares wanted of each domain, in the order of the posteriors.
 TARGETS = {"plain": 0.90, "rough": 0.06, "toxic": 0.04}
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
     once. Null and empty texts have no tokens and the rate of the prior; other columns, whatever
     their names, come along; an empty table stays empty.
     """
-    times = next(n for n in ("times", *(f"times{i}" for i in range(len(docs.columns)))) if n.lower() not in map(str.lower, docs.columns))
+    times = fresh("times", docs.columns)
     copies = mixed_rates(docs, labelled, targets).groupBy("doc_id").agg(F.max("copies").alias(times))
     copies = stash(copies.where(F.col(times) != 1), "copies")
     rows = docs.join(small(copies), "doc_id", "left").withColumn(times, F.coalesce(times, F.lit(1))).where(F.col(times) > 0)

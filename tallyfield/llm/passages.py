@@ -3,212 +3,308 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, linked
-from .shared import cut, emptied, filled, small, stash
-from .shingles import Hashes, mixed, shingles, words
+from .components import components, linked, shared_keys
+from .shared import cut, discard, filled, small, stash, text_parts
+from .shingles import Hashes, mixed, shingles
+from .verify import verified_pairs
 
-#: A paragraph ends at a line break or behind a sentence's end; neighbours of fewer than MIN_WORDS words make up one paragraph.
-_PARAGRAPH = re.compile(r"\S[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*[.!?]?")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A paragraph ends at a line break or with a word that ends a sentence; neighbours of fewer than MIN_WORDS words make up one paragraph.
 MIN_WORDS, SHINGLE, BANDS, ROWS = 10, 5, 5, 2
 #: A paragraph of more words is also cut by content: at word triples whose hash is least among REACH neighbours on either side.
 LONG, REACH = 30, 5
+#: Paragraphs of at most so many distinct shingles are banded by their smallest MinHash values, without loss.
+SHORT = 24
+#: Words that a run of repeated paragraphs has at least to be a passage.
+RUN = 30
+#: A fixed odd number and its inverse modulo 2**64, for hashes of word sequences.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
-def _cuts(w: list[bytes], cache: Hashes) -> list[int]:
-    """Places in w at which the words themselves say to cut, the same whatever stands around them; loops of few words have none."""
-    x = shingles(np.fromiter(map(cache.__getitem__, w), np.uint64, len(w)), 3)
+class _Ends(Hashes):
+    """Hashes of words whose lowest bit says whether the word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        x = super().__missing__(word)
+        self[word] = x = x & ~1 | (word[-1] in b".!?")
+        return x
+
+
+class Units(NamedTuple):
+    """Units of several texts: the text and the place [low, high) in all their words of each, and all words' hashes."""
+
+    row: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray  # each text's first word
+    hashes: np.ndarray
+
+
+def _cut_pieces(h: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of the paragraphs [low, high) that have more than LONG words, cut where the words themselves say so whatever stands around them; loops of few words have no cuts."""
+    x = shingles(h, 3)
+    if len(x) <= 2 * REACH:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     beside = np.full(len(x) - 2 * REACH, 2**64 - 1, np.uint64)
     for j in range(2 * REACH + 1):
         if j != REACH:
             np.minimum(beside, x[j : j + len(beside)], out=beside)
-    return (np.flatnonzero(x[REACH:-REACH] < beside) + REACH).tolist()
-
-
-def paragraphs(text: str | None, least: int = MIN_WORDS, cache: Hashes | None = None) -> list[tuple[int, int, list[bytes]]]:
-    """(start, length, words) of a text's units in order of place, in characters of the text.
-
-    A unit is a paragraph with at least so many words, where short ones in a row count as one. What
+    at = np.flatnonzero(x[REACH:-REACH] < beside) + REACH
+    inside = np.searchsorted(low, at, "right") - 1
+    fits = (high[inside] - low[inside] > LONG) & (at >= low[inside] + REACH) & (at <= high[inside] - 3 - REACH)
+    at, inside = at[fits], inside[fits]
+    own = np.unique(inside)
+    x, g = np.r_[low[own], at], np.r_[own, inside]
+    order = np.argsort(x, kind="stable")
+    x, g = x[order], g[order]
+    same = np.r_[g[1:] == g[:-1], False]
+    y = np.where(same, np.r_[x[1:], 0], high[g])
+    keep = 4 * (y - x) <= 3 * (high[g] - low[g])  # else the whole is near enough
+    x, y, end = x[keep], y[keep], high[g][keep]
+    return np.minimum(x, end - least), np.minimum(np.maximum(y, x + least), end)
+
+
+def units_of(texts: list[str | None], cache: _Ends, least: int) -> Units:
+    """The units of the texts, in order of place.
+
+    A unit is a paragraph with at least `least` words, where short ones in a row count as one. What
     is still shorter gives two units of `least` words, one that begins with it and one that ends
     with it. A paragraph of more than LONG words gives also the pieces between its cuts. So every
     word of a text of `least` words or more is in a unit.
     """
-    found = [(m.start(), m.end(), words(m[0])) for m in _PARAGRAPH.finditer(text or "")]
-    first = np.cumsum([0, *(len(w) for _, _, w in found)]).tolist()
-    total, all_words, places, units = first[-1], None, {}, {}
-
-    def place(i: int) -> tuple[int, int]:
-        """Where in the text its word i begins and ends."""
-        at = bisect_right(first, i) - 1
-        if at not in places:
-            start, end, _ = found[at]
-            places[at] = [m.span() for m in _WORD.finditer(text, start, end)]
-        return places[at][i - first[at]]
-
-    def add(low: int, high: int) -> None:
-        nonlocal all_words
-        low, high = max(0, min(low, total - least)), min(total, max(high, least))
-        if (low, high) not in units:
-            all_words = all_words or [x for _, _, w in found for x in w]
-            start = place(low)[0]
-            units[low, high] = (start, place(high - 1)[1] - start, all_words[low:high])
-
-    i = 0
-    while i < len(found):
-        j = i + 1
-        if len(found[i][2]) < least:
-            while j < len(found) and len(found[j][2]) < least:
-                j += 1
-        low, high = first[i], first[j]
-        if high - low >= least:
-            if j == i + 1:
-                start, end, w = found[i]
-                units[low, high] = (start, end - start, w)
-            else:
-                add(low, high)
-            if high - low > LONG:
-                cache = Hashes() if cache is None else cache
-                at = [low, *(low + c for c in _cuts(units[low, high][2], cache)), high]
-                for x, y in zip(at, at[1:], strict=False):
-                    if 4 * (y - x) <= 3 * (high - low):  # else the whole is near enough
-                        add(min(x, high - least), min(max(y, x + least), high))
-        elif high > low and total >= least:
-            add(low, low + least)
-            add(high - least, high)
-        i = j
-    return [units[k] for k in sorted(units)]
-
-
-def _hashed(texts: list[str | None], cache: Hashes, least: int) -> tuple[list, np.ndarray, np.ndarray, list]:
-    """Of all units of the texts: (row, number, start, length, n_words), their shingles in a row, where each begins, and digests.
-
-    All words of the texts are hashed and shingled at once; shingles across a unit's end are left out.
+    words, ends, first = [], [], [0]
+    for text in texts:
+        for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
+            w = line.split()
+            if w:
+                words += w
+                ends.append(len(words))
+        first.append(len(words))
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    first = np.array(first)
+    if not len(h):
+        return Units(*(np.zeros(0, np.int64) for _ in range(3)), first, h)
+    last = (h & np.uint64(1)).astype(bool)
+    last[np.array(ends) - 1] = True
+    end = np.flatnonzero(last) + 1
+    start = np.r_[0, end[:-1]]
+    row = np.searchsorted(first, start, "right") - 1
+    short = end - start < least
+    new = np.r_[True, ~short[1:] | ~short[:-1] | (row[1:] != row[:-1])]
+    at = np.flatnonzero(new)
+    low, high, row = start[at], end[np.r_[at[1:], len(new)] - 1], row[at]
+    enough = high - low >= least
+    few = ~enough & (first[row + 1] - first[row] >= least)
+    lo, hi, begin, stop = low[few], high[few], first[row[few]], first[row[few] + 1]
+    pieces = _cut_pieces(h, low, high, least)
+    lows = [low[enough], np.minimum(lo, stop - least), np.maximum(hi - least, begin), pieces[0]]
+    highs = [high[enough], np.minimum(lo + least, stop), np.maximum(hi, begin + least), pieces[1]]
+    key = np.unique(np.concatenate(lows) << 32 | np.concatenate(highs))
+    low, high = key >> 32, key & (2**32 - 1)
+    return Units(np.searchsorted(first, low, "right") - 1, low, high, first, h)
+
+
+def _places(text: str, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) in characters of the words [low, high) of a text."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)])
+    start = spans[low, 0]
+    return start, spans[high - 1, 1] - start
+
+
+def paragraphs(text: str | None, least: int = MIN_WORDS) -> list[tuple[int, int, list[bytes]]]:
+    """(start, length, words) of a text's units in order of place, in characters of the text; see units_of()."""
+    u = units_of([text], _Ends(), least)
+    if not len(u.low):
+        return []
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    start, length = _places(text, u.low, u.high)
+    return [(int(s), int(n), w[lo:hi]) for s, n, lo, hi in zip(start, length, u.low, u.high, strict=True)]
+
+
+def _nodes(u: Units) -> np.ndarray:
+    """A hash of each unit's words."""
+    n = len(u.hashes)
+    power = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
+    total = np.r_[np.uint64(0), np.cumsum(u.hashes * power(_BASE)[:n], dtype=np.uint64)]
+    return mixed((total[u.high] - total[u.low]) * power(_INVERSE)[u.low] ^ (u.high - u.low).astype(np.uint64)).view(np.int64)
+
+
+def _reduced(f: np.ufunc, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """f over x[low:high] of each pair."""
+    return f.reduceat(np.r_[x, x[:1]], np.stack([low, high], axis=1).ravel())[::2]
+
+
+def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, sketch, counts, keys): how many distinct shingles x[low:high] each unit has, their odd sketch, how many band keys it has, and the keys.
+
+    An odd sketch has a bit for each of 32 cells that an odd number of shingles falls into: two
+    sketches differ in at most as many bits as there are shingles in one set only.
+
+    Two sets of which the larger has n <= SHORT shingles and that are alike enough share one of their
+    n - ceil(n * percent / 100) + 1 smallest values, whatever the hash: for them these are the band
+    keys, each of one row. Larger sets have BANDS keys of ROWS values each. Sets that may link with
+    some of either kind have both.
     """
-    meta, digests, all_words = [], [], []
-    for row, text in enumerate(texts):
-        for number, (start, length, w) in enumerate(paragraphs(text, least, cache)):
-            meta.append((row, number, start, length, len(w)))
-            digests.append(xxhash.xxh3_64_intdigest(b" ".join(w)))
-            all_words += w
-    if not meta:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-    n = np.array([m[4] for m in meta])
-    x = shingles(np.fromiter(map(cache.__getitem__, all_words), np.uint64, len(all_words)), SHINGLE)
-    inside = np.arange(len(x)) + SHINGLE <= np.repeat(np.cumsum(n), n)[: len(x)]
-    return meta, x[inside], np.r_[0, np.cumsum(n - SHINGLE + 1)[:-1]], digests
-
-
-def paragraph_table(docs: DataFrame, least: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, number, start, length, n_words, node, sketch, n_shingles, bands).
-
-    node is a hash of the words, sketch the bits that its shingles hash to, and bands the MinHash
-    band keys (for the first of equal nodes of a task).
+    size = high - low
+    kept = np.full((len(low), SHORT), 2**64 - 1, np.uint64)
+    place = np.arange(SHORT)
+    brief = np.flatnonzero(size <= SHORT)
+    got = x[np.minimum(low[brief, None] + place, len(x) - 1)]
+    got[place >= size[brief, None]] = 2**64 - 1
+    got.sort(axis=1)
+    got[:, 1:][got[:, 1:] == got[:, :-1]] = 2**64 - 1
+    got.sort(axis=1)
+    kept[brief] = got
+    size[brief] = (got != 2**64 - 1).sum(axis=1)
+    sketch = np.zeros(len(low), np.uint32)
+    bit = lambda v: np.uint32(1) << (v & np.uint64(31)).astype(np.uint32)
+    sketch[brief] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, bit(got), np.uint32(0)), axis=1)
+    for i in np.flatnonzero(high - low > SHORT):
+        distinct = np.unique(x[low[i] : high[i]])
+        size[i], sketch[i] = len(distinct), np.bitwise_xor.reduce(bit(distinct))
+        if len(distinct) <= SHORT:
+            kept[i, : len(distinct)] = distinct
+    few = np.where(size <= SHORT, size - -(-size * percent // 100) + 1, 0)
+    many = np.where(100 * size >= percent * (SHORT + 1), BANDS, 0)
+    width = int(few.max(initial=0))
+    keys = np.zeros((len(low), width + BANDS), np.uint64)
+    keys[:, :width] = kept[:, :width]
+    with_bands = np.flatnonzero(many)
+    if len(with_bands):
+        lo, hi = low[with_bands], high[with_bands]
+        seeds = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for band in range(BANDS):
+            key = np.full(len(lo), band + 1, np.uint64)
+            for seed in seeds[band * ROWS : (band + 1) * ROWS]:
+                key = mixed(key * np.uint64(31) + _reduced(np.minimum, (x ^ seed) * np.uint64(0xD6E8FEB86659FD93) ^ (x >> np.uint64(32)), lo, hi))
+            keys[with_bands, width + band] = key
+    column = np.arange(width + BANDS)
+    return size, sketch.view(np.int32), few + many, keys[(column < few[:, None]) | (column >= width) & (many > 0)[:, None]].view(np.int64)
+
+
+def paragraph_table(docs: DataFrame, percent: int, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, digest, number, first_word, n_words, start, length, node, size, sketch, keys) of all units.
+
+    digest is a hash of the whole text, start and length count characters, node is a hash of the
+    words, size the number of distinct shingles, sketch their odd sketch, keys the MinHash band keys.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, seen = Hashes(), set()
-        seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Ends()
         for b in batches:
-            ids = b["doc_id"].to_numpy()
-            for i in range(0, len(b), 500):
-                meta, x, first, digests = _hashed(b["text"].iloc[i : i + 500].tolist(), cache, least)
-                if not meta:
+            for part, texts in text_parts(b):
+                u = units_of(texts, cache, least)
+                if not len(u.low):
                     continue
-                keys = []
-                for band in range(bands):
-                    key = np.full(len(first), band + 1, np.uint64)
-                    for seed in seeds[band * rows : (band + 1) * rows]:
-                        key = mixed(key * np.uint64(31) + np.minimum.reduceat((x ^ seed) * np.uint64(0xD6E8FEB86659FD93) ^ (x >> np.uint64(32)), first))
-                    keys.append(key.view(np.int64))
-                out = pd.DataFrame(meta, columns=["doc_id", "number", "start", "length", "n_words"])
-                out["doc_id"] = ids[i : i + 500][out["doc_id"].to_numpy()]
-                out["node"] = np.array(digests, np.uint64).view(np.int64)
-                fresh = ~out["node"].duplicated() & np.array([n not in seen for n in digests])
-                seen.update(x for x, new in zip(digests, fresh, strict=True) if new)
-                out["sketch"] = np.bitwise_or.reduceat(np.uint64(1) << (x & np.uint64(63)), first).view(np.int64)
-                out["n_shingles"] = np.diff(np.append(first, len(x)))
-                out["bands"] = pd.Series(list(np.stack(keys, axis=1)), index=out.index).where(fresh, None)
-                yield out
-
-    rows = docs.select(filled("doc_id"), "text").mapInPandas(work, "doc_id long, number int, start int, length int, n_words int, node long, sketch long, n_shingles int, bands array<long>")
-    return rows.withColumn("doc_id", emptied("doc_id"))
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, read from the documents in ids."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Hashes()
-        for b in batches:
-            for i in range(0, len(b), 500):
-                meta, x, first, digests = _hashed(b["text"].iloc[i : i + 500].tolist(), cache, least)
-                parts = np.split(x, first[1:]) if meta else []
-                yield pd.DataFrame({"node": np.array(digests, np.uint64).view(np.int64), "shingles": [np.unique(p).tobytes() for p in parts]})
-
-    rows = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").mapInPandas(work, "node long, shingles binary")
-    return rows.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
-
-
-def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS) -> DataFrame:
+                own = np.r_[0, np.flatnonzero(np.diff(u.row)) + 1, len(u.row)]  # where a text's units begin
+                begin = u.first[u.row]
+                low, high, number = u.low - begin, u.high - begin, np.arange(len(u.row)) - np.repeat(own[:-1], np.diff(own))
+                places = [_places(texts[u.row[i]], low[i:j], high[i:j]) for i, j in zip(own, own[1:], strict=False)]
+                start, length = (np.concatenate([p[k] for p in places]) for k in (0, 1))
+                digest = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+                x, last = shingles(u.hashes, SHINGLE), u.high - SHINGLE + 1
+                size, sketch, counts, keys = _band_keys(x, u.low, last, percent)
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), keys)
+                ints = [pa.array(c.astype(np.int32)) for c in (number, low, high - low, start, length)]
+                columns = [part["doc_id"].take(pa.array(u.row)), pa.array(digest[u.row]), *ints, pa.array(_nodes(u)), pa.array(size.astype(np.int32)), pa.array(sketch), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "number", "first_word", "n_words", "start", "length", "node", "size", "sketch", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, digest long, number int, first_word int, n_words int, start int, length int, node long, size int, sketch int, keys array<long>")
+
+
+def _in_runs(found: DataFrame, run: int, gap: int) -> DataFrame:
+    """found without units outside runs of at least so many words; a run's units overlap or are at most `gap` words apart."""
+    key = ["known", "at", "digest"]
+    rows = found.withColumn("known", F.col("doc_id").isNotNull()).withColumn("at", filled("doc_id"))
+    span = rows.select(*key, "first_word", "n_words").distinct()
+    text = Window.partitionBy(key).orderBy("first_word", "n_words")
+    before = F.max(F.col("first_word") + F.col("n_words")).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    span = span.withColumn("before", F.coalesce(before, F.lit(0)))
+    span = span.withColumn("run", F.sum((F.col("first_word") > F.col("before") + gap).cast("int")).over(text))
+    fresh = F.greatest(F.lit(0), F.col("first_word") + F.col("n_words") - F.greatest("first_word", "before"))
+    span = span.withColumn("words", F.sum(fresh).over(Window.partitionBy(*key, "run"))).where(F.col("words") >= run)
+    return rows.join(span.select(*key, "first_word", "n_words"), [*key, "first_word", "n_words"]).select(found.columns)
+
+
+def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS, run: int = 0) -> DataFrame:
     """One row per unit that repeats: doc_id, number, start, length, n_words, component_id, copies, keep_doc_id, removed.
 
-    Texts are cut into units as paragraphs() says, which may overlap: whole paragraphs, short ones
+    Texts are cut into units as units_of() says, which may overlap: whole paragraphs, short ones
     joined with their neighbours, and pieces of long ones, so that a passage is found wherever it
     begins. Of a run of shared words only what lies in units that are wholly within it is sure to be
-    found: the parts of a paragraph of LONG words or fewer at its ends may be left. Units with the same words (A-Z lowered) are one node; nodes whose
-    MinHash signatures agree on a whole band are verified by the exact Jaccard of their distinct
-    five-word shingles (100 * intersection >= percent * union) and linked. BANDS x ROWS finds a pair
-    at the threshold with a chance over 0.994, and surer above it. A component keeps its first
-    unit (smallest doc_id, then place), with what overlaps it there, and the rest is marked removed.
-    Units of one text that only overlap are no repeat. Only components with
-    two units or more are returned, so a document without repeats has no row.
-
-    `least` is at least five. start and length count characters. Null, empty and shorter texts have no units; a null doc_id counts
-    as the largest; rows that repeat count as repeats; an empty table gives an empty result.
+    found: the parts of a paragraph of LONG words or fewer at its ends may be left. Units with the
+    same words (A-Z lowered) are one node; nodes that share a MinHash band key are verified by the
+    exact Jaccard of their distinct five-word shingles (100 * intersection >= percent * union) and
+    linked. Among sets of SHORT shingles or fewer no pair is missed; BANDS x ROWS finds a pair of
+    larger ones at the threshold with a chance over 0.994, and surer above it. A component keeps its
+    first unit (smallest doc_id, then place), with what overlaps it there, and the rest is marked
+    removed. Units of one text that only overlap are no repeat. With `run`, repeated units count only
+    in runs of at least so many words (gaps of fewer than `least` words are bridged): shorter repeats,
+    such as a site's header line, are then no passages. Only components with two units or more are
+    returned, so a document without repeats has no row.
+
+    `least` is at least five. start and length count characters. Null, empty and shorter texts have
+    no units; a null doc_id counts as the largest; rows that repeat count as repeats; columns other
+    than doc_id and text are not read; long texts cost memory in proportion; an empty table gives an
+    empty result.
     """
-    table = stash(paragraph_table(docs, least), "paragraphs")
-    keys = table.select("node", F.col("n_shingles").alias("size"), F.lit(0).alias("pos"), "sketch", F.explode("bands").alias("key"))
-    holder = table.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    table = stash(paragraph_table(docs, percent, least), "paragraphs")
+    keys = table.select("node", "size", F.lit(0).alias("pos"), "sketch", F.explode("keys").alias("key"))
+    shared = shared_keys(keys, alone=True)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        ids = cut(holder.join(small(nodes), "node", "left_semi").select("doc_id").distinct())
-        sets = stash(_sets_of(docs, ids, nodes, least), "sets")
+    def unit_sets():
+        cache = _Ends()
+
+        def find(text: str, wanted: dict[int, int]) -> dict[int, np.ndarray]:
+            words, out = text.encode("utf-8", "surrogatepass").lower().split(), {}
+            for node, place in wanted.items():
+                own = words[place >> 32 : (place >> 32) + (place & 0xFFFFFFFF)]
+                h = np.fromiter(map(cache.__getitem__, own), np.uint64, len(own))
+                if len(h) and _nodes(Units(None, np.array([0]), np.array([len(h)]), None, h))[0] == node:
+                    out[node] = np.unique(shingles(h, SHINGLE))
+            return out
 
-        def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for d in batches:
-                keep = np.zeros(len(d), bool)
-                for i, (x, y) in enumerate(zip(d["x"], d["y"], strict=True)):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-                yield d.loc[keep, ["a", "b"]]
+        return find
 
-        x, y = (sets.select(F.col("node").alias(s), F.col("shingles").alias(c)) for s, c in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        place = F.shiftleft(F.col("first_word").cast("long"), 32).bitwiseOR(F.col("n_words").cast("long")).alias("place")
+        holder = table.select("node", F.struct(F.col("doc_id").isNull().alias("unknown"), filled("doc_id"), place).alias("m")).join(small(nodes), "node", "left_semi")
+        holder = cut(holder.groupBy("node").agg(F.min("m").alias("m")).select("node", "m.doc_id", "m.place"))
+        a, b = (small(holder).select(F.col("node").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("place").alias(f"place_{s}")) for s in "ab")
+        return verified_pairs(cut(pairs.join(a, "a").join(b, "b")), docs, unit_sets, percent)
 
     def fits(x, y):
-        """Bits that only one sketch has are at most as many as shingles that only one set has, of which linking sets have few."""
+        """Sketches differ in at most as many bits as there are shingles in one set only, of which linking sets have few."""
+        xs, ys = x.getField("size"), y.getField("size")
         apart = F.bit_count(x.getField("sketch").bitwiseXOR(y.getField("sketch")))
-        return apart * (100 + percent) <= (x.getField("size") + y.getField("size")) * (100 - percent)
-
-    label = stash(components(linked(keys, verified, fits)), "labels")
-    at, end = F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("start") + F.col("length")
-    node = table.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(at.alias("d"), "start", "length")).alias("first"), F.max(at).alias("last"), F.min(end).alias("end"), F.max("start").alias("start"), (F.min("number") < F.max("number")).alias("several"))
-    node = node.join(label.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
-    node = stash(node, "nodes")
-    group = node.groupBy("component").agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.min("node").alias("component_id"), F.max("last").alias("last"), F.min("end").alias("end"), F.max("start").alias("start"), F.bool_or((F.col("copies") > 1) & ~F.col("several")).alias("again"))
+        return (xs * 100 >= ys * percent) & (ys * 100 >= xs * percent) & (apart * (100 + percent) <= (xs + ys) * (100 - percent))
+
+    label = stash(components(linked(shared, verified, fits)).withColumnRenamed("id", "node"), "labels")
+    again = shared.where("n > 1").select("me.node").distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component"))
+    named = stash(label.unionByName(again), "named")
+    discard(shared)
+    at = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d")
+    found = stash(table.drop("size", "sketch", "keys").join(small(named), "node"), "found")
+    discard(table, named, label)
+    if run:
+        every, found = found, stash(_in_runs(found, run, least - 1), "runs")
+        discard(every)
+    once = found.groupBy("component", at, "start", "length").agg(F.count(F.lit(1)).alias("n"))
+    end = F.col("start") + F.col("length")
+    group = once.groupBy("component").agg(F.sum("n").alias("copies"), F.min(F.struct("d", "start", "length")).alias("first"), F.max("d").alias("last"), F.min(end).alias("end"), F.max("start").alias("start"), (F.max("n") > 1).alias("again"))
     apart = (F.col("first.d") < F.col("last")) | (F.col("start") >= F.col("end")) | F.col("again")  # else units of one text that only overlap
-    named = stash(node.select("node", "component").join(group, "component").where((F.col("copies") > 1) & apart).select("node", "component_id", "copies", "first"), "named")
-    out = table.select("doc_id", "number", "start", "length", "n_words", "node").join(named, "node")
-    kept = (at == F.col("first.d")) & (F.col("start") < F.col("first.start") + F.col("first.length")) & (end > F.col("first.start"))
-    return out.select("doc_id", "number", "start", "length", "n_words", "component_id", "copies", F.when(F.col("first.d") < 2**63 - 1, F.col("first.d")).alias("keep_doc_id"), (~kept).alias("removed"))
+    group = stash(group.where((F.col("copies") > 1) & apart).select("component", "copies", "first"), "groups")
+    out = found.join(small(group), "component")
+    kept = (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("first.d")) & (F.col("start") < F.col("first.start") + F.col("first.length")) & (end > F.col("first.start"))
+    return out.select("doc_id", "number", "start", "length", "n_words", F.col("component").alias("component_id"), "copies", F.when(F.col("first.d") < 2**63 - 1, F.col("first.d")).alias("keep_doc_id"), (~kept).alias("removed"))

@@ -25,7 +25,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"), run=passages.RUN)
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

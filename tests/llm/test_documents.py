@@ -171,6 +171,36 @@ def test_outlines_bound_the_difference_of_sets():
         assert jaccard._apart(jaccard._outline(x), jaccard._outline(y)) <= len(np.setxor1d(x, y))
 
 
+def test_band_keys_lose_no_short_pair():
+    """Sets of SHORT shingles or fewer that are alike share a key, and sketches bound the sets' difference."""
+    r, n = np.random.default_rng(1), 0
+    x = r.integers(0, 2**64, 4000, dtype=np.uint64)
+    for _ in range(400):
+        size = int(r.integers(1, 32))
+        one = x[r.choice(4000, size, replace=False)]
+        two = np.r_[one[r.random(size) > 0.08], x[r.choice(4000, int(r.integers(0, 4)), replace=False)], one[:1]]
+        both = np.r_[one, two, one[:3]]
+        low, high = np.array([0, len(one)]), np.array([len(one), len(one) + len(two)])
+        sizes, sketch, counts, keys = passages._band_keys(both, low, high, 80)
+        a, b = set(one.tolist()), set(two.tolist())
+        assert sizes.tolist() == [len(a), len(b)] and len(keys) == counts.sum()
+        assert bin((int(sketch[0]) ^ int(sketch[1])) & 0xFFFFFFFF).count("1") <= len(a ^ b)
+        if 100 * len(a & b) >= 80 * len(a | b) and max(len(a), len(b)) <= passages.SHORT:
+            n += 1
+            assert set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist())
+    assert n > 100
+
+
+def test_passages_of_long_runs_only(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + "."
+    header, passage = line(12), " ".join(line(13) for _ in range(5))
+    texts = [header + "\n" + line(40), header + "\n" + line(50) + " " + passage, line(30) + " " + passage + " " + line(20)]
+    assert {x["doc_id"] for x in passages.repeated_passages(docs_of(spark, texts)).collect()} == {0, 1, 2}
+    rows = passages.repeated_passages(docs_of(spark, [*texts, texts[0][:40]], [0, None, 2, 3]), run=30).collect()
+    assert {x["doc_id"] for x in rows} == {None, 2} and all(x["keep_doc_id"] == 2 and x["removed"] == (x["doc_id"] is None) for x in rows)
+
+
 def test_passages(spark):
     r = random.Random(4)
     sentence = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(500)) for _ in range(n)) + "."
