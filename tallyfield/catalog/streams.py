@@ -14,7 +14,12 @@ from .base import Tables, query
 
 
 def _folder(t: Tables) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyfield-stream-")
+    """A new folder in spark.checkpoint.dir, which driver and executors share; only a local session without one gets a temporary one."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local") or "cluster" in t.spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tallyfield-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -52,6 +57,43 @@ def _(t: Tables) -> DataFrame:
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
 
 
+_ALERT = "select strftime(s, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from (select unnest([time_bucket({slide}, ts) - k * {slide} for k in range({times})]) as s, event_type from events where event_type in ({kinds})) group by all having count(*) > {least}"
+
+
+def _alert(kinds: list[str], window: str, slide: str, times: int, least: int) -> str:
+    return _ALERT.format(slide=f"interval {slide}", times=times, kinds=", ".join(f"'{k}'" for k in kinds), least=least)
+
+
+def _alerts(t: Tables, kinds: list[str], window: str, slide: str, least: int) -> DataFrame:
+    out = _finished(t, jobs.alerts(_events(t), kinds, window, slide, least, "30 days"), "complete")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("stream_rejections", _alert(["error"], "1 hour", "15 minute", 4, 0))
+def _(t: Tables) -> DataFrame:
+    return _alerts(t, ["error"], "1 hour", "15 minutes", 0)
+
+
+@query("stream_pauses", _alert(["click", "view", "purchase"], "15 minute", "5 minute", 3, 3))
+def _(t: Tables) -> DataFrame:
+    return _alerts(t, ["click", "view", "purchase"], "15 minutes", "5 minutes", 3)
+
+
+@query("stream_errors", _alert(["error"], "5 minute", "1 minute", 5, 1))
+def _(t: Tables) -> DataFrame:
+    return _alerts(t, ["error"], "5 minutes", "1 minute", 1)
+
+
+@query("stream_late_rows", "select event_id, event_type from events")
+def _(t: Tables) -> DataFrame:
+    """A day that is run again: what is there already is ignored."""
+    folder = _folder(t)
+    for k in range(2):
+        rows = _stream(t, "events").select("event_id", "event_type")
+        jobs.late_policy(rows, f"{folder}/out", ["event_id"]).option("checkpointLocation", f"{folder}/at{k}").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("event_id long, event_type string").parquet(f"{folder}/out")
+
+
 @query("stream_dedupe", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type, cast(ts as date) as d from events) group by all")
 def _(t: Tables) -> DataFrame:
     rows = _events(t).withColumn("d", F.to_date("ts"))

@@ -51,6 +51,24 @@ def alert_rates(events: DataFrame, window: str, slide: str | None, delay: str) -
     return events.withWatermark("ts", delay).groupBy(span.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def alerts(events: DataFrame, kinds: list[str], window: str, slide: str | None, more_than: int, delay: str) -> DataFrame:
+    """(start, event_type, n) of the windows in which a kind of event comes more than so many times."""
+    return alert_rates(events.where(F.col("event_type").isin(*kinds)), window, slide, delay).where(F.col("n") > more_than)
+
+
+def late_policy(stream: DataFrame, target: str, keys: list[str]):
+    """A writer that appends what `target` (a Parquet table) lacks by the keys, so that a day may be run again and late rows still count once."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        spark, fresh = rows.sparkSession, rows.dropDuplicates(keys)
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            fresh = fresh.join(spark.read.schema(rows.schema).parquet(target).select(*keys), keys, "left_anti")
+        fresh.write.mode("append").parquet(target)
+
+    return stream.writeStream.foreachBatch(batch)
+
+
 def stream_dedupe(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """The first event of each business key within the delay."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
