@@ -94,3 +94,78 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     c = captures(t).withColumn("v", F.when(F.col("length") > 3000, "large").otherwise("small"))
     return c.groupBy("platform").pivot("v", ["large", "small"]).count().fillna(0)
+
+
+# item extraction, over pages that are put together from the parts
+
+
+def _shop(t: Tables, body) -> DataFrame:
+    """A page per part: (page_id, html)."""
+    return t.read("part").select(F.col("p_partkey").alias("page_id"), body.alias("html"))
+
+
+_NAME = "p_name || ' ' || p_partkey"
+_COST = "cast(round(p_retailprice, 2) as double)"
+
+
+def _text():
+    return F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), F.round("p_retailprice", 2).cast("double")
+
+
+@query("extract_menuitem", f"select p_partkey as page_id, 0 as ord, {_NAME} as name, {_COST} as price from part where p_partkey % 3 <> 0 union all select p_partkey, 1, 'side', 2.5 from part where p_partkey % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    item = F.struct(F.when(F.col("p_partkey") % 3 == 0, "Place").otherwise("MenuItem").alias("@type"), name.alias("name"), F.struct(price.alias("price")).alias("offers"))
+    side = F.struct(F.when(F.col("p_partkey") % 2 == 0, "MenuItem").otherwise("Thing").alias("@type"), F.lit("side").alias("name"), F.struct(F.lit(2.5).alias("price")).alias("offers"))
+    menu = F.to_json(F.struct(F.lit("Restaurant").alias("@type"), F.struct(F.array(item, side).alias("hasMenuItem")).alias("menu")))
+    out = pages.typed_items(_shop(t, F.concat(F.lit('<script type="application/ld+json">'), menu, F.lit("</script>"))))
+    first = F.when(F.col("name") == "side", 1).otherwise(0)
+    return out.select("page_id", first.alias("ord"), "name", "price")
+
+
+@query("extract_generic", f"select p_partkey as page_id, {_NAME} as name, round(case p_partkey % 3 when 0 then cast(p_partkey as double) / 100 when 1 then case when p_retailprice > 1000 then {_COST} / 100 else {_COST} end else {_COST} end, 2) as price from part where p_partkey % 3 <> 0 or p_partkey > 0")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    cents = F.to_json(F.struct(name.alias("title"), F.struct(F.col("p_partkey").alias("cents")).alias("price")))
+    major = F.to_json(F.struct(name.alias("itemName"), price.alias("basePrice")))
+    other = F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.struct(price.alias("value")).alias("price"))).alias("items")))
+    blob = F.when(F.col("p_partkey") % 3 == 0, cents).when(F.col("p_partkey") % 3 == 1, major).otherwise(other)
+    rows = pages.any_items(_shop(t, F.concat(F.lit('<script id="x" type="application/json">'), blob, F.lit("</script>"))), "USD")
+    large = rows.select("page_id", "name", "price")
+    return large.withColumn("price", F.round("price", 2))
+
+
+@query("extract_dom", f"select p_partkey as page_id, k as ord, {_NAME} || case k when 0 then '' else ' large' end as name, {_COST} + k as price from part, range(2) as r(k) where {_COST} + k < 10000")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    item = lambda n, p: F.concat(F.lit('<button data-item="1"><h3>'), n, F.lit("</h3><p class=cost>A$ "), F.format_number(p, 2), F.lit("</p></button>"))
+    html = F.concat(F.lit("<html>"), item(name, price), item(F.concat(name, F.lit(" <b>large</b>")), price + 1), item(name, price))
+    out = pages.dom_items(_shop(t, html), r'<button data-item="1">', "(?s)<h3>(.*?)</h3>", "(?s)<p class=cost>(.*?)</p>")
+    return out.select("page_id", "ord", "name", "price")
+
+
+@query("name_price_pairs", f"select p_partkey as page_id, 0 as ord, {_NAME} as name, {_COST} as price from part union all select p_partkey, 1, 'tea', 3.5 from part")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    html = F.concat(F.lit('x={"price": "3.50", "name": "tea"}, {"name": "'), name, F.lit('", "basePrice": '), price.cast("decimal(12,2)").cast("string"), F.lit('}, {"name": "tea","price":3.50}, {"name": "free", "price": 0}'))
+    out = pages.name_price_pairs(_shop(t, html).withColumn("html", F.regexp_replace("html", r',\{"name": "tea","price":3.50\}', "")), "page_id", "html")
+    return out.select("page_id", F.when(F.col("name") == "tea", 1).otherwise(0).alias("ord"), "name", "price")
+
+
+@query("name_from_markup", "select p_partkey as page_id, case p_partkey % 4 when 0 then p_name when 1 then p_name || '''s' when 2 then null else null end as name from part")
+def _(t: Tables) -> DataFrame:
+    key = F.col("p_partkey") % 4
+    state = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"initialReduxState":{"pageRestaurantDetail":{"entities":{"S1":{"name":"'), "p_name", F.lit('"}}}}}}</script>'))
+    root = F.concat(F.lit('<script type="application/ld+json">{"@type":"Person","name":"no"}</script><script type="application/ld+json">{"@type":"Restaurant","name":"'), "p_name", F.lit('&apos;s"}</script>'))
+    test = F.lit('<script type="application/ld+json">{"@type":"Restaurant","name":"Test store 7"}</script>')
+    html = F.when(key == 0, state).when(key == 1, root).when(key == 2, test).otherwise(F.lit("<html></html>"))
+    return _shop(t, html).select("page_id", pages.name_from_markup("html").alias("name"))
+
+
+@query("extract_with_fallback", f"select p_partkey as page_id, 0 as ord, case when p_partkey % 2 = 0 then {_NAME} else 'quoted price' end as name, {_COST} as price from part union all select p_partkey, 1, 'quoted price', 7.0 from part where p_partkey % 2 = 1")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    item = F.to_json(F.struct(F.lit("MenuItem").alias("@type"), name.alias("name"), F.array(F.struct(price.alias("price"))).alias("offers")))
+    typed = F.concat(F.lit('<p>paid S$1</p><script type="application/ld+json">'), item, F.lit("</script>"))
+    text = F.concat(F.lit("<p>paid S$"), F.format_number(price, 2), F.lit(" and S$7, again S$7.00</p>"))
+    return pages.extract_with_fallback(_shop(t, F.when(F.col("p_partkey") % 2 == 0, typed).otherwise(text)), r"S\$\s*([0-9,]+(?:\.[0-9]+)?)")

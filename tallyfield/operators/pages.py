@@ -18,6 +18,12 @@ MINOR_UNITS = {"VND": 0, "JPY": 0, "KRW": 0, "IDR": 2}
 NOT_ITEMS = {"PostalAddress", "GeoCoordinates", "Restaurant", "FoodEstablishment", "Place", "LocalBusiness", "BreadcrumbList", "AggregateRating", "Review"}
 
 
+# The largest plausible price of a currency in major units.
+LARGE = {"USD": 1000, "GBP": 1000, "AUD": 1000, "SGD": 1000, "MYR": 1000, "INR": 5000}
+#: Names that a platform gives to stores that are none.
+PLACEHOLDER = r"^(?:test|do not use|closed|dead store|placeholder|store)\b|\b(?:test store|do not use|internal)\b"
+
+
 def script_blocks(html: Column | str, kind: str) -> Column:
     """Contents of the script elements whose opening tag mentions `kind`; a missing close ends at the next tag or the page's end."""
     tag = f"(?is)<script[^>]*{kind}[^>]*>(.*?)(?:</script>|(?=<[a-z/!])|$)"
@@ -71,6 +77,139 @@ def walk(node, bound: float, depth: int = 0, most: int = 40) -> list[tuple]:
     return out
 
 
+def menu_items(node, depth: int = 0, most: int = 12) -> list[tuple]:
+    """(name, price, None) of the MenuItem nodes under a menu document's section, item and list keys."""
+    if depth > most or not isinstance(node, dict):
+        return []
+    out = []
+    if node.get("@type") == "MenuItem" and node.get("name"):
+        offers = node.get("offers")
+        offer = offers[0] if isinstance(offers, list) and offers else offers
+        price = _number(offer["price"]) if isinstance(offer, dict) and offer.get("price") is not None else None
+        if price is not None:
+            out.append((str(node["name"])[:200], price, None))
+    for key in ("hasMenuSection", "hasMenuItem", "itemListElement", "menu"):
+        inner = node.get(key)
+        for x in inner if isinstance(inner, list) else [inner]:
+            out += menu_items(x, depth + 1, most)
+    return out
+
+
+def generic_items(node, currency: str | None, depth: int = 0, most: int = 15) -> list[tuple]:
+    """(name, price, currency) of any node with a name and a price under their usual keys.
+
+    Prices in cents or pence, and amounts beside a currency, are in minor units; without such a sign
+    a price that is too large for its currency is taken for one in minor units too.
+    """
+    if depth > most:
+        return []
+    if isinstance(node, list):
+        return [i for x in node for i in generic_items(x, currency, depth + 1, most)]
+    if not isinstance(node, dict):
+        return []
+    first = lambda *keys: next((node[k] for k in keys if node.get(k)), None)
+    name, price, minor, out = first("name", "itemName", "title"), first("price", "basePrice", "defaultPrice", "finalPrice", "priceMonetaryFields", "prices"), False, []
+    if isinstance(price, dict):
+        small = next((price[k] for k in ("cents", "pence") if k in price), None)
+        amount = next((price[k] for k in ("unitAmount", "amount", "value") if price.get(k)), None)
+        minor = small is not None or amount is not None and ("currency" in price or "currencyCode" in price)
+        price = amount if small is None else small
+    value = None if price is None or isinstance(price, list | dict) else _number(price)
+    if name and value is not None:
+        if minor or value > LARGE.get(currency or "", float("inf")):
+            value /= 100
+        if 0 < value < 1_000_000:
+            out.append((str(name)[:200], round(value, 2), currency))
+    for x in node.values():
+        out += generic_items(x, currency, depth + 1, most)
+    return out
+
+
+def json_items(blocks: DataFrame, keep: list[str], blob: str, find) -> DataFrame:
+    """(keep..., ord, name, price, currency) of what find(document) gives for the JSON in `blob`, or for each document of a JSON list; what doesn't parse gives nothing."""
+
+    @F.pandas_udf(ITEM)
+    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out = []
+            for text in s:
+                try:
+                    tree = json.loads(text) if text else None
+                    found = [i for x in (tree if isinstance(tree, list) else [tree]) for i in find(x)]
+                except (ValueError, RecursionError):
+                    found = []
+                out.append([{"name": n, "price": p, "currency": c} for n, p, c in found])
+            yield pd.Series(out)
+
+    rows = blocks.select(*keep, F.posexplode(items(blob)).alias("ord", "i"))
+    return rows.select(*keep, "ord", "i.name", "i.price", "i.currency")
+
+
+def _in_page_order(rows: DataFrame) -> DataFrame:
+    """rows(page_id, block, ord, ...) numbered over the page; of equal names and prices the first stays."""
+    order = Window.partitionBy("page_id").orderBy("block", "ord")
+    first = Window.partitionBy("page_id", F.lower("name"), F.round("price", 2)).orderBy("block", "ord")
+    rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    return rows.withColumn("ord", F.row_number().over(order) - 1).select("page_id", "ord", "name", "price", "currency")
+
+
+def typed_items(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, name, price, currency) of the MenuItem nodes in a page's JSON-LD blocks."""
+    blocks = pages.select("page_id", F.posexplode(script_blocks("html", "ld\\+json")).alias("block", "blob"))
+    return _in_page_order(json_items(blocks, ["page_id", "block"], "blob", menu_items))
+
+
+def any_items(pages: DataFrame, currency: str | None = None, kind: str = "(?:json|__NEXT_DATA__)") -> DataFrame:
+    """(page_id, ord, name, price, currency) of all named and priced nodes in a page's JSON scripts, by generic_items()."""
+    blocks = pages.select("page_id", F.posexplode(script_blocks("html", kind)).alias("block", "blob"))
+    return _in_page_order(json_items(blocks, ["page_id", "block"], "blob", lambda x: generic_items(x, currency)))
+
+
+def dom_items(pages: DataFrame, marker: str, name: str, price: str, most: int = 4000, bound: float = 10_000.0) -> DataFrame:
+    """(page_id, ord, name, price, currency) of markup items: a page is cut at the marker, and each part's first `most` characters give the first match of the name and of the price pattern."""
+    from tallyfield.functions.columns import stripped_html
+
+    parts = pages.where(F.regexp_like("html", F.lit(marker))).select("page_id", F.posexplode(F.slice(F.split("html", marker), 2, 1_000_000)).alias("ord", "part"))
+    part = F.left("part", F.lit(most))
+    rows = parts.select("page_id", F.lit(0).alias("block"), "ord", F.left(stripped_html(F.regexp_extract(part, name, 1)), F.lit(120)).alias("name"), F.regexp_extract(F.regexp_replace(stripped_html(F.regexp_extract(part, price, 1)), ",", ""), r"(\d+(?:\.\d{1,2})?)", 1).try_cast("double").alias("price"), F.lit(None).cast("string").alias("currency"))
+    return _in_page_order(rows.where((F.col("name") != "") & (F.col("price") > 0) & (F.col("price") < bound)))
+
+
+def name_price_pairs(texts: DataFrame, key: str, text: str, most: int = 60, bound: float = 10_000.0) -> DataFrame:
+    """(key, ord, name, price) of name and price fields that stand side by side in either order, name first ones before the others; at most `most` of each key."""
+    name, price = r'"name"\s*:\s*"([^"]{2,80})"', r'"(?:price|basePrice|defaultPrice|regularPrice)"\s*:\s*"?(\d+(?:\.\d{1,2})?)"?'
+    found = lambda p, n, v, way: F.transform(F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(n)).alias("n"), F.regexp_extract_all(text, F.lit(p), F.lit(v)).alias("v")), lambda x, i: F.struct(F.lit(way).alias("way"), i.alias("at"), x["n"].alias("name"), x["v"].try_cast("double").alias("price")))
+    rows = texts.select(key, F.inline(F.concat(found(name + r"\s*,\s*" + price, 1, 2, 0), found(price + r"\s*,\s*" + name, 2, 1, 1)))).where((F.col("price") > 0) & (F.col("price") < bound))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(key, "name", "price").orderBy("way", "at"))).where("k = 1")
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("way", "at")) - 1).where(F.col("ord") < most)
+    return rows.select(key, "ord", "name", "price")
+
+
+def name_from_markup(html: Column | str, most: int = 100) -> Column:
+    """A page's own name: of the store in its state script, else of its first root-level Restaurant in JSON-LD (entities decoded); null for labels that stand for no store."""
+    state = F.get(script_blocks(html, "__NEXT_DATA__"), F.lit(0))
+    stores = F.from_json(F.get_json_object(state, "$.props.initialReduxState.pageRestaurantDetail.entities"), "map<string, struct<name: string>>")
+    store = F.nullif(F.trim(F.get(F.map_values(stores), F.lit(0))["name"]), F.lit(""))
+    root = F.filter(script_blocks(html, "ld\\+json"), lambda x: (F.get_json_object(x, "$['@type']") == "Restaurant") & (F.coalesce(F.get_json_object(x, "$.name"), F.lit("")) != ""))
+    named = F.get_json_object(F.get(root, F.lit(0)), "$.name")
+    for entity, plain in (("&apos;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+        named = F.replace(named, F.lit(entity), F.lit(plain))
+    named = F.nullif(F.trim(named), F.lit(""))
+    return F.coalesce(F.left(store, F.lit(most)), F.when(~F.lower(named).rlike(PLACEHOLDER), F.left(named, F.lit(most))))
+
+
+def extract_with_fallback(pages: DataFrame, price: str, typed_most: int = 30, text_most: int = 20, bound: float = 500_000.0, quoted: str = "quoted price") -> DataFrame:
+    """(page_id, ord, name, price): a page's first typed items; of pages without any, the first distinct amounts that the price pattern's group finds in its text."""
+    from tallyfield.functions.columns import stripped_html
+
+    typed = typed_items(pages).where(F.col("ord") < typed_most).select("page_id", "ord", "name", "price")
+    rest = pages.join(typed.select("page_id").distinct(), "page_id", "left_anti")
+    amounts = F.transform(F.regexp_extract_all(stripped_html("html"), F.lit(price), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))
+    good = F.filter(F.array_distinct(amounts), lambda x: (x > 0) & (x < bound))
+    text = rest.select("page_id", F.posexplode(F.slice(good, 1, text_most)).alias("ord", "price")).select("page_id", "ord", F.lit(quoted).alias("name"), "price")
+    return typed.unionByName(text)
+
+
 def walk_items(blocks: DataFrame, keep: list[str], blob: str, bound: float = 100_000.0) -> DataFrame:
     """(keep..., ord, name, price, currency) of the JSON in `blob`; what doesn't parse gives nothing."""
 
@@ -155,6 +294,7 @@ def name_from_url(url: Column | str, label: str) -> Column:
     path = F.regexp_extract(col(url), "^[a-z]+://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & ~F.lower(p).isin("menu", "order", "delivery", "restaurant", "store"))
     slug = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    slug = F.coalesce(F.try_url_decode(slug), slug)
     named = F.left(F.trim(F.regexp_replace(F.regexp_replace(slug, "\\.html?$", ""), "[-_]+", " ")), F.lit(80))
     hashed = F.concat(F.lit("store "), F.left(F.md5(slug), F.lit(8)))
     return F.concat(F.when(slug.startswith("$"), hashed).otherwise(named), F.lit(f" ({label})"))
