@@ -43,7 +43,7 @@ class Tables:
     def observations(self) -> DataFrame:
         """Price observations: the star of lineitem, part, supplier and nation."""
         pick = lambda key, values: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
-        df = self.read("lineitem").join(self.read("part"), F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(self.read("supplier").join(F.broadcast(self.read("nation")), F.col("s_nationkey") == F.col("n_nationkey"))), F.col("l_suppkey") == F.col("s_suppkey"))
+        df = self.read("lineitem").join(self.read("part"), F.col("l_partkey") == F.col("p_partkey")).join(self.read("supplier").join(F.broadcast(self.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
         key = F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), F.date_format("l_shipdate", "yyyy-MM-dd"))
         df = df.select(
             key.alias("obs_key"), F.col("s_name").alias("restaurant_name"), F.col("p_name").alias("item_name"), F.col("n_name").alias("country"), F.col("p_type").alias("category"),

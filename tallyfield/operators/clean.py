@@ -55,7 +55,7 @@ def exclude_sources(df: DataFrame, sources: list[str]) -> DataFrame:
 def quarantine(df: DataFrame, slices: list[tuple[str, str]]) -> DataFrame:
     """df without the (country, source) slices, which stay a small dimension."""
     slices = df.sparkSession.createDataFrame(slices, "country string, source string")
-    return df.join(F.broadcast(slices), ["country", "source"], "left_anti")
+    return df.join(slices, ["country", "source"], "left_anti")
 
 
 def cap_rows(df: DataFrame, keys: list[str], n: int, seed: str, unique: Column | str) -> DataFrame:

@@ -101,7 +101,7 @@ def erased(df: DataFrame, users: DataFrame, pii: list[str], keep: bool) -> DataF
     """df without the users' rows, or (keep) with those rows' personal columns emptied."""
     if not keep:
         return df.join(users, "user_id", "left_anti")
-    out = df.join(F.broadcast(users.withColumn("_gone", F.lit(True))), "user_id", "left")
+    out = df.join(users.distinct().withColumn("_gone", F.lit(True)), "user_id", "left")
     return out.withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in [*pii, "user_id"]}).drop("_gone")
 
 

@@ -15,14 +15,19 @@ def monthly_panel(df: DataFrame) -> DataFrame:
     return df.groupBy(*keys).agg(F.median("price_usd").alias("price_usd"), F.min_by("quality_signals", "obs_key").alias("quality_signals"))
 
 
+def _months(panel: DataFrame) -> DataFrame:
+    """(country, month, t, next): the country's observed months, numbered from 1, each with the one after it; a row for each month, not for each item."""
+    order = Window.partitionBy("country").orderBy("month")
+    months = panel.select("country", "month").distinct()
+    return months.withColumn("t", F.row_number().over(order)).withColumn("next", F.lead("month").over(order))
+
+
 def price_relatives(panel: DataFrame) -> DataFrame:
     """Geomean of item price ratios against the country's previous observed month, by country, sector, category and month."""
-    order = Window.partitionBy("country").orderBy("month")
-    ranked = panel.withColumn("t", F.dense_rank().over(order))
     keys = ["country", "sector", "category", "restaurant_name", "item_name"]
-    before = ranked.select(*keys, (F.col("t") + 1).alias("t"), F.col("price_usd").alias("before"))
+    before = panel.join(_months(panel).select("country", "month", "next"), ["country", "month"]).select(*keys, F.col("next").alias("month"), F.col("price_usd").alias("before"))
     price, adjusted = hedonic("price_usd", "quality_signals")
-    pairs = ranked.join(before, [*keys, "t"]).withColumn("adjusted", adjusted).withColumn("ratio", price / F.col("before"))
+    pairs = panel.join(before, [*keys, "month"]).withColumn("adjusted", adjusted).withColumn("ratio", price / F.col("before"))
     ok = (F.col("ratio") > 0.01) & (F.col("ratio") < 100)
     out = pairs.groupBy("country", "sector", "category", "month").agg(
         geomean(F.when(ok, F.col("ratio"))).alias("price_relative"), F.count_if(ok).alias("item_count"), F.count_if("adjusted").alias("adjusted_count")
@@ -31,14 +36,23 @@ def price_relatives(panel: DataFrame) -> DataFrame:
 
 
 def absence_streaks(panel: DataFrame, most: int = 3) -> DataFrame:
-    """Per country and month, items absent for more than `most` observed months in a row; counting starts at the second month."""
-    months = panel.select("country", "month").distinct().withColumn("t", F.dense_rank().over(Window.partitionBy("country").orderBy("month")))
-    items = panel.select("country", "restaurant_name", "item_name").distinct()
-    seen = panel.select("country", "month", "restaurant_name", "item_name").distinct().withColumn("seen", F.lit(1))
-    grid = items.join(months, "country").join(seen, ["country", "month", "restaurant_name", "item_name"], "left")
-    w = Window.partitionBy("country", "restaurant_name", "item_name").orderBy("t")
-    last = F.coalesce(F.max(F.when(F.col("seen") == 1, F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
-    return grid.withColumn("absent", F.col("t") - last).where(F.col("absent") > most).groupBy("country", "month").agg(F.count(F.lit(1)).alias("absent_items"))
+    """Per country and month, items absent for more than `most` observed months in a row; counting starts at the second month.
+
+    Each item gives the ends of its long absences, not a row for each month of them; the counts of
+    absent items are the running sums of absences that begin less those that are over.
+    """
+    months = _months(panel).select("country", "month", "t")
+    seen = panel.select("country", "restaurant_name", "item_name", "month").distinct().join(months, ["country", "month"])
+    last = months.groupBy("country").agg(F.max("t").alias("last"))
+    item = Window.partitionBy("country", "restaurant_name", "item_name").orderBy("t")
+    seen = seen.join(last, "country").withColumn("before", F.lag("t").over(item)).withColumn("after", F.coalesce(F.lead("t").over(item), F.col("last") + 1))
+    gap = lambda start, end: F.when(start < end, F.array(F.struct(start.alias("t"), F.lit(1).alias("step")), F.struct(end.alias("t"), F.lit(-1).alias("step"))))
+    none = F.array().cast("array<struct<t: int, step: int>>")
+    lead_in = F.when(F.col("before").isNull(), gap(F.lit(most + 2), F.col("t")))
+    ends = seen.select("country", F.inline(F.concat(F.coalesce(lead_in, none), F.coalesce(gap(F.col("t") + most + 1, F.col("after")), none))))
+    steps = ends.groupBy("country", "t").agg(F.sum("step").alias("step"))
+    running = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy("country").orderBy("t"))
+    return months.join(steps, ["country", "t"], "left").withColumn("absent_items", running).where("absent_items > 0").select("country", "month", "absent_items")
 
 
 def combined(weights: Column, both_needed: bool = False) -> Column:

@@ -112,7 +112,7 @@ def gap_absent_brand(runs: DataFrame, counts: DataFrame, citations: DataFrame, m
     asked = recent.where(F.col("source") == model_source).select("query_id").distinct()
     brands = counts.where("entity_type = 'brand'").select("entity_id").distinct()
     seen = counts.where((F.col("n") > 0) & (F.col("source") == model_source) & (F.col("run_date") > F.date_sub(now, params.GAP_DAYS))).select("query_id", "entity_id").distinct()
-    absent = asked.join(F.broadcast(brands)).join(seen, ["query_id", "entity_id"], "left_anti")
+    absent = asked.join(brands).join(seen, ["query_id", "entity_id"], "left_anti")
     last = recent.where(F.col("source") == search_source).groupBy("query_id").agg(F.max(F.struct("run_date", "run_id")).alias("m")).select("query_id", F.col("m.run_id").alias("run_id"))
     urls = citations.join(last, "run_id").where(F.col("place") <= params.GAP_TOP).where(host("url").endswith(forum)).select("query_id", "url").distinct()
     return absent.join(urls, "query_id")

@@ -57,7 +57,7 @@ def load_reference_csv(spark, path: str, roster: DataFrame, number: list[str]) -
     """Rows of a CSV whose iso3 is in the roster, dates cut to the day, numbers or null; rows without a date go."""
     df = spark.read.csv(path, header=True)
     out = df.withColumn("date", F.try_to_date(F.left("date", F.lit(10)))).withColumns({c: F.col(c).try_cast("double") for c in number})
-    return out.where("date is not null").join(F.broadcast(roster), "iso3", "left_semi")
+    return out.where("date is not null").join(roster, "iso3", "left_semi")
 
 
 def resolve_rates(snapshots: DataFrame, now: Column, hours: int = 24) -> DataFrame:

@@ -115,7 +115,7 @@ def refresh_index(stream: DataFrame, history: Callable[[], DataFrame], build: Ca
 
     def batch(rows: DataFrame, _: int) -> None:
         touched = rows.select(key).distinct()
-        fresh = build(history().join(F.broadcast(touched), key, "left_semi"))
+        fresh = build(history().join(touched, key, "left_semi"))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
 
     return stream.writeStream.foreachBatch(batch)
