@@ -117,11 +117,19 @@ def _(t: Tables) -> DataFrame:
 
 @query("ingest_runs", sql("runs", "select query_id, source, run_date, min(run_id) as run_id from runs group by query_id, source, run_date"))
 def _(t: Tables) -> DataFrame:
-    from tallyfield.operators.clean import append_new
+    r = t.runs.select("query_id", "source", "run_date", "run_id")
+    return mentions.ingest_runs(r.limit(0), r)
 
-    keys = ["query_id", "source", "run_date"]
-    r = t.runs.select(*keys, "run_id")
-    return append_new(r.limit(0), r, keys, "run_id")
+
+_DAYS = "a as (select query_id, source, run_date, min(run_id) as run_id from runs where run_id % 2 = 0 group by all), b as (select query_id, source, run_date, max(-run_id) as minus, min(run_id) as run_id from runs where run_id % 3 = 0 group by all)"
+
+
+@query("rerun_days", sql("runs", f", {_DAYS} select query_id, source, run_date, run_id, false as forced from a union all select query_id, source, run_date, run_id, false from b anti join a using (query_id, source, run_date) union all select query_id, source, run_date, run_id, true from b union all select query_id, source, run_date, run_id, true from a anti join b using (query_id, source, run_date)"))
+def _(t: Tables) -> DataFrame:
+    r = t.runs.select("query_id", "source", "run_date", "run_id")
+    first = mentions.ingest_runs(r.limit(0), r.where("run_id % 2 = 0"))
+    kept, forced = (mentions.ingest_runs(first, r.where("run_id % 3 = 0"), force).withColumn("forced", F.lit(force)) for force in (False, True))
+    return kept.unionByName(forced)
 
 
 @query("list_runs", sql("runs", "select run_id, source, run_date from runs where source = 'kind1' and run_date >= date '2024-02-01' order by run_date desc, run_id desc limit 50"))
@@ -271,6 +279,12 @@ def _(t: Tables) -> DataFrame:
     return guardrails.karma_trend(_karma(t), F.lit("2024-01-31 00:00:00").cast("timestamp")).select("user_id", F.round("total", 2).alias("total"), "status")
 
 
+@query("removal_gaps", sql("posts", ", l as (select * from (select * from posts qualify row_number() over (partition by user_id order by posted_at desc, post_id desc) <= 30) where is_removed), g as (select user_id, (epoch_us(posted_at) - epoch_us(lag(posted_at) over (partition by user_id order by posted_at, post_id))) / 86400e6 as gap from l) select user_id, count(*) as removed, round(avg(gap), 6) as mean_gap, round(stddev_pop(gap), 6) as gap_deviation from g group by all"))
+def _(t: Tables) -> DataFrame:
+    out = guardrails.removal_gaps(t.posts)
+    return out.select("user_id", "removed", F.round("mean_gap", 6).alias("mean_gap"), F.round("gap_deviation", 6).alias("gap_deviation"))
+
+
 @query("slow_burn", sql("posts", ", l as (select * from posts qualify row_number() over (partition by user_id order by posted_at desc, post_id desc) <= 30) select user_id, count(*) as posts, count(*) filter (is_removed) as removed, coalesce(count(*) = 30 and count(*) filter (is_removed) / count(*) > 0.1 and count(*) filter (is_removed) >= 2 and max(posted_at) filter (is_removed) - min(posted_at) filter (is_removed) >= interval 7 day, false) as alert from l group by all"))
 def _(t: Tables) -> DataFrame:
     return guardrails.slow_burn(t.posts)

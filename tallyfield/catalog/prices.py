@@ -353,6 +353,20 @@ def _(t: Tables) -> DataFrame:
     return quality.ingest_alarms(quality.delta(quality.snapshot(o.where("month < date'2001-11-01'")), quality.snapshot(o)), 2300)
 
 
+@query("row_guard", sql("obs", "select count(*) as rows, count(*) >= 50000 as enough from obs"))
+def _(t: Tables) -> DataFrame:
+    o = t.observations
+    return quality.row_guard(quality.delta(quality.snapshot(o.where("month < date'2001-11-01'")), quality.snapshot(o)))
+
+
+@query("merge_informal_currency", sql("obs", "select currency, count(*) as n from (select distinct on (restaurant_name, item_name) 'USD' as currency from obs where source = 'src1' and price_usd > 0 and country in ('NATION_1', 'NATION_2')) group by all"))
+def _(t: Tables) -> DataFrame:
+    o = t.observations.where("source = 'src1'")
+    new = o.select(F.col("restaurant_name").alias("image_filename"), "item_name", F.col("price").alias("price_local"), "price_usd", F.col("country").alias("country_code"), F.col("collection_date").cast("string").alias("collection_date"), F.lit(1).alias("processed"))
+    base = o.limit(0).select("item_name", "price", "price_usd", "country", "sector", "currency", F.col("collection_date").cast("string").alias("collection_date"), F.lit(None).cast("string").alias("source_image"))
+    return clean.merge_informal(base, new, {"NATION_1": "NATION_1", "NATION_2": "NATION_2"}, "2000-01-01", "USD").groupBy("currency").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("price_counts", sql("cleaned", "select country, count(*) filter (sector = 'formal') as formal_items, count(*) filter (sector = 'informal') as informal_items, count(distinct restaurant_name) filter (sector = 'formal') as formal_restaurants, count(distinct restaurant_name) filter (sector = 'informal') as informal_restaurants, round(avg(price_usd) filter (sector = 'formal'), 2) as formal_mean, round(avg(price_usd) filter (sector = 'informal'), 2) as informal_mean from cleaned group by all"))
 def _(t: Tables) -> DataFrame:
     return quality.price_counts(t.cleaned)

@@ -103,6 +103,12 @@ def _(t: Tables) -> DataFrame:
     return series.yoy(t.cpi, K, "cpi").select("country", month_column(), "yoy")
 
 
+@query("yoy_noted", sql("cpi", ", c as (select *, extract(month from month) = 6 as s from cpi) select a.country, strftime(a.month, '%Y-%m') as month, case when b.cpi > 0 and not a.s and not b.s then round((a.cpi / b.cpi - 1) * 100, 2) end as yoy from c a join c b on a.country = b.country and a.month = b.month + interval 12 month"))
+def _(t: Tables) -> DataFrame:
+    noted = t.cpi.withColumn("note", F.when(F.month("month") == 6, "mean-price fallback: few items"))
+    return series.yoy_noted(noted, K, "cpi", "note").select("country", month_column(), "yoy")
+
+
 @query("latest_valid", sql("cpi", ", v as (select country, month, case when extract(month from month) % 5 = 0 then food end as v from cpi) select country, strftime(month, '%Y-%m') as month, round(v, 4) as v from v qualify row_number() over (partition by country order by v is not null desc, month desc) = 1"))
 def _(t: Tables) -> DataFrame:
     return series.latest_valid(t.cpi.withColumn("v", F.when(F.month("month") % 5 == 0, F.col("food"))), K, "v").select("country", month_column(), R("v"))

@@ -90,13 +90,16 @@ def price_bounds(df: DataFrame, bounds: dict[str, float], default: float) -> Dat
     return df.where((F.col("price") > 0) & (F.col("price") < lookup("source", bounds, default)))
 
 
-def merge_informal(prices: DataFrame, informal: DataFrame, countries: dict[str, str], month: str) -> DataFrame:
-    """prices with the usable image-derived rows added: processed, priced, named, of known countries, and new by (image, item)."""
+def merge_informal(prices: DataFrame, informal: DataFrame, countries: dict[str, str], month: str, currency: str | None = None) -> DataFrame:
+    """prices with the usable image-derived rows added: processed, priced, named, of known countries, and new by (image, item); with `currency` rows without a currency get that one."""
     new = informal.where((F.col("processed") == 1) & (F.col("price_usd") > 0) & (F.trim("item_name") != "") & F.col("country_code").isin(list(countries)))
     new = new.select(
         F.col("image_filename").alias("source_image"), "item_name", F.col("price_local").alias("price"), "price_usd", lookup("country_code", countries).alias("country"),
         F.lit("informal").alias("sector"), F.coalesce("collection_date", F.lit(month)).alias("collection_date"),
     )
+    if currency:
+        known = informal.where(F.col("currency_symbol").isNotNull()).select(F.col("image_filename").alias("source_image"), "item_name", F.col("currency_symbol").alias("currency")) if "currency_symbol" in informal.columns else None
+        new = new.withColumn("currency", F.lit(currency)) if known is None else new.join(known.dropDuplicates(["source_image", "item_name"]), ["source_image", "item_name"], "left").withColumn("currency", F.coalesce("currency", F.lit(currency)))
     new = new.dropDuplicates(["source_image", "item_name"]).join(prices.where("source_image is not null").select("source_image", "item_name"), ["source_image", "item_name"], "left_anti")
     return prices.unionByName(new, allowMissingColumns=True)
 

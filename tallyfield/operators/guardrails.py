@@ -148,6 +148,14 @@ def slow_burn(posts: DataFrame, window: int = params.BURN_WINDOW) -> DataFrame:
     return out.withColumn("alert", F.coalesce(ok, F.lit(False))).drop("span")
 
 
+def removal_gaps(posts: DataFrame, window: int = params.BURN_WINDOW) -> DataFrame:
+    """Per user the mean and the population deviation, in days, of the gaps between removals among the last posts; null under two removals."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("posted_at"), F.desc("post_id"))
+    last = posts.withColumn("k", F.row_number().over(order)).where((F.col("k") <= window) & F.col("is_removed"))
+    gap = (_seconds("posted_at") - F.lag(_seconds("posted_at")).over(Window.partitionBy("user_id").orderBy("posted_at", "post_id"))) / (DAY * 1_000_000)
+    return last.withColumn("gap", gap).groupBy("user_id").agg(F.count(F.lit(1)).alias("removed"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("gap_deviation"))
+
+
 def health_state(checks: DataFrame) -> DataFrame:
     """Per user the last status and since when it has been suspect without an ok in between."""
     w = Window.partitionBy("user_id").orderBy("checked_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -77,6 +77,16 @@ def cache_misses(scored: DataFrame) -> DataFrame:
     return scored.where("sentiment is null").select("text_hash", "entity_id").distinct()
 
 
+def ingest_runs(target: DataFrame, updates: DataFrame, force: bool = False) -> DataFrame:
+    """target with the runs of updates, the first run_id of each (query, source, day); a day that is there already stays, or with `force` is replaced."""
+    from tallyfield.operators.clean import append_new, upsert
+
+    keys = ["query_id", "source", "run_date"]
+    if not force:
+        return append_new(target, updates, keys, "run_id")
+    return upsert(target, append_new(updates.limit(0), updates, keys, "run_id"), keys)
+
+
 def cost_decisions(runs: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Runs in order of a day with the source's cents used before and whether the next fits under its cap (0 or less: no cap)."""
     from tallyfield.functions.columns import lookup

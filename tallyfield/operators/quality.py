@@ -81,6 +81,11 @@ def ingest_alarms(change: DataFrame, least: int) -> DataFrame:
     return change.select("country", alarm.alias("alarm")).where("alarm is not null")
 
 
+def row_guard(change: DataFrame, least: int = 50_000) -> DataFrame:
+    """One row: all rows after an ingest, and whether there are at least so many."""
+    return change.agg(F.coalesce(F.sum("rows_after"), F.lit(0)).alias("rows")).withColumn("enough", F.col("rows") >= least)
+
+
 def failure_alert(runs: DataFrame, key: str, failed: str, share: float = 0.5) -> DataFrame:
     """Failure rate of each key and whether it reaches the share."""
     rate = F.count_if(F.col(failed)) / rows_of()

@@ -122,6 +122,15 @@ def yoy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("yoy", F.when(F.col("before") > 0, F.round((F.col(value) / F.col("before") - 1) * 100, 2)))
 
 
+def yoy_noted(df: DataFrame, keys: list[str], value: str, note: str, fallback: str = "mean-price fallback") -> DataFrame:
+    """yoy(), null where the note of either month says that the fallback stood in."""
+    stood_in = F.coalesce(F.col(note), F.lit("")).contains(fallback)
+    noted = df.select(*keys, "month", stood_in.alias("_now"))
+    earlier = noted.select(*keys, F.add_months("month", 12).alias("month"), F.col("_now").alias("_then"))
+    out = yoy(df, keys, value).join(noted, [*keys, "month"]).join(earlier, [*keys, "month"])
+    return out.withColumn("yoy", F.when(~F.col("_now") & ~F.col("_then"), F.col("yoy"))).drop("_now", "_then")
+
+
 def latest_valid(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The latest month with a value, else the latest month."""
     return df.groupBy(*keys).agg(F.max_by(F.struct("month", value), F.struct(F.col(value).isNotNull(), F.col("month"))).alias("m")).select(*keys, "m.*")
