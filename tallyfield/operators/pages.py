@@ -16,6 +16,8 @@ ITEM = "array<struct<name: string, price: double, currency: string>>"
 MINOR_UNITS = {"VND": 0, "JPY": 0, "KRW": 0, "IDR": 2}
 # Node types that are never menu items.
 NOT_ITEMS = {"PostalAddress", "GeoCoordinates", "Restaurant", "FoodEstablishment", "Place", "LocalBusiness", "BreadcrumbList", "AggregateRating", "Review"}
+#: Further node types that name no dish.
+OTHER_TYPES = {"Organization", "ListItem", "WebSite", "Person"}
 
 
 # The largest plausible price of a currency in major units.
@@ -67,7 +69,7 @@ def walk(node, bound: float, depth: int = 0, most: int = 40) -> list[tuple]:
     elif isinstance(node, dict):
         name = node.get("name") or node.get("title")
         kind = node.get("@type")
-        if isinstance(name, str) and name.strip() and not (isinstance(kind, str) and kind in NOT_ITEMS):
+        if isinstance(name, str) and name.strip() and not (isinstance(kind, str) and kind in NOT_ITEMS | OTHER_TYPES):
             price, currency = _price(node)
             if price is not None and 0 < price < bound:
                 out.append((name.strip(), price, currency))
