@@ -181,10 +181,11 @@ def test_band_keys_lose_no_short_pair():
         two = np.r_[one[r.random(size) > 0.08], x[r.choice(4000, int(r.integers(0, 4)), replace=False)], one[:1]]
         both = np.r_[one, two, one[:3]]
         low, high = np.array([0, len(one)]), np.array([len(one), len(one) + len(two)])
-        sizes, sketch, counts, keys = passages._band_keys(both, low, high, 80)
+        sizes, sketch, wide, counts, keys = passages._band_keys(both, low, high, 80)
         a, b = set(one.tolist()), set(two.tolist())
         assert sizes.tolist() == [len(a), len(b)] and len(keys) == counts.sum()
         assert bin((int(sketch[0]) ^ int(sketch[1])) & 0xFFFFFFFF).count("1") <= len(a ^ b)
+        assert bin((int(wide[0]) ^ int(wide[1])) & (2**64 - 1)).count("1") <= len(a ^ b)
         if 100 * len(a & b) >= 80 * len(a | b) and max(len(a), len(b)) <= passages.SHORT:
             n += 1
             assert set(keys[: counts[0]].tolist()) & set(keys[counts[0] :].tolist())
