@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, discard, small, stash
 
+#: Edges of a task: a table of links is read in as many parts as it needs, whatever the number of shuffle partitions.
+EDGES = 200_000
 #: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
 HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
 
@@ -27,6 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
+    edges = edges.coalesce(max(1, -(-mark[0] // EDGES)))
     for _ in range(rounds):
         if not mark[0]:
             break
@@ -79,7 +82,7 @@ def shared_keys(postings: DataFrame, alone: bool = False) -> DataFrame:
     return stash(out, "shared")
 
 
-def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column]) -> DataFrame:
+def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits: Callable[[Column, Column], Column], wide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) links that connect all that any pair sharing a key would connect.
 
     shared: see shared_keys(); verified: keeps the pairs (a, b) that do link; fits: a condition on
@@ -87,8 +90,10 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     node is tried against the hub that it meets on the most keys. Only keys whose nodes then still
     lie in several components give further pairs, and of those only the pairs across components:
     every other pair could not change a component. A hot key's joins are plain shuffled joins, whose
-    skewed partitions Spark splits.
+    skewed partitions Spark splits. wide(nodes) gives (node, wide) of those that take part in the
+    further pairs, for fits to look at; up to then wide is null.
     """
+    shared = shared.withColumns({c: F.col(c).withField("wide", F.lit(None).cast("long")) for c in ("me", "hub")})
     near = shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).groupBy("me.node", F.col("hub.node").alias("to")).agg(F.count(F.lit(1)).alias("n"))
     best = near.groupBy("node").agg(F.max(F.struct("n", "to")).alias("best"))
     tried = cut(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct())
@@ -97,6 +102,11 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     part = shared.select("key", "me", F.col("me.node").alias("node")).join(label, "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
     parts = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     part = stash(part.join(parts, "key"), "open")
+    if wide:
+        own = cut(wide(cut(part.select("me.node").distinct())))
+        narrow, part = part, part.withColumn("node", F.col("me.node")).join(small(own), "node").select("key", F.col("me").withField("wide", F.col("wide")).alias("me"), "part")
+        part = stash(part, "open")
+        discard(narrow)
     x, y = part.alias("x"), part.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
     rest = x.join(y, across).select(F.least("x.me.node", "y.me.node").alias("a"), F.greatest("x.me.node", "y.me.node").alias("b")).distinct()

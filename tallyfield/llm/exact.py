@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, fresh, stash
+from .shared import ascii_lower, fresh, small, stash
 
 
 def representatives(df: DataFrame, key: list[str], order: str, runs: int = 64, fan_in: int = 8) -> DataFrame:
@@ -67,7 +67,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc_id never stays beside another; long texts are hashed whole; an empty table stays empty.
     """
     key = ["doc_id", "digest", "check", "n_bytes"]
-    dropped = stash(_decided(docs, F.col("text")).where("not kept").select(key).distinct(), "dropped").alias("x")
+    dropped = small(stash(_decided(docs, F.col("text")).where("not kept").select(key).distinct(), "dropped")).alias("x")
     own = ["doc_id", *(fresh(c, docs.columns) for c in key[1:])]
     rows = docs.withColumns(dict(zip(own[1:], _key(F.col("text")), strict=True))).alias("d")
     same = [F.col(f"d.{o}").eqNullSafe(F.col(f"x.{c}")) if c == "doc_id" else F.col(f"d.{o}") == F.col(f"x.{c}") for o, c in zip(own, key, strict=True)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, linked, shared_keys
-from .shared import cut, filled, stash
+from .shared import cut, filled, small, stash
 from .shingles import Hashes, mixed, shingle_set
 from .verify import verified_pairs
 
@@ -191,4 +191,4 @@ def one_of_each_group(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     tells which of them to drop. Texts without words stay; an empty table stays empty. See similar_documents() for the rest.
     """
     drop = stash(similar_documents(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "similar")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(drop), "doc_id", "left_anti").select(docs.columns)
