@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, jaccard, mixing, packing, passages, quality, tokens, urls, vectors, warc
+from . import exact, jaccard, mixing, packing, passages, quality, tokens, trie, urls, vectors, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,6 +60,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,10 +80,41 @@ from d
 """
 
 
+#: The 256 steps of crc32, and the sum over the bytes of an ASCII string.
+TRIE_SQL = """
+with steps as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
+  from (select range as i from range(256))
+), turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) as pos,
+         {'role': coalesce(role, ''), 'said': coalesce(text, '')} as turn
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, list(turn order by pos) as own, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
+         lambda c, b: xor(c >> 8, any_value(tab)[(xor(c, b) & 255) + 1]))) % 6 as h
+  from turns, steps group by conv_id
+), rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) as seq from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 100
+), paths as (
+  select conv_id, d as depth, seq[1:d] as node, d = len(seq) as ends from (select *, unnest(range(len(seq) + 1)) as d from rebuilt)
+), nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ids,
+         (count(*) - 1) * coalesce(length(node[depth].said), 0) as saved
+  from paths group by node, depth
+), kids as (select node[1:depth - 1] as node, count(*) as n_children from nodes where depth > 0 group by 1),
+below as (
+  select t.node[1:d] as node, count(*) filter (t.leaf) as n_leaves, sum(t.saved)::bigint as saved_tokens
+  from (select n.node, n.saved, k.node is null as leaf, unnest(range(n.depth + 1)) as d from nodes n left join kids k on n.node = k.node) t group by 1
+)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, b.n_leaves, b.saved_tokens, sha256(n.ids) as ends_sha256
+from nodes n join below b on b.node = n.node left join kids k on k.node = n.node left join nodes p on n.depth > 0 and p.node = n.node[1:n.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, pipeline)
+    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, op11_prefix_trie, pipeline)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact": EXACT_SQL, "op7_urls": urls.ORACLE}
+    return {"op4_exact": EXACT_SQL, "op7_urls": urls.ORACLE, "op11_prefix_trie": TRIE_SQL}

@@ -68,6 +68,18 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch(list):
+    """Stashed tables of one operator, deleted together once nothing reads them."""
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        self.append(stash(df, name))
+        return self[-1]
+
+    def free(self) -> None:
+        discard(*self)
+        self.clear()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else as it is. df must be cheap to count (cut or stashed)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
