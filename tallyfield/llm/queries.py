@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, jaccard, mixing, packing, passages, quality, tokens, trie, urls, vectors, warc
+from . import exact, jaccard, language, mixing, packing, passages, quality, tokens, trie, urls, vectors, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -64,6 +64,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_languages(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,7 +116,7 @@ from nodes n join below b on b.node = n.node left join kids k on k.node = n.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, op11_prefix_trie, pipeline)
+    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, op11_prefix_trie, op12_language, pipeline)
     return {f.__name__: f for f in names}
 
 
