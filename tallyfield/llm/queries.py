@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, jaccard, language, mixing, packing, passages, quality, tokens, trie, urls, vectors, warc
+from . import exact, jaccard, language, mixing, packing, passages, quality, spelling, tokens, trie, urls, vectors, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -68,6 +68,10 @@ def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.document_languages(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,14 +88,16 @@ from d
 """
 
 
-#: The 256 steps of crc32, and the sum over the bytes of an ASCII string.
-TRIE_SQL = """
-with steps as (
+#: The 256 steps of crc32.
+_CRC_STEPS = """steps as (
   select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
   from (select range as i from range(256))
-), turns as (
+)"""
+
+TRIE_SQL = f"""
+with {_CRC_STEPS}, turns as (
   select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) as pos,
-         {'role': coalesce(role, ''), 'said': coalesce(text, '')} as turn
+         struct_pack(role := coalesce(role, ''), said := coalesce(text, '')) as turn
   from conversations where conv_id is not null
 ), convs as (
   select conv_id, list(turn order by pos) as own, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)),
@@ -115,10 +121,40 @@ from nodes n join below b on b.node = n.node left join kids k on k.node = n.node
 """
 
 
+#: Words that lose one code point to the same rest at the same place are one replacement apart.
+SPELLING_SQL = f"""
+with recursive {_CRC_STEPS}, runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) as run from documents
+), hexed as (select run, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs where length(run) >= 7),
+hashed as (
+  select run, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i::bigint, 2))::bigint)),
+         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) as h from hexed, steps
+), words as (
+  select word, count(*) as n from (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from hashed)
+  where length(word) >= 7 group by word having count(*) >= 2
+), cuts as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, unnest(range(length(word))) as i from words)),
+shorter as (select distinct c.word as a, w.word as b from cuts c join words w on c.rest = w.word),
+pairs as (
+  select distinct x.word, y.word as near from cuts x join cuts y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+  union all select a, b from shorter union all select b, a from shorter
+), best as (
+  select p.word, count(*) as n_near, arg_min(p.near, row(-w.n, p.near)) as near, max(w.n) as near_n from pairs p join words w on w.word = p.near group by p.word
+), forms as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * w.n then b.near end as form, case when b.near_n >= 10 * w.n then b.near_n end as form_n
+  from words w left join best b on w.word = b.word
+), led as (
+  select word, form as root, 1 as steps from forms where form is not null
+  union all select l.word, f.form, l.steps + 1 from led l join forms f on f.word = l.root where f.form is not null
+)
+select f.word, f.form, coalesce(l.root, f.word) as root, f.n, f.n_near, f.form_n
+from forms f left join (select word, arg_max(root, steps) as root from led group by word) l on l.word = f.word
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, op11_prefix_trie, op12_language, pipeline)
+    names = (op1_warc, op2_passages, op3_vectors, op4_exact, op5_packing, op6_quality, op7_urls, op8_jaccard, op9_mixing, op10_tokens, op11_prefix_trie, op12_language, op13_spelling, pipeline)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact": EXACT_SQL, "op7_urls": urls.ORACLE, "op11_prefix_trie": TRIE_SQL}
+    return {"op4_exact": EXACT_SQL, "op7_urls": urls.ORACLE, "op11_prefix_trie": TRIE_SQL, "op13_spelling": SPELLING_SQL}
