@@ -13,6 +13,8 @@ from .shared import cut, discard, small, stash
 EDGES = 200_000
 #: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
 HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
+#: Sketches of tasks that are merged at a time.
+FAN = 8
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -50,9 +52,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def hot_keys(postings: DataFrame, most: int = HOT_KEYS, sketch: int = SKETCH) -> list[int]:
     """The keys that about HOT postings or more have, of the `most` most frequent ones, by mergeable bounded sketches.
 
-    What the sketch gets wrong costs speed alone: a key that is missed is gathered like any other.
+    The tasks' sketches meet in a tree of three levels, so that none merges those of all tasks. What
+    the sketch gets wrong costs speed alone: a key that is missed is gathered like any other.
     """
-    got = postings.agg(F.expr(f"approx_top_k(key, {most}, {sketch})").alias("top")).first()
+    level = postings.select(F.spark_partition_id().alias("part"), "key").groupBy((F.col("part") % FAN**2).alias("part")).agg(F.expr(f"approx_top_k_accumulate(key, {sketch})").alias("s"))
+    for fan in (FAN, 1):
+        level = level.groupBy((F.col("part") % fan).alias("part")).agg(F.expr(f"approx_top_k_combine(s, {sketch})").alias("s"))
+    got = level.select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top")).first()
+    if not got:
+        return []
     return [x["item"] for x in got["top"] or [] if x["count"] >= HOT]
 
 
@@ -93,7 +101,7 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     skewed partitions Spark splits. wide(nodes) gives (node, wide) of those that take part in the
     further pairs, for fits to look at; up to then wide is null.
     """
-    shared = shared.withColumns({c: F.col(c).withField("wide", F.lit(None).cast("long")) for c in ("me", "hub")})
+    shared = shared.withColumns({c: F.col(c).withField("wide", F.lit(None).cast("array<long>")) for c in ("me", "hub")})
     near = shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).groupBy("me.node", F.col("hub.node").alias("to")).agg(F.count(F.lit(1)).alias("n"))
     best = near.groupBy("node").agg(F.max(F.struct("n", "to")).alias("best"))
     tried = cut(best.select(F.least("node", "best.to").alias("a"), F.greatest("node", "best.to").alias("b")).distinct())

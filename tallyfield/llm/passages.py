@@ -24,6 +24,8 @@ MIN_WORDS, SHINGLE, BANDS, ROWS = 10, 5, 5, 2
 LONG, REACH = 30, 5
 #: Paragraphs of at most so many distinct shingles are banded by their smallest MinHash values, without loss.
 SHORT = 24
+#: Longs of the wider sketch, by which pairs across components are told apart.
+WIDE = 4
 #: Words that a run of repeated paragraphs has at least to be a passage.
 RUN = 30
 #: A fixed odd number and its inverse modulo 2**64, for hashes of word sequences.
@@ -145,7 +147,7 @@ def _reduced(f: np.ufunc, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
 
 
 def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(size, sketch, wide, counts, keys): how many distinct shingles x[low:high] each unit has, their odd sketches of 32 and of 64 bits, how many band keys it has, and the keys.
+    """(size, sketch, wide, counts, keys): how many distinct shingles x[low:high] each unit has, their odd sketches of 32 and of 64 * WIDE bits, how many band keys it has, and the keys.
 
     An odd sketch has a bit for each cell that an odd number of shingles falls into: two sketches
     differ in at most as many bits as there are shingles in one set only.
@@ -166,14 +168,15 @@ def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -
     got.sort(axis=1)
     kept[brief] = got
     size[brief] = (got != 2**64 - 1).sum(axis=1)
-    sketch, wide = np.zeros(len(low), np.uint32), np.zeros(len(low), np.uint64)
+    sketch, wide = np.zeros(len(low), np.uint32), np.zeros((len(low), WIDE), np.uint64)
     bit = lambda v: np.uint32(1) << (v & np.uint64(31)).astype(np.uint32)
-    wide_bit = lambda v: np.uint64(1) << ((v >> np.uint64(40)) & np.uint64(63))
+    wide_bit = lambda v, k: np.where((v >> np.uint64(46)) % np.uint64(WIDE) == k, np.uint64(1) << ((v >> np.uint64(40)) & np.uint64(63)), np.uint64(0))
     sketch[brief] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, bit(got), np.uint32(0)), axis=1)
-    wide[brief] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, wide_bit(got), np.uint64(0)), axis=1)
+    for k in range(WIDE):
+        wide[brief, k] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, wide_bit(got, k), np.uint64(0)), axis=1)
     for i in np.flatnonzero(high - low > SHORT):
         distinct = np.unique(x[low[i] : high[i]])
-        size[i], sketch[i], wide[i] = len(distinct), np.bitwise_xor.reduce(bit(distinct)), np.bitwise_xor.reduce(wide_bit(distinct))
+        size[i], sketch[i], wide[i] = len(distinct), np.bitwise_xor.reduce(bit(distinct)), [np.bitwise_xor.reduce(wide_bit(distinct, k)) for k in range(WIDE)]
         if len(distinct) <= SHORT:
             kept[i, : len(distinct)] = distinct
     few = np.where(size <= SHORT, size - -(-size * percent // 100) + 1, 0)
@@ -219,10 +222,10 @@ def paragraph_table(docs: DataFrame, percent: int, least: int = MIN_WORDS) -> Da
                 size, sketch, wide, counts, keys = _band_keys(x, u.low, last, percent)
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), keys)
                 ints = [pa.array(c.astype(np.int32)) for c in (number, low, high - low, start, length)]
-                columns = [part["doc_id"].take(pa.array(u.row)), pa.array(digest[u.row]), *ints, pa.array(_nodes(u)), pa.array(size.astype(np.int32)), pa.array(sketch), pa.array(wide), lists]
+                columns = [part["doc_id"].take(pa.array(u.row)), pa.array(digest[u.row]), *ints, pa.array(_nodes(u)), pa.array(size.astype(np.int32)), pa.array(sketch), pa.ListArray.from_arrays(np.arange(0, wide.size + 1, WIDE, dtype=np.int32), wide.ravel()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "number", "first_word", "n_words", "start", "length", "node", "size", "sketch", "wide", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, digest long, number int, first_word int, n_words int, start int, length int, node long, size int, sketch int, wide long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, digest long, number int, first_word int, n_words int, start int, length int, node long, size int, sketch int, wide array<long>, keys array<long>")
 
 
 def _in_runs(found: DataFrame, run: int, gap: int) -> DataFrame:
@@ -290,7 +293,8 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
     def fits(x, y):
         """Sketches differ in at most as many bits as there are shingles in one set only, of which linking sets have few."""
         xs, ys = x.getField("size"), y.getField("size")
-        apart = F.greatest(*(F.coalesce(F.bit_count(x.getField(c).bitwiseXOR(y.getField(c))), F.lit(0)) for c in ("sketch", "wide")))
+        wide = sum(F.bit_count(x.getField("wide")[k].bitwiseXOR(y.getField("wide")[k])) for k in range(WIDE))
+        apart = F.greatest(F.bit_count(x.getField("sketch").bitwiseXOR(y.getField("sketch"))), F.coalesce(wide, F.lit(0)))
         return (xs * 100 >= ys * percent) & (ys * 100 >= xs * percent) & (apart * (100 + percent) <= (xs + ys) * (100 - percent))
 
     def wide(nodes: DataFrame) -> DataFrame:
