@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm import exact, jaccard, mixing, packing, quality
 from tallyfield.llm.queries import tokenizer_file
-from tallyfield.llm.shared import stash
+from tallyfield.llm.shared import discard, stash
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)  # one stage's documents are kept at a time
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
