@@ -129,20 +129,20 @@ def _(t: Tables) -> DataFrame:
 _DAILY = "daily as (select restaurant_name, item_name, collection_date, avg(price) as price from obs group by all)"
 
 
-def _daily(t: Tables) -> DataFrame:
+def daily_prices(t: Tables) -> DataFrame:
     return t.observations.groupBy("restaurant_name", "item_name", "collection_date").agg(F.avg("price").alias("price"))
 
 
 @query("asof_previous", sql("obs", f", {_DAILY} select restaurant_name, item_name, collection_date, lag(price) over w as previous_price, lag(collection_date) over w as previous_date from daily window w as (partition by restaurant_name, item_name order by collection_date)"))
 def _(t: Tables) -> DataFrame:
-    d = _daily(t)
+    d = daily_prices(t)
     out = clean.asof_previous(d, d, ["restaurant_name", "item_name"], "collection_date", "price")
     return out.select("restaurant_name", "item_name", "collection_date", "previous_price", F.col("previous_collection_date").alias("previous_date"))
 
 
 @query("asof_at_least", sql("obs", f", {_DAILY} select restaurant_name, item_name, max(collection_date) as collection_date, arg_max(price, collection_date) as price from daily where collection_date <= date '2000-06-30' group by restaurant_name, item_name"))
 def _(t: Tables) -> DataFrame:
-    return clean.asof_at_least(_daily(t), ["restaurant_name", "item_name"], "collection_date", F.lit("2000-06-30").cast("date")).select("restaurant_name", "item_name", "collection_date", "price")
+    return clean.asof_at_least(daily_prices(t), ["restaurant_name", "item_name"], "collection_date", F.lit("2000-06-30").cast("date")).select("restaurant_name", "item_name", "collection_date", "price")
 
 
 @query("key_diff", sql("obs", "select restaurant_name, change from (select restaurant_name, 'removed' as change from (select restaurant_name from obs where month = date '1996-01-01' and source = 'src0' except select restaurant_name from obs where month = date '1996-02-01' and source = 'src0') union all select restaurant_name, 'added' from (select restaurant_name from obs where month = date '1996-02-01' and source = 'src0' except select restaurant_name from obs where month = date '1996-01-01' and source = 'src0'))"))
@@ -177,14 +177,14 @@ def _(t: Tables) -> DataFrame:
 
 # indices
 
-_PRICE_INDEX = sql("idx", f"select country, {_M} as month, round(formal_index, 4) as formal_index, round(informal_index, 4) as informal_index, round(combined_index, 4) as combined_index, item_count, 'restaurant-median index (' || restaurants || ' restaurants this month)' as coverage_note from idx")
+PRICE_INDEX = sql("idx", f"select country, {_M} as month, round(formal_index, 4) as formal_index, round(informal_index, 4) as informal_index, round(combined_index, 4) as combined_index, item_count, 'restaurant-median index (' || restaurants || ' restaurants this month)' as coverage_note from idx")
 
 
 def published(df: DataFrame) -> DataFrame:
     return df.select("country", month_text("month").alias("month"), R("formal_index"), R("informal_index"), R("combined_index"), "item_count", "coverage_note")
 
 
-@query("price_index", _PRICE_INDEX)
+@query("price_index", PRICE_INDEX)
 def _(t: Tables) -> DataFrame:
     return published(t.median_index)
 
@@ -295,7 +295,7 @@ def _(t: Tables) -> DataFrame:
 @query("price_changes", sql("obs", f""", {_DAILY}, p as (select *, lag(price) over (partition by restaurant_name, item_name order by collection_date) as old_price from daily)
 select restaurant_name, item_name, collection_date, old_price, price as new_price, round((price - old_price) / old_price * 100, 4) as price_change_pct from p where old_price > 0 and abs(price - old_price) > 1e-6"""))
 def _(t: Tables) -> DataFrame:
-    return quality.price_changes(_daily(t)).select("restaurant_name", "item_name", "collection_date", "old_price", "new_price", "price_change_pct")
+    return quality.price_changes(daily_prices(t)).select("restaurant_name", "item_name", "collection_date", "old_price", "new_price", "price_change_pct")
 
 
 _CHANGES = f"{_DAILY}, p as (select *, lag(price) over (partition by restaurant_name, item_name order by collection_date) as old_price from daily), ch as (select *, round((price - old_price) / old_price * 100, 4) as pct from p where old_price > 0 and abs(price - old_price) > 1e-6)"
@@ -304,12 +304,12 @@ _CHANGES = f"{_DAILY}, p as (select *, lag(price) over (partition by restaurant_
 @query("top_changes", sql("obs", f""", {_CHANGES}, r as (select *, row_number() over (order by pct desc, restaurant_name, item_name, collection_date) as up, row_number() over (order by pct, restaurant_name, item_name, collection_date) as down from ch)
 select 'up' as direction, up as rank, restaurant_name, item_name, collection_date, pct as price_change_pct from r where up <= 5 union all select 'down', down, restaurant_name, item_name, collection_date, pct from r where down <= 5"""))
 def _(t: Tables) -> DataFrame:
-    return quality.top_changes(quality.price_changes(_daily(t)), 5).select("direction", "rank", "restaurant_name", "item_name", "collection_date", "price_change_pct")
+    return quality.top_changes(quality.price_changes(daily_prices(t)), 5).select("direction", "rank", "restaurant_name", "item_name", "collection_date", "price_change_pct")
 
 
 @query("change_stats", sql("obs", f", {_CHANGES} select strftime(collection_date, '%Y-%m') as month, count(*) as n, round(avg(pct), 4) as mean_pct, max(pct) as max_pct, min(pct) as min_pct from ch group by all"))
 def _(t: Tables) -> DataFrame:
-    c = quality.price_changes(_daily(t))
+    c = quality.price_changes(daily_prices(t))
     return c.groupBy(month_text("collection_date").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price_change_pct"), 4).alias("mean_pct"), F.max("price_change_pct").alias("max_pct"), F.min("price_change_pct").alias("min_pct"))
 
 
@@ -379,7 +379,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("recent_changes", sql("obs", f", {_CHANGES} select restaurant_name, item_name, collection_date, pct as price_change_pct from ch where abs(pct) >= 50 order by collection_date desc, abs(pct) desc, restaurant_name, item_name limit 25"))
 def _(t: Tables) -> DataFrame:
-    return quality.recent_changes(quality.price_changes(_daily(t)), 50.0, 25).select("restaurant_name", "item_name", "collection_date", "price_change_pct")
+    return quality.recent_changes(quality.price_changes(daily_prices(t)), 50.0, 25).select("restaurant_name", "item_name", "collection_date", "price_change_pct")
 
 
 @query("target_status", sql("obs", "select s_name as restaurant_name, case when exists (select 1 from obs where restaurant_name = s_name and month >= date '2001-06-01' and source = 'src0') then 'proven' else 'unproven' end as status from supplier"))

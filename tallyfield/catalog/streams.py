@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tallyfield.streaming import jobs
 
-from .base import Tables, query
+from .base import Tables, query, sql
+from .prices import PRICE_INDEX, daily_prices, published
 
 
 def _folder(t: Tables) -> str:
@@ -105,3 +110,98 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out = _finished(t, jobs.sessions(_events(t), "2 hours", "30 days"), "complete")
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# streams with state of their own: the table is fed in several files, and the job is started anew, from its checkpoint, for each
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocksdb(t: Tables):
+    was = t.spark.conf.get(_STORE, None)
+    t.spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        t.spark.conf.unset(_STORE) if was is None else t.spark.conf.set(_STORE, was)
+
+
+def _fed(t: Tables, batches: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that the job writes when the batches come one after the other and it is stopped and started again in between."""
+    folder, schema = _folder(t), None
+    with _rocksdb(t):
+        for k, rows in enumerate(batches):
+            rows.write.parquet(f"{folder}/in/batch{k}")
+            out = job(t.spark.readStream.schema(batches[0].schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
+            schema = out.schema
+            out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+def _heartbeat(rows: DataFrame, time: str, days: int) -> DataFrame:
+    """A row that holds nothing but a time, so many days behind the last: it moves the watermark past all others."""
+    last = rows.agg(F.max(time).alias("last"))
+    return last.select(*((F.col("last") + F.expr(f"interval {days} days") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+
+
+@query("stream_price_changes", sql("obs", """, daily as (select restaurant_name, item_name, collection_date, avg(price) as price from obs group by all), p as (select *, lag(price) over (partition by restaurant_name, item_name order by collection_date) as old_price from daily)
+select restaurant_name, item_name, collection_date, old_price, price as new_price, round((price - old_price) / old_price * 100, 4) as price_change_pct from p where old_price > 0 and abs(price - old_price) > 1e-6"""))
+def _(t: Tables) -> DataFrame:
+    """The days up to 1995 come first, but one item in seven of that year's last month comes late, with the days behind it."""
+    daily = daily_prices(t).select("restaurant_name", "item_name", "collection_date", "price")
+    late = F.col("collection_date").between("1995-12-05", "1995-12-31") & (F.pmod(F.xxhash64("item_name"), F.lit(7)) == 0)
+    early = F.col("collection_date") <= "1995-12-31"
+    return _fed(t, [daily.where(early & ~late), daily.where(~early | late), _heartbeat(daily, "collection_date", 40)], jobs.stream_price_changes)
+
+
+def _posts(t: Tables) -> list[DataFrame]:
+    """Posts in three files and a heartbeat of every user; one post in seven of the first file's last day comes late."""
+    rows = t.posts.select("user_id", "post_id", "posted_at", "mentions_product", "is_removed")
+    first, last = rows.agg(F.min("posted_at"), F.max("posted_at")).first()
+    at = lambda k: F.lit(first + (last - first) * k / 3)
+    late = (F.col("posted_at") > at(1) - F.expr("interval 1 day")) & (F.col("posted_at") <= at(1)) & (F.col("post_id") % 7 == 0)
+    parts = [(F.col("posted_at") <= at(1)) & ~late, late | ((F.col("posted_at") > at(1)) & (F.col("posted_at") <= at(2))), F.col("posted_at") > at(2)]
+    return [*(rows.where(p) for p in parts), _heartbeat(rows, "posted_at", 400).withColumn("user_id", F.lit(""))]
+
+
+def _guarded(t: Tables) -> DataFrame:
+    return _fed(t, _posts(t), jobs.stream_guardrails)
+
+
+@query("stream_promo_cap", sql("posts", "select post_id, cast(sum(case when mentions_product then 1 else 0 end) over w as bigint) as promos, sum(case when mentions_product then 1 else 0 end) over w >= 3 as pause from posts window w as (partition by user_id order by posted_at range between interval '6 days 23 hours 59 minutes 59.999999 seconds' preceding and current row)"))
+def _(t: Tables) -> DataFrame:
+    return _guarded(t).where("kind = 'post'").select("post_id", "promos", "pause")
+
+
+@query("stream_removal_rate", sql("posts", ", l as (select * from posts qualify row_number() over (partition by user_id order by posted_at desc, post_id desc) <= 10) select user_id, count(*) as posts, count(*) filter (is_removed) as removed, count(*) = 10 and count(*) filter (is_removed) / count(*) > 0.2 as pause from l group by all"))
+def _(t: Tables) -> DataFrame:
+    last = F.max_by(F.struct("posts", "removed", F.col("removal_pause").alias("pause")), F.struct("at", "post_id")).alias("x")
+    return _guarded(t).where("kind = 'post'").groupBy("user_id").agg(last).select("user_id", "x.*")
+
+
+@query("stream_pause_ends", sql("posts", """, times as (select user_id, posted_at, count(*) as came from posts where mentions_product group by all),
+ends as (select user_id, came, posted_at + interval 7 day as ended from times),
+held as (select e.user_id, e.ended, e.came, sum(t.came) as before from ends e join times t on t.user_id = e.user_id and t.posted_at >= e.ended - interval 7 day and t.posted_at < e.ended group by all)
+select user_id, strftime(ended, '%Y-%m-%d %H:%M:%S') as ended from held where before >= 3 and before - came < 3"""))
+def _(t: Tables) -> DataFrame:
+    """The moments at which a pause ends because posts have left the window."""
+    return _guarded(t).where("kind = 'resume'").select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("ended"))
+
+
+@query("refresh_index", PRICE_INDEX)
+def _(t: Tables) -> DataFrame:
+    """The index after four batches: older rows; newer rows and rows that must go again; those go; and the last batch once more."""
+    rows = t.cleaned.select("country", "month", "obs_key", "restaurant_name", "sector", "price_usd").withColumn("gone", F.lit(False))
+    wrong = rows.where("month(month) = 2").withColumns({"obs_key": F.concat("obs_key", F.lit("|wrong")), "price_usd": F.col("price_usd") * 7, "month": F.add_months("month", 240)})
+    old = F.col("month") < "1995-06-01"
+    folder = _folder(t)
+    # whole countries come in one batch each but for those whose name ends in an even digit, which come month by month
+    split = F.right("country", F.lit(1)).cast("int") % 2 == 0
+    batches = [rows.where(old | ~split), rows.where(~old & split).unionByName(wrong), wrong.withColumn("gone", F.lit(True)), wrong.withColumn("gone", F.lit(True))]
+    for k, part in enumerate(batches):
+        part.write.parquet(f"{folder}/in/batch{k}")
+        stream = t.spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        writer: DataStreamWriter = jobs.refresh_index(stream, f"{folder}/tables", t.weights, months=24)
+        writer.option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
+    return published(jobs.refreshed_index(t.spark, f"{folder}/tables"))

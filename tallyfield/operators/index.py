@@ -101,19 +101,37 @@ def stable_basket_index(df: DataFrame, weights: Column) -> DataFrame:
     return out.withColumn("combined_index", combined(weights)).withColumn("coverage_note", note).select("country", "month", "formal_index", "informal_index", "combined_index", "item_count", "coverage_note")
 
 
-def restaurant_median_index(df: DataFrame, weights: Column, by: tuple[str, ...] = ("country",)) -> DataFrame:
-    """Medians of restaurants, their geomean by sector and month, against the sector's first month, times 100."""
+#: What a month's index needs of each sector; see sector_sums().
+SUMS = {"sector": "string", "logs": "double", "medians": "long", "items": "long", "restaurants": "long"}
+
+
+def sector_sums(df: DataFrame, by: tuple[str, ...] = ("country",)) -> DataFrame:
+    """By `by`, month and sector: count and sum of the logs of the restaurants' medians, items, and restaurants (counted once, at their first sector)."""
+    keys = list(by)
+    medians = df.groupBy(*keys, "month", "restaurant_name", "sector").agg(F.median("price_usd").alias("m"), F.count(F.lit(1)).alias("n")).where("m > 0")
+    once = F.row_number().over(Window.partitionBy(*keys, "month", "restaurant_name").orderBy("sector")) == 1
+    return medians.withColumn("once", once).groupBy(*keys, "month", "sector").agg(
+        F.sum(F.ln("m")).alias("logs"), F.count(F.lit(1)).alias("medians"), F.sum("n").alias("items"), F.count_if("once").alias("restaurants")
+    )
+
+
+def index_of_sums(sums: DataFrame, weights: Column, by: tuple[str, ...] = ("country",)) -> DataFrame:
+    """The index of sector_sums(): each sector's geomean against its first month's, times 100."""
     keys = list(by)
-    medians = df.groupBy(*keys, "restaurant_name", "sector", "month").agg(F.median("price_usd").alias("m"), F.count(F.lit(1)).alias("n")).where("m > 0")
-    sector = medians.groupBy(*keys, "sector", "month").agg(geomean("m").alias("g"))
-    first = F.first("g").over(Window.partitionBy(*keys, "sector").orderBy("month"))
-    sector = sector.where("sector in ('formal', 'informal')").withColumn("x", F.col("g") / first * 100)
+    g = F.exp(F.col("logs") / F.col("medians"))
+    sector = sums.where("sector in ('formal', 'informal')").withColumn("g", g)
+    sector = sector.withColumn("x", F.col("g") / F.first("g").over(Window.partitionBy(*keys, "sector").orderBy("month")) * 100)
     wide = sector.groupBy(*keys, "month").pivot("sector", ["formal", "informal"]).agg(F.max("x"))
-    months = medians.groupBy(*keys, "month").agg(F.sum("n").alias("item_count"), F.count_distinct("restaurant_name").alias("restaurants"))
+    months = sums.groupBy(*keys, "month").agg(F.sum("items").alias("item_count"), F.sum("restaurants").alias("restaurants"))
     out = months.join(wide, [*keys, "month"], "left").withColumnsRenamed({"formal": "formal_index", "informal": "informal_index"})
     return out.withColumn("combined_index", combined(weights)).withColumn("coverage_note", F.format_string("restaurant-median index (%d restaurants this month)", "restaurants")).drop("restaurants")
 
 
+def restaurant_median_index(df: DataFrame, weights: Column, by: tuple[str, ...] = ("country",)) -> DataFrame:
+    """Medians of restaurants, their geomean by sector and month, against the sector's first month, times 100."""
+    return index_of_sums(sector_sums(df, by), weights, by)
+
+
 def with_fallback(matched: DataFrame, stable: DataFrame) -> DataFrame:
     """The matched-model index; of countries where it is flat or missing the stable-basket one."""
     flat = degenerate(matched)

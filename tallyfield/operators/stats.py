@@ -359,10 +359,10 @@ def descriptive(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def respecified(results: DataFrame, respec: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """results with the columns of a respecified row in place of the published ones."""
+def respecified(results: DataFrame, respec: DataFrame, key: str, columns: list[str], places: int = 4) -> DataFrame:
+    """results with the columns of a respecified row in place of the published ones, rounded."""
     other = respec.select(key, *(F.col(c).alias(f"new_{c}") for c in columns))
-    return results.join(other, key, "left").select(*[c for c in results.columns if c not in columns], *(F.coalesce(f"new_{c}", c).alias(c) for c in columns))
+    return results.join(other, key, "left").select(*[c for c in results.columns if c not in columns], *(F.round(F.coalesce(f"new_{c}", c), places).alias(c) for c in columns))
 
 
 def crossovers(before: DataFrame, after: DataFrame, key: str, level: float = 0.05) -> DataFrame:

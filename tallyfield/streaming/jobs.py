@@ -2,47 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-DAY_US = 86_400_000_000
+from tallyfield import params
+from tallyfield.operators import clean, index
 
+DAY_MS, DAY_US = 86_400_000, 86_400_000_000
+#: Days after which nothing is idle.
+NEVER = 100_000
 
-class _LastPrice(StatefulProcessor):
-    """The last day and price of a key; days at or before it are ignored."""
+
+class _PricePage(StatefulProcessor):
+    """The last settled price of every item of one page, and the rows that the watermark has not passed."""
+
+    def __init__(self, idle_days: int):
+        self.idle_days = idle_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day date, price double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values("collection_date", kind="stable")
-        day, price = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for when, x in zip(d["collection_date"], d["price"], strict=True):
-            if day is not None and when <= day:
-                continue
-            if price is not None and price > 0 and abs(x - price) > 1e-6:
-                out.append((*key, when, price, x, round((x - price) / price * 100, 4)))
-            day, price = when, x
-        if day is not None:
-            self.last.update((day, price))
-        yield pd.DataFrame(out, columns=["restaurant_name", "item_name", "collection_date", "old_price", "new_price", "price_change_pct"])
+        self.handle = handle
+        self.page = handle.getValueState("page", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield self._settled(pd.concat(list(rows)), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settled(None, timerValues)
+
+    def _settled(self, rows: pd.DataFrame | None, timer_values) -> pd.DataFrame:
+        now, item = timer_values.getCurrentWatermarkInMs(), ["restaurant_name", "item_name"]
+        columns = [*item, "at", "price", "settled"]
+        parts = [pd.DataFrame({c: [] for c in columns}).astype({"at": "int64", "price": "float64", "settled": "bool"})]
+        if self.page.exists():
+            parts.append(pa.ipc.open_stream(self.page.get()[0]).read_pandas())
+        if rows is not None:
+            parts.append(rows.dropna(subset=["price", *item]).assign(settled=False)[columns])
+        d = pd.concat([x for x in parts if len(x)] or parts)
+        d = d.sort_values([*item, "at", "settled", "price"], ascending=[True, True, True, False, True], kind="stable").drop_duplicates([*item, "at"])
+        done = d[d["at"] <= now]
+        same = (done[item] == done[item].shift()).all(axis=1)
+        old = done["price"].shift().where(same)
+        found = ~done["settled"] & (old > 0) & ((done["price"] - old).abs() > 1e-6)
+        out = done.loc[found, [*item, "at"]].assign(old_price=old[found], new_price=done.loc[found, "price"])
+        last = done.drop_duplicates(item, keep="last").assign(settled=True)
+        open_ = d[d["at"] > now]
+        waiting = {*zip(open_["restaurant_name"], open_["item_name"], strict=True)}
+        named = [x in waiting for x in zip(last["restaurant_name"], last["item_name"], strict=True)]
+        kept = pd.concat([last[(last["at"] >= now - self.idle_days * DAY_MS) | np.array(named, bool)], open_])
+        if len(kept):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(kept[columns], preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as to:
+                to.write_table(table)
+            self.page.update((sink.getvalue().to_pybytes(),))
+        else:
+            self.page.clear()
+        wake = [int(open_["at"].min())] if len(open_) else []
+        if len(last) and self.idle_days < NEVER:
+            wake.append(int(last["at"].min()) + self.idle_days * DAY_MS + 1)
+        for at in wake:
+            if at > now:
+                self.handle.registerTimer(at)
+        return out[[*item, "at", "old_price", "new_price"]].astype(dict.fromkeys(item, object))  # plain strings, not several Arrow chunks
 
     def close(self) -> None:
         pass
 
 
-def stream_price_changes(daily: DataFrame) -> DataFrame:
-    """Price changes of a stream of (restaurant_name, item_name, collection_date, price), against the last price kept per key.
+def stream_price_changes(daily: DataFrame, delay: str = "30 days", idle_days: int = NEVER, pages: int = 64) -> DataFrame:
+    """Price changes of a stream of (restaurant_name, item_name, collection_date, price): each day's price against the item's day before.
 
-    Needs the RocksDB state store; one value per key is kept.
+    Rows wait until the watermark, `delay` behind the latest day, has passed their day, and are then
+    compared in order of days: a row that comes late, but within the delay, changes the result as if
+    it had come in time; a later one is dropped. Of several prices of an item and day the smallest
+    counts. Items are dealt to `pages` by a hash; a page's state is one value (last settled rows and
+    waiting rows), read and written once a batch, and an event-time timer settles pages that get no
+    rows. An item without a row for idle_days is forgotten. Rows without an item or a price only
+    move the watermark. Needs the RocksDB state store.
     """
-    schema = "restaurant_name string, item_name string, collection_date date, old_price double, new_price double, price_change_pct double"
-    return daily.groupBy("restaurant_name", "item_name").transformWithStateInPandas(_LastPrice(), schema, "Append", "None")
+    rows = daily.select(
+        F.coalesce(F.pmod(F.xxhash64("restaurant_name", "item_name"), F.lit(pages)), F.lit(0)).alias("page"), "restaurant_name", "item_name",
+        F.col("collection_date").cast("timestamp").alias("ts"), F.col("price").cast("double").alias("price"),
+    ).withWatermark("ts", delay)
+    rows = rows.withColumn("at", F.unix_millis("ts"))
+    out = rows.groupBy("page").transformWithStateInPandas(_PricePage(idle_days), "restaurant_name string, item_name string, at long, old_price double, new_price double", "Append", "EventTime")
+    pct = F.round((F.col("new_price") - F.col("old_price")) / F.col("old_price") * 100, 4)
+    return out.select("restaurant_name", "item_name", F.timestamp_millis("at").cast("date").alias("collection_date"), "old_price", "new_price", pct.alias("price_change_pct"))
 
 
 def alert_rates(events: DataFrame, window: str, slide: str | None, delay: str) -> DataFrame:
@@ -79,43 +133,139 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-class _Rolling(StatefulProcessor):
-    """Times of a user's product posts in the last days; a post that fills the cap pauses the user."""
+class _Guard(StatefulProcessor):
+    """A user's product posts of the last days, last posts, and posts that the watermark has not passed."""
 
-    def __init__(self, cap: int, days: int):
-        self.cap, self.days = cap, days
+    def __init__(self, cap: int, days: int, window: int, rate: float):
+        self.cap, self.span, self.window, self.rate = cap, days * DAY_US, window, rate
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "at long", 30 * DAY_US // 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values(["at", "post_id"], kind="stable")
-        times = [t[0] for t in self.times.get()] if self.times.exists() else []
-        out = []
-        for at, post, product in zip(d["at"], d["post_id"], d["mentions_product"], strict=True):
-            if product:
-                times.append(int(at))
-            times = [t for t in times if t > at - self.days * DAY_US]
-            out.append((int(post), len(times), len(times) >= self.cap))
-        self.times.put([(t,) for t in times]) if times else self.times.clear()
-        yield pd.DataFrame(out, columns=["post_id", "promos", "pause"])
+        self.handle = handle
+        self.promos = handle.getListState("promos", "at long")
+        self.recent = handle.getListState("recent", "removed boolean")
+        self.waiting = handle.getListState("waiting", "at long, post_id long, product boolean, removed boolean")
+        self.paused = handle.getValueState("paused", "is boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        d = pd.concat(list(rows)).dropna(subset=["post_id"])
+        new = [(int(a), int(p), bool(m), bool(r)) for a, p, m, r in zip(d["at"], d["post_id"], d["product"], d["removed"], strict=True)]
+        yield self._passed(key[0], new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._passed(key[0], [], timerValues)
+
+    def _passed(self, user, new: list[tuple], timer_values) -> pd.DataFrame:
+        now = timer_values.getCurrentWatermarkInMs() * 1000
+        known = lambda state: list(state.get()) if state.exists() else []
+        waiting = sorted({*map(tuple, known(self.waiting)), *new})
+        promos, recent = [x[0] for x in known(self.promos)], [x[0] for x in known(self.recent)]
+        paused, out = bool(self.paused.exists() and self.paused.get()[0]), []
+
+        def resumed(until: int) -> None:
+            nonlocal paused
+            if paused and (end := promos[-self.cap] + self.span) <= until:
+                out.append((user, "resume", end, None, self.cap - 1, False, len(recent), sum(recent), False))
+                paused = False
+
+        done = [x for x in waiting if x[0] <= now]
+        for at, group in groupby(done, key=itemgetter(0)):
+            resumed(at)
+            posts = list(group)
+            promos = [x for x in promos if x > at - self.span] + [at for p in posts if p[2]]
+            paused = len(promos) >= self.cap
+            for _, post, _, removed in posts:
+                recent = [*recent[1 - self.window :], removed]
+                out.append((user, "post", at, post, len(promos), paused, len(recent), sum(recent), len(recent) == self.window and sum(recent) / len(recent) > self.rate))
+        resumed(now)
+        waiting, promos = waiting[len(done) :], [x for x in promos if x > now - self.span]
+        for state, rows in ((self.promos, [(x,) for x in promos]), (self.recent, [(bool(x),) for x in recent]), (self.waiting, waiting)):
+            state.put(rows) if rows else state.clear()
+        self.paused.update((paused,))
+        # an idle user's times go when the last of them has left the window
+        for at in [*(x[0] for x in waiting[:1]), *([promos[-self.cap] + self.span] if paused else []), *(x + self.span for x in promos[-1:])]:
+            self.handle.registerTimer(-(-at // 1000))
+        return pd.DataFrame(out, columns=["user_id", "kind", "at", "post_id", "promos", "pause", "posts", "removed", "removal_pause"]).astype({"post_id": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_guardrails(posts: DataFrame, cap: int = 3, days: int = 7) -> DataFrame:
-    """promo_cap() over a stream of posts (post_id, user_id, posted_at, mentions_product)."""
-    rows = posts.select("user_id", "post_id", F.unix_micros("posted_at").alias("at"), "mentions_product")
-    return rows.groupBy("user_id").transformWithStateInPandas(_Rolling(cap, days), "post_id long, promos long, pause boolean", "Append", "ProcessingTime")
+def stream_guardrails(posts: DataFrame, cap: int = params.PROMO_CAP, days: int = params.PROMO_DAYS, window: int = params.REMOVAL_WINDOW, rate: float = params.REMOVAL_RATE, delay: str = "2 days") -> DataFrame:
+    """promo_cap() and removal_rate() over a stream of posts (user_id, post_id, posted_at, mentions_product, is_removed).
+
+    One row of kind "post" per post, in event time: promos and pause as promo_cap() has them at its
+    time, posts, removed and removal_pause over the user's last `window` posts up to it; and one of
+    kind "resume" at the moment at which a pause ends because posts have left the window, whether or not
+    the user posts again (an event-time timer fires then). Posts wait for the watermark, so a late
+    one within the delay counts at its own time; repeated posts count once. Posts without a post_id
+    only move the watermark. A user's state is bounded: the product posts of `days`, which a timer
+    clears when they are over, `window` flags and the posts of `delay`. Needs the RocksDB state store.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = posts.select("user_id", "post_id", F.col("posted_at").alias("ts"), flag("mentions_product").alias("product"), flag("is_removed").alias("removed")).withWatermark("ts", delay)
+    rows = rows.withColumn("at", F.unix_micros("ts"))
+    schema = "user_id string, kind string, at long, post_id long, promos long, pause boolean, posts long, removed long, removal_pause boolean"
+    out = rows.groupBy("user_id").transformWithStateInPandas(_Guard(cap, days, window, rate), schema, "Append", "EventTime")
+    return out.withColumn("at", F.timestamp_micros("at"))
+
+
+def refresh_index(stream: DataFrame, target: str, weights: Column, cap: int = params.ROW_CAP, seed: str = params.CAP_SEED, months: int = 1):
+    """A writer that keeps the restaurant-median index of a stream of observations up to date; read it with refreshed_index().
+
+    stream: cleaned observations with a unique obs_key and a boolean `gone`, which takes a row out
+    again (of rows of a batch with one obs_key a gone one wins). Three tables lie under `target`,
+    replaced by partitions:
+
+    - rows (country, span): the observations; a span has `months` months. Only the spans that a batch
+      touches are read and written.
+    - sums (country, span): what the index needs of a month, by sector: count and sum of the logs of
+      the restaurants' medians, items, restaurants; made from the touched spans' rows alone.
+    - index (country): made from the sums of the touched countries, a few rows a month.
+
+    A partition that a batch leaves empty is replaced by a row without content, so a month that
+    vanishes from the observations vanishes from the index. Rows are put by obs_key and tables
+    by partition, so a batch that is run again, or one that a crash cut short, ends in the same tables.
+    """
+    kinds = {"country": "string", "span": "int", "month": "date", "obs_key": "string", "restaurant_name": "string", "sector": "string", "price_usd": "double"}
+    sums = {"country": "string", "span": "int", "month": "date"} | index.SUMS
+    place, span = ["country", "span"], F.floor((F.year("month") * 12 + F.month("month") - 1) / months).cast("int")
+
+    def replaced(df: DataFrame, name: str, by: list[str]) -> None:
+        df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{target}/{name}")
 
+    def read(spark: SparkSession, name: str, columns: dict[str, str]) -> DataFrame:
+        path, schema = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}"), ", ".join(f"{c} {k}" for c, k in columns.items())
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(schema).parquet(f"{target}/{name}") if there else spark.createDataFrame([], schema)
 
-def refresh_index(stream: DataFrame, history: Callable[[], DataFrame], build: Callable[[DataFrame], DataFrame], target: str, key: str = "country"):
-    """A writer that, for every batch, rebuilds the index of the countries that the batch touches and replaces those partitions."""
+    def marked(df: DataFrame, where: DataFrame) -> DataFrame:
+        """df and a row without content for each partition of where, which is then replaced whatever df holds of it."""
+        return df.unionByName(where.select(*(F.col(f.name) if f.name in where.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)))
 
     def batch(rows: DataFrame, _: int) -> None:
-        touched = rows.select(key).distinct()
-        fresh = build(history().join(touched, key, "left_semi"))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(target)
+        spark = rows.sparkSession
+        rows = rows.withColumn("span", span).select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()), F.coalesce("gone", F.lit(False)).alias("gone"))
+        rows = rows.where("country is not null and month is not null and obs_key is not null")
+        own = F.struct("month", "restaurant_name", "sector", "price_usd", "gone")
+        rows = rows.groupBy(*place, "obs_key").agg(F.max_by(own, F.struct("gone", own)).alias("x")).select(*place, "obs_key", "x.*").persist(StorageLevel.DISK_ONLY)
+        try:
+            touched = rows.select(*place).distinct()
+            before = read(spark, "rows", kinds).join(touched, place, "left_semi").where("obs_key is not null")
+            after = before.join(rows.select(*place, "obs_key"), [*place, "obs_key"], "left_anti").unionByName(rows.where("not gone").drop("gone"))
+            replaced(marked(after, touched), "rows", place)
+            now = read(spark, "rows", kinds).join(touched, place, "left_semi").where("obs_key is not null")
+            fresh = index.sector_sums(clean.cap_rows(now, ["country", "month"], cap, seed, "obs_key")).withColumn("span", span)
+            replaced(marked(fresh, touched), "sums", place)
+            countries = touched.select("country").distinct()
+            whole = read(spark, "sums", sums).join(countries, "country", "left_semi").where("sector is not null")
+            replaced(marked(index.index_of_sums(whole, weights), countries), "index", ["country"])
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch)
+
+
+def refreshed_index(spark: SparkSession, target: str) -> DataFrame:
+    """The index that refresh_index() keeps."""
+    schema = "country string, month date, item_count long, formal_index double, informal_index double, combined_index double, coverage_note string"
+    return spark.read.schema(schema).parquet(f"{target}/index").where("month is not null")
