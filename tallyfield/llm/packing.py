@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import emptied, filled, stash
+from .shared import stash
 
 #: Words whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
 CACHE_WORDS, GROUP, GIVEN, MERGED = 400_000, 20_000, 3_000, 8
@@ -92,19 +93,21 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) ->
     empty and gives one piece of length 1.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(path)
         last = np.array([end], dtype="<u4").tobytes()
         for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            row, out = [], []
+            for i, text in enumerate(b["text"].to_pylist()):
                 ids = ids_of.of(text.encode("utf-8", "surrogatepass").split() if text else []) + last
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row.append(i)
+                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+            numbers = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(filled("doc_id"), "text").mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(lengths: np.ndarray, most: int) -> int:
@@ -182,11 +185,13 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     groups = max(1, -(-pieces.count() // GROUP))
-    schema = pieces.select(columns).schema.simpleString()[7:-1].replace(":", " ") + ", home long, bin long, offset long, open boolean"
+    given = pieces.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), *columns[1:], F.col("doc_id").isNull().alias("unknown"))  # pandas has no integers beside nulls
+    columns = given.columns
+    schema = given.schema.simpleString()[7:-1].replace(":", " ") + ", home long, bin long, offset long, open boolean"
 
     def packer(last: bool):
         def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
+            rows = rows.sort_values(["length", "unknown", "doc_id", "piece", "start"], ascending=[False, False, True, True, True], kind="stable")
             lengths = rows["length"].to_numpy(dtype=np.int64)
             bins, used = best_fit(lengths, most)
             if "old" in rows:
@@ -199,7 +204,7 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
 
         return work
 
-    dealt = pieces.select(filled("doc_id"), *columns[1:], F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).alias("home"))
+    dealt = given.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).alias("home"))
     done, level = [], 0
     while True:
         packed = stash(dealt.groupBy("home").applyInPandas(packer(groups == 1), schema), "packed")
@@ -212,7 +217,7 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.withColumn("doc_id", emptied("doc_id"))
+    return out.withColumn("doc_id", F.when(~F.col("unknown"), F.col("doc_id"))).drop("unknown")
 
 
 def packed_documents(docs: DataFrame, path: str, end: int = 1, most: int = 4096) -> DataFrame:

@@ -106,10 +106,6 @@ def filled(name: str):
     return F.coalesce(name, F.lit(NO_ID)).alias(name)
 
 
-def emptied(name: str):
-    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
-
-
 def text_parts(batch: pa.RecordBatch, rows: int = 500, size: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
     """A batch in slices of at most so many rows and about so many bytes of text, each with its texts as a list: what a worker holds stays small."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact import representatives
-from .shared import NO_ID, cut, emptied, filled, shared_folder, small, stash
+from .shared import cut, shared_folder, small, stash
 
 #: Fixed values of the formats: the magic number of the dictionary's skippable frame and of a Zstandard frame.
 DICT_FRAME, ZSTD_FRAME = 0x184D2A5D, 0xFD2FB528
@@ -82,7 +82,6 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words))
         for b in batches:
             for page_id, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
-                page_id, refers = (None if x == NO_ID else int(x) for x in (page_id, refers))
                 if out is None:
                     out = store.open_output_stream(name, compression=None)
                     out.write(struct.pack("<II", DICT_FRAME, len(words)) + words)
@@ -92,7 +91,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, date: str = "2
             out.close()
             yield pd.DataFrame({"path": [name], "records": [count], "bytes": [store.get_file_info(name).size]})
 
-    return cut(pages.select(filled("page_id"), "url", "html", filled("refers_to")).mapInPandas(write, "path string, records long, bytes long"))
+    as_text = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]  # as records hold them; pandas has no integers beside nulls
+    return cut(pages.select(as_text[0], "url", "html", as_text[1]).mapInPandas(write, "path string, records long, bytes long"))
 
 
 def frames(stream) -> Iterator[bytes]:
@@ -127,7 +127,7 @@ def frames(stream) -> Iterator[bytes]:
 
 
 def parsed(raw: bytes) -> tuple:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record (NO_ID where there is none), whose payload must fit its digest."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of a record (ids as text, None where there is none), whose payload must fit its digest."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -138,7 +138,7 @@ def parsed(raw: bytes) -> tuple:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
     refers = fields.get("WARC-Refers-To", "")[len("<urn:page:") : -1]
-    return int(page) if page else NO_ID, fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"], int(refers) if refers else NO_ID
+    return page or None, fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"], refers or None
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -158,8 +158,8 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                             out = []
                     yield pd.DataFrame(out, columns=columns)
 
-    rows = files.select("path").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return rows.withColumn("page_id", emptied("page_id")).withColumn("refers_to", emptied("refers_to"))
+    rows = files.select("path").mapInPandas(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def archived(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
@@ -167,16 +167,16 @@ def archived(pages: DataFrame, least: int = 0, folder: str | None = None) -> Dat
 
     Of records with equal payloads (null html is empty) of at least `least` bytes the one with the
     smallest page_id is a response and the others revisit it; smaller ones are all responses. Rows
-    that repeat the smallest page_id are responses too; a null page_id never is a revisit's target
-    beside another. Long pages are one record each; an empty table writes nothing and gives no rows.
+    that repeat the smallest page_id are responses too; a null page_id comes behind all others, from
+    -2^63 to 2^63 - 1, and never is a revisit's target. Long pages are one record each; an empty table writes nothing and gives no rows.
     """
     folder = folder or f"{shared_folder(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
     html = F.coalesce("html", F.lit(""))
     key = {"digest": F.unhex(F.sha1(html)), "check": F.xxhash64(html), "n_bytes": F.octet_length(html)}
     rows = pages.select("page_id", F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int").alias("run"), *(c.alias(n) for n, c in key.items()))
-    rows = stash(rows.where(F.col("n_bytes") >= least).withColumn("at", F.coalesce("page_id", F.lit(2**63 - 1))), "payloads")
+    rows = stash(rows.where(F.col("n_bytes") >= least).withColumn("at", F.struct(F.col("page_id").isNull().alias("unknown"), F.col("page_id").cast("long").alias("id"))), "payloads")
     best = representatives(rows, list(key), "at").where("n > 1")
-    revisits = rows.join(best, ["run", *key]).where("at > best").select("page_id", *key, F.col("best").alias("refers_to")).distinct()
+    revisits = rows.join(best, ["run", *key]).where("at > best").select("page_id", *key, F.col("best.id").alias("refers_to")).distinct()
     revisits = small(stash(revisits, "revisits"))
     keyed = pages.select("page_id", "url", "html", *(c.alias(n) for n, c in key.items()))
     same = [keyed[n].eqNullSafe(revisits[n]) for n in ("page_id", *key)]

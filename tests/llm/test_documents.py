@@ -419,3 +419,10 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixed_documents(docs, labelled).columns == docs.columns
     assert mixing.mixed_rates(docs_of(spark, []), labelled).count() == 0
     assert mixing.mixed_rates(docs, labelled.limit(0)).where("rate < 0").count() == 0
+
+
+def test_packing_ids_at_the_ends_of_the_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    docs = spark.createDataFrame([(low, "a b"), (None, "c"), (high, None), (0, "a b"), (None, None)], "doc_id long, text string")
+    got = packing.packed_documents(docs, tokenizer_file("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["length"]) for r in got) == [(False, low, 3), (False, 0, 3), (False, high, 1), (True, 0, 1), (True, 0, 2)]

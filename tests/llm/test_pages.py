@@ -165,3 +165,11 @@ def test_near_vectors_finds_isolated_pairs_among_many_alike(spark):
     n, label = brute_vectors(v)
     paired = n[:300] > 0
     assert paired.all() and np.mean([got[i]["n_links"] > 0 and got[i]["component_id"] == label[i] for i in range(300)]) > 0.98
+
+
+def test_ids_at_the_ends_of_the_range(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "u", "same"), (7, "u", "same"), (None, "u", "same"), (high, "u", "other"), (None, "u", "other"), (None, "u", "alone"), (None, "u", "alone")]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(low, 4, "response", None), (7, 4, "revisit", low), (None, 4, "revisit", low), (high, 5, "response", None), (None, 5, "revisit", high), (None, 5, "response", None), (None, 5, "response", None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
