@@ -37,43 +37,74 @@ def judged(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+def _without_dots(path: Column) -> Column:
+    """path with its . and .. segments followed."""
+    start = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    left = F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
+    return F.when(path.contains("/."), F.concat(left, F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
+def node_of(url: Column) -> Column:
+    """The url under which its spellings meet: scheme and host lowered, dot segments followed, no fragment; one without :// is left as it is."""
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host_of(url), _without_dots(path_of(url)), query)).otherwise(url)
+
+
 def _absolute(link: Column, base: Column) -> Column:
-    link = F.trim(link)
-    return (
+    """link as it stands in a page's markup, resolved against base and brought to its node."""
+    link = F.trim(F.regexp_replace(link, "(?i)&(?:amp|#38|#x26);", "&"))
+    whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([^:/?#]*:)", 1), link))
         .when(link.startswith("/"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), link))
-        .when(link != "", F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1), link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, "(?s)^([^?#]*)", 1), link))
+        .when((link != "") & ~link.startswith("#"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.regexp_extract(base, "(?s)^.*?://[^/?#]*/((?:[^?#]*/)?)", 1), link))
     )
+    return node_of(whole)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) of every canonical link and meta refresh in pages(url, html), made absolute."""
-    tags = pages.where("url is not null and html is not null").select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    href = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    to = F.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
-    return tags.select(F.col("url").alias("src"), _absolute(F.coalesce(href, to), F.col("url")).alias("dst")).where("dst is not null and dst <> src")
+    """(src, dst) of every canonical link and meta refresh in pages(url, html), as nodes.
+
+    Links are resolved against the page's <base>, else its url; what stands in comments and scripts
+    is no link.
+    """
+    href = lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", 0)
+    value = lambda found: F.regexp_replace(found, r"(?is)^[a-z]+\s*=\s*[\"']?|[\"']$", "")
+    html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)", " ")
+    seen = pages.where("url is not null and html is not null").select("url", html.alias("html"))
+    seen = seen.select("url", F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
+    base = F.coalesce(_absolute(F.nullif(value(href("base")), F.lit("")), F.col("url")), F.col("url"))
+    to = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), value(href("tag")))
+    to = to.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
+    return seen.select(node_of(F.col("url")).alias("src"), _absolute(to, base).alias("dst")).where("dst is not null and dst <> src")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, via_alias.
 
     Urls joined by redirects(src, dst), canonical links or meta refreshes are aliases of each other,
-    however long the chain. A url that a rule fits gets that rule's verdict, so an explicit allow
-    holds against blocked aliases. Without a rule a url is blocked if any alias is blocked by a
-    rule, else allowed; via_alias says when an alias decided. Targets of links count as aliases even
-    if no page of that url is in the table. Null urls, and urls without ://, have an empty host and
-    path, fit no rule, and (null) have no aliases. Repeated urls are one url; repeated rows all
-    come back; an empty table gives no rows.
+    however long the chain; spellings of one url (see node_of) are one. A url that a rule fits gets
+    that rule's verdict, so an explicit allow holds against blocked aliases. Without a rule a url is
+    blocked if any alias is blocked by a rule, else allowed; via_alias says when an alias decided.
+    Targets of links count as aliases even if no page of that url is in the table. Null urls, and
+    urls without ://, have an empty host and path, fit no rule, and (null) have no aliases. Repeated
+    urls are one url; repeated rows all come back; very long texts are searched whole; other columns
+    are ignored; an empty table gives no rows.
     """
     links = page_links(pages)
     if redirects is not None:
-        links = links.unionByName(redirects.select("src", "dst"))
+        links = links.unionByName(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
     groups = components(links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    node = judged(groups.withColumnRenamed("id", "url"), rules)
-    blocked = node.where("rule_verdict = 'block'").select("component").distinct()
-    hit = stash(node.where("rule is null").join(blocked, "component", "left_semi").select("url", F.lit(True).alias("via_alias")), "aliases")
-    out = judged(pages.select("page_id", "url"), rules).join(small(hit), "url", "left")
+    own = judged(pages.select("page_id", "url"), rules).withColumn("node", node_of(F.col("url")))
+    # a page's rule is told by its url as it is spelt, a link's target's by its node
+    spelt = own.where("rule_verdict = 'block' and url <> node").select(F.col("node").alias("id")).distinct()
+    blocked = judged(groups.withColumnRenamed("id", "url"), rules).where("rule_verdict = 'block'").select("component")
+    blocked = blocked.unionByName(groups.join(spelt, "id", "left_semi").select("component")).distinct()
+    hit = stash(groups.join(blocked, "component", "left_semi").select(F.col("id").alias("node"), F.lit(True).alias("via_alias")), "aliases")
+    out = own.join(small(hit), "node", "left")
     via = F.col("rule").isNull() & F.coalesce("via_alias", F.lit(False))
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(via, "block").otherwise("allow")).alias("verdict"), via.alias("via_alias"))
 

@@ -102,6 +102,21 @@ def test_url_aliases(spark):
     assert got[4] == got[5] == "block" and got[3] == "allow"
 
 
+def test_links_as_browsers_follow_them(spark):
+    link = lambda href, more="": f'<head>{more}<link rel="canonical" href="{href}"></head>'
+    refresh = '<meta http-equiv="refresh" content="0; url=../../net.html?a=1&amp;b=2">'
+    rows = [
+        (0, "http://a.org/x/y/z.html", refresh), (1, "http://A.org/net.html?a=1&b=2#top", link("http://b.NET/es/1")),  # up two folders, &amp;, host case, fragment
+        (2, "http://c.org/p", link("es/3", '<base href="http://b.net/">')), (3, "http://d.org/p", f"<!-- {link('http://b.net/es/1')} --><p>"),  # base; a comment
+        (4, "http://e.org/p", f"<script>'{link('http://b.net/es/1')}'</script>"), (5, "http://f.org/a/./b/../c", None), (6, "http://g.org/p", link("HTTP://F.org/a/c")),
+        (7, "http://f.org/a/c", link("http://b.net/q/../fr/2")), (8, "http://h.net/es/../q", None), (9, "http://i.org/", link("http://h.net/q")), (10, "http://j.org/p", link("#top")),
+        (11, "http://k.org/p?x=1", link("?x=2")), (12, "http://k.org/p?x=2", link("http://b.net/es/1")), (13, "http://l.org", link("es/1", "<base href=''>")),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["via_alias"]) for r in urls.url_verdicts(pages_of(spark, rows)).collect()}
+    blocked = {0, 1, 2, 5, 6, 7, 9, 11, 12}
+    assert got == {i: ("block", i != 8) if i in blocked | {8} else ("allow", False) for i in range(14)}
+
+
 def test_components(spark):
     r = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, i) for i in range(5001, 5300)] + [(7, 7)]
