@@ -48,11 +48,17 @@ def _(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", pages.redirected_to_listing("url", final).alias("listing"))
 
 
-@query("yield_report", f"select {_HOST} as host, count(*) as attempts, count(*) filter (n > 0) as hits, round(avg(n) filter (n > 0), 4) as mean_items, max(n) as best from (select url, len(regexp_extract_all(html, '<li>')) - 4 as n0, case when len(regexp_extract_all(html, '<li>')) > 4 then cast(len(regexp_extract_all(html, '<li>')) as bigint) else 0 end as n from pages) group by all")
+@query("yield_report", f"""with p as (select {_HOST} as host, lower(html) as low, p_partkey is not null and p_size % 3 <> 0 as has, page_id from pages left join part on p_partkey = page_id),
+o as (select host, case when low is null or low = '' then 'no_page' when has then 'hit' when regexp_matches(low, 'captcha|access denied|are you a robot') then 'blocked' when regexp_matches(low, '404 not found|page not found|no longer available') then 'dead' when page_id % 4 <> 0 and not regexp_matches(low, '<script[^>]*json') then 'no_data' else 'no_items' end as outcome, case when has then 2 else 0 end as n from p),
+k as (select host, outcome, count(*) as k from o where outcome <> 'hit' group by host, outcome), c as (select *, row_number() over (partition by host order by k desc, outcome) as place from k)
+select o.host, count(*) as attempts, count(*) filter (outcome = 'hit') as hits, round(avg(n) filter (outcome = 'hit'), 4) as mean_items, cast(max(n) as bigint) as best, coalesce(any_value(top), '') as top_reasons from o left join (select host, string_agg(outcome || ': ' || k, ', ' order by place) as top from c where place <= 2 group by host) r on r.host = o.host group by o.host""")
 def _(t: Tables) -> DataFrame:
-    p = t.read("pages").withColumn("host", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)))
-    items = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).alias("name"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).alias("n")).where("n > 4")
-    return pages.yield_report(items, p, "host")
+    """Pages with a JSON block behind them: of two items, of none (every fourth page) or no block at all."""
+    p = t.read("pages").join(t.read("part").select(F.col("p_partkey").alias("page_id"), "p_name", "p_size", "p_retailprice"), "page_id", "left")
+    item = lambda n, k: F.struct(n.alias("name"), (F.round("p_retailprice", 2) + k).alias("price"))
+    block = F.when(F.col("p_size") % 3 != 0, F.to_json(F.struct(F.array(item(F.col("p_name"), 0), item(F.concat("p_name", F.lit(" large")), 1)).alias("items")))).when(F.col("page_id") % 4 == 0, "{}")
+    p = p.withColumn("host", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1))).withColumn("html", F.concat("html", F.coalesce(F.concat(F.lit('<script type="application/json">'), block, F.lit("</script>")), F.lit(""))))
+    return pages.yield_report(pages.any_items(p), p, "host")
 
 
 @query("distributed_sample", _CAP + ", f as (select * from cap qualify row_number() over (partition by platform, url order by at_time, length) = 1), q as (select *, date_trunc('quarter', at_time) as period from f qualify row_number() over (partition by platform, date_trunc('quarter', at_time) order by at_time, url) <= 3) select platform, url, strftime(at_time, '%Y-%m-%d') as day from q qualify row_number() over (partition by platform order by at_time, url) <= 25")
@@ -169,3 +175,100 @@ def _(t: Tables) -> DataFrame:
     typed = F.concat(F.lit('<p>paid S$1</p><script type="application/ld+json">'), item, F.lit("</script>"))
     text = F.concat(F.lit("<p>paid S$"), F.format_number(price, 2), F.lit(" and S$7, again S$7.00</p>"))
     return pages.extract_with_fallback(_shop(t, F.when(F.col("p_partkey") % 2 == 0, typed).otherwise(text)), r"S\$\s*([0-9,]+(?:\.[0-9]+)?)")
+
+
+_SCRIPT = {"jsonld": '<script type="application/ld+json">', "nextdata": '<script id="__NEXT_DATA__" type="application/json">'}
+
+
+def _script(kind: str, tree):
+    return F.concat(F.lit(_SCRIPT[kind]), F.to_json(tree), F.lit("</script>"))
+
+
+@query("walk_items", f"""select p_partkey as page_id, 0 as ord, {_NAME} as name, {_COST} as price, case when p_size % 2 = 0 then 'USD' end as currency from part where p_size % 5 <> 0
+union all select p_partkey, 1, 'set', p_size + 0.5, 'GBP' from part union all select p_partkey, 2, 'own', 7.25, null from part""")
+def _(t: Tables) -> DataFrame:
+    """A restaurant with a price of its own, which is no item, and a menu: a price in an offer, in a list of offers, in a specification, with text around it; and a node without a name."""
+    name, price = _text()
+    dollars = F.when(F.col("p_size") % 2 == 0, F.lit("USD"))
+    first = F.struct(F.when(F.col("p_size") % 5 == 0, "Place").otherwise("MenuItem").alias("@type"), name.alias("name"), F.array(F.struct(F.concat(F.lit("about "), price.cast("decimal(12,2)").cast("string")).alias("price"), dollars.alias("priceCurrency"))).alias("offers"))
+    second = F.struct(F.lit("set").alias("name"), F.struct((F.col("p_size") + 0.5).alias("price"), F.lit("GBP").alias("priceCurrency")).alias("priceSpecification"))
+    third = F.struct(F.lit("own").alias("name"), F.lit(7.25).alias("price"), F.struct(F.lit(1.0).alias("price"), F.lit("EUR").alias("priceCurrency")).alias("offers"))
+    tree = F.struct(F.lit("Restaurant").alias("@type"), F.lit("R").alias("name"), F.lit(9).alias("price"), F.struct(first.alias("a"), second.alias("b"), third.alias("c"), F.struct(F.lit(3).alias("price")).alias("d")).alias("menu"))
+    out = pages.extract_items(_shop(t, _script("jsonld", tree)), "jsonld")
+    return out.select("page_id", F.when(F.col("name") == "set", 1).when(F.col("name") == "own", 2).otherwise(0).alias("ord"), "name", "price", "currency")
+
+
+@query("extract_nextdata", f"select p_partkey as page_id, {_NAME} as name, p_partkey / 100 as price, 'SGD' as currency from part where p_partkey > 0 union all select p_partkey, 'tea', 2.0, null from part")
+def _(t: Tables) -> DataFrame:
+    """Minor units, nothing below a node that has them, zero prices dropped, repeats once."""
+    name, _ = _text()
+    item = F.struct(name.alias("name"), F.col("p_partkey").alias("priceInMinorUnit"), F.lit("SGD").alias("priceCurrency"), F.array(F.struct(F.lit("extra").alias("name"), F.lit(1).alias("price"))).alias("below"))
+    tea = F.struct(F.lit("tea").alias("name"), F.lit("2.00").alias("price"))
+    none = F.struct(F.lit("sold out").alias("name"), F.lit(0).alias("priceInMinorUnit"))
+    tree = F.struct(F.struct(F.array(item, item).alias("list"), none.alias("none"), F.array(tea, tea).alias("more")).alias("props"))
+    return pages.extract_items(_shop(t, _script("nextdata", tree)), "nextdata").select("page_id", "name", "price", "currency")
+
+
+@query("extract_raw_price", f"select p_partkey as page_id, {_NAME} as name, {_COST} as price from part union all select p_partkey, 'caf\u00e9 \"x\"', 3.5 from part")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    html = F.concat(F.lit('var m=[{"name":"'), name, F.lit('","id":1,"raw_price":"'), price.cast("decimal(12,2)").cast("string"), F.lit('"},{"name":"caf\\u00e9 \\"x\\"","raw_price":3.5},{"name":"gone"},{"name":"zero","raw_price":0}]'))
+    return pages.extract_items(_shop(t, html), "raw_price").select("page_id", "name", "price")
+
+
+@query("cost_for_two", "select p_partkey as page_id, case p_partkey % 3 when 0 then p_partkey * 1000.0 when 1 then p_partkey + 0.5 end as amount, case when p_partkey % 3 < 2 then 'INR' end as currency from part")
+def _(t: Tables) -> DataFrame:
+    key = F.col("p_partkey")
+    html = F.when(key % 3 == 0, F.concat(F.lit("<p>Rs "), key.cast("string"), F.lit(",000</p> for two (approx.)"))).when(key % 3 == 1, F.concat(F.lit("cost for two: <b>"), key.cast("string"), F.lit(".50</b>"))).otherwise(F.lit("no price for one"))
+    amount = pages.cost_for_two("html")
+    return _shop(t, html).select("page_id", amount.alias("amount"), F.when(amount.isNotNull(), "INR").alias("currency"))
+
+
+@query("price_tokens", f"select p_partkey as page_id, 'SGD' as currency, 2 as tokens, {_COST} + 1 as total from part union all select p_partkey, 'GBP', 1, cast(p_size as double) from part where p_size % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    _, price = _text()
+    html = F.concat(F.lit("<p>S$"), F.format_number(price, 2), F.lit("</p><p>S$ 1.00</p>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\u00a3"), F.col("p_size").cast("string"))).otherwise(F.lit("")))
+    out = pages.price_tokens(_shop(t, html), {"SGD": r"S\$\s?([0-9,]+(?:\.[0-9]{2})?)", "GBP": "\u00a3\\s?([0-9,]+(?:\\.[0-9]{2})?)"})
+    return out.select("page_id", "currency", "tokens", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("context_items", "select p_partkey as page_id, 0 as ord, left('pad thai at ' || p_size || ' baht', 20) as name, cast(p_size as double) as price from part where p_size >= 10 union all select p_partkey, case when p_size >= 10 then 1 else 0 end, '(no fried rice, plate 95 b', 95.0 from part")
+def _(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("Menu: "), F.lit("-" * 90), F.lit("pad thai at "), F.col("p_size").cast("string"), F.lit(" baht "), F.lit("." * 100), F.lit(" tables at 120 baht "), F.lit("." * 60), F.lit("(no fried rice, plate 95 baht)"))
+    return pages.context_items(_shop(t, text), [r"(\d+) baht"], ["fried rice", "pad thai"], text="html")
+
+
+@query("price_label", "select p_partkey as page_id, case p_partkey % 4 when 0 then p_partkey * 1000.0 when 3 then null else p_size + 0.25 end as price, case p_partkey % 4 when 0 then 'IDR' when 1 then 'SGD' when 2 then 'USD' end as currency from part")
+def _(t: Tables) -> DataFrame:
+    key, size = F.col("p_partkey"), F.concat(F.col("p_size").cast("string"), F.lit(".25"))
+    label = F.when(key % 4 == 0, F.concat(F.lit("Rp "), key.cast("string"), F.lit(".000"))).when(key % 4 == 1, F.concat(F.lit("now S$"), size)).when(key % 4 == 2, F.concat(F.lit("$ "), size)).otherwise(F.lit("market price"))
+    return _shop(t, label).select("page_id", pages.parse_price_label("html").alias("p")).select("page_id", "p.price", "p.currency")
+
+
+@query("node_types", "select p_partkey as page_id, 'Menu' as type, 1 as nodes from part union all select p_partkey, 'MenuItem', 1 + p_size % 3 from part union all select p_partkey, 'Dish', 1 from part where p_size % 3 > 0")
+def _(t: Tables) -> DataFrame:
+    return pages.node_types(_menus(t))
+
+
+@query("priced_nodes", "select p_partkey as page_id, 1 + p_size % 3 as typed, 1 + p_size % 3 + case when p_size % 3 > 0 then 1 else 0 end + 1 as generic from part")
+def _(t: Tables) -> DataFrame:
+    return pages.priced_nodes(_menus(t))
+
+
+def _menus(t: Tables) -> DataFrame:
+    """Menus of one to three items (the second with two types, the first in a list of lists), a price of the menu's own and one without a name around it in a second block."""
+    name, price = _text()
+    k = F.col("p_size") % 3
+    first = F.to_json(F.struct(F.lit("MenuItem").alias("@type"), name.alias("itemName"), F.struct(price.alias("unitPrice")).alias("cost")))
+    second = F.lit('{"@type":["MenuItem","Dish"],"title":"two","listPrice":"1,250.00 USD","x":{"salePrice":0}}')
+    third = F.lit('{"@type":"MenuItem","priceInCents":950}')
+    items = F.concat_ws(",", F.concat(F.lit("[["), first, F.lit("]]")), F.when(k > 0, second), F.when(k > 1, third))
+    html = F.concat(F.lit(_SCRIPT["jsonld"]), F.lit('{"@type":"Menu","name":"m","items":['), items, F.lit('],"more":{"@id":1,"displayPrice":"$5"},"amount":"'), F.when(k > 0, F.lit("3")).otherwise(F.lit("none")), F.lit('"}</script>'), F.lit(_SCRIPT["jsonld"]), F.lit('[{"price":1}]</script>'))
+    return _shop(t, html)
+
+
+@query("table_rows", f"select p_partkey as page_id, {_NAME} as name, {_COST} as value from part union all select p_partkey, 'total', p_size from part")
+def _(t: Tables) -> DataFrame:
+    name, price = _text()
+    html = F.concat(F.lit("<table><tr><th>name</th><th>value</th></tr><tr><td> <b>"), name, F.lit("</b></td><td>x</td><td>"), F.format_number(price, 2), F.lit("</td></tr><tr><td>total</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr><tr><td></td><td>3</td></tr></table>"))
+    return pages.table_rows(_shop(t, html))

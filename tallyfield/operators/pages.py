@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyfield.functions.columns import col
 
-ITEM = "array<struct<name: string, price: double, currency: string>>"
-# Decimals of currencies whose minor unit isn't a hundredth.
-MINOR_UNITS = {"VND": 0, "JPY": 0, "KRW": 0, "IDR": 2}
-# Node types that are never menu items.
-NOT_ITEMS = {"PostalAddress", "GeoCoordinates", "Restaurant", "FoodEstablishment", "Place", "LocalBusiness", "BreadcrumbList", "AggregateRating", "Review"}
-#: Further node types that name no dish.
-OTHER_TYPES = {"Organization", "ListItem", "WebSite", "Person"}
-
-
+# Node types whose price is not an item's.
+NOT_ITEMS = ["PostalAddress", "GeoCoordinates", "Restaurant", "FoodEstablishment", "Place", "LocalBusiness", "BreadcrumbList", "AggregateRating", "Review"]
+# Keys under which a menu document nests its sections and items.
+MENU_KEYS = ["hasMenuSection", "hasMenuItem", "itemListElement", "menu"]
+# Keys of an item's name and of its price, in order of preference, in documents without a schema.
+NAME_KEYS = ["name", "itemName", "title"]
+PRICE_KEYS = ["price", "basePrice", "defaultPrice", "finalPrice", "priceMonetaryFields", "prices"]
+# Inside a price, keys of an amount in minor units and of any amount; beside the latter, keys that say that it is in minor units.
+MINOR_KEYS, AMOUNT_KEYS, CURRENCY_KEYS = ["cents", "pence"], ["unitAmount", "amount", "value"], ["currency", "currencyCode"]
 # The largest plausible price of a currency in major units.
 LARGE = {"USD": 1000, "GBP": 1000, "AUD": 1000, "SGD": 1000, "MYR": 1000, "INR": 5000}
+# Fixed values of the structure report: name keys, price keys, those that may be in minor units, and item types.
+ANY_NAME_KEYS = ["name", "itemName", "productName", "title", "displayName"]
+ANY_PRICE_KEYS = ["price", "priceInCents", "priceInMinorUnit", "priceInMinor", "raw_price", "amount", "unitAmount", "unitPrice", "displayPrice", "minOrderPrice", "salePrice", "basePrice", "listPrice"]
+PERHAPS_MINOR = ["priceInCents", "priceInMinor", "priceInMinorUnit", "unitAmount", "amount"]
+ITEM_TYPES = ["MenuItem", "Offer", "AggregateOffer", "Product", "FoodEstablishment"]
 #: Names that a platform gives to stores that are none.
 PLACEHOLDER = r"^(?:test|do not use|closed|dead store|placeholder|store)\b|\b(?:test store|do not use|internal)\b"
+#: Nodes that leave a task at a time.
+NODES = 5000
 
 
 def script_blocks(html: Column | str, kind: str) -> Column:
@@ -32,119 +42,147 @@ def script_blocks(html: Column | str, kind: str) -> Column:
     return F.regexp_extract_all(col(html), F.lit(tag), F.lit(1))
 
 
-def _price(node: dict):
-    """(price, currency) of a node: its own, or that of its offers or price specification; minor units where the key says so."""
-    currency = node.get("priceCurrency") or node.get("currency")
-    for key in ("price", "lowPrice", "minPrice"):
-        if key in node and not isinstance(node[key], dict | list):
-            return _number(node[key]), currency
-    for key in ("priceInMinorUnit", "price_in_cents", "priceCents"):
-        if key in node and not isinstance(node[key], dict | list):
-            x = _number(node[key])
-            return (None if x is None else x / 10 ** MINOR_UNITS.get(currency or "", 2)), currency
-    for key in ("offers", "priceSpecification"):
-        for inner in node[key] if isinstance(node.get(key), list) else [node.get(key)]:
-            if isinstance(inner, dict):
-                x, c = _price(inner)
-                if x is not None:
-                    return x, c or currency
-    return None, currency
-
-
-def _number(x):
-    try:
-        return float(str(x).replace(",", ""))
-    except ValueError:
-        return None
+def _and(schema: StructType, more: str) -> StructType:
+    return StructType(schema.fields + StructType.fromDDL(more).fields)
 
 
-def walk(node, bound: float, depth: int = 0, most: int = 40) -> list[tuple]:
-    """(name, price, currency) of every priced and named node of a JSON document, in document order."""
-    out = []
-    if depth > most:
-        return out
-    if isinstance(node, list):
-        for x in node:
-            out += walk(x, bound, depth + 1, most)
-    elif isinstance(node, dict):
-        name = node.get("name") or node.get("title")
-        kind = node.get("@type")
-        if isinstance(name, str) and name.strip() and not (isinstance(kind, str) and kind in NOT_ITEMS | OTHER_TYPES):
-            price, currency = _price(node)
-            if price is not None and 0 < price < bound:
-                out.append((name.strip(), price, currency))
-        for key, x in node.items():
-            if key not in ("offers", "priceSpecification"):
-                out += walk(x, bound, depth + 1, most)
-    return out
+def _text(x) -> str | None:
+    return None if x is None else x if isinstance(x, str) else json.dumps(x)
 
 
-def menu_items(node, depth: int = 0, most: int = 12) -> list[tuple]:
-    """(name, price, None) of the MenuItem nodes under a menu document's section, item and list keys."""
-    if depth > most or not isinstance(node, dict):
-        return []
+def _flat(node: dict) -> list[tuple[str, str | None]]:
+    """A node's own fields, and those of the objects right below it (of a list the first) under dotted names; "key{}" says that a key holds an object or a list with something in it."""
     out = []
-    if node.get("@type") == "MenuItem" and node.get("name"):
-        offers = node.get("offers")
-        offer = offers[0] if isinstance(offers, list) and offers else offers
-        price = _number(offer["price"]) if isinstance(offer, dict) and offer.get("price") is not None else None
-        if price is not None:
-            out.append((str(node["name"])[:200], price, None))
-    for key in ("hasMenuSection", "hasMenuItem", "itemListElement", "menu"):
-        inner = node.get(key)
-        for x in inner if isinstance(inner, list) else [inner]:
-            out += menu_items(x, depth + 1, most)
+    for key, x in node.items():
+        if not isinstance(x, dict | list):
+            out.append((key, _text(x)))
+            continue
+        if x:
+            out.append((key + "{}", "list" if isinstance(x, list) else "object"))
+        inner = x[0] if isinstance(x, list) and x else x
+        if isinstance(inner, dict):
+            out += [(f"{key}.{k}", _text(v)) for k, v in inner.items() if not isinstance(v, dict | list)]
     return out
 
 
-def generic_items(node, currency: str | None, depth: int = 0, most: int = 15) -> list[tuple]:
-    """(name, price, currency) of any node with a name and a price under their usual keys.
+def _nodes(tree, under: list[str] | None, leaf: tuple[str, str] | None, names: list[str]) -> Iterator[tuple]:
+    """(depth, level, types, fields, named, kind) of every object of a JSON document, in document order, as a walk with a stack comes by it."""
+    stack = [(tree, 0, 0, False, None)]
+    while stack:
+        x, depth, level, named, kind = stack.pop()
+        if isinstance(x, list):
+            stack.extend((y, depth + 1, level, named, kind) for y in reversed(x) if isinstance(y, dict | list))
+        elif isinstance(x, dict):
+            types = [t for t in (x.get("@type") if isinstance(x.get("@type"), list) else [x.get("@type")]) if isinstance(t, str)]
+            named = named or any(isinstance(x.get(k), str) and x[k].strip() for k in names)
+            kind = types[0] if types else kind
+            yield depth, level, types, _flat(x), named, kind
+            if not leaf or leaf[0] not in x or not x.get(leaf[1]):
+                below = [y for k, y in x.items() if isinstance(y, dict | list) and (under is None or k in under)]
+                stack.extend((y, depth + 1, level + 1, named, kind) for y in reversed(below))
+
+
+def json_nodes(blocks: DataFrame, keep: list[str], blob: str, under: list[str] | None = None, leaf: tuple[str, str] | None = None, names: list[str] = ANY_NAME_KEYS) -> DataFrame:
+    """(keep..., ord, depth, level, types, fields, named, kind): a row per object of the JSON document in `blob`, in document order; what doesn't parse has none.
+
+    depth counts the objects and lists around a node, level the objects alone. types are its @type
+    texts, kind the first of them, or that of the nearest object around it that has one; named says
+    whether it or an object around it has a name under one of `names`; fields see _flat(). With
+    `under` the walk goes down by these keys alone; with `leaf` not below a node that has the first of
+    these keys and something under the second. Nodes leave the task as the walk comes by them, NODES at a time, however large a document is.
+    """
+    kept = blocks.select(*keep, F.col(blob).alias("_blob"))
+    fields = pa.map_(pa.string(), pa.string())
+    kinds = [("ord", pa.int64()), ("depth", pa.int32()), ("level", pa.int32()), ("types", pa.list_(pa.string())), ("fields", fields), ("named", pa.bool_()), ("kind", pa.string())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(b: pa.RecordBatch, row: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            own = [b[c].take(pa.array(row, pa.int64())) for c in keep]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*keep, *(n for n, _ in kinds)])
+
+        for b in batches:
+            row, rows = [], []
+            for i, text in enumerate(b["_blob"]):
+                try:
+                    tree = json.loads(text.as_py() or "null")
+                except (ValueError, RecursionError):
+                    continue
+                for k, node in enumerate(_nodes(tree, under, leaf, names)):
+                    row.append(i)
+                    rows.append((k, *node[:3], list(dict(node[3]).items()), *node[4:]))
+                    if len(rows) == NODES:
+                        yield batch(b, row, rows)
+                        row, rows = [], []
+            if rows:
+                yield batch(b, row, rows)
+
+    return kept.mapInArrow(work, _and(kept.drop("_blob").schema, "ord long, depth int, level int, types array<string>, fields map<string,string>, named boolean, kind string"))
+
 
-    Prices in cents or pence, and amounts beside a currency, are in minor units; without such a sign
-    a price that is too large for its currency is taken for one in minor units too.
+def _field(name: str) -> Column:
+    return F.col("fields")[name]
+
+
+def _given(name: str) -> Column:
+    """The field where it says something: neither empty, zero nor false."""
+    return F.when(~_field(name).isin("", "false") & F.coalesce(_field(name).try_cast("double") != 0, F.lit(True)), _field(name))
+
+
+def _has(name: str) -> Column:
+    return F.map_contains_key("fields", name)
+
+
+def _first(found: list[Column]) -> Column:
+    return F.coalesce(*found)
+
+
+def schema_items(nodes: DataFrame, keep: list[str], bound: float = 100_000.0) -> DataFrame:
+    """(keep..., ord, name, price, currency) of the nodes of json_nodes() that have a name of their own and a price.
+
+    The price is the node's own, else that of its first offer, else of its price specification: its
+    digits and dots. Where priceInMinorUnit stands, that counts, in hundredths. Nodes of NOT_ITEMS
+    give nothing; a price is above 0 and below the bound; names are cut to 120 characters.
     """
-    if depth > most:
-        return []
-    if isinstance(node, list):
-        return [i for x in node for i in generic_items(x, currency, depth + 1, most)]
-    if not isinstance(node, dict):
-        return []
-    first = lambda *keys: next((node[k] for k in keys if node.get(k)), None)
-    name, price, minor, out = first("name", "itemName", "title"), first("price", "basePrice", "defaultPrice", "finalPrice", "priceMonetaryFields", "prices"), False, []
-    if isinstance(price, dict):
-        small = next((price[k] for k in ("cents", "pence") if k in price), None)
-        amount = next((price[k] for k in ("unitAmount", "amount", "value") if price.get(k)), None)
-        minor = small is not None or amount is not None and ("currency" in price or "currencyCode" in price)
-        price = amount if small is None else small
-    value = None if price is None or isinstance(price, list | dict) else _number(price)
-    if name and value is not None:
-        if minor or value > LARGE.get(currency or "", float("inf")):
-            value /= 100
-        if 0 < value < 1_000_000:
-            out.append((str(name)[:200], round(value, 2), currency))
-    for x in node.values():
-        out += generic_items(x, currency, depth + 1, most)
-    return out
+    minor = _has("priceInMinorUnit") & _given("name").isNotNull()
+    own = _first([_field("price"), _field("offers.price"), _field("priceSpecification.price")])
+    price = F.when(minor, _field("priceInMinorUnit").try_cast("double") / 100).when(~F.arrays_overlap("types", F.array(*map(F.lit, NOT_ITEMS))), F.regexp_replace(own, r"[^\d.]", "").try_cast("double"))
+    beside = F.when(_field("price").isNull(), F.coalesce(_field("offers.priceCurrency"), F.when(_field("offers.price").isNull(), _field("priceSpecification.priceCurrency"))))
+    currency = F.when(minor, _field("priceCurrency")).otherwise(F.coalesce(_given("priceCurrency"), beside))
+    rows = nodes.select(*keep, "ord", F.left(_given("name"), F.lit(120)).alias("name"), price.alias("price"), currency.alias("currency"))
+    return rows.where(F.col("name").isNotNull() & (F.col("price") > 0) & (F.col("price") < bound))
 
 
-def json_items(blocks: DataFrame, keep: list[str], blob: str, find) -> DataFrame:
-    """(keep..., ord, name, price, currency) of what find(document) gives for the JSON in `blob`, or for each document of a JSON list; what doesn't parse gives nothing."""
+def menu_items(nodes: DataFrame, keep: list[str], most: int = 12) -> DataFrame:
+    """(keep..., ord, name, price, currency) of MenuItem nodes with an offer's price, at most so many objects deep."""
+    fits = (F.col("level") <= most) & F.array_contains("types", "MenuItem") & _given("name").isNotNull()
+    rows = nodes.where(fits).select(*keep, "ord", F.left(_field("name"), F.lit(200)).alias("name"), _field("offers.price").try_cast("double").alias("price"), F.lit(None).cast("string").alias("currency"))
+    return rows.where("price is not null")
 
-    @F.pandas_udf(ITEM)
-    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            out = []
-            for text in s:
-                try:
-                    tree = json.loads(text) if text else None
-                    found = [i for x in (tree if isinstance(tree, list) else [tree]) for i in find(x)]
-                except (ValueError, RecursionError):
-                    found = []
-                out.append([{"name": n, "price": p, "currency": c} for n, p, c in found])
-            yield pd.Series(out)
 
-    rows = blocks.select(*keep, F.posexplode(items(blob)).alias("ord", "i"))
-    return rows.select(*keep, "ord", "i.name", "i.price", "i.currency")
+def any_priced(nodes: DataFrame, keep: list[str], currency: str | None, most: int = 16) -> DataFrame:
+    """(keep..., ord, name, price, currency) of any node with a name and a price under their usual keys, at most so many objects and lists deep.
+
+    An amount under a minor-unit key, or beside a currency inside `price`, is in hundredths; without
+    such a sign a price that is too large for its currency is taken for one in hundredths too.
+    """
+    small = lambda key: [F.when(_has(f"{key}.{k}"), F.struct(_field(f"{key}.{k}").alias("v"), F.lit(True).alias("minor"))) for k in MINOR_KEYS]
+    beside = F.lit(False)
+    for k in CURRENCY_KEYS:
+        beside = beside | _has(f"price.{k}")
+    plain = lambda key: F.struct(_first([_given(f"{key}.{k}") for k in AMOUNT_KEYS]).alias("v"), beside.alias("minor"))
+    found = []
+    for key in PRICE_KEYS:
+        found += [F.when(_given(key).isNotNull(), F.struct(_field(key).alias("v"), F.lit(False).alias("minor"))), F.when(_field(f"{key}{{}}") == "object", F.coalesce(*small(key), plain(key))), F.when(_field(f"{key}{{}}") == "list", F.struct(F.lit(None).cast("string").alias("v"), F.lit(False).alias("minor")))]
+    rows = nodes.where(F.col("depth") <= most).select(*keep, "ord", _first([_given(k) for k in NAME_KEYS]).alias("name"), F.coalesce(*found).alias("p"))
+    value = F.col("p.v").try_cast("double")
+    large = F.lit(LARGE.get(currency or "", float("inf")))
+    price = F.when(F.col("p.minor") | (value > large), value / 100).otherwise(value)
+    rows = rows.select(*keep, "ord", F.left("name", F.lit(200)).alias("name"), price.alias("price"), F.lit(currency).cast("string").alias("currency"))
+    return rows.where((F.col("price") > 0) & (F.col("price") < 1_000_000) & F.col("name").isNotNull()).withColumn("price", F.round("price", 2))
+
+
+def _blocks(pages: DataFrame, kind: str) -> DataFrame:
+    return pages.select("page_id", F.posexplode(script_blocks("html", kind)).alias("block", "blob"))
 
 
 def _in_page_order(rows: DataFrame) -> DataFrame:
@@ -157,14 +195,12 @@ def _in_page_order(rows: DataFrame) -> DataFrame:
 
 def typed_items(pages: DataFrame) -> DataFrame:
     """(page_id, ord, name, price, currency) of the MenuItem nodes in a page's JSON-LD blocks."""
-    blocks = pages.select("page_id", F.posexplode(script_blocks("html", "ld\\+json")).alias("block", "blob"))
-    return _in_page_order(json_items(blocks, ["page_id", "block"], "blob", menu_items))
+    return _in_page_order(menu_items(json_nodes(_blocks(pages, "ld\\+json"), ["page_id", "block"], "blob", under=MENU_KEYS), ["page_id", "block"]))
 
 
 def any_items(pages: DataFrame, currency: str | None = None, kind: str = "(?:json|__NEXT_DATA__)") -> DataFrame:
-    """(page_id, ord, name, price, currency) of all named and priced nodes in a page's JSON scripts, by generic_items()."""
-    blocks = pages.select("page_id", F.posexplode(script_blocks("html", kind)).alias("block", "blob"))
-    return _in_page_order(json_items(blocks, ["page_id", "block"], "blob", lambda x: generic_items(x, currency)))
+    """(page_id, ord, name, price, currency) of all named and priced nodes in a page's JSON scripts; see any_priced()."""
+    return _in_page_order(any_priced(json_nodes(_blocks(pages, kind), ["page_id", "block"], "blob"), ["page_id", "block"], currency))
 
 
 def dom_items(pages: DataFrame, marker: str, name: str, price: str, most: int = 4000, bound: float = 10_000.0) -> DataFrame:
@@ -212,25 +248,6 @@ def extract_with_fallback(pages: DataFrame, price: str, typed_most: int = 30, te
     return typed.unionByName(text)
 
 
-def walk_items(blocks: DataFrame, keep: list[str], blob: str, bound: float = 100_000.0) -> DataFrame:
-    """(keep..., ord, name, price, currency) of the JSON in `blob`; what doesn't parse gives nothing."""
-
-    @F.pandas_udf(ITEM)
-    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            out = []
-            for text in s:
-                try:
-                    found = walk(json.loads(text), bound) if text else []
-                except (ValueError, RecursionError):
-                    found = []
-                out.append([{"name": n, "price": p, "currency": c} for n, p, c in found])
-            yield pd.Series(out)
-
-    rows = blocks.select(*keep, F.posexplode(items(blob)).alias("ord", "i"))
-    return rows.select(*keep, "ord", "i.name", "i.price", "i.currency")
-
-
 def extract_items(pages: DataFrame, profile: str, bound: float = 100_000.0) -> DataFrame:
     """(page_id, ord, name, price, currency) by profile: jsonld or nextdata script blocks, or raw_price name/price pairs; first of equals stays."""
     if profile == "raw_price":
@@ -240,8 +257,7 @@ def extract_items(pages: DataFrame, profile: str, bound: float = 100_000.0) -> D
         rows = rows.where((F.col("price") > 0) & (F.col("price") < bound))
     else:
         kind = {"jsonld": "ld\\+json", "nextdata": "__NEXT_DATA__"}[profile]
-        blocks = pages.select("page_id", F.posexplode(script_blocks("html", kind)).alias("block", "blob"))
-        rows = walk_items(blocks, ["page_id", "block"], "blob", bound)
+        rows = schema_items(json_nodes(_blocks(pages, kind), ["page_id", "block"], "blob", leaf=("priceInMinorUnit", "name")), ["page_id", "block"], bound)
         rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("block", "ord")) - 1).drop("block")
     first = Window.partitionBy("page_id", "name", F.round("price", 2), "currency").orderBy("ord")
     return rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
@@ -254,17 +270,58 @@ def price_tokens(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return rows.select("page_id", "t.currency", F.size("t.v").alias("tokens"), F.transform("t.v", lambda x: F.regexp_replace(x, ",", "").try_cast("double")).alias("values"))
 
 
-def context_items(pages: DataFrame, pattern: str, keywords: list[str], before: int = 80, after: int = 40, low: float = 10, high: float = 5000, most: int = 6) -> DataFrame:
-    """Prices of a page in bounds with a food keyword near them, at most `most` a page in order."""
-    rows = pages.select("page_id", "html", F.regexp_extract_all("html", F.lit(pattern), F.lit(0)).alias("m"), F.split("html", pattern, -1).alias("s"), F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("v"))
-    rows = rows.select("page_id", "html", "m", "s", F.posexplode("v").alias("ord", "v"))
-    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.length(y))
-    at = length("s", F.col("ord") + 1) + length("m", F.col("ord"))
-    rows = rows.withColumn("price", F.regexp_replace("v", ",", "").try_cast("double")).withColumn("at", at)
-    start = F.greatest(F.lit(1), F.col("at") - before + 1)
-    near = F.lower(F.substring(F.col("html"), start, F.col("at") + after - start + 1))
-    rows = rows.withColumn("near", near).where(F.col("price").between(low, high)).where(F.col("near").rlike("|".join(keywords)))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).where(F.col("k") <= most).select("page_id", "ord", "price", "near")
+def context_items(pages: DataFrame, patterns: list[str], keywords: list[str], before: int = 80, after: int = 40, low: float = 10, high: float = 5000, most: int = 6, text: str = "text") -> DataFrame:
+    """(page_id, ord, name, price) of prices in a page's text with a keyword near them: from `before` characters ahead of the price to `after` behind it.
+
+    The places of all prices and of each keyword are sorted arrays of their own, matched by interval,
+    so a text is gone through once for each pattern and keyword however many prices it has. Of
+    several keywords near a price the first of the list counts, at its first place there; name is what
+    stands from 8 characters ahead of it to 12 behind, inside the window, cut to 60. Patterns come one after
+    the other; of equal names (case aside) and prices the first stays; at most `most` a page.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [re.compile(p) for p in patterns]
+        for b in batches:
+            row, out = [], []
+            for i, x in enumerate(b["text"]):
+                page, seen, n = x.as_py() or "", set(), 0
+                prices = [(m.start(), m.end(), _number(m.group(1))) for p in compiled for m in p.finditer(page)]
+                lower = page.lower() if prices else ""
+                if len(lower) != len(page):
+                    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+                start = np.array([max(0, s - before) for s, _, _ in prices], np.int64)
+                end = np.array([min(len(page), e + after) for _, e, _ in prices], np.int64)
+                at, which = np.full(len(prices), -1), np.full(len(prices), -1)
+                for k, word in enumerate(keywords if prices else []):
+                    places = np.array([m.start() for m in re.finditer(f"(?={re.escape(word)})", lower)], np.int64)
+                    if len(places):
+                        first = places[np.minimum(np.searchsorted(places, start), len(places) - 1)]
+                        near = (which < 0) & (first >= start) & (first + len(word) <= end)
+                        at[near], which[near] = first[near], k
+                for j in np.flatnonzero(which >= 0):
+                    price = prices[j][2]
+                    if n == most or price is None or not low <= price <= high:
+                        continue
+                    name = page[max(start[j], at[j] - 8) : min(end[j], at[j] + len(keywords[which[j]]) + 12)].strip(" .,;:-\u2014")
+                    name = re.sub(r"\s+", " ", name)[:60]
+                    if (name.lower(), price) not in seen:
+                        seen.add((name.lower(), price))
+                        row.append(i)
+                        out.append((n, name, price))
+                        n += 1
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b["page_id"].take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.float64()), strict=True))], names=["page_id", "ord", "name", "price"])
+
+    rows = pages.select("page_id", F.col(text).alias("text"))
+    return rows.mapInArrow(work, _and(rows.drop("text").schema, "ord int, name string, price double"))
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text.replace(",", "."))
+    except ValueError:
+        return None
 
 
 def parse_price_label(label: Column | str) -> Column:
@@ -320,33 +377,51 @@ def redirected_to_listing(asked: Column | str, final: Column | str) -> Column:
     return (F.size(b) < F.size(a)) & ((F.size(b) == 0) | (F.slice(a, F.lit(1), F.greatest(F.size(b), F.lit(1))) == b))
 
 
-def node_types(blocks: DataFrame, blob: str) -> DataFrame:
-    """(type, nodes) over the JSON documents of a column."""
+def node_types(pages: DataFrame, kind: str = "ld\\+json") -> DataFrame:
+    """(page_id, type, nodes): how often each @type stands in a page's JSON scripts."""
+    nodes = json_nodes(_blocks(pages, kind), ["page_id"], "blob")
+    return nodes.select("page_id", F.explode("types").alias("type")).groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("nodes"))
 
-    @F.pandas_udf("array<string>")
-    def types(s: pd.Series) -> pd.Series:
-        def every(x):
-            if isinstance(x, list):
-                return [t for y in x for t in every(y)]
-            if isinstance(x, dict):
-                return [str(x["@type"]) for _ in range("@type" in x)] + [t for y in x.values() for t in every(y)]
-            return []
 
-        def one(text):
-            try:
-                return every(json.loads(text)) if text else []
-            except (ValueError, RecursionError):
-                return []
+def priced_nodes(pages: DataFrame, kind: str = "ld\\+json") -> DataFrame:
+    """(page_id, typed, generic): prices under any usual key of a node that has a name, or stands in one that has; typed ones are of an item type or in a node of one.
 
-        return s.map(one)
+    A price is the first number of its text; prices over 100 under keys of minor units are taken in
+    hundredths. Pages without any are left out.
+    """
+    nodes = json_nodes(_blocks(pages, kind), ["page_id"], "blob").where("named")
+    number = lambda k: F.regexp_extract(F.regexp_replace(_field(k), ",", ""), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    scaled = lambda k: F.when(number(k) > 100, number(k) / 100).otherwise(number(k)) if k in PERHAPS_MINOR else number(k)
+    count = sum((F.coalesce(scaled(k) > 0, F.lit(False)).cast("long") for k in ANY_PRICE_KEYS), F.lit(0))
+    typed = F.coalesce(F.col("kind").isin(ITEM_TYPES), F.lit(False)) | F.arrays_overlap("types", F.array(*map(F.lit, ITEM_TYPES)))
+    out = nodes.select("page_id", count.alias("n"), typed.alias("typed")).groupBy("page_id").agg(F.sum(F.when(F.col("typed"), F.col("n")).otherwise(0)).alias("typed"), F.sum("n").alias("generic"))
+    return out.where("generic > 0")
 
-    return blocks.select(F.explode(types(blob)).alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("nodes"))
 
+def attempt_outcome(html: Column | str, items: Column) -> Column:
+    """What came of reading a page: hit, or the reason for none (no_page, blocked, dead, no_data, no_items)."""
+    low = F.lower(col(html))
+    return (
+        F.when(F.coalesce(F.length(low), F.lit(0)) == 0, "no_page").when(F.coalesce(items, F.lit(0)) > 0, "hit").when(low.rlike("captcha|access denied|are you a robot"), "blocked")
+        .when(low.rlike("404 not found|page not found|no longer available"), "dead").when(~low.rlike("(?i)<script[^>]*json"), "no_data").otherwise("no_items")
+    )
+
+
+def yield_report(items: DataFrame, pages: DataFrame, target: str, reasons: int = 2) -> DataFrame:
+    """Per target of pages(page_id, target, html): attempts, hits, mean and best number of items of a hit, and the most frequent reasons of failed attempts with their numbers (ties by name).
 
-def yield_report(items: DataFrame, pages: DataFrame, target: str) -> DataFrame:
-    """Per target: attempts, hits, mean and best number of items of a page."""
-    by = pages.select("page_id", target).join(items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return by.groupBy(target).agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("n") > 0).alias("hits"), F.round(F.avg(F.when(F.col("n") > 0, F.col("n"))), 4).alias("mean_items"), F.max("n").alias("best"))
+    Failures are counted by target and reason before the top is taken, so a target's state is its few reasons.
+    """
+    by = pages.select("page_id", target, "html").join(items.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left")
+    by = by.select(target, F.coalesce("n", F.lit(0).cast("long")).alias("n"), attempt_outcome("html", F.col("n")).alias("outcome"))
+    counts = by.groupBy(target, "outcome").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.max("n").alias("best"))
+    hit = F.col("outcome") == "hit"
+    tops = F.slice(F.array_sort(F.collect_list(F.when(~hit, F.struct((-F.col("k")).alias("less"), F.col("outcome").alias("reason"))))), 1, reasons)
+    out = counts.groupBy(target).agg(
+        F.sum("k").alias("attempts"), F.sum(F.when(hit, F.col("k")).otherwise(0)).alias("hits"), F.round(F.sum(F.when(hit, F.col("total"))) / F.sum(F.when(hit, F.col("k"))), 4).alias("mean_items"), F.max("best").alias("best"), tops.alias("tops")
+    )
+    named = F.array_join(F.transform("tops", lambda x: F.concat(x["reason"], F.lit(": "), (-x["less"]).cast("string"))), ", ")
+    return out.withColumn("top_reasons", named).drop("tops")
 
 
 # captures

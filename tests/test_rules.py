@@ -119,7 +119,7 @@ def test_rules_of_brands_and_karma(spark):
 def test_price_labels_and_items(spark):
     text = spark.createDataFrame([("A$ 12.50",), ("S$3",), ("US 4",), ("USD 4",), ("$5",), ("Rp 25.000",)], "t string")
     assert [r[0] and (r[0]["price"], r[0]["currency"]) for r in text.select(pages.parse_price_label("t")).collect()] == [(12.5, "AUD"), (3.0, "SGD"), None, (4.0, "USD"), (5.0, "USD"), (25000.0, "IDR")]
-    assert {"Restaurant", "FoodEstablishment", "LocalBusiness", "Place", "GeoCoordinates"} <= pages.NOT_ITEMS
+    assert {"Restaurant", "FoodEstablishment", "LocalBusiness", "Place", "GeoCoordinates"} <= set(pages.NOT_ITEMS)
     alert = quality.failure_alert(spark.createDataFrame([("a", True), ("a", False), ("b", False)], "k string, bad boolean"), "k", "bad").collect()
     assert {r["k"]: r["alert"] for r in alert} == {"a": True, "b": False}
 

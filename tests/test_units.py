@@ -135,22 +135,54 @@ def test_payload_readers(spark, tmp_path):
 
 PAGE = """<html><title>Menu of The Lantern</title><script type="application/ld+json">{"@type":"Menu","hasMenuItem":[{"@type":"MenuItem","name":"Soup","offers":{"price":"4.50","priceCurrency":"USD"}},
 {"@type":"MenuItem","name":"Tea","price_in_cents":250,"currency":"USD"},{"@type":"Organization","name":"Org","price":1},{"name":"Dear","price":"1e9"}]}</script>
-<script id="__NEXT_DATA__">{"items":[{"title":"Bun","price":3},{"title":"Bun","price":3.001}]}</script><p>Pho $12.50 and S$8</p><table><tr><td>US</td><td>5.1</td></tr><tr><th>x</th></tr></table> 1,200 for two
+<script id="__NEXT_DATA__">{"items":[{"name":"Bun","priceInMinorUnit":300,"priceCurrency":"SGD","below":{"name":"not seen","price":1}},{"name":"Bun","price":3.001,"priceCurrency":"SGD"},{"title":"no name","price":2}]}</script><p>Pho $12.50 and S$8</p><table><tr><td>US</td><td>5.1</td></tr><tr><th>x</th></tr></table> 1,200 for two
 {"name":"Nasi \\u0041","id":1,"raw_price":"12.5"}</html>"""
 
 
 def test_extraction(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<script type='application/ld+json'>{broken</script>")], "page_id long, html string")
-    assert rows(pages.extract_items(df, "jsonld"), "page_id", "name", "price", "currency") == [(1, "Soup", 4.5, "USD"), (1, "Tea", 2.5, "USD")]
+    assert rows(pages.extract_items(df, "jsonld"), "page_id", "name", "price", "currency") == [(1, "Dear", 19.0, None), (1, "Org", 1.0, None), (1, "Soup", 4.5, "USD")]
     assert rows(pages.extract_items(df, "nextdata"), "name", "price") == [("Bun", 3.0)]
     assert rows(pages.extract_items(df, "raw_price"), "name", "price") == [("Nasi A", 12.5)]
     assert rows(pages.price_tokens(df, {"USD": r"(?<![A-Z])\$\s?([0-9.]+)", "SGD": r"S\$\s?([0-9.]+)"}), "currency", "tokens", "values") == [("SGD", 1, [8.0]), ("USD", 1, [12.5])]
     assert df.where("page_id = 1").select(pages.cost_for_two("html")).first()[0] == 1200.0
     assert rows(pages.table_rows(df), "name", "value") == [("US", 5.1)]
-    near = pages.context_items(df, r"\$([0-9.]+)", ["pho"])
-    assert rows(near, "ord", "price") == [(0, 12.5)]
-    blocks = df.select("page_id", F.explode(pages.script_blocks("html", "ld\\+json")).alias("b"))
-    assert dict(rows(pages.node_types(blocks, "b"), "type", "nodes")) == {"Menu": 1, "MenuItem": 2, "Organization": 1}
+    assert dict(rows(pages.node_types(df), "type", "nodes")) == {"Menu": 1, "MenuItem": 2, "Organization": 1}
+    assert rows(pages.priced_nodes(df), "page_id", "typed", "generic") == [(1, 1, 3)]  # an offer stands in a node that has a name
+
+
+def test_structure_counts(spark):
+    tree = {"@type": ["Menu", "Thing"], "name": "M", "x": [{"@type": "Offer", "price": "$8.99"}, {"priceInCents": 250, "amount": 90}, {"@type": "Odd", "price": "none", "unitPrice": 0}], "o": {"title": "t", "sub": {"price": 3}}}
+    lone = [{"price": 5}, {"displayName": " ", "listPrice": 2}, 7, None, [[{"name": "deep", "@type": "Product", "listPrice": "1,250 USD"}]]]
+    df = spark.createDataFrame([(i, f"<script type=application/ld+json>{json.dumps(t)}</script>") for i, t in enumerate((tree, lone))], "page_id long, html string")
+    assert rows(pages.priced_nodes(df), "page_id", "typed", "generic") == [(0, 1, 4), (1, 1, 1)]
+    assert rows(pages.node_types(df), "page_id", "type", "nodes") == [(0, "Menu", 1), (0, "Odd", 1), (0, "Offer", 1), (0, "Thing", 1), (1, "Product", 1)]
+
+
+def test_generic_prices(spark):
+    cases = [
+        ({"name": "a", "price": "12.99"}, [("a", 12.99)]), ({"itemName": "b", "price": {"amount": 1299, "currency": "USD"}}, [("b", 12.99)]), ({"title": "c", "prices": {"cents": 1250, "points": 0}}, [("c", 12.5)]),
+        ({"name": "", "title": "d", "basePrice": 1001}, [("d", 10.01)]), ({"name": "e", "price": 0, "finalPrice": {"value": "7"}}, [("e", 7.0)]), ({"name": "f", "price": {"cents": None, "amount": 5}}, []), ({"name": "g", "price": [1]}, []),
+        ({"name": "h", "prices": {"amount": 500, "currency": "USD"}}, [("h", 500.0)]), ({"x": {"name": "i", "defaultPrice": {"pence": 99}}, "name": "j", "price": 2}, [("j", 2.0), ("i", 0.99)]), ([{"name": "k", "price": "x"}, {"name": "l" * 300, "price": 1}], [("l" * 200, 1.0)]),
+    ]
+    deep = {"name": "at", "price": 1}
+    for _ in range(15):
+        deep = {"x": deep}
+    cases += [({"x": deep}, [("at", 1.0)]), ({"x": {"x": deep}}, [])]  # sixteen and seventeen containers down
+    df = spark.createDataFrame([(i, f"<script type='application/json'>{json.dumps(c)}</script>") for i, (c, _) in enumerate(cases)], "page_id long, html string")
+    got = pages.any_items(df, "USD").orderBy("page_id", "ord").collect()
+    assert [[(r["name"], r["price"]) for r in got if r["page_id"] == i] for i in range(len(cases))] == [w for _, w in cases]
+    many = json.dumps([{"name": f"n{i}", "price": 1 + i % 900} for i in range(12_000)])
+    assert pages.any_items(spark.createDataFrame([(1, f"<script type='application/json'>{many}</script>")], "page_id long, html string"), "USD").count() == 12_000
+
+
+def test_prices_in_context(spark):
+    text = "Pad Thai only 120 baht " + "x" * 200 + " 80 baht, noodle soup 60 baht; NOODLE  soup 60 baht and 5 baht " + "y" * 100 + " 99 baht"
+    many = " ".join(f"rice {i} baht" for i in range(20, 40))
+    df = spark.createDataFrame([(1, text), (2, None), (3, many), (4, "İ rice 30 baht")], "page_id long, text string")
+    got = pages.context_items(df, [r"(\d+) baht"], ["soup", "pad thai", "rice"], before=20, after=10)
+    assert [tuple(r) for r in got.where("page_id = 1").orderBy("ord").collect()] == [(1, 0, "Pad Thai only 120 ba", 120.0), (1, 1, "noodle soup 60 baht; NO", 60.0), (1, 2, "NOODLE soup 60 baht and", 60.0)]
+    assert [(r["ord"], r["price"]) for r in got.where("page_id = 3").orderBy("ord").collect()] == [(i, 20.0 + i) for i in range(6)] and got.where("page_id = 4").count() == 1
 
 
 def test_price_labels(spark):
