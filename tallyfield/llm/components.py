@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, discard, small, stash
+from .shared import BROADCAST_ROWS, cut, discard, small, stash
 
 #: Edges of a task: a table of links is read in as many parts as it needs, whatever the number of shuffle partitions.
 EDGES = 200_000
 #: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
 HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
+#: Postings of a key in several components that are paired without a closer look.
+CROWD = 64
 #: Sketches of tasks that are merged at a time.
 FAN = 8
 
@@ -97,9 +99,10 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     the two postings (struct columns) that every linking pair meets at one of its keys. First every
     node is tried against the hub that it meets on the most keys. Only keys whose nodes then still
     lie in several components give further pairs, and of those only the pairs across components:
-    every other pair could not change a component. A hot key's joins are plain shuffled joins, whose
-    skewed partitions Spark splits. wide(nodes) gives (node, wide) of those that take part in the
-    further pairs, for fits to look at; up to then wide is null.
+    every other pair could not change a component. A key with up to CROWD such postings gives at most
+    CROWD / 2 pairs for each; for keys with more, wide(nodes) gives (node, wide) of the nodes that take
+    part, for fits to look at (it is null for others), and their joins are plain shuffled joins, whose
+    skewed partitions Spark splits.
     """
     shared = shared.withColumns({c: F.col(c).withField("wide", F.lit(None).cast("array<long>")) for c in ("me", "hub")})
     near = shared.where((F.col("me.node") != F.col("hub.node")) & fits(F.col("me"), F.col("hub"))).groupBy("me.node", F.col("hub.node").alias("to")).agg(F.count(F.lit(1)).alias("n"))
@@ -108,16 +111,21 @@ def linked(shared: DataFrame, verified: Callable[[DataFrame], DataFrame], fits:
     links = cut(verified(tried))
     label = small(cut(components(links)).withColumnRenamed("id", "node"))
     part = shared.select("key", "me", F.col("me.node").alias("node")).join(label, "node", "left").select("key", "me", F.coalesce("component", "node").alias("part"))
-    parts = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    parts = part.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", (F.col("n") > CROWD).alias("crowded"))
     part = stash(part.join(parts, "key"), "open")
+
+    def across(rows: DataFrame) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
+        return x.join(y, on).select(F.least("x.me.node", "y.me.node").alias("a"), F.greatest("x.me.node", "y.me.node").alias("b"))
+
     if wide:
-        own = cut(wide(cut(part.select("me.node").distinct())))
-        narrow, part = part, part.withColumn("node", F.col("me.node")).join(small(own), "node").select("key", F.col("me").withField("wide", F.col("wide")).alias("me"), "part")
-        part = stash(part, "open")
-        discard(narrow)
-    x, y = part.alias("x"), part.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & fits(F.col("x.me"), F.col("y.me"))
-    rest = x.join(y, across).select(F.least("x.me.node", "y.me.node").alias("a"), F.greatest("x.me.node", "y.me.node").alias("b")).distinct()
+        crowd = part.where("crowded")
+        own = stash(wide(cut(crowd.select("me.node").distinct())), "wide")
+        crowd = stash(crowd.withColumn("node", F.col("me.node")).join(small(own, BROADCAST_ROWS // 8), "node", "left").select("key", F.col("me").withField("wide", F.col("wide")).alias("me"), "part"), "crowd")
+        rest = across(part.where("not crowded")).unionByName(across(crowd)).distinct()
+    else:
+        rest = across(part).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    discard(part)
+    discard(part, *([own, crowd] if wide else []))
     return links.unionByName(cut(verified(rest)))

@@ -146,8 +146,17 @@ def _reduced(f: np.ufunc, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
     return f.reduceat(np.r_[x, x[:1]], np.stack([low, high], axis=1).ravel())[::2]
 
 
-def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(size, sketch, wide, counts, keys): how many distinct shingles x[low:high] each unit has, their odd sketches of 32 and of 64 * WIDE bits, how many band keys it has, and the keys.
+def _wide_sketches(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Odd sketches of 64 * WIDE bits of the distinct shingles x[low:high] of each unit, as rows of longs; see _band_keys()."""
+    out = np.zeros((len(low), WIDE), np.uint64)
+    for i, (a, b) in enumerate(zip(low, high, strict=True)):
+        v = np.unique(x[a:b])
+        np.bitwise_xor.at(out[i], (v >> np.uint64(46)).astype(np.int64) % WIDE, np.uint64(1) << ((v >> np.uint64(40)) & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, sketch, counts, keys): how many distinct shingles x[low:high] each unit has, their odd sketch of 32 bits, how many band keys it has, and the keys.
 
     An odd sketch has a bit for each cell that an odd number of shingles falls into: two sketches
     differ in at most as many bits as there are shingles in one set only.
@@ -168,15 +177,12 @@ def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -
     got.sort(axis=1)
     kept[brief] = got
     size[brief] = (got != 2**64 - 1).sum(axis=1)
-    sketch, wide = np.zeros(len(low), np.uint32), np.zeros((len(low), WIDE), np.uint64)
+    sketch = np.zeros(len(low), np.uint32)
     bit = lambda v: np.uint32(1) << (v & np.uint64(31)).astype(np.uint32)
-    wide_bit = lambda v, k: np.where((v >> np.uint64(46)) % np.uint64(WIDE) == k, np.uint64(1) << ((v >> np.uint64(40)) & np.uint64(63)), np.uint64(0))
     sketch[brief] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, bit(got), np.uint32(0)), axis=1)
-    for k in range(WIDE):
-        wide[brief, k] = np.bitwise_xor.reduce(np.where(got != 2**64 - 1, wide_bit(got, k), np.uint64(0)), axis=1)
     for i in np.flatnonzero(high - low > SHORT):
         distinct = np.unique(x[low[i] : high[i]])
-        size[i], sketch[i], wide[i] = len(distinct), np.bitwise_xor.reduce(bit(distinct)), [np.bitwise_xor.reduce(wide_bit(distinct, k)) for k in range(WIDE)]
+        size[i], sketch[i] = len(distinct), np.bitwise_xor.reduce(bit(distinct))
         if len(distinct) <= SHORT:
             kept[i, : len(distinct)] = distinct
     few = np.where(size <= SHORT, size - -(-size * percent // 100) + 1, 0)
@@ -194,14 +200,14 @@ def _band_keys(x: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -
                 key = mixed(key * np.uint64(31) + _reduced(np.minimum, (x ^ seed) * np.uint64(0xD6E8FEB86659FD93) ^ (x >> np.uint64(32)), lo, hi))
             keys[with_bands, width + band] = key
     column = np.arange(width + BANDS)
-    return size, sketch.view(np.int32), wide.view(np.int64), few + many, keys[(column < few[:, None]) | (column >= width) & (many > 0)[:, None]].view(np.int64)
+    return size, sketch.view(np.int32), few + many, keys[(column < few[:, None]) | (column >= width) & (many > 0)[:, None]].view(np.int64)
 
 
 def paragraph_table(docs: DataFrame, percent: int, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, digest, number, first_word, n_words, start, length, node, size, sketch, wide, keys) of all units.
+    """(doc_id, digest, number, first_word, n_words, start, length, node, size, sketch, keys) of all units.
 
     digest is a hash of the whole text, start and length count characters, node is a hash of the
-    words, size the number of distinct shingles, sketch and wide their odd sketches, keys the MinHash
+    words, size the number of distinct shingles, sketch their odd sketch, keys the MinHash
     band keys.
     """
 
@@ -219,13 +225,28 @@ def paragraph_table(docs: DataFrame, percent: int, least: int = MIN_WORDS) -> Da
                 start, length = (np.concatenate([p[k] for p in places]) for k in (0, 1))
                 digest = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
                 x, last = shingles(u.hashes, SHINGLE), u.high - SHINGLE + 1
-                size, sketch, wide, counts, keys = _band_keys(x, u.low, last, percent)
+                size, sketch, counts, keys = _band_keys(x, u.low, last, percent)
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), keys)
                 ints = [pa.array(c.astype(np.int32)) for c in (number, low, high - low, start, length)]
-                columns = [part["doc_id"].take(pa.array(u.row)), pa.array(digest[u.row]), *ints, pa.array(_nodes(u)), pa.array(size.astype(np.int32)), pa.array(sketch), pa.ListArray.from_arrays(np.arange(0, wide.size + 1, WIDE, dtype=np.int32), wide.ravel()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "number", "first_word", "n_words", "start", "length", "node", "size", "sketch", "wide", "keys"])
+                columns = [part["doc_id"].take(pa.array(u.row)), pa.array(digest[u.row]), *ints, pa.array(_nodes(u)), pa.array(size.astype(np.int32)), pa.array(sketch), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "number", "first_word", "n_words", "start", "length", "node", "size", "sketch", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, digest long, number int, first_word int, n_words int, start int, length int, node long, size int, sketch int, keys array<long>")
+
+
+def wide_sketches(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(node, wide) of the units of docs: odd sketches of 64 * WIDE bits."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Ends()
+        for b in batches:
+            for _, texts in text_parts(b):
+                u = units_of(texts, cache, least)
+                wide = _wide_sketches(shingles(u.hashes, SHINGLE), u.low, u.high - SHINGLE + 1) if len(u.low) else np.zeros((0, WIDE), np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, wide.size + 1, WIDE, dtype=np.int32), wide.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(u) if len(u.low) else np.zeros(0, np.int64)), lists], names=["node", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, digest long, number int, first_word int, n_words int, start int, length int, node long, size int, sketch int, wide array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(work, "node long, wide array<long>")
 
 
 def _in_runs(found: DataFrame, run: int, gap: int) -> DataFrame:
@@ -298,14 +319,17 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
         return (xs * 100 >= ys * percent) & (ys * 100 >= xs * percent) & (apart * (100 + percent) <= (xs + ys) * (100 - percent))
 
     def wide(nodes: DataFrame) -> DataFrame:
-        return table.select("node", "wide").join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"))
+        """Read again from one document that holds each node; a node that isn't found there stays without."""
+        holder = table.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        again = docs.select("doc_id", "text").join(small(cut(holder)), "doc_id", "left_semi")
+        return wide_sketches(again, least).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"))
 
     label = stash(components(linked(shared, verified, fits, wide)).withColumnRenamed("id", "node"), "labels")
     again = shared.where("n > 1").select("me.node").distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component"))
     named = stash(label.unionByName(again), "named")
     discard(shared)
     at = F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d")
-    found = stash(table.drop("size", "sketch", "wide", "keys").join(small(named), "node"), "found")
+    found = stash(table.drop("size", "sketch", "keys").join(small(named), "node"), "found")
     discard(table, named, label)
     if run:
         every, found = found, stash(_in_runs(found, run, least - 1), "runs")
