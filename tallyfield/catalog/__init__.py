@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import community, mentions, pages, prices, series, serving, streams  # noqa: F401  (they register their queries)
+from . import community, feeds, mentions, pages, prices, series, serving, streams  # noqa: F401  (they register their queries)
 from .base import REGISTRY, Tables
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -39,6 +41,16 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def folder(self) -> str:
+        """A new folder in spark.checkpoint.dir, which driver and executors share; only a local session without one gets a temporary one."""
+        context = self.spark.sparkContext
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not base:
+            if not context.master.startswith("local") or "cluster" in context.master:
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
+        return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+
     @cached_property
     def observations(self) -> DataFrame:
         """Price observations: the star of lineitem, part, supplier and nation."""

@@ -204,22 +204,62 @@ def _(t: Tables) -> DataFrame:
     return guardrails.alias_variants(names).select("c_custkey", F.concat(F.lit("["), F.array_join(F.transform("variants", lambda v: F.when(v.contains("&"), v).otherwise(v)), ", "), F.lit("]")).alias("variants"))
 
 
-@query("erase_users", sql("posts", "select count(*) as rows_left, count(distinct user_id) as users from posts where cast(user_id as bigint) % 5 <> 0"))
+REGISTRY_OF_USERS = {"posts": guardrails.UserTable(), "orders": guardrails.UserTable("o_custkey", True, ("o_orderpriority",)), "profiles": guardrails.UserTable("c_custkey", True, ("c_name", "c_mktsegment"))}
+
+
+def _user_tables(t: Tables) -> dict[str, DataFrame]:
+    return {"posts": t.posts.select("post_id", "user_id", "event_type"), "orders": t.read("orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"), "profiles": t.read("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")}
+
+
+def _erased(t: Tables) -> str:
+    """The tables after requests of every fifth user, carried out twice, the second time with one request more."""
+    folder = t.folder()
+    guardrails.publish(t.spark, folder, _user_tables(t))
+    users = t.posts.select("user_id").unionByName(t.read("customer").select(F.col("c_custkey").cast("string").alias("user_id"))).distinct()
+    asked = users.where(F.col("user_id").cast("long") % 5 == 0).select(F.concat(F.lit("r"), "user_id").alias("request_id"), "user_id")
+    guardrails.erase_users(t.spark, folder, REGISTRY_OF_USERS, asked.where("user_id <> '0'"))
+    last = guardrails.erase_users(t.spark, folder, REGISTRY_OF_USERS, asked)
+    assert guardrails.erase_users(t.spark, folder, REGISTRY_OF_USERS, asked) == last  # nothing is left to do
+    return folder
+
+
+@query("erase_users", sql("posts", "select post_id, user_id, event_type from posts where cast(user_id as bigint) % 5 <> 0"))
 def _(t: Tables) -> DataFrame:
-    gone = t.posts.where(F.col("user_id").cast("long") % 5 == 0).select("user_id").distinct()
-    return guardrails.erased(t.posts, gone, [], keep=False).agg(rows_of().alias("rows_left"), F.count_distinct("user_id").alias("users"))
+    return guardrails.current(t.spark, _erased(t), "posts")
 
 
-@query("anonymise_users", sql("posts", "select event_type, count(*) as n, count(case when cast(user_id as bigint) % 5 <> 0 then user_id end) as named from posts group by all"))
+@query("anonymise_users", "select 'orders' as \"table\", o_orderkey as key, case when o_custkey % 5 <> 0 then cast(o_custkey as varchar) end as user_id, case when o_custkey % 5 <> 0 then o_orderpriority end as personal, o_totalprice as kept from orders union all select 'profiles', c_custkey % 5, case when c_custkey % 5 <> 0 then cast(c_custkey as varchar) end, case when c_custkey % 5 <> 0 then c_name end, c_acctbal from customer")
 def _(t: Tables) -> DataFrame:
-    gone = t.posts.where(F.col("user_id").cast("long") % 5 == 0).select("user_id").distinct()
-    return guardrails.erased(t.posts, gone, ["upvotes"], keep=True).groupBy("event_type").agg(rows_of().alias("n"), F.count("user_id").alias("named"))
+    folder = _erased(t)
+    orders = guardrails.current(t.spark, folder, "orders").select(F.lit("orders").alias("table"), F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderpriority").alias("personal"), F.col("o_totalprice").alias("kept"))
+    profiles = guardrails.current(t.spark, folder, "profiles").select(F.lit("profiles").alias("table"), F.coalesce(F.col("c_custkey") % 5, F.lit(0)).alias("key"), F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("personal"), F.col("c_acctbal").alias("kept"))
+    return orders.unionByName(profiles)
 
 
-@query("export_bundle", sql("posts", "select 'posts' as \"table\", count(*) as n from posts where user_id = '7' union all select 'orders', count(*) from orders where o_custkey = 7"))
+@query("erasure_audit", sql("posts", ", u as (select user_id from posts union select cast(c_custkey as varchar) from customer), p as (select user_id, count(*) as n from posts group by all), o as (select o_custkey, count(*) as n from orders group by all) select 'r' || u.user_id as request_id, 'completed' as state, true as erased, coalesce(p.n, 0) as n_posts, coalesce(o.n, 0) as n_orders, case when c_custkey is null then 0 else 1 end as n_profiles from u left join p on p.user_id = u.user_id left join o on o.o_custkey = cast(u.user_id as bigint) left join customer on c_custkey = cast(u.user_id as bigint) where cast(u.user_id as bigint) % 5 = 0"))
 def _(t: Tables) -> DataFrame:
-    tables = {"posts": t.posts, "orders": t.read("orders").withColumn("user_id", F.col("o_custkey").cast("string"))}
-    return guardrails.export_bundle(tables, F.lit("7")).select("table", "n")
+    return guardrails.current(t.spark, _erased(t), "audit")
+
+
+@query("export_bundle", sql("posts", ", u as (select distinct user_id from posts where event_type = 'signup') select user_id, 'posts' as \"table\", count(post_id) as n, coalesce(string_agg(cast(post_id as varchar) || ':' || event_type, ',' order by post_id), '') as held from u left join posts using (user_id) group by all union all select user_id, 'orders', count(o_orderkey), coalesce(string_agg(cast(o_orderkey as varchar) || ':' || o_orderpriority, ',' order by o_orderkey), '') from u left join orders on o_custkey = cast(user_id as bigint) group by all"))
+def _(t: Tables) -> DataFrame:
+    """The bundles of all users who signed up, read again from their JSON."""
+    registry = {k: REGISTRY_OF_USERS[k] for k in ("posts", "orders")}
+    out = guardrails.export_bundle(_user_tables(t), registry, t.posts.where("event_type = 'signup'").select("user_id"))
+    rows = F.from_json("rows", "array<struct<post_id: long, event_type: string, o_orderkey: long, o_orderpriority: string>>")
+    held = F.transform(F.array_sort(F.transform(rows, lambda r: F.struct(F.coalesce(r["post_id"], r["o_orderkey"]).alias("k"), F.coalesce(r["event_type"], r["o_orderpriority"]).alias("v")))), lambda r: F.concat(r["k"].cast("string"), F.lit(":"), r["v"]))
+    return out.select("user_id", "table", "n", F.array_join(held, ",").alias("held"))
+
+
+@query("within_range", sql("posts", "select r.post_id, count(e.post_id) as promos, coalesce(max(e.upvotes), 0) as most from posts r left join posts e on e.user_id = r.user_id and e.mentions_product and e.posted_at <= r.posted_at and e.posted_at > r.posted_at - interval 7 day where r.event_type = 'signup' group by all"))
+def _(t: Tables) -> DataFrame:
+    """Product posts in the week up to each sign-up of the same user."""
+    from tallyfield.operators.clean import within_range
+
+    asked = t.posts.where("event_type = 'signup'").select(F.col("post_id").alias("asked"), "user_id", F.col("posted_at").alias("asked_at"))
+    pairs = within_range(t.posts.where("mentions_product").select("post_id", "user_id", "posted_at", "upvotes"), asked, ["user_id"], "posted_at", "asked_at", 7 * 86400)
+    n = pairs.groupBy("asked").agg(rows_of().alias("promos"), F.max("upvotes").alias("most"))
+    return asked.join(n, "asked", "left").select(F.col("asked").alias("post_id"), F.coalesce("promos", F.lit(0).cast("long")).alias("promos"), F.coalesce("most", F.lit(0.0)).alias("most"))
 
 
 @query("failure_alert", sql("posts", "select user_id, count(*) as runs, round(count(*) filter (is_removed) / count(*), 4) as failure_rate, count(*) filter (is_removed) / count(*) >= 0.25 as alert from posts group by all"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -18,16 +16,6 @@ from .base import Tables, query, sql
 from .prices import PRICE_INDEX, daily_prices, published
 
 
-def _folder(t: Tables) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; only a local session without one gets a temporary one."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not t.spark.sparkContext.master.startswith("local") or "cluster" in t.spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tallyfield-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(t: Tables, table: str) -> DataFrame:
     schema = t.read(table).schema
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir) if not _is_folder(t, table) else t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parquet")
@@ -40,7 +28,7 @@ def _is_folder(t: Tables, table: str) -> bool:
 
 def _finished(t: Tables, df: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the stream writes when it has read what is there."""
-    folder = _folder(t)
+    folder = t.folder()
     if mode == "append":
         df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start().awaitTermination()
         return t.spark.read.schema(df.schema).parquet(f"{folder}/out")
@@ -92,7 +80,7 @@ def _(t: Tables) -> DataFrame:
 @query("stream_late_rows", "select event_id, event_type from events")
 def _(t: Tables) -> DataFrame:
     """A day that is run again: what is there already is ignored."""
-    folder = _folder(t)
+    folder = t.folder()
     for k in range(2):
         rows = _stream(t, "events").select("event_id", "event_type")
         jobs.late_policy(rows, f"{folder}/out", ["event_id"]).option("checkpointLocation", f"{folder}/at{k}").trigger(availableNow=True).start().awaitTermination()
@@ -129,7 +117,7 @@ def _rocksdb(t: Tables):
 
 def _fed(t: Tables, batches: list[DataFrame], job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All rows that the job writes when the batches come one after the other and it is stopped and started again in between."""
-    folder, schema = _folder(t), None
+    folder, schema = t.folder(), None
     with _rocksdb(t):
         for k, rows in enumerate(batches):
             rows.write.parquet(f"{folder}/in/batch{k}")
@@ -195,7 +183,7 @@ def _(t: Tables) -> DataFrame:
     rows = t.cleaned.select("country", "month", "obs_key", "restaurant_name", "sector", "price_usd").withColumn("gone", F.lit(False))
     wrong = rows.where("month(month) = 2").withColumns({"obs_key": F.concat("obs_key", F.lit("|wrong")), "price_usd": F.col("price_usd") * 7, "month": F.add_months("month", 240)})
     old = F.col("month") < "1995-06-01"
-    folder = _folder(t)
+    folder = t.folder()
     # whole countries come in one batch each but for those whose name ends in an even digit, which come month by month
     split = F.right("country", F.lit(1)).cast("int") % 2 == 0
     batches = [rows.where(old | ~split), rows.where(~old & split).unionByName(wrong), wrong.withColumn("gone", F.lit(True)), wrong.withColumn("gone", F.lit(True))]

@@ -153,3 +153,20 @@ def prefer_source(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("source")).cast("int")
     ranked = df.withColumn("_r", rank).where("_r > 0")
     return ranked.withColumn("_b", F.min("_r").over(Window.partitionBy(*keys))).where("_r = _b").drop("_r", "_b")
+
+
+def within_range(events: DataFrame, references: DataFrame, keys: list[str], time: str, at: str, seconds: int) -> DataFrame:
+    """Every pair of an event and a reference of the same keys with the event's `time` in the `seconds` up to and with the reference's `at`.
+
+    Time is cut into buckets of that length: an event lies in one bucket and its references in the
+    same or the next one, so each reference is sent to two and the pairs meet by an equi-join on keys
+    and bucket; the exact bound is checked there. A key with very many rows is spread over its
+    buckets. Rows with a null key or time have no partner; columns of the two sides must have
+    different names, keys aside.
+    """
+    micros = seconds * 1_000_000
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / micros).cast("long")
+    left = events.where(F.col(time).isNotNull()).withColumn("_bucket", bucket(time))
+    right = references.where(F.col(at).isNotNull()).withColumn("_bucket", F.explode(F.array(bucket(at), bucket(at) - 1)))
+    t, a = (F.unix_micros(F.col(c).cast("timestamp")) for c in (time, at))
+    return left.join(right, [*keys, "_bucket"]).where((t <= a) & (t > a - micros)).drop("_bucket")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfield import params
@@ -86,23 +91,95 @@ def keyword_candidates(posts: DataFrame, text: Column, keywords: list[str]) -> D
     return posts.where(any_of(F.lower(text), [k.lower() for k in keywords])) if keywords else posts
 
 
-def export_bundle(tables: dict[str, DataFrame], user: Column) -> DataFrame:
-    """One JSON row per table with all of the user's rows."""
-    from functools import reduce
+class UserTable(NamedTuple):
+    """How a table holds users: the column of their id, whether their rows stay with it emptied, and what else is emptied then."""
 
-    parts = []
-    for name, df in tables.items():
-        rows = df.where(F.col("user_id") == user)
-        parts.append(rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*sorted(df.columns))))).alias("rows"), F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "rows", "n"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    user: str = "user_id"
+    keep: bool = False
+    pii: tuple[str, ...] = ()
 
 
-def erased(df: DataFrame, users: DataFrame, pii: list[str], keep: bool) -> DataFrame:
-    """df without the users' rows, or (keep) with those rows' personal columns emptied."""
+def export_bundle(tables: dict[str, DataFrame], registry: dict[str, UserTable], users: DataFrame) -> DataFrame:
+    """(user_id, table, rows, n): for each of users(user_id) and each table of the registry one row with all of the user's rows there as a sorted JSON array, empty ones too."""
+    asked = users.where("user_id is not null").select(F.col("user_id").cast("string").alias("user_id")).distinct()
+    parts = []
+    for name, rule in registry.items():
+        df = tables[name]
+        rows = df.select(F.col(rule.user).cast("string").alias("_user"), F.struct(*sorted(df.columns)).alias("row")).join(asked.withColumnRenamed("user_id", "_user"), "_user", "left_semi")
+        held = rows.groupBy(F.col("_user").alias("user_id")).agg(F.to_json(F.array_sort(F.collect_list("row"))).alias("rows"), F.count(F.lit(1)).alias("n"))
+        parts.append(asked.join(held, "user_id", "left").select("user_id", F.lit(name).alias("table"), F.coalesce("rows", F.lit("[]")).alias("rows"), F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def erased(df: DataFrame, users: DataFrame, pii: list[str], keep: bool, user: str = "user_id") -> DataFrame:
+    """df without the users' rows, or (keep) with those rows' personal columns and id emptied."""
+    gone = users.select(F.col("user_id").alias("_gone")).where("_gone is not null").distinct()
+    same = F.col(user).cast("string") == F.col("_gone").cast("string")
     if not keep:
-        return df.join(users, "user_id", "left_anti")
-    out = df.join(users.distinct().withColumn("_gone", F.lit(True)), "user_id", "left")
-    return out.withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in [*pii, "user_id"]}).drop("_gone")
+        return df.join(gone, same, "left_anti")
+    return df.join(gone, same, "left").withColumns({c: F.when(F.col("_gone").isNull(), F.col(c)) for c in [*pii, user]}).drop("_gone")
+
+
+def _versions(spark: SparkSession, root: str):
+    fs = spark._jvm.org.apache.hadoop.fs
+    path = fs.Path(f"{root}/versions")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+    return store, fs, sorted(int(x) for x in found if x.isdigit())
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the version in force under root."""
+    return spark.read.parquet(f"{root}/data/{_versions(spark, root)[2][-1]}/{name}")
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Writes all tables as a new version and puts it in force by one rename; a job that ends before it changes nothing that readers see."""
+    store, fs, known = _versions(spark, root)
+    number = (known[-1] if known else 0) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/data/{number}/{name}")
+    draft = fs.Path(f"{root}/drafts/{uuid.uuid4().hex}")
+    store.create(draft).close()
+    store.mkdirs(fs.Path(f"{root}/versions"))
+    if not store.rename(draft, fs.Path(f"{root}/versions/{number}")):
+        raise RuntimeError(f"version {number} of {root} was published by another job")
+    return number
+
+
+def erase_users(spark: SparkSession, root: str, registry: dict[str, UserTable], requests: DataFrame) -> int:
+    """Carries out requests(request_id, user_id) over all tables of the registry under root, as one new version; its number.
+
+    Users' rows go, or stay with id and personal columns emptied, as the registry says. The audit
+    table of the same version gets a row for each request, without the user: request_id, state,
+    erased, and how many rows each table held. Tables and audit come into force together, and
+    requests that are in the audit are not carried out again, so a job can be run again at any point.
+    """
+    known = _versions(spark, root)[2]
+    audit = current(spark, root, "audit").select("request_id") if "audit" in _names(spark, root) else None
+    due = requests.where("request_id is not null").groupBy("request_id").agg(F.max(F.col("user_id").cast("string")).alias("user_id"))
+    due = due if audit is None else due.join(audit, "request_id", "left_anti")
+    due = due.persist(StorageLevel.DISK_ONLY)
+    try:
+        if not due.limit(1).count():
+            return known[-1]
+        users, tables, held = due.select("user_id"), {}, due
+        for name, rule in registry.items():
+            df = current(spark, root, name)
+            tables[name] = erased(df, users, list(rule.pii), rule.keep, rule.user)
+            n = df.groupBy(F.col(rule.user).cast("string").alias("user_id")).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+            held = held.join(n, "user_id", "left")
+        row = held.select("request_id", F.lit("completed").alias("state"), F.lit(True).alias("erased"), *(F.coalesce(f"n_{x}", F.lit(0).cast("long")).alias(f"n_{x}") for x in registry))
+        tables["audit"] = row if audit is None else current(spark, root, "audit").unionByName(row)
+        rest = {x: current(spark, root, x) for x in _names(spark, root) if x not in tables}
+        return publish(spark, root, tables | rest)
+    finally:
+        due.unpersist()
+
+
+def _names(spark: SparkSession, root: str) -> list[str]:
+    store, fs, known = _versions(spark, root)
+    return [x.getPath().getName() for x in store.listStatus(fs.Path(f"{root}/data/{known[-1]}"))]
 
 
 def alias_variants(names: DataFrame) -> DataFrame:

@@ -27,18 +27,18 @@ def flatten_sdmx(df: DataFrame, payload: str, start_year: int) -> DataFrame:
     return out.where(F.col("value").isNotNull() & (F.left("period", F.lit(4)).cast("int") >= start_year))
 
 
-def parse_month_label(df: DataFrame, label: str, value: str) -> DataFrame:
-    """(month, value) of labels like 1988 JAN; only positive numbers."""
+def parse_month_label(df: DataFrame, label: str, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., month, value) of labels like 1988 JAN; only positive numbers."""
     from tallyfield.functions.columns import lookup
 
     part = F.split(F.trim(F.upper(label)), " +")
     month = F.make_date(part[0].try_cast("int"), lookup(F.try_element_at(part, F.lit(2)), MONTHS), F.lit(1))
-    return df.select(month.alias("month"), F.col(value).try_cast("double").alias("value")).where("month is not null and value > 0")
+    return df.select(*(keys or []), month.alias("month"), F.col(value).try_cast("double").alias("value")).where("month is not null and value > 0")
 
 
-def pivot_divisions(df: DataFrame) -> DataFrame:
-    """Long (month, division, value) to one row a month: overall as cpi_value, 01 as cpi_food."""
-    return df.groupBy("month").pivot("division", ["overall", "01"]).agg(F.max("value")).withColumnsRenamed({"overall": "cpi_value", "01": "cpi_food"})
+def pivot_divisions(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Long (keys..., month, division, value) to one row a month: overall as cpi_value, 01 as cpi_food."""
+    return df.groupBy(*(keys or []), "month").pivot("division", ["overall", "01"]).agg(F.max("value")).withColumnsRenamed({"overall": "cpi_value", "01": "cpi_food"})
 
 
 def flatten_pair_payload(df: DataFrame, payload: str) -> DataFrame:
@@ -68,6 +68,41 @@ def resolve_rates(snapshots: DataFrame, now: Column, hours: int = 24) -> DataFra
     return snapshots.withColumn("_r", rank).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("currency", "rate")
 
 
+def rate_versions(snapshots: DataFrame, hours: int = 24) -> DataFrame:
+    """(currency, since, until, rate) of snapshots(currency, rate, kind, at): which rate holds from when to when.
+
+    At any moment the latest cached rate holds while it is under `hours` old, else the latest fetched
+    one, else the latest cached one however old, else the constant. So a rate can change where a
+    snapshot was taken and where a cached one grows old; the first version of a currency with a
+    constant begins at the beginning of time (since null), the last of all ends never (until null).
+    Of several snapshots of a currency, kind and moment the smallest rate counts. Snapshots are few
+    beside the rows that they are applied to: one small series a currency.
+    """
+    micros = F.unix_micros("at")
+    taken = snapshots.where("kind in ('cache', 'fetched') and at is not null and currency is not null").groupBy("currency", "kind", micros.alias("m")).agg(F.min("rate").alias("rate"))
+    fixed = snapshots.where("kind = 'constant' and currency is not null").groupBy("currency").agg(F.min("rate").alias("fixed"))
+    point = F.when(F.col("kind") == "cache", F.array(F.col("m"), F.col("m") + hours * 3_600_000_000)).otherwise(F.array("m"))
+    points = taken.select("currency", F.explode(point).alias("since")).unionByName(fixed.select("currency", F.lit(None).cast("long").alias("since"))).distinct()
+    seen = points.join(taken.select("currency", F.col("m").alias("since"), "kind", "rate").groupBy("currency", "since").pivot("kind", ["cache", "fetched"]).agg(F.min("rate")), ["currency", "since"], "left")
+    w = Window.partitionBy("currency").orderBy(F.asc_nulls_first("since"))
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    rows = seen.withColumns({"c": last("cache"), "c_at": last(F.when(F.col("cache").isNotNull(), F.col("since"))), "f": last("fetched"), "until": F.lead("since").over(w)}).join(fixed, "currency", "left")
+    fresh = F.col("since") - F.col("c_at") < hours * 3_600_000_000
+    return rows.select("currency", "since", "until", F.coalesce(F.when(fresh, F.col("c")), "f", "c", "fixed").alias("rate")).withColumns({c: F.timestamp_micros(c) for c in ("since", "until")})
+
+
+def rates_as_of(rows: DataFrame, versions: DataFrame, time: str, currency: str = "currency") -> DataFrame:
+    """rows with the rate that held at their time (null without any): versions are cut at the months that the rows span and meet them by currency and month."""
+    own = rows.withColumn("_at", F.col(time).cast("timestamp")).withColumn("_month", F.trunc("_at", "MM"))
+    span = own.agg(F.min("_month").alias("first"), F.max("_month").alias("last"))
+    cut = versions.crossJoin(F.broadcast(span)).where("first is not null")  # one row
+    since, until = F.greatest(F.trunc("since", "MM"), F.col("first")), F.least(F.trunc("until", "MM"), F.col("last"))
+    cut = cut.withColumns({"_a": since, "_z": until}).where("_a <= _z").withColumn("_month", F.explode(F.expr("sequence(_a, _z, interval 1 month)")))
+    cut = cut.select(F.col("currency").alias("_currency"), "_month", "since", "until", F.col("rate").alias("rate"))
+    holds = (own[currency] == cut["_currency"]) & (own["_month"] == cut["_month"]) & (cut["since"].isNull() | (own["_at"] >= cut["since"])) & (cut["until"].isNull() | (own["_at"] < cut["until"]))
+    return own.join(cut, holds, "left").select(*(own[c] for c in rows.columns), "rate")
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     """Replaces a derived table whole, so that months that vanished upstream vanish here."""
     df.write.mode("overwrite").parquet(path)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import re
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +226,47 @@ def test_the_union_query_gives_the_operators_own_pass(spark, monkeypatch):
     real = mentions.union_first
     monkeypatch.setattr(mentions, "union_first", lambda dfs, key: real(dfs, key).withColumn("pass", F.col("pass") + 10))
     assert {r["pass"] for r in catalog.queries()["union_first"](spark, "/root/testdata/sf0.001").collect()} == {10, 11}
+
+
+def test_within_range(spark):
+    at = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+    events = spark.createDataFrame([("u", i, at(h)) for i, h in enumerate((0, 24, 48, 72, -1000))] + [("v", 9, at(0)), (None, 10, at(0)), ("u", 11, None)], "k string, e long, t timestamp")
+    refs = spark.createDataFrame([("u", "a", at(24)), ("u", "b", at(48)), ("u", "c", at(71.999)), ("v", "d", at(24)), ("w", "e", at(0)), (None, "f", at(0)), ("u", "g", None)], "k string, r string, at timestamp")
+    got = clean.within_range(events, refs, ["k"], "t", "at", 86400)
+    assert rows(got, "r", "e") == [("a", 1), ("b", 2), ("c", 2)]  # a day before the reference is out, its own moment in
+    assert not re.search("Cartesian|NestedLoop", got._jdf.queryExecution().toString())
+
+
+def test_rate_versions(spark):
+    at = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+    snaps = spark.createDataFrame([("A", 1.0, "constant", None), ("A", 2.0, "cache", at(0)), ("A", 3.0, "fetched", at(10)), ("A", 4.0, "cache", at(100)), ("A", 5.0, "cache", at(100)), ("B", 6.0, "cache", at(5)), ("C", 7.0, "constant", None), (None, 1.0, "constant", None)], "currency string, rate double, kind string, at timestamp")
+    asked = [("A", -1, 1.0), ("A", 0, 2.0), ("A", 23.9, 2.0), ("A", 24, 3.0), ("A", 99, 3.0), ("A", 101, 4.0), ("A", 124, 3.0), ("A", 9000, 3.0), ("B", 4, None), ("B", 5, 6.0), ("B", 5000, 6.0), ("C", 0, 7.0), ("D", 0, None)]
+    df = spark.createDataFrame([(c, at(h), i) for i, (c, h, _) in enumerate(asked)], "currency string, t timestamp, i int")
+    got = {r["i"]: r["rate"] for r in tables.rates_as_of(df, tables.rate_versions(snaps), "t").collect()}
+    assert [got[i] for i in range(len(asked))] == [w for _, _, w in asked]
+    assert tables.rates_as_of(df.where("i < 0"), tables.rate_versions(snaps), "t").count() == 0
+
+
+def test_erasure_comes_into_force_at_once(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="tallyfield-users-")
+    registry = {"posts": guardrails.UserTable(), "users": guardrails.UserTable("id", True, ("mail",))}
+    posts = spark.createDataFrame([("1", "a"), ("2", "b"), ("1", "c"), (None, "d")], "user_id string, text string")
+    users = spark.createDataFrame([(1, "m1"), (2, "m2"), (None, "m3")], "id long, mail string")
+    guardrails.publish(spark, root, {"posts": posts, "users": users, "other": users.limit(1)})
+    asked = spark.createDataFrame([("r1", "1"), ("r1", "1"), ("r9", "9"), (None, "2")], "request_id string, user_id string")
+    with monkeypatch.context() as m:  # a job that ends before the rename
+        m.setattr(guardrails, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            guardrails.erase_users(spark, root, registry, asked)
+    assert guardrails.current(spark, root, "posts").count() == 4
+    for _ in range(2):
+        assert guardrails.erase_users(spark, root, registry, asked) == 2
+        assert rows(guardrails.current(spark, root, "posts"), "user_id", "text") == [("2", "b"), (None, "d")]
+        assert rows(guardrails.current(spark, root, "users"), "id", "mail") == [(2, "m2"), (None, "m3"), (None, None)]
+        assert rows(guardrails.current(spark, root, "audit"), "request_id", "n_posts", "n_users") == [("r1", 2, 1), ("r9", 0, 0)]
+        assert guardrails.current(spark, root, "other").count() == 1
+    more = spark.createDataFrame([("r2", "2"), ("r1", "2")], "request_id string, user_id string")
+    assert guardrails.erase_users(spark, root, registry, more) == 3
+    assert rows(guardrails.current(spark, root, "audit"), "request_id", "n_posts") == [("r1", 2), ("r2", 1), ("r9", 0)]
+    bundle = guardrails.export_bundle({"posts": posts}, {"posts": registry["posts"]}, spark.createDataFrame([("1",), ("7",), ("1",), (None,)], "user_id string"))
+    assert rows(bundle, "user_id", "n", "rows") == [("1", 2, '[{"text":"a","user_id":"1"},{"text":"c","user_id":"1"}]'), ("7", 0, "[]")]
