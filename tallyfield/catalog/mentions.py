@@ -15,7 +15,7 @@ def rows_of():
     return F.count(F.lit(1))
 
 
-@query("mention_counts", sql("mentions", "select run_id, entity_id, n from mentions"))
+@query("mention_counts", sql("mentions", "select run_id, entity_id, n from mentions where n > 0"))
 def _(t: Tables) -> DataFrame:
     return t.mentions.select("run_id", "entity_id", "n")
 
@@ -101,7 +101,7 @@ def _cited(t: Tables) -> DataFrame:
  lr as (select query_id, run_id from rec where source = 'kind1' qualify row_number() over (partition by query_id order by run_date desc, run_id desc) = 1)
  select distinct ab.query_id, ab.entity_id, c.url from ab join lr on lr.query_id = ab.query_id join cited c on c.run_id = lr.run_id where c.place <= 3 and ends_with(lower(regexp_extract(c.url, '^[a-z]+://([^/?#:]+)', 1)), 'example.com')"""))
 def _(t: Tables) -> DataFrame:
-    return mentions.gap_absent_brand(t.runs, t.mentions, _cited(t), "kind0", "kind1", "example.com", F.lit(_NOW).cast("date")).select("query_id", "entity_id", "url")
+    return mentions.gap_absent_brand(t.runs, t.mentions, t.entities, _cited(t), "kind0", "kind1", "example.com", F.lit(_NOW).cast("date")).select("query_id", "entity_id", "url")
 
 
 @query("gap_dominant", sql("mentions", ", tot as (select query_id, count(distinct run_id) as runs from runs where source = 'kind0' group by all), hit as (select query_id, entity_id, count(distinct run_id) as hits from mentions where source = 'kind0' and n > 0 and entity_type = 'competitor' group by all) select query_id, entity_id, round(hits / runs, 4) as share from hit join tot using (query_id) where hits / runs >= 0.3"))

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyfield import params
 from tallyfield.functions.columns import community, host, mention_pattern
@@ -13,35 +22,120 @@ def rows_of():
     return F.count(F.lit(1))
 
 
-def _pattern(names: Column) -> Column:
-    """One pattern for a list of names: any of them between characters that are neither letters nor digits."""
-    quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|")
-    return F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), quoted, F.lit(")(?![\\p{L}\\p{N}])"))
-
-
-def _dictionary(entities: DataFrame) -> DataFrame:
-    return F.broadcast(entities.select("entity_id", "name", "entity_type", _pattern(F.array_append("aliases", F.col("name"))).alias("pattern")))
+#: Aliases of a block of the dictionary, which every worker holds whole.
+ALIASES = 200_000
+_TOKEN, _WORDLIKE = re.compile(r"[^\W_]+"), re.compile(r"[^\W_]")
+
+
+def _lowered(text: str) -> str:
+    """text in lower case, every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class AliasIndex:
+    """An inverted dictionary: aliases by their first token, found in a text by looking up its tokens.
+
+    rows: (entity, rank, alias). An alias stands between characters that are neither letters nor
+    digits, case aside; of an entity's aliases at one place that of the least rank counts, and its
+    mentions don't overlap.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, str]]):
+        self.by_token: dict[str, list[tuple[int, int, int, str]]] = defaultdict(list)
+        self.bare = []  # aliases without a letter or digit
+        for entity, rank, alias in rows:
+            alias = _lowered(alias)
+            if token := _TOKEN.search(alias):
+                self.by_token[token[0]].append((entity, rank, token.start(), alias))
+            else:
+                self.bare.append((entity, rank, len(alias), re.compile(rf"(?<![^\W_])(?={re.escape(alias)}(?![^\W_]))")))
+
+    def mentions(self, text: str) -> list[tuple[int, int, int]]:
+        """(entity, start, end) of all mentions, by entity and place."""
+        low, hits = _lowered(text), defaultdict(list)
+        for m in _TOKEN.finditer(low):
+            for entity, rank, offset, alias in self.by_token.get(m[0], ()):
+                at = m.start() - offset
+                end = at + len(alias)
+                if at >= 0 and low.startswith(alias, at) and not (at and _WORDLIKE.match(low, at - 1)) and not _WORDLIKE.match(low, end):
+                    hits[entity].append((at, rank, end))
+        for entity, rank, size, pattern in self.bare:
+            hits[entity] += [(m.start(), rank, m.start() + size) for m in pattern.finditer(low)]
+        out = []
+        for entity in sorted(hits):
+            last = 0
+            for at, _, end in sorted(hits[entity]):
+                if at >= last:
+                    out.append((entity, at, end))
+                    last = end
+        return out
+
+
+def _blocks(entities: DataFrame) -> Iterator[list[tuple[int, int, str]]]:
+    """The dictionary (entity_id, rank, alias), an entity's aliases together, in blocks of about ALIASES: its name first, then its aliases in order."""
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = entities.where("entity_id is not null").select(F.col("entity_id").cast("long").alias("entity_id"), F.posexplode(names).alias("rank", "alias")).where("alias <> ''")
+    n = -(-rows.count() // ALIASES)
+    for k in range(n):
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("entity_id"), F.lit(n)) == k).collect()]
+
+
+def _searched(texts: DataFrame, keep: list[str], text: str, entities: DataFrame, found, more: str) -> DataFrame:
+    """keep... and what found(text, mentions) gives for each text, for every block of the dictionary."""
+    names = more.split()[::2]
+
+    def worker(sent):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = AliasIndex(sent.value)
+            for b in batches:
+                row, out = [], []
+                for i, x in enumerate(b["_text"]):
+                    for r in found(x.as_py(), own.mentions(x.as_py())):
+                        row.append(i)
+                        out.append(r)
+                columns = zip(*out, strict=True) if out else [[] for _ in names]
+                kinds = [pa.string() if k.startswith("string") else pa.int64() for k in more.split()[1::2]]
+                yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(row, pa.int64())) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *names])
+
+        return work
+
+    rows = texts.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
+    schema = StructType(rows.drop("_text").schema.fields + StructType.fromDDL(more).fields)
+    parts = [rows.mapInArrow(worker(texts.sparkSession.sparkContext.broadcast(block)), schema) for block in _blocks(entities)]
+    return reduce(DataFrame.unionByName, parts) if parts else texts.sparkSession.createDataFrame([], schema)
+
+
+def _counted(_: str, mentions: list[tuple]) -> Iterator[tuple[int, int]]:
+    return ((entity, len(list(group))) for entity, group in groupby(mentions, key=itemgetter(0)))
+
+
+def _named(rows: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
+    return rows.join(entities.select(F.col("entity_id").cast("long").alias("entity_id"), *columns), "entity_id")
 
 
 def mention_counts(runs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Mentions of every entity in every run; the dictionary is a parameter table, the texts are read once."""
+    """How often each run of runs(run_id, ..., raw_response) mentions each entity that it mentions.
+
+    The texts are read once for each block of the dictionary, and a text costs a look-up for each of
+    its tokens, however many aliases there are.
+    """
     keep = [c for c in runs.columns if c not in ("raw_response", "lang")]
-    return runs.join(_dictionary(entities)).select(*keep, "entity_id", "name", "entity_type", F.regexp_count("raw_response", F.col("pattern")).cast("long").alias("n"))
+    rows = _searched(runs, keep, "raw_response", entities, _counted, "entity_id long, n long")
+    return _named(rows, entities, "name", "entity_type").select(*keep, "entity_id", "name", "entity_type", "n")
 
 
 def find_mentions(texts: DataFrame, entities: DataFrame, text: str, around: int = 100) -> DataFrame:
     """One row per mention: its place (0-based) and the text up to `around` characters on either side."""
     keep = [c for c in texts.columns if c != text]
-    hit = texts.join(_dictionary(entities)).where(F.col(text).isNotNull())
-    hit = hit.withColumn("found", F.regexp_extract_all(text, F.col("pattern"), F.lit(0))).where(F.size("found") > 0)
-    hit = hit.withColumn("between", F.expr(f"split({text}, pattern, -1)"))
-    hit = hit.select(*keep, text, "entity_id", "name", "found", "between", F.posexplode("found").alias("ord", "match"))
-    before = F.aggregate(F.slice("between", F.lit(1), F.col("ord") + 1), F.lit(0), lambda s, x: s + F.length(x))
-    inside = F.aggregate(F.slice("found", F.lit(1), F.col("ord")), F.lit(0), lambda s, x: s + F.length(x))
-    out = hit.withColumn("position", before + inside)
-    start = F.greatest(F.lit(0), F.col("position") - around)
-    end = F.least(F.length(text), F.col("position") + F.length("match") + around)
-    return out.withColumn("context", F.substring(F.col(text), start + 1, end - start)).select(*keep, "entity_id", "name", "ord", "match", "position", "context")
+
+    def placed(x: str, mentions: list[tuple]) -> Iterator[tuple]:
+        for entity, group in groupby(mentions, key=itemgetter(0)):
+            for k, (_, a, z) in enumerate(group):
+                yield entity, k, x[a:z], a, x[max(0, a - around) : z + around]
+
+    rows = _searched(texts, keep, text, entities, placed, "entity_id long, ord long, match string, position long, context string")
+    return _named(rows, entities, "name").select(*keep, "entity_id", "name", "ord", "match", "position", "context")
 
 
 def detect_aliases(texts: DataFrame, text: str, aliases: list[str]) -> DataFrame:
@@ -116,11 +210,11 @@ def union_first(dfs: list[DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), "pass").alias("m")).select(key, "m.*")
 
 
-def gap_absent_brand(runs: DataFrame, counts: DataFrame, citations: DataFrame, model_source: str, search_source: str, forum: str, now: Column) -> DataFrame:
+def gap_absent_brand(runs: DataFrame, counts: DataFrame, entities: DataFrame, citations: DataFrame, model_source: str, search_source: str, forum: str, now: Column) -> DataFrame:
     """(query_id, entity_id, url): brands that no model run of the window mentions, with the forum urls among the latest search run's first citations."""
     recent = runs.where(F.col("run_date") > F.date_sub(now, params.GAP_DAYS))
     asked = recent.where(F.col("source") == model_source).select("query_id").distinct()
-    brands = counts.where("entity_type = 'brand'").select("entity_id").distinct()
+    brands = entities.where("entity_type = 'brand'").select("entity_id").distinct()
     seen = counts.where((F.col("n") > 0) & (F.col("source") == model_source) & (F.col("run_date") > F.date_sub(now, params.GAP_DAYS))).select("query_id", "entity_id").distinct()
     absent = asked.join(brands).join(seen, ["query_id", "entity_id"], "left_anti")
     last = recent.where(F.col("source") == search_source).groupBy("query_id").agg(F.max(F.struct("run_date", "run_id")).alias("m")).select("query_id", F.col("m.run_id").alias("run_id"))

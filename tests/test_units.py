@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import random
 import re
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +35,30 @@ def test_find_mentions_places(spark):
     assert got[0]["context"] == text[1:105] and got[1]["context"] == text[127:]
 
 
+def test_mentions_by_an_inverted_dictionary(spark, monkeypatch):
+    """Against one pattern per entity, with aliases that begin with no letter, hold spaces, overlap, or have no letter at all."""
+    entities = [(1, "Acme", ["acme corp", "Corp"]), (2, ".NET", ["C++", "++"]), (3, "corp c++", []), (4, "é", None), (5, "", [""]), (6, "ACME-CORP", ["a"])]
+    r = random.Random(4)
+    texts = ["".join(r.choice(["acme", "Acme Corp", "corp", "C++", "++", ".net", "asp", " ", " ", "_", "-", "é", "É", "\n", "a", "1", "İ"]) for _ in range(40)) for _ in range(80)] + ["", None]
+    want = []
+    for i, t in enumerate(texts):
+        for e, name, aliases in entities:
+            parts = [re.escape(x) for x in [name, *(aliases or [])] if x]
+            if parts and t:
+                low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+                found = re.finditer(rf"(?<![^\W_])({'|'.join(p.lower() for p in parts)})(?![^\W_])", low)
+                want += [(i, e, k, m.start(), t[m.start() : m.end()], t[max(0, m.start() - 5) : m.end() + 5]) for k, m in enumerate(found)]
+    df = spark.createDataFrame(list(enumerate(texts)), "run_id long, raw_response string").repartition(3)
+    frame = spark.createDataFrame([(e, n, "brand", a) for e, n, a in entities], "entity_id long, name string, entity_type string, aliases array<string>")
+    for block in (200_000, 3):
+        monkeypatch.setattr(mentions, "ALIASES", block)
+        got = rows(mentions.find_mentions(df, frame, "raw_response", 5), "run_id", "entity_id", "ord", "position", "match", "context")
+        assert got == sorted(want, key=repr)
+        counts = Counter((i, e) for i, e, *_ in want)
+        assert rows(mentions.mention_counts(df, frame), "run_id", "entity_id", "n") == sorted(((i, e, n) for (i, e), n in counts.items()), key=repr)
+    assert mentions.find_mentions(df, frame.limit(0), "raw_response").count() == 0
+
+
 def test_share_of_voice(spark):
     df = spark.createDataFrame([("serp", 1, True, 1), ("serp", 1, False, 3), ("serp", 1, False, None), ("chat", 1, False, None), ("chat", 2, False, None)], "source string, entity_id long, is_recommendation boolean, rank int")
     assert rows(mentions.share_of_voice(df), "source", "entity_id", "mentions", "mean_rank", "share") == [("chat", 1, 1, None, 0.5), ("chat", 2, 1, None, 0.5), ("serp", 1, 3, 2.0, 1.0)]
