@@ -104,9 +104,32 @@ def _(t: Tables) -> DataFrame:
     return mentions.gap_absent_brand(t.runs, t.mentions, t.entities, _cited(t), "kind0", "kind1", "example.com", F.lit(_NOW).cast("date")).select("query_id", "entity_id", "url")
 
 
-@query("gap_dominant", sql("mentions", ", tot as (select query_id, count(distinct run_id) as runs from runs where source = 'kind0' group by all), hit as (select query_id, entity_id, count(distinct run_id) as hits from mentions where source = 'kind0' and n > 0 and entity_type = 'competitor' group by all) select query_id, entity_id, round(hits / runs, 4) as share from hit join tot using (query_id) where hits / runs >= 0.3"))
+_GAP2 = f""", cited as (select run_id, 1 + run_id % 2 as place, p.url from runs join pages p on p.page_id = run_id % 50), named as (select run_id from runs where regexp_matches(lower(raw_response), '(^|[^\\p{{L}}\\p{{N}}])(license|apache)($|[^\\p{{L}}\\p{{N}}])')), rec as (select * from runs where run_date > date '{_NOW}' - 14), tot as (select query_id, count(distinct run_id) as runs from rec where source = 'kind0' group by all),
+ hit as (select query_id, entity_id, count(distinct run_id) as hits from mentions where source = 'kind0' and n > 0 and entity_type = 'competitor' and run_date > date '{_NOW}' - 14 group by all),
+ lf as (select query_id, run_id from rec where source = 'kind2' qualify row_number() over (partition by query_id order by run_date desc, run_id desc) = 1),
+ quiet as (select * from lf where run_id not in (select run_id from named)), th as (select run_id, min(url) as url from cited where place = 1 group by all),
+ gap2 as (select query_id, entity_id, round(hits / runs, 4) as share, url from hit join tot using (query_id) join quiet using (query_id) join th using (run_id) where hits / runs >= 0.3)"""
+
+
+def _gap2(t: Tables) -> DataFrame:
+    """Competitors as elsewhere, the brand is what license lines name; every run cites a page."""
+    brand = t.spark.createDataFrame([(9, "license", "brand", ["apache"])], t.entities.schema)
+    counts = t.mentions.where("entity_type = 'competitor'").unionByName(mentions.mention_counts(t.runs, brand))
+    urls = t.read("pages").select("url", F.col("page_id").alias("place"))
+    cited = t.runs.select("run_id", (F.col("run_id") % 50).alias("place")).join(urls, "place").select("run_id", (1 + F.col("run_id") % 2).alias("place"), "url")
+    return mentions.gap_dominant(t.runs, counts, cited, "kind0", "kind2", F.lit(_NOW).cast("date"), 0.3)
+
+
+@query("gap_dominant", sql("mentions", _GAP2 + " select query_id, entity_id, share, url from gap2"))
+def _(t: Tables) -> DataFrame:
+    return _gap2(t).select("query_id", "entity_id", R("share"), "url")
+
+
+@query("linked_tasks", sql("mentions", _GAP2 + ", op as (select url, min(page_id) as opportunity_id from pages where page_id % 2 = 0 group by all) select query_id, entity_id, gap2.url as related_url, opportunity_id from gap2 left join op on op.url = gap2.url"))
 def _(t: Tables) -> DataFrame:
-    return mentions.gap_dominant(t.runs, t.mentions, "kind0", 0.3).select("query_id", "entity_id", R("share"))
+    """Gap tasks with the opportunities, every second page, that have their url."""
+    found = t.read("pages").where("page_id % 2 = 0").select(F.col("page_id").alias("opportunity_id"), F.col("url").alias("post_url"))
+    return mentions.linked_tasks(_gap2(t).select("query_id", "entity_id", F.col("url").alias("related_url")), found)
 
 
 @query("new_tasks", "select doc_id % 50 as query_id, case when doc_id % 3 = 0 then null else 'u' || doc_id % 7 end as url, count(*) as n from documents d where not exists (select 1 from documents x where x.doc_id < 60 and x.doc_id % 50 = d.doc_id % 50 and (case when x.doc_id % 3 = 0 then null else 'u' || x.doc_id % 7 end) is not distinct from (case when d.doc_id % 3 = 0 then null else 'u' || d.doc_id % 7 end)) group by all")

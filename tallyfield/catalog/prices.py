@@ -458,3 +458,25 @@ def _(t: Tables) -> DataFrame:
     return clean.cap_rows(t.read("documents"), ["lang"], 10, "s", F.col("doc_id").cast("string")).select("doc_id", "lang")
 
 
+
+
+@query("turnover", sql("obs", f""", seen as (select distinct country, month, restaurant_name from obs), m as (select country, month, restaurant_name, 'added' as change from seen s where not exists (select 1 from seen b where b.country = s.country and b.restaurant_name = s.restaurant_name and b.month = s.month - interval 1 month)
+union all select country, cast(month + interval 1 month as date), restaurant_name, 'removed' from seen s where not exists (select 1 from seen b where b.country = s.country and b.restaurant_name = s.restaurant_name and b.month = s.month + interval 1 month)) select country, {_M} as month, restaurant_name, change from m"""))
+def _(t: Tables) -> DataFrame:
+    """Restaurants that come and go, by country and month."""
+    return quality.turnover(t.observations, "restaurant_name", ["country"]).select("country", month_text("month").alias("month"), "restaurant_name", "change")
+
+
+@query("country_listing", sql("obs", "select country, count(*) as n_items, count(distinct restaurant_name) as n_restaurants, null::double as p from obs group by country"))
+def _(t: Tables) -> DataFrame:
+    """Before anything is published: counted from the prices."""
+    from tallyfield.operators.serving import country_listing
+
+    return country_listing(t.spark.createDataFrame([], "country string, n_items long, n_restaurants long, p double"), t.observations)
+
+
+@query("label_histograms", sql("obs", "select 'category' as kind, category as value, count(*) as n from obs group by all union all select 'signal', s, count(*) from (select unnest(from_json(quality_signals, '[\"VARCHAR\"]')) as s from obs) group by all union all select 'language', case when item_name like '%e%' then 'en' end, count(*) from obs group by all"))
+def _(t: Tables) -> DataFrame:
+    from tallyfield.operators.labels import label_histograms
+
+    return label_histograms(t.observations.withColumn("language", F.when(F.col("item_name").contains("e"), "en")), "category", "quality_signals", "language")

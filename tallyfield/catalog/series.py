@@ -245,6 +245,11 @@ def _(t: Tables) -> DataFrame:
     return stats.jackknife(_p(t), "country", "p")
 
 
+@query("jackknife_verdict", sql("lagrows", _P + ", jk as (select a.country, (select count(*) from pv) = 1 or (select count(*) from pv b where b.country <> a.country and b.p < 0.10) / ((select count(*) from pv) - 1) >= 0.6 as stable from pv a) select count(*) as dropped, count(*) filter (stable) as stable, case when count(*) > 1 then count(*) = count(*) filter (stable) end as finding_survives from jk"))
+def _(t: Tables) -> DataFrame:
+    return stats.jackknife_verdict(stats.jackknife(_p(t), "country", "p"))
+
+
 @query("significance_tier", sql("lagrows", _P + " select country, case when p < 0.05 then 'p<0.05' when p < 0.10 then 'p<0.10' else 'n.s.' end as tier from pv"))
 def _(t: Tables) -> DataFrame:
     return _p(t).select("country", tier("p").alias("tier"))

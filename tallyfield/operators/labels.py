@@ -83,3 +83,10 @@ def validation_summary(rows: DataFrame, outlier: str = "outlier", confidence: st
         value = F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)).alias("value")
         out = out.unionByName(rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "value", "n"))
     return out
+
+
+def label_histograms(df: DataFrame, category: str, signals: str, language: str) -> DataFrame:
+    """(kind, value, n) of categories, of each signal of a JSON array (what is none counts nothing), and of languages; nulls under null."""
+    found = F.transform(F.coalesce(F.from_json(signals, "array<string>"), F.array().cast("array<string>")), lambda x: F.struct(F.lit("signal").alias("kind"), x.alias("value")))
+    rest = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("category", category), ("language", language))))
+    return df.select(F.inline(F.concat(rest, found))).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))

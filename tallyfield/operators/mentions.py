@@ -222,11 +222,28 @@ def gap_absent_brand(runs: DataFrame, counts: DataFrame, entities: DataFrame, ci
     return absent.join(urls, "query_id")
 
 
-def gap_dominant(runs: DataFrame, counts: DataFrame, model_source: str, share: float = params.DOMINANT) -> DataFrame:
-    """(query_id, entity_id, share) of competitors in at least that share of a query's model runs."""
-    total = runs.where(F.col("source") == model_source).groupBy("query_id").agg(F.count_distinct("run_id").alias("runs"))
-    hit = counts.where((F.col("source") == model_source) & (F.col("n") > 0) & (F.col("entity_type") == "competitor")).groupBy("query_id", "entity_id").agg(F.count_distinct("run_id").alias("hits"))
-    return hit.join(total, "query_id").withColumn("share", F.col("hits") / F.col("runs")).where(F.col("share") >= share)
+def gap_dominant(runs: DataFrame, counts: DataFrame, citations: DataFrame, model_source: str, forum_source: str, now: Column, share: float = params.DOMINANT) -> DataFrame:
+    """(query_id, entity_id, share, url, community): competitors in at least that share of a query's model runs, with the thread to answer in.
+
+    Runs are those of the window's days. The thread is the first citation (place 1) of the query's
+    latest forum run; queries without such a run or citation, or whose forum run mentions a brand,
+    give nothing. A query may have mentions of brands in its model runs all the same.
+    """
+    recent = runs.where(F.col("run_date") > F.date_sub(now, params.GAP_DAYS))
+    own = counts.where(F.col("n") > 0)
+    total = recent.where(F.col("source") == model_source).groupBy("query_id").agg(F.count_distinct("run_id").alias("runs"))
+    asked = own.where((F.col("source") == model_source) & (F.col("entity_type") == "competitor")).join(recent.select("run_id").distinct(), "run_id", "left_semi")
+    hit = asked.groupBy("query_id", "entity_id").agg(F.count_distinct("run_id").alias("hits")).join(total, "query_id").withColumn("share", F.col("hits") / F.col("runs")).where(F.col("share") >= share)
+    last = recent.where(F.col("source") == forum_source).groupBy("query_id").agg(F.max(F.struct("run_date", "run_id"))["run_id"].alias("run_id"))
+    quiet = last.join(own.where("entity_type = 'brand'").select("run_id"), "run_id", "left_anti")
+    thread = citations.where(F.col("place") == 1).groupBy("run_id").agg(F.min("url").alias("url"))
+    return hit.join(quiet.join(thread, "run_id").drop("run_id"), "query_id").select("query_id", "entity_id", "share", "url", community("url").alias("community"))
+
+
+def linked_tasks(tasks: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """tasks(..., related_url) with opportunity_id: the smallest id of an opportunity(opportunity_id, post_url) whose url is the task's; null without one."""
+    first = opportunities.where("post_url <> ''").groupBy("post_url").agg(F.min("opportunity_id").alias("opportunity_id"))
+    return tasks.join(first, F.col("related_url") == F.col("post_url"), "left").drop("post_url")
 
 
 def new_tasks(candidates: DataFrame, tasks: DataFrame, keys: list[str]) -> DataFrame:

@@ -131,3 +131,19 @@ def accuracy(df: DataFrame, by: list[str], assigned: str, manual: str, weak: flo
     """Share of equal labels by each key and over all (key null), weak under the bound."""
     right = F.avg((F.col(assigned) == F.col(manual)).cast("double"))
     return df.rollup(*by).agg(rows_of().alias("n"), F.round(right, 4).alias("accuracy"), (right < weak).alias("weak"))
+
+
+def turnover(df: DataFrame, item: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., month, item, change): what is "added" in a month, being absent the calendar month before, and "removed", being there in the month before and absent now.
+
+    Months are those of df(keys..., month, item) and, for what is removed, the one after the last:
+    every month is compared with the one before it, by one pass over the distinct (item, month).
+    """
+    keys = keys or []
+    seen = df.where(F.col(item).isNotNull() & F.col("month").isNotNull()).select(*keys, "month", item).distinct()
+    order = Window.partitionBy(*keys, item).orderBy("month")
+    rows = seen.withColumns({"before": F.lag("month").over(order), "after": F.lead("month").over(order)})
+    next_ = F.add_months("month", 1)
+    new = F.when(F.col("before").isNull() | (F.add_months("before", 1) < F.col("month")), F.struct(F.col("month").alias("month"), F.lit("added").alias("change")))
+    gone = F.when(F.col("after").isNull() | (F.col("after") > next_), F.struct(next_.alias("month"), F.lit("removed").alias("change")))
+    return rows.select(*keys, item, F.explode(F.array_compact(F.array(new, gone))).alias("x")).select(*keys, "x.month", item, "x.change")

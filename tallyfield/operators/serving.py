@@ -54,3 +54,13 @@ def targets_today(targets: DataFrame, prices: DataFrame, key: str, day) -> DataF
     seen = prices.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("collection_date") == day).alias("rows_today"), F.count_distinct(F.when(F.col("collection_date") == day, F.col("restaurant_name"))).alias("restaurants_today"))
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rows_today", "restaurants_today")]
     return targets.join(seen, key, "left").select(key, F.when(F.col("rows") > 0, "proven").otherwise("unproven").alias("status"), *zero)
+
+
+def country_listing(summary: DataFrame, prices: DataFrame) -> DataFrame:
+    """The published summary by country; if it is empty, (country, n_items, n_restaurants) counted from the prices, under the summary's columns.
+
+    What a summary lacks, or the counts lack, is null. The prices are read only if the summary holds nothing.
+    """
+    counts = prices.where("country is not null").groupBy("country").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("restaurant_name").alias("n_restaurants"))
+    some = summary.where("country is not null")
+    return some if some.limit(1).count() else summary.limit(0).unionByName(counts, allowMissingColumns=True)

@@ -343,6 +343,12 @@ def jackknife(results: DataFrame, key: str, p: str, level: float = 0.10, share:
     return out.withColumn("stable", (F.col("rest") == 0) | (F.col("significant") / F.col("rest") >= share))
 
 
+def jackknife_verdict(left_out: DataFrame) -> DataFrame:
+    """One row over jackknife()'s: how many countries were left out, after how many of them the finding was stable, and whether it survives them all; null without two countries."""
+    out = left_out.agg(F.count(F.lit(1)).alias("dropped"), F.count_if("stable").alias("stable"))
+    return out.withColumn("finding_survives", F.when(F.col("dropped") > 1, F.col("dropped") == F.col("stable")))
+
+
 def weight_sensitivity(index: DataFrame, weights: list[float], missing: float = 100.0) -> DataFrame:
     """The combined index under several informal weights, a missing sector as 100."""
     f, i = F.coalesce("formal_index", F.lit(missing)), F.coalesce("informal_index", F.lit(missing))
