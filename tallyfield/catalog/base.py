@@ -51,6 +51,11 @@ class Tables:
             base = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
         return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df written once to the shared folder and read from there: for what a query reads several times and is small beside its tables."""
+        df.write.parquet(path := self.folder())
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def observations(self) -> DataFrame:
         """Price observations: the star of lineitem, part, supplier and nation."""
@@ -75,7 +80,8 @@ class Tables:
 
     @cached_property
     def capped(self) -> DataFrame:
-        return clean.cap_rows(self.cleaned, ["country", "month"], params.ROW_CAP, params.CAP_SEED, "obs_key")
+        """At most ROW_CAP rows of each country and month, kept: every index reads them several times."""
+        return self.kept(clean.cap_rows(self.cleaned, ["country", "month"], params.ROW_CAP, params.CAP_SEED, "obs_key"))
 
     @property
     def weights(self):
@@ -101,7 +107,7 @@ class Tables:
         from tallyfield.operators.series import calendar_lag
 
         change = lambda df, v: calendar_lag(df.where(F.col(v).isNotNull()), ["country"], v, 1).select("country", "month", (F.col(v) - F.col("before")).alias("v"))
-        return stats.lag1_rows(change(self.median_index, "combined_index"), change(self.cpi, "cpi"), ["country"]).persist()
+        return self.kept(stats.lag1_rows(change(self.median_index, "combined_index"), change(self.cpi, "cpi"), ["country"]))
 
     @cached_property
     def posts(self) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import calendar_lag
@@ -39,36 +40,47 @@ def granger_lag1(x: DataFrame, y: DataFrame, keys: list[str], strict: bool = Fal
     return f_statistic(rows.join(x.select(*keys, "month"), [*keys, "month"], "left_semi") if strict else rows, keys)
 
 
-def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("pos", (F.row_number().over(w.orderBy("month")) - 1).cast("long")).withColumn("size", F.count(F.lit(1)).over(w))
+def _series(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: its rows in order of months as an array `s`, and how many there are."""
+    own = F.array_sort(F.collect_list(F.struct("month", "y", "y1", "x1")))
+    return rows.groupBy(*keys).agg(own.alias("s")).withColumn("size", F.size("s").cast("long"))
+
+
+def _redrawn(series: DataFrame, keys: list[str], draws: Column, place: Callable[[Column], Column]) -> DataFrame:
+    """(keys..., draw, month, pos, y, y1, x1): every series once per draw, x1 taken from the place that place(pos) says.
+
+    A series and its draws stay in one row until its months are laid out, so that what is summed up
+    by (draw, key) then moves as one row each.
+    """
+    drawn = series.withColumn("draw", F.explode(draws))
+    row = lambda r, i: F.struct(r["month"].alias("month"), i.cast("long").alias("pos"), r["y"].alias("y"), r["y1"].alias("y1"), F.get("s", place(i).cast("int"))["x1"].alias("x1"))
+    return drawn.select(*keys, "draw", F.inline(F.transform("s", row)))
 
 
 def shuffled(rows: DataFrame, keys: list[str], draws: int, seed: str = "42") -> DataFrame:
     """rows once per draw with x1 dealt anew within the key, in the order of md5(draw, key, place, seed)."""
-    base = _pairs(rows, keys)
-    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = F.md5(F.concat_ws("|", F.col("draw").cast("string"), *keys, F.col("pos").cast("string"), F.lit(seed)))
-    to = drawn.select("draw", *keys, "x1", (F.row_number().over(Window.partitionBy("draw", *keys).orderBy(order)) - 1).cast("long").alias("pos"))
-    return drawn.drop("x1").join(to, ["draw", *keys, "pos"])
+    series = _series(rows, keys).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    mark = lambda i: F.md5(F.concat_ws("|", F.col("draw").cast("string"), *keys, i.cast("string"), F.lit(seed)))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct(mark(i).alias("mark"), i.alias("at"))))
+    series = series.withColumn("order", order)
+    row = lambda r, i: F.struct(r["month"].alias("month"), i.cast("long").alias("pos"), r["y"].alias("y"), r["y1"].alias("y1"), F.get("s", F.get("order", i)["at"].cast("int"))["x1"].alias("x1"))
+    return series.select(*keys, "draw", F.inline(F.transform("s", row)))
 
 
 def rotated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows once for every circular shift of x1 within the key."""
-    base = _pairs(rows, keys)
-    turned = base.where("size > 1").withColumn("draw", F.explode(F.sequence(F.lit(1), (F.col("size") - 1).cast("int"))))
-    x = base.select(*keys, F.col("pos").alias("from"), "x1")
-    return turned.drop("x1").withColumn("from", (F.col("pos") + F.col("draw")) % F.col("size")).join(x, [*keys, "from"]).drop("from")
+    series = _series(rows, keys).where("size > 1")
+    return _redrawn(series, keys, F.sequence(F.lit(1), (F.col("size") - 1).cast("int")), lambda i: (i + F.col("draw")) % F.col("size"))
 
 
 def blocks(rows: DataFrame, keys: list[str], draws: int, length: int = 5, seed: str = "42") -> DataFrame:
     """rows once per draw with x1 put together from circular blocks whose starts are drawn by md5."""
-    base = _pairs(rows, keys)
-    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("block", F.floor(F.col("pos") / length))
-    mark = F.md5(F.concat_ws("|", F.col("draw").cast("string"), *keys, F.col("block").cast("string"), F.lit(seed)))
-    start = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % F.col("size")
-    x = base.select(*keys, F.col("pos").alias("from"), "x1")
-    return drawn.drop("x1").withColumn("from", (start + F.col("pos") % length) % F.col("size")).join(x, [*keys, "from"]).drop("from", "block")
+
+    def place(i: Column) -> Column:
+        mark = F.md5(F.concat_ws("|", F.col("draw").cast("string"), *keys, F.floor(i / length).cast("string"), F.lit(seed)))
+        return (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") + i % length) % F.col("size")
+
+    return _redrawn(_series(rows, keys), keys, F.sequence(F.lit(1), F.lit(draws)), place)
 
 
 def null_summary(null: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
