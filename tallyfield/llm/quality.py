@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import discard, stash
+
 #: Fixed shape of the network: bytes a chunk and bytes that neighbours share, embedding, filters and their width.
 CHUNK, SHARED, EMBED, FILTERS, WIDTH = 512, 64, 4, 24, 6
 PAD = 256
+#: Bytes of text that a network is fitted on at most.
+LEARNED_BYTES = 256_000_000
 
 
 def chunks_of(text: str | None) -> np.ndarray:
@@ -115,13 +119,18 @@ def held_out(doc_id=None):
 def trained(docs: DataFrame, labels: DataFrame, sample: int = 2000, seed: int = 7) -> ByteNet:
     """A network fitted on at most `sample` labelled texts of each label, the same for any partitioning.
 
-    Only labels whose document isn't held out take part; the choice goes by a hash of doc_id. This
-    is the operator's one bounded sample; scoring covers every text.
+    Only labels whose document isn't held out take part; the choice goes by a hash of doc_id, and of
+    rows that repeat a doc_id the first text counts. This is the operator's one bounded sample;
+    scoring covers every text. A sample of more than LEARNED_BYTES is an error: ask for a smaller one.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("quality = 0").orderBy(*order).limit(sample).unionByName(known.where("quality = 1").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pandas()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = stash(rows, "learned")
+    if (size := rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > LEARNED_BYTES:
+        raise ValueError(f"{size} bytes of text to learn from; take a smaller sample")
+    rows, _ = rows.toArrow().to_pandas(), discard(rows)
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     net = ByteNet(seed)
     return net.fit(rows["text"].tolist(), rows["quality"].to_numpy()) if rows["quality"].nunique() == 2 else net
