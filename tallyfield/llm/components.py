@@ -14,7 +14,7 @@ EDGES = 200_000
 #: A key with so many postings is not gathered in one task; so many of the most frequent keys are looked at, by a sketch of so many items.
 HOT, HOT_KEYS, SKETCH = 1000, 1000, 20_000
 #: Postings of a key in several components that are paired without a closer look.
-CROWD = 64
+CROWD = 256
 #: Sketches of tasks that are merged at a time.
 FAN = 8
 

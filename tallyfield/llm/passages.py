@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, linked, shared_keys
-from .shared import cut, discard, filled, small, stash, text_parts
+from .shared import BROADCAST_ROWS, cut, discard, filled, small, stash, text_parts
 from .shingles import Hashes, mixed, shingles
 from .verify import verified_pairs
 
@@ -235,18 +235,20 @@ def paragraph_table(docs: DataFrame, percent: int, least: int = MIN_WORDS) -> Da
 
 
 def wide_sketches(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(node, wide) of the units of docs: odd sketches of 64 * WIDE bits."""
+    """(node, wide) of those units of docs(text, wanted) that are wanted there: odd sketches of 64 * WIDE bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Ends()
         for b in batches:
-            for _, texts in text_parts(b):
+            for part, texts in text_parts(b):
                 u = units_of(texts, cache, least)
-                wide = _wide_sketches(shingles(u.hashes, SHINGLE), u.low, u.high - SHINGLE + 1) if len(u.low) else np.zeros((0, WIDE), np.int64)
+                nodes = _nodes(u) if len(u.low) else np.zeros(0, np.int64)
+                own = np.flatnonzero(np.isin(nodes, part["wanted"].flatten().to_numpy(zero_copy_only=False)))
+                wide = _wide_sketches(shingles(u.hashes, SHINGLE), u.low[own], u.high[own] - SHINGLE + 1) if len(own) else np.zeros((0, WIDE), np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, wide.size + 1, WIDE, dtype=np.int32), wide.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(u) if len(u.low) else np.zeros(0, np.int64)), lists], names=["node", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), lists], names=["node", "wide"])
 
-    return docs.select("text").mapInArrow(work, "node long, wide array<long>")
+    return docs.select("text", "wanted").mapInArrow(work, "node long, wide array<long>")
 
 
 def _in_runs(found: DataFrame, run: int, gap: int) -> DataFrame:
@@ -320,9 +322,10 @@ def repeated_passages(docs: DataFrame, percent: int = 80, least: int = MIN_WORDS
 
     def wide(nodes: DataFrame) -> DataFrame:
         """Read again from one document that holds each node; a node that isn't found there stays without."""
-        holder = table.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        again = docs.select("doc_id", "text").join(small(cut(holder)), "doc_id", "left_semi")
-        return wide_sketches(again, least).join(small(nodes), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"))
+        holder = table.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        wanted = holder.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("node").alias("wanted"))
+        again = docs.select("doc_id", "text").where("text is not null").join(small(cut(wanted), BROADCAST_ROWS // 8), "doc_id")
+        return wide_sketches(again, least).groupBy("node").agg(F.first("wide").alias("wide"))
 
     label = stash(components(linked(shared, verified, fits, wide)).withColumnRenamed("id", "node"), "labels")
     again = shared.where("n > 1").select("me.node").distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("component"))

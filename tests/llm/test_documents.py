@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from tallyfield.llm import exact, jaccard, mixing, packing, passages, quality, tokens
+from tallyfield.llm import components, exact, jaccard, mixing, packing, passages, quality, tokens
 from tallyfield.llm.queries import tokenizer_file
 from tallyfield.llm.shingles import words
 
@@ -426,3 +426,22 @@ def test_packing_ids_at_the_ends_of_the_range(spark):
     docs = spark.createDataFrame([(low, "a b"), (None, "c"), (high, None), (0, "a b"), (None, None)], "doc_id long, text string")
     got = packing.packed_documents(docs, tokenizer_file("word_bpe_49k.json")).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["length"]) for r in got) == [(False, low, 3), (False, 0, 3), (False, high, 1), (True, 0, 1), (True, 0, 2)]
+
+
+def test_crowded_keys_with_wide_sketches(spark, monkeypatch):
+    """Variants of a passage that mostly just miss the threshold: the same repeats whether pairs across components pass wide sketches or not."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.choice([1, 1, 2])):
+            words[r.randrange(40)] = f"x{r.randrange(6)}"
+        rows.append((i if i % 9 else None, " ".join(words) + ".\n" + " ".join(f"own{i}_{k}" for k in range(15))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    columns = ["doc_id", "start", "length", "component_id", "copies", "removed"]
+    found = []
+    for crowd in (10**9, 1):
+        monkeypatch.setattr(components, "CROWD", crowd)
+        found.append(sorted((tuple(x) for x in passages.repeated_passages(docs).select(columns).collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) > 10
