@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import discard, stash, text_parts
+from .shared import discard, small, stash, text_parts
 
 #: Buckets of hashed features, words of a block of the forward-backward pass, code points whose features are held at a time.
 BUCKETS, BLOCK, PIECE = 1 << 16, 64, 1 << 19
@@ -295,7 +295,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Field:
     able = docs.where("lang is not null and doc_id is not null").where(~held_out()).where(F.char_length("text").between(1, LONGEST))
     able = able.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("t"))
     ids = stash(able.groupBy("lang", "doc_id", "t").agg(F.lit(1).alias("one")).withColumn("h", F.xxhash64("doc_id", "t")), "able")
-    known = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    known = small(stash(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "known"))  # a row a language: texts meet it where they are
     # of a language with many texts only those with the least hashes, about 4 * sample of them, go to the task that numbers them
     least = ids.join(known, "lang").where(F.col("h").cast("double") < (8.0 * sample / F.col("n") - 1) * 2.0**63)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t"))
