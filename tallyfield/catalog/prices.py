@@ -120,10 +120,11 @@ def _(t: Tables) -> DataFrame:
     return t.observations.join(pick, ["item_name", "country"]).groupBy("country", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("unseen_items", sql("obs", "select distinct item_name, restaurant_name from obs o where source = 'src2' and not exists (select 1 from obs x where x.source = 'src3' and x.item_name = o.item_name and x.restaurant_name = o.restaurant_name)"))
+@query("unseen_items", sql("obs", "select item_name, arg_min(restaurant_name, obs_key) as restaurant_name, arg_min(country, obs_key) as country from obs where item_name not in (select p_name from part where p_size < 20) group by item_name"))
 def _(t: Tables) -> DataFrame:
-    o = t.observations
-    return clean.unseen(o.where("source = 'src2'"), o.where("source = 'src3'"), ["item_name", "restaurant_name"]).select("item_name", "restaurant_name").distinct()
+    """Items without a label yet, one restaurant and country for each; labelled are the names of small parts."""
+    known = t.read("part").where("p_size < 20").select(F.col("p_name").alias("item_name"))
+    return clean.unseen_representatives(t.observations, known, "item_name", ["restaurant_name", "country"], "obs_key")
 
 
 _DAILY = "daily as (select restaurant_name, item_name, collection_date, avg(price) as price from obs group by all)"

@@ -112,6 +112,12 @@ def unseen(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_anti")
 
 
+def unseen_representatives(df: DataFrame, known: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """One row for each value of the key that known lacks: of its rows the columns of the one that is first by `order`; a null key is no value."""
+    rest = unseen(df.where(F.col(key).isNotNull()), known, [key])
+    return rest.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("x")).select(key, "x.*")
+
+
 def asof_previous(now: DataFrame, history: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """now with the value and time of the latest strictly earlier row of history per key (of several at that time the largest value)."""
     past = history.select(*keys, time, F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_past"), F.lit(1).alias("_kind"))
