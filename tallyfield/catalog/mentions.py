@@ -52,11 +52,12 @@ for _bucket in ("day", "week"):
     query(f"mention_trend_{_bucket}", sql("mentions", _ROWS + f" select cast(date_trunc('{_bucket}', run_date) as date) as bucket, entity_id, count(*) as mentions, count(*) filter (is_recommendation) as recommendations from rw group by all"))(_trend)
 
 
-@query("parse_sentiment", "select doc_id, case doc_id % 4 when 0 then 'positive' when 1 then 'negative' else 'neutral' end as sentiment, doc_id % 4 = 0 as is_recommendation from documents")
+@query("parse_sentiment", "select doc_id, case when quality = 1 then 'positive' when toxic = 1 then 'negative' else 'neutral' end as sentiment, quality = 1 and toxic = 0 as is_recommendation from labels")
 def _(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 4
-    reply = F.when(k == 0, 'Sure: {"sentiment": "Positive", "is_recommendation": true}').when(k == 1, '{"sentiment":"negative"}').when(k == 2, '{"sentiment":"odd"}').otherwise("none")
-    return mentions.parse_sentiment(t.read("documents").withColumn("reply", reply), "reply").select("doc_id", "sentiment", "is_recommendation")
+    """Replies that say what the labels say: with words around the object, without a field, and with a mood that is none."""
+    good = F.concat(F.lit('Sure: {"sentiment": "Positive", "is_recommendation": '), (F.col("toxic") == 0).cast("string"), F.lit("}\nAnything else?"))
+    reply = F.when(F.col("quality") == 1, good).when(F.col("toxic") == 1, '{"sentiment":"negative"}').otherwise('{"sentiment":"odd"}')
+    return mentions.parse_sentiment(t.read("labels").withColumn("reply", reply), "reply").select("doc_id", "sentiment", "is_recommendation")
 
 
 @query("cached_scores", "with c as (select doc_id, sha256(text) as text_hash from documents), k as (select distinct text_hash from c where doc_id % 3 = 0) select c.doc_id, k.text_hash is not null as hit from c left join k on k.text_hash = c.text_hash")
@@ -213,11 +214,12 @@ def _(t: Tables) -> DataFrame:
     return guardrails.parse_scores(t.read("events").withColumn("reply", reply), "reply").select("event_id", "score")
 
 
-@query("error_counts", "select case when event_id % 9 = 0 then 'rate_limited' when event_id % 9 = 1 then 'timeout' when event_id % 9 = 2 then 'upstream_5xx' when event_id % 9 = 3 then 'other' when event_id % 9 = 4 then 'json_parse' when event_id % 9 = 5 then 'schema_invalid' end as reason, count(*) as n from events group by all")
+@query("error_counts", "select case when event_type = 'error' then case when value < 25 then 'rate_limited' when value < 50 then 'timeout' when value < 75 then 'upstream_5xx' else 'other' end when event_type = 'view' then 'json_parse' when event_type = 'click' then 'schema_invalid' end as reason, count(*) as n from events group by all")
 def _(t: Tables) -> DataFrame:
-    k = F.col("event_id") % 9
-    status = F.when(k == 0, 429).when(k == 1, 408).when(k == 2, 503).when(k == 3, 404).otherwise(200)
-    body = F.when(k == 4, "not json").when(k == 5, '{"x": 1}').otherwise('{"score": 3}')
+    """Errors by the event's value; clicks answer with their props, which hold no score, views with half of them."""
+    kind, value = F.col("event_type"), F.col("value")
+    status = F.when(kind == "error", F.when(value < 25, 429).when(value < 50, 408).when(value < 75, 503).otherwise(404)).otherwise(200)
+    body = F.when(kind == "click", F.col("props")).when(kind == "view", F.left("props", F.lit(4))).otherwise('{"score": 3}')
     return t.read("events").select(guardrails.error_reason(status, body).alias("reason")).groupBy("reason").agg(rows_of().alias("n"))
 
 

@@ -40,12 +40,14 @@ def _(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", pages.page_health("html", F.array(F.lit("the"))).alias("health"))
 
 
-@query("redirected_to_listing", "select page_id, page_id % 3 <> 1 as listing from pages")
+@query("redirected_to_listing", f"""with u as (select page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') as asked, {_HOST} as host, url from pages),
+f as (select host, list_filter(string_split(regexp_extract(min(row(length(url), url))[2], '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') as final from u group by host)
+select page_id, len(final) < len(asked) and (len(final) = 0 or asked[1:len(final)] = final) as listing from u join f using (host)""")
 def _(t: Tables) -> DataFrame:
-    k = F.col("page_id") % 3
-    base = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
-    final = F.when(k == 0, base).when(k == 1, F.col("url")).otherwise(F.concat(base, F.regexp_extract("url", "^[a-z]+://[^/?#]*(/[^/?#]*)", 1)))
-    return t.read("pages").select("page_id", pages.redirected_to_listing("url", final).alias("listing"))
+    """Pages as if each had ended at the shortest url of its host."""
+    p = t.read("pages").select("page_id", "url", F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)).alias("host"))
+    final = p.groupBy("host").agg(F.min(F.struct(F.length("url").alias("n"), "url"))["url"].alias("final"))
+    return p.join(final, "host").select("page_id", pages.redirected_to_listing("url", "final").alias("listing"))
 
 
 @query("yield_report", f"""with p as (select {_HOST} as host, lower(html) as low, p_partkey is not null and p_size % 3 <> 0 as has, page_id from pages left join part on p_partkey = page_id),
