@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import stash, text_parts
 
 #: Words whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
-CACHE_WORDS, GROUP, GIVEN, MERGED = 400_000, 20_000, 3_000, 8
+CACHE_WORDS, GROUP, GIVEN, MERGED = 200_000, 20_000, 3_000, 8
 
 
 #: Words of printable ASCII and Latin-1 letters, which normalisation only lowers, and how the tokenizer cuts them.
@@ -96,16 +96,18 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) ->
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _word_ids(path)
         last = np.array([end], dtype="<u4").tobytes()
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            row, out = [], []
-            for i, text in enumerate(b["text"].to_pylist()):
-                ids = ids_of.of(text.encode("utf-8", "surrogatepass").split() if text else []) + last
-                for k, at in enumerate(range(0, len(ids), 4 * most)):
-                    part = ids[at : at + 4 * most]
-                    row.append(i)
-                    out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
-            numbers = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for some, texts in text_parts(b):
+                row, out = [], []
+                for i, text in enumerate(texts):
+                    ids = ids_of.of(text.encode("utf-8", "surrogatepass").split() if text else []) + last
+                    for k, at in enumerate(range(0, len(ids), 4 * most)):
+                        part = ids[at : at + 4 * most]
+                        row.append(i)
+                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                numbers = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([some["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
