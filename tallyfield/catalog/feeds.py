@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield import params
@@ -91,12 +91,17 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.csv(path, header=True, schema="country string, month string, combined_index double, item_count long")
 
 
+def _sixth(x: Column) -> Column:
+    """x to six digits as the SQL has it: the double times a million is rounded, not the number that its digits say, which differs at halves."""
+    return F.round(x * 1e6) / 1e6
+
+
 def _snapshots(t: Tables) -> DataFrame:
     """Rates as orders have them: urgent ones count as cached, high ones as fetched, at the order's day; and constants for all but two currencies."""
     df = t.read("orders").where("o_orderpriority in ('1-URGENT', '2-HIGH')").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
     currency = F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.col("c_nationkey") % len(CURRENCIES) + 1).cast("int"))
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "cache").otherwise("fetched")
-    taken = df.select(currency.alias("currency"), F.round(1 + F.col("o_totalprice") / 1e6, 6).alias("factor"), kind.alias("kind"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    taken = df.select(currency.alias("currency"), _sixth(1 + F.col("o_totalprice") / 1e6).alias("factor"), kind.alias("kind"), F.col("o_orderdate").cast("timestamp").alias("at"))
     taken = taken.select("currency", (lookup("currency", params.RATES) * F.col("factor")).alias("rate"), "kind", "at")
     fixed = t.spark.createDataFrame([(c, float(params.RATES[c])) for c in CURRENCIES[2:]], "currency string, rate double")
     return taken.unionByName(fixed.select("currency", "rate", F.lit("constant").alias("kind"), F.lit(None).cast("timestamp").alias("at")))
@@ -113,4 +118,4 @@ def _(t: Tables) -> DataFrame:
     days = t.observations.select("currency", F.col("collection_date").alias("day")).distinct()
     days = days.unionByName(days.select("currency", F.lit("1901-01-01").cast("date").alias("day")).distinct())
     out = tables.rates_as_of(days, tables.rate_versions(_snapshots(t)), "day")
-    return out.select("currency", F.col("day").cast("string").alias("day"), F.round("rate", 6).alias("rate"))
+    return out.select("currency", F.col("day").cast("string").alias("day"), _sixth(F.col("rate")).alias("rate"))
