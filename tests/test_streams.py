@@ -84,3 +84,29 @@ def test_refreshed_index_forgets_vanished_months(spark):
         got = jobs.refreshed_index(spark, f"{folder}/out")
         want = index.restaurant_median_index(spark.createDataFrame(wanted[k], schema), weights).select(got.columns)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), k
+
+
+def test_guardrails_by_pages(feed):
+    """Users share pages, and each gets what a loop over its own posts gives."""
+    import random
+
+    schema, r, start = "user_id string, post_id long, posted_at timestamp, mentions_product boolean, is_removed boolean", random.Random(1), dt.datetime(2024, 1, 1)
+    big = 2**53 + 1  # ids beyond what a double holds
+    posts = [(f"u{r.randrange(9)}", big + i, start + dt.timedelta(hours=6 * r.randrange(120)), r.random() < 0.4, r.random() < 0.4) for i in range(300)]
+    cut = lambda a, z: [p for p in posts if start + dt.timedelta(days=a) <= p[2] < start + dt.timedelta(days=z)]
+    beat = [("", None, start + dt.timedelta(days=90), None, None)]
+    wrote = feed([cut(0, 10), cut(10, 20) + cut(9, 10), cut(20, 31), beat], schema, lambda s: jobs.stream_guardrails(s, cap=2, days=3, window=4, rate=0.4, delay="3 days", pages=2))
+    got = [x for w in wrote for x in w]
+    span, want = dt.timedelta(days=3), []
+    for u in {p[0] for p in posts}:
+        own = sorted(p[1:] for p in posts if p[0] == u)
+        own.sort(key=lambda p: (p[1], p[0]))
+        for i, (post, at, _, _) in enumerate(own):
+            promos, recent = sum(p[2] for p in own if at - span < p[1] <= at), [p[3] for p in own[max(0, i - 3) : i + 1]]
+            want.append((u, "post", at, post, promos, promos >= 2, len(recent), sum(recent), len(recent) == 4 and sum(recent) / 4 > 0.4))
+        for v in {p[1] for p in own if p[2]}:
+            full, left = sum(p[2] for p in own if v <= p[1] < v + span), sum(p[2] for p in own if v < p[1] < v + span)
+            if full >= 2 > left:
+                recent = [p[3] for p in own if p[1] < v + span][-4:]
+                want.append((u, "resume", v + span, None, left, False, len(recent), sum(recent), False))
+    assert len(got) == len(want) and set(got) == set(want)
