@@ -15,9 +15,9 @@ def rows_of():
     return F.count(F.lit(1))
 
 
-@query("mention_counts", sql("mentions", "select run_id, entity_id, n from mentions where n > 0"))
+@query("mention_counts", sql("mentions", "select run_id, entity_id, n from mentions"))
 def _(t: Tables) -> DataFrame:
-    return t.mentions.select("run_id", "entity_id", "n")
+    return mentions.mention_counts(t.runs, t.entities, every=True).select("run_id", "entity_id", "n")
 
 
 @query("find_mentions", sql("mentions", "select run_id, entity_id, count(*) as mentions from mentions, lateral (select unnest(range(n))) where n > 0 group by all"))
