@@ -110,3 +110,9 @@ def test_guardrails_by_pages(feed):
                 recent = [p[3] for p in own if p[1] < v + span][-4:]
                 want.append((u, "resume", v + span, None, left, False, len(recent), sum(recent), False))
     assert len(got) == len(want) and set(got) == set(want)
+
+
+def test_pages_grow_with_the_stream():
+    """What a page holds stays the same, however long the stream."""
+    assert jobs.pages_for(1000) == 64
+    assert [jobs.pages_for(n) for n in (36_000_000, 216_000_000)] == [720, 4320]
