@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from .shared import small, stash
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), where x is one node of the plan and worked out once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def host_of(url: Column) -> Column:
     """What stands between the first :// and the next /, ?, # or the end, A-Z lowered; without :// empty."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -47,39 +54,46 @@ def _without_dots(path: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The url under which its spellings meet: scheme and host lowered, dot segments followed, no fragment; one without :// is left as it is."""
-    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host_of(url), _without_dots(path_of(url)), query)).otherwise(url)
+    scheme = lambda u: F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    query = lambda u: F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    node = lambda u: F.when(scheme(u) != "", F.concat(scheme(u), F.lit("://"), host_of(u), _let(path_of(u), _without_dots), query(u))).otherwise(u)
+    return _let(url, node)
 
 
 def _absolute(link: Column, base: Column) -> Column:
-    """link as it stands in a page's markup, resolved against base and brought to its node."""
-    link = F.trim(F.regexp_replace(link, "(?i)&(?:amp|#38|#x26);", "&"))
-    whole = (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([^:/?#]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), link))
-        .when(link.startswith("?"), F.concat(F.regexp_extract(base, "(?s)^([^?#]*)", 1), link))
-        .when((link != "") & ~link.startswith("#"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.regexp_extract(base, "(?s)^.*?://[^/?#]*/((?:[^?#]*/)?)", 1), link))
+    """link as it stands in a page's markup, resolved against base (which is named often: a column or a variable) and brought to its node."""
+    whole = lambda x: (
+        F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), x)
+        .when(x.startswith("//"), F.concat(F.regexp_extract(base, "^([^:/?#]*:)", 1), x))
+        .when(x.startswith("/"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), x))
+        .when(x.startswith("?"), F.concat(F.regexp_extract(base, "(?s)^([^?#]*)", 1), x))
+        .when((x != "") & ~x.startswith("#"), F.concat(F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), F.lit("/"), F.regexp_extract(base, "(?s)^.*?://[^/?#]*/((?:[^?#]*/)?)", 1), x))
     )
-    return node_of(whole)
+    return node_of(_let(F.trim(F.regexp_replace(link, "(?i)&(?:amp|#38|#x26);", "&")), whole))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) of every canonical link and meta refresh in pages(url, html), as nodes.
 
     Links are resolved against the page's <base>, else its url; what stands in comments and scripts
-    is no link.
+    is no link. A page's targets are one expression of fixed size, exploded at its end, so that no
+    filter above takes a copy of it: expressions put into each other took the driver's heap to plan.
     """
     href = lambda tag: F.regexp_extract(tag, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", 0)
     value = lambda found: F.regexp_replace(found, r"(?is)^[a-z]+\s*=\s*[\"']?|[\"']$", "")
+    canonical = lambda tag: tag.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b")
+    refresh = lambda tag: tag.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b")
+    to = lambda tag: F.when(canonical(tag), value(href(tag))).otherwise(F.regexp_extract(tag, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
+
+    def targets(html: Column) -> Column:
+        own = F.nullif(value(href(F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0))), F.lit(""))
+        tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda tag: canonical(tag) | refresh(tag))
+        return _let(F.coalesce(_absolute(own, F.col("url")), F.col("url")), lambda base: F.transform(tags, lambda tag: _absolute(to(tag), base)))
+
+    seen = pages.where("url is not null and html is not null")
     html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)", " ")
-    seen = pages.where("url is not null and html is not null").select("url", html.alias("html"))
-    seen = seen.select("url", F.regexp_extract("html", r"(?is)<base\b[^>]*>", 0).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
-    base = F.coalesce(_absolute(F.nullif(value(href("base")), F.lit("")), F.col("url")), F.col("url"))
-    to = F.when(F.col("tag").rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b"), value(href("tag")))
-    to = to.when(F.col("tag").rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
-    return seen.select(node_of(F.col("url")).alias("src"), _absolute(to, base).alias("dst")).where("dst is not null and dst <> src")
+    links = seen.select("url", F.explode(_let(html, targets)).alias("dst")).where("dst is not null")
+    return links.select(node_of(F.col("url")).alias("src"), "dst").where("dst <> src")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

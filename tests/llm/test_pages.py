@@ -83,6 +83,14 @@ def test_url_rules(spark):
     assert urls.url_verdicts(pages_of(spark, [])).count() == 0
 
 
+def test_link_targets_plan_stays_small(spark):
+    """Resolving a link names the link and its base often; the plan has each once, and not a product of all copies."""
+    pages = pages_of(spark, [(1, "http://a.com/1", "<base href='/d/'><link rel=canonical href='x/../y?q=1&amp;r=2'><meta http-equiv=refresh content='0; url=//B.com/z'><link rel=icon href=i>")])
+    links = urls.page_links(pages)
+    assert len(links._jdf.queryExecution().analyzed().toString()) < 50_000
+    assert sorted(map(tuple, links.collect())) == [("http://a.com/1", "http://a.com/d/y?q=1&r=2"), ("http://a.com/1", "http://b.com/z")]
+
+
 def test_url_aliases(spark):
     canonical = lambda to: f"<html><LINK rel='canonical' href='{to}'></html>"
     rows = [
