@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import stash, text_parts
 
-#: Words whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
-CACHE_WORDS, GROUP, GIVEN, MERGED = 200_000, 20_000, 3_000, 8
+#: Words, and parts of words, whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
+CACHE_WORDS, GROUP, GIVEN, MERGED = 500_000, 20_000, 3_000, 8
+#: Bytes of text whose words are looked up together: enough for a call of the tokenizer, few enough to stay in a core's cache.
+AT_ONCE = 50_000
 
 
 #: Words of printable ASCII and Latin-1 letters, which normalisation only lowers, and how the tokenizer cuts them.
@@ -31,49 +34,70 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Kept:
+    """What learn gives for keys, kept in two halves: a full young half becomes the old one, whose keys move back as they come up again, so that rare keys push out only each other."""
+
+    def __init__(self, learn: Callable[[list], list]):
+        self.learn, self.young, self.old = learn, {}, {}
+
+    def having(self, keys: set[Hashable]) -> dict:
+        """The young half with all the keys."""
+        if new := keys.difference(self.young):
+            if len(self.young) + len(new) > CACHE_WORDS // 2:
+                self.young, self.old = {}, self.young
+                new = keys
+            old = self.old
+            self.young.update([(k, old[k]) for k in new if k in old])
+            if new := [k for k in new if k not in old]:
+                self.young.update(zip(new, self.learn(new), strict=True))
+        return self.young
+
+
 class WordIds:
     """Ids of white-space separated words, as bytes; kept by the worker from task to task, up to a bound.
 
     Plain words take a short way to the same ids: lowered, cut by the tokenizer's pattern and handed to its
-    model part by part. All others, and what may hold a special token, go through the whole tokenizer.
+    model, all new parts at once; a part ends with the one token that says so. All others, and what may hold
+    a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        ids = self.model.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(ids.values()) + 1, dtype=bool)
+        self.last[[i for t, i in ids.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "</w>")]] = True
         self.letters = _byte_letters()
-
-    def part(self, p: str) -> bytes:
-        ids = self.parts.get(p)
-        if ids is None:
-            shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-            self.parts[p] = ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
-        return ids
-
-    def learn(self, words: list[bytes]) -> None:
-        hard = []
-        for w in words:
-            text = w.decode("utf-8", "surrogatepass")
-            if "<|" not in text and _PLAIN.fullmatch(text):
-                self.known[w] = b"".join(map(self.part, _PARTS.findall(text.lower())))
-            else:
-                hard.append(w)
-        if hard:
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in hard], add_special_tokens=False)
-            self.known.update(zip(hard, (np.array(e.ids, dtype="<u4").tobytes() for e in coded), strict=True))
-
-    def of(self, words: list[bytes]) -> bytes:
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                self.parts.clear()
-                new = set(words)
-            self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        self.words, self.parts = _Kept(self._word_ids), _Kept(self._part_ids)
+
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
+        ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(parts):  # a vocabulary without such tokens
+            return [np.array([t.id for t in self.tokenizer.model.tokenize(x)], dtype="<u4").tobytes() for x in shown]
+        raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [[t.lower()] if p and t.isalpha() else _PARTS.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
+        known = self.parts.having({x for c in cut for x in c})
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        if hard := [i for i, p in enumerate(plain) if not p]:
+            for i, e in zip(hard, self.tokenizer.encode_batch([texts[i] for i in hard], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
+
+    def of(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        """The ids of each text's words; the new words of all texts are learned at once."""
+        ids = self.words.having(set(chain.from_iterable(texts))).__getitem__
+        return (b"".join(map(ids, words)) for words in texts)
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -98,16 +122,18 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) ->
         last = np.array([end], dtype="<u4").tobytes()
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            for some, texts in text_parts(b):
-                row, out = [], []
-                for i, text in enumerate(texts):
-                    ids = ids_of.of(text.encode("utf-8", "surrogatepass").split() if text else []) + last
-                    for k, at in enumerate(range(0, len(ids), 4 * most)):
-                        part = ids[at : at + 4 * most]
+            row, out, at = [], [], 0
+            for _, texts in text_parts(b, size=AT_ONCE):
+                for i, ids in enumerate(ids_of.of([(t or "").encode("utf-8", "surrogatepass").split() for t in texts]), at):
+                    ids += last
+                    for k, begin in enumerate(range(0, len(ids), 4 * most)):
+                        part = ids[begin : begin + 4 * most]
                         row.append(i)
-                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                        out.append((k, begin // 4, len(part) // 4, zlib.crc32(part)))
+                at += len(texts)
+            if row:
                 numbers = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([some["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -339,6 +339,18 @@ def test_packing(spark, odd_texts):
     assert sorted((r["doc_id"] or 0, r["length"], r["offset"]) for r in twice)[0][1] == 1 and len({r["offset"] for r in twice}) == 3
 
 
+def test_word_ids_are_learned_once(monkeypatch):
+    """A frequent word stays known however many rare ones come by; ids are the tokenizer's all along."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    ids, learned = packing.WordIds(tokenizer_file("word_bpe_49k.json")), []
+    learn = ids.words.learn
+    ids.words.learn = lambda new: learned.extend(new) or learn(new)
+    texts = [f"the Caf\u00e9's rare{i} <|x|>{i} n\u00baw" for i in range(60)]
+    got = [b for t in texts for b in ids.of([t.encode().split()])]
+    assert got == [np.array(x[:-1], "<u4").tobytes() for x in ids_of(texts)]
+    assert learned.count(b"the") == 1 and len(learned) == 123
+
+
 def test_packing_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 300)
     r = random.Random(1)
