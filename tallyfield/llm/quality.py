@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 2000, seed: int =
     Only labels whose document isn't held out take part; the choice goes by a hash of doc_id, and of
     rows that repeat a doc_id the first text counts. This is the operator's one bounded sample;
     scoring covers every text. A sample of more than LEARNED_BYTES is an error: ask for a smaller one.
+    The fit runs in a task, and only the network's parameters come to the driver.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -130,10 +132,17 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 2000, seed: int =
     rows = stash(rows, "learned")
     if (size := rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > LEARNED_BYTES:
         raise ValueError(f"{size} bytes of text to learn from; take a smaller sample")
-    rows, _ = rows.toArrow().to_pandas(), discard(rows)
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    net = ByteNet(seed)
-    return net.fit(rows["text"].tolist(), rows["quality"].to_numpy()) if rows["quality"].nunique() == 2 else net
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(learned).to_pandas().sort_values(["doc_id", "text"], kind="stable") if learned else None
+        if rows is not None and rows["quality"].nunique() == 2:
+            net = ByteNet(seed).fit(rows["text"].tolist(), rows["quality"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)])], names=["net"])
+
+    got = rows.select("doc_id", "quality", "text").coalesce(1).mapInArrow(fitted, "net binary").collect()
+    discard(rows)
+    return ByteNet(seed, pickle.loads(got[0]["net"]) if got else None)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 2000) -> DataFrame:

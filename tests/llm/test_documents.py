@@ -339,6 +339,19 @@ def test_packing(spark, odd_texts):
     assert sorted((r["doc_id"] or 0, r["length"], r["offset"]) for r in twice)[0][1] == 1 and len({r["offset"] for r in twice}) == 3
 
 
+def test_quality_is_not_fitted_on_the_driver(spark, monkeypatch):
+    """Texts to learn from stay with the tasks: a driver that cannot fit gets the network all the same."""
+    def no(*_, **__):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(quality.ByteNet, "fit", no)
+    docs = docs_of(spark, [("good words here " if i % 2 else "%%% ### ") * 20 for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    net = quality.trained(docs, labels)
+    assert net.score(["good words here " * 20])[0] > 0.5 > net.score(["%%% ### " * 20])[0]
+    assert (quality.trained(docs, labels.where("quality = 1")).p["k"] == quality.ByteNet(7).p["k"]).all()
+
+
 def test_word_ids_are_learned_once(monkeypatch):
     """A frequent word stays known however many rare ones come by; ids are the tokenizer's all along."""
     monkeypatch.setattr(packing, "CACHE_WORDS", 40)
