@@ -107,9 +107,14 @@ def _(t: Tables) -> DataFrame:
 # item extraction, over pages that are put together from the parts
 
 
+#: Pages that a task puts together and takes apart.
+PAGES = 5000
+
+
 def _shop(t: Tables, body) -> DataFrame:
-    """A page per part: (page_id, html)."""
-    return t.read("part").select(F.col("p_partkey").alias("page_id"), body.alias("html"))
+    """A page per part: (page_id, html), PAGES a task. A part is a few bytes of its file and its page a walk of many objects: by the file's splits, a task or two would do them all."""
+    part = t.read("part")
+    return part.repartition(max(1, -(-part.count() // PAGES)), "p_partkey").select(F.col("p_partkey").alias("page_id"), body.alias("html"))
 
 
 _NAME = "p_name || ' ' || p_partkey"

@@ -296,3 +296,16 @@ def test_erasure_comes_into_force_at_once(spark, monkeypatch):
     assert rows(guardrails.current(spark, root, "audit"), "request_id", "n_posts") == [("r1", 2), ("r2", 1), ("r9", 0)]
     bundle = guardrails.export_bundle({"posts": posts}, {"posts": registry["posts"]}, spark.createDataFrame([("1",), ("7",), ("1",), (None,)], "user_id string"))
     assert rows(bundle, "user_id", "n", "rows") == [("1", 2, '[{"text":"a","user_id":"1"},{"text":"c","user_id":"1"}]'), ("7", 0, "[]")]
+
+
+def test_pages_of_parts_are_dealt_to_tasks(spark, monkeypatch):
+    """A part's page is put together in as many tasks as there are pages for, whatever the file's splits."""
+    from pyspark.sql import functions as F
+
+    from tallyfield.catalog import base
+    from tallyfield.catalog import pages as queries
+
+    monkeypatch.setattr(queries, "PAGES", 20)
+    t = base.Tables(spark, "/root/testdata/sf0.001")
+    made = queries._shop(t, F.lit("x"))
+    assert made.rdd.getNumPartitions() == -(-t.read("part").count() // 20) > 2 and made.count() == t.read("part").count()
