@@ -18,6 +18,14 @@ from .verify import verified_pairs
 BLOCK, FREQUENT = 4_000_000, 1_000_000
 
 
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that x holds several times, and how often; x is sorted in place, and nothing else of its size is made."""
+    x.sort()
+    same = np.r_[False, x[1:] == x[:-1], False] if len(x) else np.zeros(1, bool)
+    first, end = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:]) + 1
+    return x[first], end - first
+
+
 def _repeats(docs: DataFrame, k: int) -> DataFrame:
     """(shingle, n): shingles that several documents of a block of a task hold, and in how many."""
 
@@ -25,8 +33,10 @@ def _repeats(docs: DataFrame, k: int) -> DataFrame:
         cache, held, size = Hashes(), [], 0
 
         def block():
-            x, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pd.DataFrame({"shingle": x[n > 1].view(np.int64), "n": n[n > 1]})
+            x = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            x, n = _counted(x)
+            return pd.DataFrame({"shingle": x.view(np.int64), "n": n})
 
         for b in batches:
             for text in b["text"]:
@@ -34,7 +44,7 @@ def _repeats(docs: DataFrame, k: int) -> DataFrame:
                 size += len(held[-1])
                 if size >= BLOCK:
                     yield block()
-                    held, size = [], 0
+                    size = 0
         yield block()
 
     return docs.select("text").mapInPandas(work, "shingle long, n long")

@@ -37,13 +37,13 @@ def _byte_letters() -> dict[int, str]:
 class _Kept:
     """What learn gives for keys, kept in two halves: a full young half becomes the old one, whose keys move back as they come up again, so that rare keys push out only each other."""
 
-    def __init__(self, learn: Callable[[list], list]):
-        self.learn, self.young, self.old = learn, {}, {}
+    def __init__(self, learn: Callable[[list], list], most: int):
+        self.learn, self.most, self.young, self.old = learn, most, {}, {}
 
     def having(self, keys: set[Hashable]) -> dict:
         """The young half with all the keys."""
         if new := keys.difference(self.young):
-            if len(self.young) + len(new) > CACHE_WORDS // 2:
+            if len(self.young) + len(new) > self.most // 2:
                 self.young, self.old = {}, self.young
                 new = keys
             old = self.old
@@ -61,7 +61,7 @@ class WordIds:
     a special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -72,7 +72,7 @@ class WordIds:
         self.last = np.zeros(max(ids.values()) + 1, dtype=bool)
         self.last[[i for t, i in ids.items() if t.endswith(self.tokenizer.model.end_of_word_suffix or "</w>")]] = True
         self.letters = _byte_letters()
-        self.words, self.parts = _Kept(self._word_ids), _Kept(self._part_ids)
+        self.words, self.parts = (_Kept(learn, cache or CACHE_WORDS) for learn in (self._word_ids, self._part_ids))
 
     def _part_ids(self, parts: list[str]) -> list[bytes]:
         shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
@@ -100,25 +100,26 @@ class WordIds:
         return (b"".join(map(ids, words)) for words in texts)
 
 
-_WORKER: dict[str, WordIds] = {}
+_WORKER: dict[tuple[str, int | None], WordIds] = {}
 
 
-def _word_ids(path: str) -> WordIds:
-    if path not in _WORKER:
-        _WORKER[path] = WordIds(path)
-    return _WORKER[path]
+def _word_ids(path: str, cache: int | None = None) -> WordIds:
+    if (path, cache) not in _WORKER:
+        _WORKER.clear()  # a worker keeps one cache
+        _WORKER[path, cache] = WordIds(path, cache)
+    return _WORKER[path, cache]
 
 
-def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096, cache: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text: its ids and then `end`, cut into pieces of `most` where longer.
 
     The tokenizer lowers case, drops white space and never joins across it, so ids are those of the
-    text's words one after another, encoded once for each worker and word. Null text counts as
-    empty and gives one piece of length 1.
+    text's words one after another, encoded once for each worker and word, of which a worker keeps
+    `cache` (CACHE_WORDS if None), and as many parts. Null text counts as empty and gives one piece of length 1.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids(path)
+        ids_of = _word_ids(path, cache)
         last = np.array([end], dtype="<u4").tobytes()
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
@@ -248,6 +249,6 @@ def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     return out.withColumn("doc_id", F.when(~F.col("unknown"), F.col("doc_id"))).drop("unknown")
 
 
-def packed_documents(docs: DataFrame, path: str, end: int = 1, most: int = 4096) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, end: int = 1, most: int = 4096, cache: int | None = None) -> DataFrame:
     """One row per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset (see token_pieces and pack)."""
-    return pack(stash(token_pieces(docs, path, end, most), "pieces"), most)
+    return pack(stash(token_pieces(docs, path, end, most, cache), "pieces"), most)

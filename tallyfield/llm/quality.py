@@ -176,6 +176,8 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteNet(params=net.value)
         for b in batches:
-            yield b.filter(pa.array(own.scores(b["text"]) >= threshold))
+            for i in range(0, b.num_rows, 500):  # no second copy of the whole batch
+                part = b.slice(i, 500)
+                yield part.filter(pa.array(own.scores(part["text"]) >= threshold))
 
     return docs.mapInArrow(good, docs.schema)

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tallyfield.llm import components, exact, jaccard, mixing, packing, passages, quality, tokens
 from tallyfield.llm.queries import tokenizer_file
@@ -364,6 +366,39 @@ def test_word_ids_are_learned_once(monkeypatch):
     assert learned.count(b"the") == 1 and len(learned) == 123
 
 
+def test_pipeline_workers_stay_small(spark):
+    """In the pipeline a worker gets few rows at a time and keeps the ids of few words; the session is left as it was."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    sized = lambda batches: (b.slice(0, 1).set_column(0, "id", pa.array([b.num_rows])) for b in batches)
+    with pipeline.small_batches(spark):
+        seen = [r["id"] for r in spark.range(0, 5000, 1, 1).mapInArrow(sized, "id long").collect()]
+    assert seen == [1000] * 5 and spark.conf.get(key) == before
+    ids = packing.WordIds(tokenizer_file("word_bpe_49k.json"), 40)
+    texts = [f"some rare{i} words" for i in range(300)]
+    assert [b for t in texts for b in ids.of([t.encode().split()])] == [np.array(x[:-1], "<u4").tobytes() for x in ids_of(texts)]
+    assert max(len(k) for c in (ids.words, ids.parts) for k in (c.young, c.old)) <= 20
+    docs = docs_of(spark, texts)
+    wide, slim = ({tuple(r) for r in packing.packed_documents(docs, tokenizer_file("word_bpe_49k.json"), cache=n).collect()} for n in (None, 40))
+    assert wide == slim
+
+
+def test_repeats_are_counted_in_place():
+    """The counts of a block are np.unique's, at a fraction of its memory."""
+    for x in ([], [5], [5, 5], [1, 2, 3], [3, 1, 3, 2**64 - 1, 0, 3, 0, 2**64 - 1]):
+        x = np.array(x, np.uint64)
+        value, n = np.unique(x, return_counts=True)
+        got = jaccard._counted(x.copy())
+        assert got[0].tolist() == value[n > 1].tolist() and got[1].tolist() == n[n > 1].tolist()
+    x = np.random.default_rng(1).integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    tracemalloc.start()
+    jaccard._counted(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes  # np.unique takes several times as much
+
+
 def test_packing_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 300)
     r = random.Random(1)
