@@ -3,35 +3,36 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Callable, Hashable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash, text_parts
+from .shared import stash, text_slices
 
 #: Words, and parts of words, whose ids a worker may keep; pieces of a partition; pieces that a partition gives to an exchange; partitions of an exchange.
 CACHE_WORDS, GROUP, GIVEN, MERGED = 500_000, 20_000, 3_000, 8
-#: Bytes of text whose words are looked up together: enough for a call of the tokenizer, few enough to stay in a core's cache.
-AT_ONCE = 50_000
+#: Bytes of text whose words are looked up together, for each word of the cache: enough to find most words more than once, few enough to leave room in the cache.
+AT_ONCE = 4
 
 
 #: Words of printable ASCII and Latin-1 letters, which normalisation only lowers, and how the tokenizer cuts them.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN, _SPECIAL = r"\A[!-~À-ÖØ-öø-ÿ]+\z", "<|"
+_PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The public byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+def _byte_letters() -> np.ndarray:
+    """The public byte-level alphabet as UTF-16 units: printable bytes stand for themselves, the others for the characters from 256 on; the space stays, as it ends a part."""
+    rest = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]
+    letters = np.arange(256, dtype="<u2")
+    letters[rest] = np.arange(256, 256 + len(rest))
+    letters[32] = 32
+    return letters
 
 
 class _Kept:
@@ -40,17 +41,34 @@ class _Kept:
     def __init__(self, learn: Callable[[list], list], most: int):
         self.learn, self.most, self.young, self.old = learn, most, {}, {}
 
-    def having(self, keys: set[Hashable]) -> dict:
-        """The young half with all the keys."""
-        if new := keys.difference(self.young):
+    def _of(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        if at := [i for i, v in enumerate(found) if v is None]:
+            new = [keys[i] for i in at]
+            values = list(map(self.old.get, new))
+            if unknown := [k for k, v in zip(new, values, strict=True) if v is None]:
+                learned = iter(self.learn(unknown))
+                values = [next(learned) if v is None else v for v in values]
             if len(self.young) + len(new) > self.most // 2:
-                self.young, self.old = {}, self.young
-                new = keys
-            old = self.old
-            self.young.update([(k, old[k]) for k in new if k in old])
-            if new := [k for k in new if k not in old]:
-                self.young.update(zip(new, self.learn(new), strict=True))
-        return self.young
+                self.young, self.old = {k: v for k, v in zip(keys, found, strict=True) if v is not None}, self.young
+            self.young.update(zip(new, values, strict=True))
+            for i, v in zip(at, values, strict=True):
+                found[i] = v
+        return found
+
+    def of(self, keys: pa.Array) -> pa.Array:
+        """What distinct keys have, looked up in blocks that fit a half."""
+        blocks = (keys.slice(i, self.most // 2) for i in range(0, len(keys), self.most // 2))
+        found = [pa.array(self._of(b.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()) for b in blocks]
+        return pa.concat_arrays(found or [pa.array([], pa.large_binary())])
+
+    def joined(self, rows: pa.ListArray) -> pa.Array:
+        """What the keys of each row have, one after another; a key is looked up once, however often it comes up."""
+        code = rows.flatten().dictionary_encode()
+        _, ends, data = self.of(code.dictionary).take(code.indices).buffers()
+        at = rows.offsets.to_numpy()
+        ends = np.frombuffer(ends, np.int64)[at - at[0]] if len(code) else np.zeros(len(at), np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
 
 
 class WordIds:
@@ -75,29 +93,32 @@ class WordIds:
         self.words, self.parts = (_Kept(learn, cache or CACHE_WORDS) for learn in (self._word_ids, self._part_ids))
 
     def _part_ids(self, parts: list[str]) -> list[bytes]:
-        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, dtype="<u4")
+        shown = self.letters[np.frombuffer(" ".join(parts).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(parts):  # a vocabulary without such tokens
-            return [np.array([t.id for t in self.tokenizer.model.tokenize(x)], dtype="<u4").tobytes() for x in shown]
+            return [np.array([t.id for t in self.tokenizer.model.tokenize(x)], dtype="<u4").tobytes() for x in shown.split(" ")]
         raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def _word_ids(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        cut = [[t.lower()] if p and t.isalpha() else _PARTS.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = self.parts.having({x for c in cut for x in c})
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        if hard := [i for i, p in enumerate(plain) if not p]:
-            for i, e in zip(hard, self.tokenizer.encode_batch([texts[i] for i in hard], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
-
-    def of(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        texts = pa.array(words, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring(texts, _SPECIAL))
+        cut = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), _PARTS, r"\0 ")
+        out = self.parts.joined(pc.split_pattern(pc.ascii_rtrim_whitespace(cut), " ")).to_numpy(zero_copy_only=False)
+        if len(out) == len(words):
+            return out.tolist()
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        hard = texts.filter(pc.invert(plain)).to_pylist()
+        every = np.empty(len(words), dtype=object)
+        every[is_plain] = out
+        every[~is_plain] = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(hard, add_special_tokens=False)]
+        return every.tolist()
+
+    def of(self, texts: pa.ListArray | list[list[bytes]]) -> Iterator[bytes]:
         """The ids of each text's words; the new words of all texts are learned at once."""
-        ids = self.words.having(set(chain.from_iterable(texts))).__getitem__
-        return (b"".join(map(ids, words)) for words in texts)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.list_(pa.binary()))
+        return iter(self.words.joined(texts).to_numpy(zero_copy_only=False).tolist())
 
 
 _WORKER: dict[tuple[str, int | None], WordIds] = {}
@@ -124,14 +145,15 @@ def token_pieces(docs: DataFrame, path: str, end: int = 1, most: int = 4096, cac
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
             row, out, at = [], [], 0
-            for _, texts in text_parts(b, size=AT_ONCE):
-                for i, ids in enumerate(ids_of.of([(t or "").encode("utf-8", "surrogatepass").split() for t in texts]), at):
+            for texts in text_slices(b, b.num_rows, AT_ONCE * (cache or CACHE_WORDS)):
+                words = pc.ascii_split_whitespace(pc.fill_null(texts["text"], ""))
+                for i, ids in enumerate(ids_of.of(words.cast(pa.list_(pa.binary()))), at):
                     ids += last
                     for k, begin in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[begin : begin + 4 * most]
                         row.append(i)
                         out.append((k, begin // 4, len(part) // 4, zlib.crc32(part)))
-                at += len(texts)
+                at += texts.num_rows
             if row:
                 numbers = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(row, pa.int64())), *numbers], names=["doc_id", "piece", "start", "length", "ids_crc32"])

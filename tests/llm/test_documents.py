@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tallyfield.llm import components, exact, jaccard, mixing, packing, passages, quality, tokens
 from tallyfield.llm.queries import tokenizer_file
@@ -366,6 +367,19 @@ def test_word_ids_are_learned_once(monkeypatch):
     assert learned.count(b"the") == 1 and len(learned) == 123
 
 
+def test_words_of_a_slice_are_looked_up_once(monkeypatch):
+    """However often a word comes up in a slice of texts, its ids are looked up once; more words than a half holds leave ids and bound as they are."""
+    ids, asked = packing.WordIds(tokenizer_file("word_bpe_49k.json"), 40), []
+    of = ids.words.of
+    monkeypatch.setattr(ids.words, "of", lambda keys: asked.append(keys.to_pylist()) or of(keys))
+    texts = ["the The the's", "", " \n", "x1 \u00c9t\u00e9! " * 50 + "<|endoftext|>", *(f"the rare{i} n\u00baw{i} {i}!?" for i in range(60)), "the"]
+    rows = pc.ascii_split_whitespace(pa.array(["left out", *texts, "left out"])).slice(1, len(texts)).cast(pa.list_(pa.binary()))
+    assert list(ids.of(rows)) == [np.array(x[:-1], "<u4").tobytes() for x in ids_of(texts)]
+    assert [sorted(x) for x in asked] == [sorted({w for t in texts for w in t.encode().split()} | {b""})]
+    assert max(len(k) for c in (ids.words, ids.parts) for k in (c.young, c.old)) <= 20
+    assert list(ids.of([])) == [] and list(ids.of([[], []])) == [b"", b""]
+
+
 def test_pipeline_workers_stay_small(spark):
     """In the pipeline a worker gets few rows at a time and keeps the ids of few words; the session is left as it was."""
     pipeline = pytest.importorskip("corpus_pipeline")
